@@ -10,6 +10,9 @@ from .chat import format_chats
 from .extraction import extract_main_text
 from .licenses import scan_licenses
 from .media import media_columns
+from .mixing import SQL as MIX_SQL
+from .mixing import mix_sources
+from .quality import quality_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +35,20 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op4_media_columns": op4_media_columns,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": MIX_SQL.format(docs="documents")}
