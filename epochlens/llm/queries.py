@@ -14,6 +14,7 @@ from .media import media_columns
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_sources
 from .quality import quality_scores
+from .substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_media_columns": op4_media_columns,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
