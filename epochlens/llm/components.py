@@ -37,20 +37,11 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    centers = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(centers)
 
 
-def _sketch_matrix(column: pa.Array) -> np.ndarray:
-    """Sketches, padded with zeros to equal length, as uint64 words."""
-    values = column.to_pylist()
-    width = max(8, -(-max(map(len, values)) // 8) * 8)
-    out = np.zeros((len(values), width), dtype=np.uint8)
-    for i, v in enumerate(values):
-        out[i, : len(v)] = np.frombuffer(v, dtype=np.uint8)
-    return out.view(np.uint64)
-
-
-def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     """Xor a sketch matrix down to ``words`` words; parity sketches of power-of-two sizes allow that."""
     while sketch.shape[1] > words:
         half = sketch.shape[1] // 2
@@ -77,7 +68,7 @@ def residual_pairs(members: DataFrame, limit: Callable[[np.ndarray, np.ndarray],
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         a, b = [], []
         lengths = np.array([len(s) for s in sketches])
-        by_length = {n: (np.flatnonzero(lengths == n), _fold_all([s for s in sketches if len(s) == n])) for n in np.unique(lengths)}
+        by_length = {n: (np.flatnonzero(lengths == n), _stack([s for s in sketches if len(s) == n])) for n in np.unique(lengths)}
         for i in range(len(nodes) - 1):
             mine = np.frombuffer(sketches[i], dtype=np.uint64)[None, :]
             for n, (at, matrix) in by_length.items():
@@ -92,7 +83,7 @@ def residual_pairs(members: DataFrame, limit: Callable[[np.ndarray, np.ndarray],
                 if not ok.any():
                     continue
                 words = min(matrix.shape[1], mine.shape[1])
-                far = np.bitwise_count(_fold(matrix[k:][ok], words) ^ _fold(mine, words)).sum(axis=1)
+                far = np.bitwise_count(fold(matrix[k:][ok], words) ^ fold(mine, words)).sum(axis=1)
                 hit = rest[ok][far <= most[ok]]
                 a += [int(nodes[i])] * len(hit)
                 b += nodes[hit].tolist()
@@ -103,7 +94,7 @@ def residual_pairs(members: DataFrame, limit: Callable[[np.ndarray, np.ndarray],
     return dealt.select("gid", "lo", "hi", "i", "node", "component", "size", "sketch").groupBy("gid", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _fold_all(sketches: list[bytes]) -> np.ndarray:
+def _stack(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(sketches), -1)
 
 

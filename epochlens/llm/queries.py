@@ -11,6 +11,7 @@ from .decontamination import find_leaks
 from .extraction import extract_main_text
 from .jaccard import jaccard_classes
 from .licenses import scan_licenses
+from .lines import dedup_lines
 from .media import media_columns
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_sources
@@ -26,6 +27,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_line_dedup": op2_line_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_media_columns": op4_media_columns,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
