@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, join_sized, mix64, saved, slices
-from .components import grouped_runs, link_classes
+from .components import fold, grouped_runs, link_classes
 from .shingles import shingle_sets
 
 NUM, DEN = 3, 4  # similarity 0.75
@@ -100,12 +100,12 @@ def sketch(s: np.ndarray) -> bytes:
 
 def _describe(batches):
     """Per document the size and digest of its set; per slice the shingles that are frequent in it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("sketch", pa.binary())])
     for batch in slices(batches, rows=2048, max_bytes=8 << 20):
         sets = shingle_sets(byte_values(batch.column(1)))
         digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         ids = batch.column(0).to_pylist()
-        rows = [(i, len(s), d, None) for i, s, d in zip(ids, sets, digests, strict=True)]
+        rows = [(i, len(s), d, None, sketch(s)) for i, s, d in zip(ids, sets, digests, strict=True)]
         distinct = list({d: s for d, s in zip(digests, sets, strict=True)}.values())
         least = max(4, len(distinct) // 128)
         # Each shingle that a slice holds often is told once per slice, with its count.
@@ -113,7 +113,7 @@ def _describe(batches):
         begins = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.r_[begins, len(every)])
         often = counts >= least
-        rows += [(None, int(c), None, int(v)) for v, c in zip(every[begins[often]].view(np.int64), counts[often], strict=True)]
+        rows += [(None, int(c), None, int(v), None) for v, c in zip(every[begins[often]].view(np.int64), counts[often], strict=True)]
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -167,6 +167,21 @@ def _with_sets(texts: DataFrame, nodes: DataFrame, schema: str, make) -> DataFra
     return picked.mapInArrow(run, schema)
 
 
+def _check_sketches(batches):
+    """Pairs whose sketches differ in no more than linked sets may."""
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        most = most_different(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()).tolist()
+        keep = []
+        for i, (x, y) in enumerate(zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)):
+            if most[i] >= 0:
+                x, y = np.frombuffer(x, dtype=np.uint64)[None, :], np.frombuffer(y, dtype=np.uint64)[None, :]
+                words = min(x.shape[1], y.shape[1])
+                if int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= most[i]:
+                    keep.append(i)
+        yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+
+
 def _check_pairs(batches):
     for batch in batches:
         a, b, keep_a, keep_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), [], []
@@ -184,8 +199,8 @@ def _check_pairs(batches):
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (verified links found for its set)."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    described = saved(texts.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, shingle long"), "described")
-    members = described.filter("digest is not null").drop("shingle")
+    described = saved(texts.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, shingle long, sketch binary"), "described")
+    members = described.filter("digest is not null").drop("shingle", "sketch")
     # Bounded by HEAVY numbers of eight bytes.
     heavy = np.sort(np.array([r[0] for r in described.filter("shingle is not null").groupBy("shingle").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").collect()], dtype=np.int64).view(np.uint64))
     # Equal sets: the smallest id stands for all. Only digests seen twice need a join.
@@ -200,15 +215,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packed = firsts.mapInArrow(_pack(heavy, buckets), "bucket int, sigs binary, at binary, ids binary")
     groups = saved(packed.groupBy("bucket").applyInArrow(_bucket_groups, "gid long, first long, node long"), "groups")
 
+    sketched = described.filter("digest is not null and doc_id is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "sketch")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets_of = saved(_with_sets(texts, saved(nodes, "nodes"), "node long, set binary", lambda s: (s.tobytes(),)).dropDuplicates(["node"]), "node-sets")
-        with_a = pairs.join(sets_of.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+        # Sketches are a small part of the sets, so only pairs that pass them are held against the sets.
+        with_a = pairs.join(sketched.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
+        with_b = with_a.join(sketched.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
+        near = saved(with_b.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_check_sketches, "a long, b long").distinct(), "near")
+        nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        sets_of = _with_sets(texts, saved(nodes, "nodes"), "node long, set binary", lambda s: (s.tobytes(),))
+        with_a = near.join(sets_of.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         with_b = with_a.join(sets_of.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_check_pairs, "a long, b long")
+        return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_check_pairs, "a long, b long").distinct()
 
     def sketches(nodes: DataFrame) -> DataFrame:
-        return _with_sets(texts, nodes, "node long, size long, sketch binary", lambda s: (len(s), sketch(s))).dropDuplicates(["node"])
+        return sketched.join(nodes, "node").dropDuplicates(["node"])
 
     links, comps = link_classes(groups, verify, sketches, most_different)
     n_links = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
