@@ -1,10 +1,523 @@
-"""Queries of the engine's own operators."""
+"""Queries of the engine's own operators over the driver's tables, each with DuckDB SQL where SQL can express it.
+
+Source lines are made from ``lineitem`` by one projection that runs in both engines; see ``sources.lines``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import config as K
+from .functions import text as X
+from .operators import assessments as A
+from .operators import candidates as C
+from .operators import closure as G
+from .operators import cparse as P
+from .operators import detectors as D
+from .operators import environments as E
+from .operators import matching as M
+from .operators import reports as R
+from .operators import repositories as S
+from .plans.scan import result_document, scan
+from .sources.lines import SYNTHETIC_SQL, split_lines, synthetic_lines, with_clean_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# Pieces of the DuckDB side.
+_LINES = f"lines AS ({SYNTHETIC_SQL})"
+_CLEAN = _LINES + r""", cl AS (SELECT *, regexp_replace(text, '"(?:\\.|[^"\\])*"?|''(?:\\.|[^''\\])*''?|//.*$', ' ', 'g') AS clean FROM lines)"""
+_RULES = "rules(symbol, risk, category, description, rule_id, call_required) AS (VALUES " + ", ".join(
+    f"('{s}', '{r}', '{c}', '{d}', 'TACS-RULE-{i:04d}', {c not in K.NON_CALLABLE})" for i, (s, r, c, d) in enumerate(M.CATALOG, 1)
+) + ")"
+_TERMS = _CLEAN + r""", tok AS (SELECT *, regexp_extract_all(clean, '\b([_A-Za-z]\w*)\b', 1) AS w FROM cl),
+terms AS (SELECT DISTINCT path, line, text, clean, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok)"""
+_MATCH = f"""{_TERMS}, {_RULES}, m AS (SELECT path, line, text, symbol, risk, category, description, rule_id FROM terms JOIN rules ON term = symbol
+WHERE NOT call_required OR regexp_matches(clean, '\\b' || symbol || '\\b\\s*\\('))"""
+_RANK = "CASE risk WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0 ELSE -1 END"
+_SIMPLE = r"""regexp_replace(regexp_replace(regexp_replace(text, '//.*$', ''), '"[^"]*"', '""', 'g'), '''[^'']*''', '''''', 'g')"""
+_VARS = _LINES + r""", vars AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '(?i)\btime_t\s+(\w+)\s*[=;,\[\]()]', 1)) AS var FROM lines)"""
+_CALLS = "|".join(D.TIME_CALLS)
+_NARROW = "(?:u?int(?:8|16|32)?(?:_t)?|long|short|char|unsigned|signed)"
+_ARITH = _VARS + rf""", ops AS (SELECT path, line, text, unnest(regexp_extract_all(code, '\b([A-Za-z_]\w*)\s*([-+*])(=?)\s*(\w+)', 1)) AS var, unnest(regexp_extract_all(code, '\b([A-Za-z_]\w*)\s*([-+*])(=?)\s*(\w+)', 2)) AS operator,
+ unnest(regexp_extract_all(code, '\b([A-Za-z_]\w*)\s*([-+*])(=?)\s*(\w+)', 3)) AS comp, unnest(regexp_extract_all(code, '\b([A-Za-z_]\w*)\s*([-+*])(=?)\s*(\w+)', 4)) AS operand FROM (SELECT *, {_SIMPLE} AS code FROM lines)),
+own AS (SELECT o.* FROM ops o SEMI JOIN vars v ON o.path = v.path AND o.var = v.var),
+rk AS (SELECT *, try_cast(regexp_extract(operand, '-?\d+') AS HUGEINT) AS n FROM own),
+arith AS (SELECT path, line, text, var, operator, comp = '=' AS is_compound, operand,
+ CASE WHEN regexp_matches(operand, '{D.LARGE_DIGITS}') THEN CASE WHEN operator IN ('+', '*') THEN 'high' ELSE 'medium' END
+ WHEN regexp_extract(operand, '-?\d+') <> '' AND abs(n) >= 1073741824 THEN CASE WHEN operator IN ('+', '*') THEN 'high' ELSE 'medium' END
+ WHEN abs(n) >= 1048576 THEN 'medium' WHEN operator IN ('+', '-') AND regexp_matches(operand, '^-?\d+$') THEN 'low' ELSE 'medium' END AS risk FROM rk)"""
+_DEFINES = _LINES + rf""", df AS (SELECT path, line, text, regexp_extract(text, '#define\s+(\w+)\s+(.*?)$', 1) AS macro, trim(regexp_extract(text, '#define\s+(\w+)\s+(.*?)$', 2)) AS value FROM lines),
+dk AS (SELECT *, CASE WHEN regexp_matches(value, '\btime_t\b') THEN 'type' WHEN regexp_matches(value, '\b({_CALLS})\s*\(') THEN 'function' WHEN regexp_matches(value, '\bstruct\s+(timespec|timeval|tm|itimerspec|itimerval)\b') THEN 'struct'
+ WHEN regexp_matches(value, '\b({"|".join(map(str, D.TIME_CONSTANTS))})\b') AND regexp_matches(lower(macro), 'time|sec|hour|day|week|month|year|date|timeout|interval') THEN 'constant' END AS kind FROM df WHERE macro <> ''),
+defs AS (SELECT path, line, text, macro, value, kind, CASE WHEN kind = 'constant' THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM dk
+ WHERE kind IS NOT NULL AND NOT regexp_matches(lower(macro), '(^|_)({"|".join(D.HARDWARE_WORDS)})(_|$)') AND NOT regexp_matches(value, '\b0[xX][0-9a-fA-F]+\b'))"""
+_CASTS = _VARS + rf""", cc AS (SELECT *, {_SIMPLE} AS code FROM lines), vl AS (SELECT path, list(var) AS vs FROM vars GROUP BY path),
+cp AS (SELECT cc.*, list_filter(list_zip(regexp_extract_all(code, '\(\s*({_NARROW})\s*\)\s*(\w+)', 1), regexp_extract_all(code, '\(\s*({_NARROW})\s*\)\s*(\w+)', 2)), lambda p: list_contains(coalesce(vs, []), p[2]))[1] AS hit FROM cc LEFT JOIN vl USING (path)),
+casts AS (SELECT path, line, text, CASE WHEN regexp_matches(code, '\(\s*({_NARROW})\s*\)\s*({_CALLS})\s*\(') THEN 'cast_call' WHEN hit IS NOT NULL THEN 'cast_var' WHEN regexp_matches(code, '\b({_NARROW})\s+(\w+)\s*=\s*({_CALLS})\s*\(') THEN 'implicit' END AS kind,
+ CASE WHEN regexp_matches(code, '\(\s*({_NARROW})\s*\)\s*({_CALLS})\s*\(') THEN regexp_extract(code, '\(\s*({_NARROW})\s*\)\s*({_CALLS})\s*\(', 1) WHEN hit IS NOT NULL THEN hit[1] ELSE regexp_extract(code, '\b({_NARROW})\s+(\w+)\s*=\s*({_CALLS})\s*\(', 1) END AS to_type,
+ CASE WHEN regexp_matches(code, '\(\s*({_NARROW})\s*\)\s*({_CALLS})\s*\(') THEN regexp_extract(code, '\(\s*({_NARROW})\s*\)\s*({_CALLS})\s*\(', 2) WHEN hit IS NOT NULL THEN hit[2] ELSE regexp_extract(code, '\b({_NARROW})\s+(\w+)\s*=\s*({_CALLS})\s*\(', 3) END AS source FROM cp)"""
+
+
+def _tail(cte: str) -> str:
+    """A CTE chain without its first table, to be put after another chain that has it."""
+    return cte[len(_LINES):]
+
+
+_VARS_TAIL = _tail(_VARS)
+_UNITED = f"""{_MATCH}{_tail(_DEFINES)}{_tail(_ARITH)}{_tail(_CASTS)[len(_VARS_TAIL):]},
+united AS (SELECT path, line, symbol, risk, text, description, 'catalog' AS discovery_method, rule_id FROM m
+ UNION ALL SELECT path, line, macro, 'medium', text, 'define ' || kind, 'define', NULL FROM defs
+ UNION ALL SELECT path, line, var, risk, text, 'arithmetic ' || operator || ' ' || operand, 'arithmetic', NULL FROM arith WHERE risk <> 'low'
+ UNION ALL SELECT path, line, source, 'high', text, 'cast to ' || to_type, 'cast', NULL FROM casts WHERE kind IS NOT NULL),
+cand AS (SELECT path, line, symbol, risk, min(left(trim(text), 240)) AS snippet, min(description) AS description, min(discovery_method) AS discovery_method, min(rule_id) AS rule_id, count(*) AS n_rows,
+ greatest(count(DISTINCT description), count(DISTINCT discovery_method), count(DISTINCT rule_id)) > 1 AS conflict, concat_ws(':', path, line::VARCHAR, '0', '0', risk, symbol) AS candidate_id FROM united GROUP BY path, line, symbol, risk)"""
+_SPANS = """sp AS (SELECT path, 'fn' || CAST(floor((line - 1) / 20) AS BIGINT)::VARCHAR AS name, min(line) AS start_line, max(line) AS end_line FROM lines GROUP BY path, floor((line - 1) / 20)),
+fns AS (SELECT * FROM sp WHERE right(name, 1) NOT IN ('3', '7'))"""
+_EVIDENCE = f"""{_UNITED}, {_SPANS}, ev AS (SELECT c.*, f.path || '@' || f.name || ':' || f.start_line || '-' || f.end_line AS function_id FROM cand c LEFT JOIN fns f ON c.path = f.path AND c.line BETWEEN f.start_line AND f.end_line)"""
+
+
+def query(sql: str | None = None):
+    """Register the query under its function's name."""
+
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _clean(spark: SparkSession, sf: str) -> DataFrame:
+    return with_clean_text(synthetic_lines(spark, sf))
+
+
+def _matches(spark: SparkSession, sf: str, floor: str = "low") -> DataFrame:
+    return M.match_rules(_clean(spark, sf), M.default_rules(spark), floor)
+
+
+def _scan(spark: SparkSession, sf: str):
+    return scan(synthetic_lines(spark, sf), M.default_rules(spark))
+
+
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-ins for function spans: runs of twenty lines, some left out."""
+    block = F.floor((F.col("line") - 1) / 20)
+    every = synthetic_lines(spark, sf).groupBy("path", block.alias("b")).agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).withColumn("name", F.concat(F.lit("fn"), F.col("b").cast("string")))
+    return every.filter(~F.right("name", F.lit(1)).isin("3", "7")).drop("b")
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return C.join_functions(_scan(spark, sf).candidates, _spans(spark, sf))
+
+
+@query(f"WITH {_UNITED} SELECT candidate_id, snippet, description, discovery_method, rule_id, n_rows FROM cand")
+def scan_candidates(spark, sf):
+    return _scan(spark, sf).candidates.select("candidate_id", "snippet", "description", "discovery_method", "rule_id", "n_rows")
+
+
+@query(f"WITH {_CLEAN} SELECT path, line, text, clean FROM cl")
+def scan_lines(spark, sf):
+    return _clean(spark, sf).select("path", "line", "text", "clean")
+
+
+@query(r"""WITH parts AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS p FROM documents),
+l AS (SELECT doc_id, generate_subscripts(p, 1) AS line, unnest(p) AS text, len(p) AS n FROM parts) SELECT 'doc' || doc_id AS path, line::INT AS line, md5(text) AS digest FROM l WHERE line < n OR text <> ''""")
+def document_lines(spark, sf):
+    files = _t(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return split_lines(files).select("path", "line", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_LINES}, f AS (SELECT path, count(*) AS n, sum(length(text)) AS chars, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) AS words, max(length(text)) AS longest FROM lines GROUP BY path) "
+       "SELECT count(*) AS files, sum(n)::BIGINT AS lines, sum(chars)::BIGINT AS chars, sum(words)::BIGINT AS words, max(longest)::INT AS longest_line, max(n) AS longest_file, round(sum(chars) / sum(n), 4) AS mean_line, round(sum(n) / count(*), 4) AS mean_file FROM f")
+def code_metrics(spark, sf):
+    return M.code_metrics(synthetic_lines(spark, sf))
+
+
+@query(f"WITH {_TERMS} SELECT path, line, term FROM terms")
+def token_terms(spark, sf):
+    return M.line_terms(_clean(spark, sf)).select("path", "line", "term")
+
+
+@query(f"WITH {_MATCH} SELECT path, line, symbol, risk, rule_id FROM m")
+def token_match(spark, sf):
+    return _matches(spark, sf).select("path", "line", "symbol", "risk", "rule_id")
+
+
+@query(f"WITH {_MATCH} SELECT path, line, symbol, risk FROM m WHERE {_RANK} >= 1")
+def min_risk(spark, sf):
+    return _matches(spark, sf, "medium").select("path", "line", "symbol", "risk")
+
+
+@query(f"WITH {_MATCH} SELECT path, line, count(*)::INT AS match_count, string_agg(symbol, ',' ORDER BY symbol) AS symbols, arg_max(risk, {_RANK}) AS line_max_risk, min(nullif(trim(text), '')) AS line_text FROM m GROUP BY path, line")
+def group_by_line(spark, sf):
+    return M.group_by_line(_matches(spark, sf)).select("path", "line", "match_count", F.array_join(F.transform("matches", lambda x: x["symbol"]), ",").alias("symbols"), "line_max_risk", "line_text")
+
+
+@query(f"WITH {_MATCH} SELECT symbol, risk, count(*) AS n, count(DISTINCT path) AS n_files FROM m GROUP BY GROUPING SETS ((symbol), (risk), ())")
+def symbol_tally(spark, sf):
+    return M.tallies(_matches(spark, sf))
+
+
+@query(f"WITH {_TERMS}, r AS (SELECT 'alias' || i || '_t' AS symbol, 'src/f' || i || '.c' AS scope FROM range(6) t(i)) SELECT path, line, symbol FROM terms JOIN r ON term = symbol AND path = scope WHERE NOT regexp_matches(clean, '\\b' || symbol || '\\b\\s*\\(')")
+def scoped_rules(spark, sf):
+    rules = spark.range(6).selectExpr("concat('alias', id, '_t') symbol", "'medium' risk", "'simple type' category", "'alias' description", "cast(null as string) rule_id", "false call_required", "array(concat('f', id, '.c')) scope_files", "true type_use_only", "true discovered")
+    return M.match_rules(_clean(spark, sf), rules).select("path", "line", "symbol")
+
+
+@query(f"WITH {_DEFINES} SELECT path, line, macro, value, kind, confidence FROM defs")
+def define_subcheck(spark, sf):
+    return D.scan_defines(synthetic_lines(spark, sf)).drop("text")
+
+
+@query(f"WITH {_ARITH} SELECT path, line, var, operator, is_compound, operand, risk FROM arith WHERE risk <> 'low'")
+def arith_ops(spark, sf):
+    return D.scan_arithmetic(synthetic_lines(spark, sf)).drop("text")
+
+
+@query(f"WITH {_CASTS} SELECT path, line, kind, to_type, source FROM casts WHERE kind IS NOT NULL")
+def cast_rows(spark, sf):
+    return D.scan_casts(synthetic_lines(spark, sf)).drop("text")
+
+
+@query(f"WITH {_LINES} SELECT DISTINCT path, regexp_extract(text, '\\b(\\w+)\\s*=\\s*({_CALLS})\\s*\\(', 1) AS var FROM lines WHERE regexp_matches(text, '\\b(\\w+)\\s*=\\s*({_CALLS})\\s*\\(')")
+def time_assign(spark, sf):
+    return D.time_assignments(synthetic_lines(spark, sf))
+
+
+@query(f"""WITH {_VARS}, asg AS (SELECT DISTINCT path, regexp_extract(text, '\\b(\\w+)\\s*=\\s*({_CALLS})\\s*\\(', 1) AS var FROM lines), av AS (SELECT path, list(DISTINCT var) AS vs FROM (SELECT * FROM vars UNION SELECT * FROM asg WHERE var <> '') GROUP BY path),
+p AS (SELECT lines.*, regexp_extract(text, '"([^"]*)"', 1) AS lit, regexp_extract(text, '\\b(?:{"|".join(D.FORMAT_CALLS)})\\s*\\([^"]*"[^"]*"(.*)$', 1) AS rest, vs FROM lines JOIN av USING (path) WHERE regexp_matches(text, '\\b({"|".join(D.FORMAT_CALLS)})\\s*\\(')),
+s AS (SELECT path, line, unnest(regexp_extract_all(lit, '%[-+ 0#]*\\d*(?:\\.\\d+)?((?:hh|h|ll|l)?[diuxXo])', 1)) AS spec FROM p WHERE list_has_any(regexp_extract_all(rest, '\\b([A-Za-z_]\\w*)\\b', 1), vs)),
+b AS (SELECT *, CASE WHEN spec LIKE 'hh%' THEN 8 WHEN spec LIKE 'h%' THEN 16 WHEN spec LIKE 'll%' THEN 64 ELSE 32 END::INT AS bits FROM s)
+SELECT path, line, spec, bits, CASE WHEN bits <> 64 THEN 'width mismatch' ELSE 'sign mismatch' END AS mismatch, 6.0::DOUBLE AS score FROM b WHERE bits <> 64 OR right(spec, 1) NOT IN ('d', 'i')""")
+def fmt_mismatch(spark, sf):
+    return D.scan_formatted_io(synthetic_lines(spark, sf)).select("path", "line", "spec", "bits", "mismatch", "score")
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, {_SIMPLE} AS code FROM lines), r AS (SELECT path, line, regexp_extract(code, '\\b({"|".join(D.RAW_CALLS)})\\s*\\(', 1) AS call, code FROM c WHERE regexp_matches(code, '\\b({"|".join(D.RAW_CALLS)})\\s*\\(')),
+s AS (SELECT path, line, call, (1.0 + CASE WHEN regexp_matches(code, '\\btime_t\\b') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(code, 'sizeof\\s*\\(\\s*time_t\\s*\\)') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(code, '\\([A-Za-z_][\\w\\s*]*\\)\\s*\\w') THEN 3.0 ELSE 0 END + CASE WHEN call IN ('send', 'recv') THEN 4.0 ELSE 0 END)::DOUBLE AS score FROM r WHERE regexp_matches(code, '\\btime_t\\b'))
+SELECT *, CASE WHEN score >= 8 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM s""")
+def raw_io_score(spark, sf):
+    return D.score_raw_io(synthetic_lines(spark, sf)).drop("text")
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, {_SIMPLE} AS code FROM lines), b AS (SELECT * FROM c WHERE regexp_matches(code, '\\btime_t\\b|\\b(?:{_CALLS})\\s*\\(|\\bstamp\\b'))
+SELECT path, line, 'width' AS kind, 'cast32' AS risk_type FROM b WHERE regexp_matches(code, '\\(\\s*u?int32_t\\s*\\)') UNION ALL SELECT path, line, 'width', 'sizeof' FROM b WHERE regexp_matches(code, 'sizeof\\s*\\(\\s*time_t\\s*\\)')
+UNION ALL SELECT path, line, 'width', 'literal4' FROM b WHERE regexp_matches(code, '\\b(?:fread|fwrite|read|write|memcpy)\\s*\\([^;]*,\\s*4\\s*[,)]') UNION ALL SELECT path, line, 'sign', 'negative_compare' FROM b WHERE regexp_matches(code, '<\\s*0\\b|[!=]=\\s*-1\\b')
+UNION ALL SELECT path, line, 'sign', 'int_assign' FROM b WHERE regexp_matches(code, '\\b(?:int|long|short)\\s+\\w+\\s*=') UNION ALL SELECT path, line, 'model', 'long_cast' FROM b WHERE regexp_matches(code, '\\(\\s*long\\s*\\)')""")
+def migration_risks(spark, sf):
+    return D.migration_risks(synthetic_lines(spark, sf)).drop("text")
+
+
+@query(f"WITH {_UNITED} SELECT candidate_id, n_rows FROM cand WHERE conflict")
+def dedupe_conflicts(spark, sf):
+    return _scan(spark, sf).conflicts
+
+
+@query(f"WITH {_EVIDENCE} SELECT candidate_id, function_id, CASE WHEN function_id IS NULL THEN 'ungrouped' ELSE 'grouped' END AS analysis_coverage FROM ev")
+def fn_interval_join(spark, sf):
+    return _evidence(spark, sf).select("candidate_id", "function_id", "analysis_coverage")
+
+
+@query(f"WITH {_EVIDENCE} SELECT count(*) AS total, count(function_id) AS grouped, count(*) - count(function_id) AS ungrouped, count(DISTINCT function_id) AS functions FROM ev")
+def evidence_summary(spark, sf):
+    return C.summarize(_evidence(spark, sf))
+
+
+@query(f"WITH {_EVIDENCE}, f AS (SELECT function_id, path, string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS lines, count(*) AS n FROM ev WHERE function_id IS NOT NULL GROUP BY ALL) SELECT function_id, lines, n::INT AS n, floor((row_number() OVER (PARTITION BY path ORDER BY function_id) - 1) / 2)::INT AS batch FROM f")
+def fn_batches(spark, sf):
+    found = C.batches(C.function_candidates(_evidence(spark, sf)), 2)
+    return found.select("function_id", F.array_join(F.array_sort(F.transform("candidate_lines", lambda x: x.cast("string"))), ",").alias("lines"), F.size("candidate_ids").alias("n"), "batch")
+
+
+@query(f"WITH {_UNITED}, t AS (SELECT DISTINCT path, line AS target FROM cand) SELECT l.path, target, string_agg(CASE WHEN l.line = target THEN '>>> ' ELSE '    ' END || l.line || ': ' || text, chr(10) ORDER BY l.line) AS frame FROM t JOIN lines l ON l.path = t.path AND l.line BETWEEN target - 5 AND target + 5 GROUP BY l.path, target")
+def line_frame(spark, sf):
+    return C.line_frames(synthetic_lines(spark, sf), _scan(spark, sf).candidates)
+
+
+@query()
+def split_parts(spark, sf):
+    return C.split_parts(synthetic_lines(spark, sf), 100, 2000)
+
+
+@query(f"WITH {_LINES} SELECT DISTINCT path AS src, 'src/' || 'f' || (hash_n) || '.c' AS dst FROM (SELECT path, TRY_CAST(regexp_extract(text, '#include \"h(\\d)', 1) AS INT) AS hash_n FROM lines) WHERE 'src/f' || hash_n || '.c' <> path AND 'src/f' || hash_n || '.c' IN (SELECT path FROM lines)")
+def include_edges(spark, sf):
+    lines = _include_lines(spark, sf)
+    return G.include_edges(lines, lines.select("path"))
+
+
+def _include_lines(spark, sf) -> DataFrame:
+    """The synthetic lines with headers renamed to files that exist."""
+    return synthetic_lines(spark, sf).withColumn("text", F.regexp_replace("text", r'#include "h(\d)\.h"', '#include "f$1.c"'))
+
+
+def _small_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A graph over nations: each includes the next by key within its region."""
+    n = _t(spark, sf, "nation")
+    key = F.col("n_nationkey")
+    files = n.select(key.cast("string").alias("path"))
+    after = F.lead(key).over(Window.partitionBy("n_regionkey").orderBy(key))
+    return files, n.select(key.cast("string").alias("src"), after.cast("string").alias("dst")).filter("dst is not null")
+
+
+def _checkpointing(spark) -> None:
+    """A checkpoint folder of our own only where the cluster names none."""
+    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="epochlens-"))
+
+
+@query("WITH RECURSIVE e AS (SELECT n_nationkey::VARCHAR AS src, (lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::VARCHAR AS dst FROM nation), c AS (SELECT n_nationkey::VARCHAR AS tu, n_nationkey::VARCHAR AS visible FROM nation UNION SELECT tu, dst FROM c JOIN e ON visible = src WHERE dst IS NOT NULL) SELECT tu, visible FROM c")
+def include_closure(spark, sf):
+    _checkpointing(spark)
+    return G.include_closure(*_small_graph(spark, sf))
+
+
+_ALIASES = "RECURSIVE e AS (SELECT n_nationkey AS src, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS dst FROM nation), c AS (SELECT n_nationkey AS tu, n_nationkey AS visible FROM nation UNION SELECT tu, dst FROM c JOIN e ON visible = src WHERE dst IS NOT NULL), td AS (SELECT n_nationkey AS path, 'a' || n_nationkey AS alias, CASE WHEN n_nationkey % 7 = 0 THEN 'time_t' ELSE 'a' || (n_nationkey - 1) END AS word FROM nation), v AS (SELECT DISTINCT tu, alias, word FROM c JOIN td ON visible = path), h AS (SELECT tu, alias, 1 AS hop FROM v WHERE word = 'time_t' UNION SELECT v.tu, v.alias, hop + 1 FROM h JOIN v ON v.tu = h.tu AND v.word = h.alias WHERE hop < 5)"
+
+
+def _alias_scope(spark, sf) -> DataFrame:
+    _checkpointing(spark)
+    files, edges = _small_graph(spark, sf)
+    key = F.col("n_nationkey")
+    defs = _t(spark, sf, "nation").select(key.cast("string").alias("path"), F.lit(1).alias("line"), F.concat(F.lit("typedef "), F.when(key % 7 == 0, "time_t").otherwise(F.concat(F.lit("a"), (key - 1).cast("string"))), F.lit(" a"), key.cast("string"), F.lit(";")).alias("text"))
+    return G.time_aliases(G.typedef_lines(defs), G.include_closure(files, edges))
+
+
+@query(f"WITH {_ALIASES} SELECT tu::VARCHAR AS tu, alias, min(hop)::INT AS hop FROM h GROUP BY tu, alias")
+def alias_bfs(spark, sf):
+    return _alias_scope(spark, sf)
+
+
+@query(f"WITH {_ALIASES}, m AS (SELECT tu, alias, min(hop) AS hop FROM h GROUP BY tu, alias) SELECT alias, count(DISTINCT tu) AS n_files, min(hop)::INT AS hop FROM m GROUP BY alias")
+def alias_flatten(spark, sf):
+    return G.flatten_aliases(_alias_scope(spark, sf))
+
+
+@query("SELECT 'h' || (l_partkey % 9) || '.h' AS base, min('d' || (l_suppkey % 3) || '/h' || (l_partkey % 9) || '.h') AS path FROM lineitem WHERE l_partkey % 9 < 5 AND (l_partkey % 9 < 3 OR l_suppkey % 3 = 0) GROUP BY l_partkey % 9 HAVING count(DISTINCT l_suppkey % 3) = 1")
+def unique_basename(spark, sf):
+    k, s = F.col("l_partkey") % 9, F.col("l_suppkey") % 3
+    files = _t(spark, sf, "lineitem").filter((k < 5) & ((k < 3) | (s == 0))).select(F.concat(F.lit("d"), s.cast("string"), F.lit("/h"), k.cast("string"), F.lit(".h")).alias("path"))
+    return G.unique_basenames(files)
+
+
+_RESPONSES = """req AS (SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 4), resp AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'maybe' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS summary FROM labels UNION ALL SELECT doc_id, 'abstain' FROM labels WHERE doc_id % 7 = 0),
+ans AS (SELECT id, count(*) AS n, min(summary) AS summary FROM resp GROUP BY id), al AS (SELECT coalesce(req.id, ans.id) AS id, CASE WHEN req.id IS NULL THEN 'unknown_id' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' WHEN summary NOT IN ('yes', 'no', 'abstain') THEN 'invalid' ELSE 'completed' END AS status, summary FROM req FULL JOIN ans ON req.id = ans.id),
+asg AS (SELECT 'fn' || id AS function_id, status, CASE WHEN status = 'completed' THEN summary END AS verdict FROM al)"""
+
+
+def _aligned(spark, sf) -> DataFrame:
+    name = F.concat(F.lit("fn"), F.col("doc_id").cast("string")).alias("function_id")
+    asked = _t(spark, sf, "documents").filter("doc_id % 5 <> 4").select(name)
+    labels = _t(spark, sf, "labels")
+    first = labels.select(name, F.when(F.col("doc_id") % 11 == 0, "maybe").when(F.col("quality") == 1, "yes").otherwise("no").alias("summary"))
+    more = labels.filter("doc_id % 7 = 0").select(name, F.lit("abstain").alias("summary"))
+    return A.align(asked, first.unionByName(more).withColumn("confidence", F.lit("0.8")).withColumn("reason", F.lit(" as  labelled ")))
+
+
+@query(f"WITH {_RESPONSES} SELECT *, CASE WHEN status = 'completed' THEN 0.8::DOUBLE END AS confidence, CASE WHEN status = 'completed' THEN 'as labelled' END AS reason FROM asg")
+def response_align(spark, sf):
+    return _aligned(spark, sf)
+
+
+@query(f"WITH {_RESPONSES} SELECT count(*) AS total, count_if(status = 'completed')::BIGINT AS completed, count_if(status <> 'completed')::BIGINT AS errors, count_if(verdict = 'yes')::BIGINT AS yes, count_if(verdict = 'no')::BIGINT AS no, count_if(verdict = 'abstain')::BIGINT AS abstain FROM asg")
+def assessment_summary(spark, sf):
+    return A.summary(_aligned(spark, sf))
+
+
+@query(f"WITH {_RESPONSES} SELECT CASE WHEN count_if(status <> 'completed') = 0 THEN 'complete' WHEN count_if(status = 'completed') = 0 THEN 'failed' ELSE 'partial' END AS run_status FROM asg")
+def run_status(spark, sf):
+    return A.run_status(_aligned(spark, sf))
+
+
+@query("SELECT 'fn' || user_id AS function_id, max(event_id) AS pass_no, arg_max(event_type, event_id) AS verdict FROM events GROUP BY user_id")
+def assessment_upsert(spark, sf):
+    rows = _t(spark, sf, "events").select(F.concat(F.lit("fn"), F.col("user_id").cast("string")).alias("function_id"), F.col("event_id").alias("pass_no"), F.col("event_type").alias("verdict"))
+    return A.upsert(rows)
+
+
+@query(f"WITH {_RESPONSES}, f AS (SELECT function_id, verdict, CASE WHEN function_id LIKE '%3' THEN 'yes' ELSE 'no' END AS y2106 FROM asg WHERE verdict IS NOT NULL) SELECT * FROM f WHERE verdict <> 'no' OR y2106 = 'yes'")
+def output_filter(spark, sf):
+    rows = _aligned(spark, sf).filter("verdict is not null").select("function_id", "verdict", F.when(F.col("function_id").endswith("3"), "yes").otherwise("no").alias("y2106"))
+    return A.output_filter(rows, False, True)
+
+
+_RAW = """raw AS (SELECT 'F' || l_orderkey || '-' || l_linenumber AS finding_id, 'src/d' || (l_suppkey % 4) || '/f' || (l_orderkey % 10) || '.c' AS file, 's' || (l_partkey % 5) AS symbol, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'time-rule ' || (l_partkey % 4) END AS rule,
+ CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' ELSE 'odd' END AS verdict, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount * 10 END AS confidence, CASE WHEN l_linenumber % 2 = 0 THEN 'High' END AS severity, l_linenumber, l_suppkey FROM lineitem),
+nf AS (SELECT finding_id, file, symbol, CASE WHEN rule IS NULL THEN upper(symbol) ELSE replace(replace(upper(rule), '-', '_'), ' ', '_') END AS rule_id, CASE WHEN verdict IN ('yes', 'no') THEN verdict ELSE 'unknown' END AS issue_class, CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence::DOUBLE END AS confidence, severity, l_linenumber::INT AS start_line, (l_linenumber + l_suppkey % 5)::INT AS end_line FROM raw),
+n AS (SELECT * EXCLUDE severity, CASE WHEN severity IS NOT NULL THEN 'high' WHEN confidence IS NULL THEN 'unknown' WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.75 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN severity IS NOT NULL THEN 'severity' WHEN confidence IS NULL THEN 'none' ELSE 'derived' END AS risk_source FROM nf)"""
+
+
+def _findings(spark, sf) -> DataFrame:
+    c = F.col
+    s = lambda x: x.cast("string")
+    raw = _t(spark, sf, "lineitem").select(
+        F.concat(F.lit("F"), s(c("l_orderkey")), F.lit("-"), s(c("l_linenumber"))).alias("finding_id"), F.concat(F.lit("src/d"), s(c("l_suppkey") % 4), F.lit("/f"), s(c("l_orderkey") % 10), F.lit(".c")).alias("file"), F.concat(F.lit("s"), s(c("l_partkey") % 5)).alias("symbol"),
+        F.when(c("l_partkey") % 3 != 0, F.concat(F.lit("time-rule "), s(c("l_partkey") % 4))).alias("rule_id"), F.when(c("l_returnflag") == "A", "yes").when(c("l_returnflag") == "R", "no").otherwise("odd").alias("verdict"),
+        F.when(c("l_linenumber") != 7, c("l_discount") * 10).alias("confidence"), F.when(c("l_linenumber") % 2 == 0, "High").alias("severity"), F.sequence(c("l_linenumber").cast("int"), (c("l_linenumber") + c("l_suppkey") % 5).cast("int")).alias("lines"),
+    )
+    return R.normalize_findings(raw)
+
+
+@query(f"WITH {_RAW} SELECT * FROM n")
+def report_normalize(spark, sf):
+    return _findings(spark, sf)
+
+
+@query(f"WITH {_RAW} SELECT * FROM n WHERE issue_class = 'yes' AND confidence >= 0.5 AND file LIKE 'src/d1/%' AND rule_id IN ('TIME_RULE_1', 'S2')")
+def report_filter(spark, sf):
+    return R.apply_filters(_findings(spark, sf), "yes", 0.5, ["src/d1/*"], ["TIME_RULE_1", "S2"])
+
+
+_ORDERS = {
+    "line": "start_line NULLS LAST, file, finding_id, rule_id, confidence NULLS LAST, end_line",
+    "risk": "CASE risk WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0 ELSE -1 END DESC, coalesce(nullif(confidence, 0), -1) DESC, file, start_line NULLS LAST, finding_id, rule_id, confidence NULLS LAST, end_line",
+    "confidence": "coalesce(confidence, -1) DESC, file, start_line NULLS LAST, finding_id, rule_id, confidence NULLS LAST, end_line",
+    "file": "file, start_line NULLS LAST, finding_id, rule_id, confidence NULLS LAST, end_line",
+}
+
+
+def _report_sort(by: str) -> None:
+    def run(spark, sf):
+        return R.top(_findings(spark, sf), by, 100).select("rank", "finding_id", "file", "start_line", "risk", "confidence")
+
+    run.__name__ = f"report_sort_{by}"
+    query(f"WITH {_RAW} SELECT row_number() OVER (ORDER BY {_ORDERS[by]})::INT AS rank, finding_id, file, start_line, risk, confidence FROM n QUALIFY rank <= 100")(run)
+
+
+for _by in _ORDERS:
+    _report_sort(_by)
+
+
+@query(f"WITH {_RAW} SELECT rule_id, count(*) AS n, count_if(issue_class = 'yes')::BIGINT AS n_yes, max(confidence) AS top_confidence, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM n GROUP BY rule_id")
+def report_group_rule(spark, sf):
+    return R.group_findings(_findings(spark, sf)).withColumn("files", F.array_join("files", ","))
+
+
+@query(f"WITH {_RAW} SELECT issue_class, count(*) AS n FROM n GROUP BY issue_class")
+def report_class_counts(spark, sf):
+    return R.class_counts(_findings(spark, sf))
+
+
+@query("SELECT 'd' || doc_id AS finding_id, (i + doc_id % 7)::INT AS line_no, md5(t) AS digest, (i + doc_id % 7) % 3 = 0 AND (i + doc_id % 7) <= 30 AS is_affected FROM (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))")
+def snippet_lines(spark, sf):
+    rows = _t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("finding_id"), F.col("text").alias("snippet"), (F.col("doc_id") % 7).cast("int").alias("base_line"), F.array(*[F.lit(i) for i in range(0, 31, 3)]).alias("affected"))
+    return R.snippet_lines(rows).select("finding_id", "line_no", F.md5(F.col("text").cast("binary")).alias("digest"), "is_affected")
+
+
+@query(f"WITH {_UNITED}, r AS (SELECT *, 'repo' || (CAST(regexp_extract(path, '(\\d+)', 1) AS INT) % 4) AS repo FROM cand) SELECT repo, risk, count(*) AS n, count(DISTINCT path) AS n_files, grouping(repo, risk)::BIGINT AS level FROM r GROUP BY ROLLUP (repo, risk)")
+def repo_rollup(spark, sf):
+    return S.repo_rollup(_scan(spark, sf).candidates, F.concat(F.lit("repo"), (F.regexp_extract("path", r"(\d+)", 1).cast("int") % 4).cast("string")))
+
+
+@query("SELECT s_suppkey, 'github__own' || (s_nationkey % 3) || '__r_' || s_suppkey || '__' || CASE WHEN s_suppkey % 2 = 0 THEN 'feature_x' ELSE '0123456789ab' END AS repo_key, 'https://***@github.com/own' || (s_nationkey % 3) || '/r ' || s_suppkey || '.git' AS safe_url, s_suppkey % 10 = 3 AS wanted FROM supplier")
+def repo_keys(spark, sf):
+    k = F.col("s_suppkey").cast("string")
+    url = F.concat(F.lit("https://me:pw@github.com/own"), (F.col("s_nationkey") % 3).cast("string"), F.lit("/r "), k, F.lit(".git"))
+    ref = F.when(F.col("s_suppkey") % 2 == 0, "feature/x").otherwise("0123456789ABCDEF01234567")
+    rows = _t(spark, sf, "supplier").select("s_suppkey", url.alias("url"), ref.alias("ref"))
+    return rows.select("s_suppkey", S.repo_key(F.col("url"), F.col("ref")).alias("repo_key"), X.redact_credentials(F.col("url")).alias("safe_url"), S.matches_terms(["3.GIT"], "url").alias("wanted"))
+
+
+_CAT = "cat AS (SELECT p_partkey AS pos, 'sym' || (p_partkey % 150) AS symbol, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'BAD-' || p_partkey ELSE 'TACS-RULE-' || lpad((p_partkey % 190)::VARCHAR, 4, '0') END AS rule_id FROM part), ret AS (SELECT 'TACS-RULE-' || lpad(i::VARCHAR, 4, '0') AS rule_id FROM range(5, 50, 9) t(i))"
+
+
+def _catalog(spark, sf) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    rules = _t(spark, sf, "part").select(k.alias("pos"), F.concat(F.lit("sym"), (k % 150).cast("string")).alias("symbol"), F.when(k % 10 == 0, None).when(k % 17 == 0, F.concat(F.lit("BAD-"), k.cast("string"))).otherwise(F.format_string("TACS-RULE-%04d", (k % 190).cast("long"))).alias("rule_id"))
+    return rules, spark.range(5, 50, 9).select(F.format_string("TACS-RULE-%04d", "id").alias("rule_id"))
+
+
+@query(f"WITH {_CAT} SELECT 'duplicate id' AS problem, rule_id AS value, count(*) AS n FROM cat WHERE rule_id IS NOT NULL GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate symbol', symbol, count(*) FROM cat GROUP BY symbol HAVING count(*) > 1 UNION ALL SELECT 'malformed id', rule_id, count(*) FROM cat WHERE NOT regexp_matches(rule_id, '^TACS-RULE-\\d{{4}}$') GROUP BY rule_id UNION ALL SELECT 'missing id', '', count(*) FROM cat WHERE rule_id IS NULL HAVING count(*) > 0 UNION ALL SELECT 'retired id', rule_id, count(*) FROM cat WHERE rule_id IN (SELECT rule_id FROM ret) GROUP BY rule_id")
+def catalog_duplicates(spark, sf):
+    return S.duplicate_rules(*_catalog(spark, sf))
+
+
+@query(f"WITH {_CAT}, used AS (SELECT DISTINCT try_cast(regexp_extract(rule_id, '(\\d{{4}})$', 1) AS INT) AS n FROM (SELECT rule_id FROM cat UNION ALL SELECT rule_id FROM ret)), need AS (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM cat WHERE rule_id IS NULL), free AS (SELECT i AS n, row_number() OVER (ORDER BY i) AS k FROM range(1, (SELECT count(*) FROM cat)::INT + 10) t(i) WHERE i NOT IN (SELECT n FROM used WHERE n IS NOT NULL)) SELECT pos, symbol, 'TACS-RULE-' || lpad(free.n::VARCHAR, 4, '0') AS rule_id FROM need JOIN free USING (k)")
+def next_rule_id(spark, sf):
+    rules, retired = _catalog(spark, sf)
+    return S.assign_rule_ids(rules, retired).join(rules.filter("rule_id is null").select("pos"), "pos", "left_semi")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size % 3 > 0 THEN concat_ws('_', CASE WHEN p_partkey % 4 = 0 THEN 'ilp32' ELSE 'lp64' END, CASE p_size % 3 WHEN 1 THEN 'signed' ELSE 'unsigned' END, '32bit') END AS config_id FROM part".replace("p_size", "(p_partkey // 7)"))
+def config_ids(spark, sf):
+    k = F.col("p_partkey")
+    size = F.floor(k / 7) % 3
+    rows = _t(spark, sf, "part").select("p_partkey", F.when(k % 4 == 0, " ilp32").otherwise("LP64").alias("m"), F.when(size == 1, "Signed").when(size == 2, "unsigned").otherwise("other").alias("s"), F.when(k % 2 == 0, 32).otherwise(16).alias("b"))
+    return rows.select("p_partkey", K.config_id(F.col("m"), F.col("s"), F.col("b")).alias("config_id"))
+
+
+_EVD = """ev AS (SELECT c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN 'ILP32' WHEN 1 THEN 'LP64' END AS architecture, 0.9::DOUBLE AS arch_conf, CASE c_custkey % 5 WHEN 0 THEN 32 WHEN 1 THEN 64 END AS bits, 0.5::DOUBLE AS bits_conf, CASE WHEN c_custkey % 7 = 0 THEN 'signed' END AS sign, 1.0::DOUBLE AS sign_conf FROM customer),
+cf AS (SELECT m, s, b, lower(m) || '_' || s || '_' || b || 'bit' AS config_id FROM (VALUES ('ILP32'), ('LP64')) a(m), (VALUES ('signed'), ('unsigned')) c(s), (VALUES (32), (64)) d(b)),
+lk AS (SELECT key, config_id, coalesce(architecture <> m, false) OR coalesce(bits <> b, false) OR coalesce(sign <> s, false) AS ruled_out, round(least(1.0::DOUBLE, 0.125::DOUBLE + CASE WHEN architecture IS NOT NULL THEN 0.4::DOUBLE * arch_conf ELSE 0 END + CASE WHEN bits IS NOT NULL THEN 0.4::DOUBLE * bits_conf ELSE 0 END + CASE WHEN sign IS NOT NULL THEN 0.2::DOUBLE * sign_conf ELSE 0 END), 6) AS sc FROM ev, cf),
+sc AS (SELECT key, config_id, CASE WHEN ruled_out THEN 0.0::DOUBLE ELSE sc END AS likelihood, ruled_out FROM lk)"""
+
+
+def _likely(spark, sf) -> DataFrame:
+    k = F.col("c_custkey")
+    ev = _t(spark, sf, "customer").select(k.alias("key"), F.when(k % 3 == 0, "ILP32").when(k % 3 == 1, "LP64").alias("architecture"), F.lit(0.9).alias("arch_conf"), F.when(k % 5 == 0, 32).when(k % 5 == 1, 64).alias("bits"), F.lit(0.5).alias("bits_conf"), F.when(k % 7 == 0, "signed").alias("sign"), F.lit(1.0).alias("sign_conf"))
+    return E.likelihoods(spark, ev)
+
+
+@query(f"WITH {_EVD} SELECT * FROM sc")
+def config_likelihood(spark, sf):
+    return _likely(spark, sf)
+
+
+@query(f"WITH {_EVD} SELECT key, arg_min(config_id, struct_pack(l := -likelihood, c := config_id)) AS config_id, max(likelihood) AS likelihood FROM sc WHERE NOT ruled_out GROUP BY key")
+def config_argmax(spark, sf):
+    return E.best_config(_likely(spark, sf))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'LP64-64bit-N/A' WHEN c_custkey % 3 = 0 THEN 'ILP32-64bit-N/A' ELSE 'ILP32-32bit-' || CASE WHEN c_custkey % 5 = 0 THEN 'unsigned' ELSE 'signed' END || '-time64_' || CASE c_custkey % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END END AS hint, c_custkey % 2 <> 0 AND c_custkey % 3 <> 0 AS mitigate FROM customer")
+def scenario_hints(spark, sf):
+    k = F.col("c_custkey")
+    hint = K.scenario_hint(F.when(k % 2 == 0, "LP64").otherwise("ILP32"), F.when(k % 3 == 0, 64).otherwise(32), F.when(k % 5 == 0, "unsigned").otherwise("signed"), K.capability(F.when(k % 7 == 0, "Yes").when(k % 7 == 1, " no ")))
+    return _t(spark, sf, "customer").select("c_custkey", hint.alias("hint"), K.needs_mitigation(hint).alias("mitigate"))
+
+
+@query("SELECT event_id, CASE WHEN status IN (401, 403) THEN 'auth' WHEN status = 404 THEN 'not_found' WHEN status IN (408, 504) THEN 'timeout' WHEN status = 429 THEN 'rate_limit' WHEN status BETWEEN 400 AND 499 THEN 'bad_request' WHEN status BETWEEN 500 AND 599 THEN 'server' ELSE 'unknown' END AS category, status IN (408, 425, 429, 500, 502, 503, 504) AS retryable FROM (SELECT event_id, 395 + event_id % 120 AS status FROM events)")
+def http_status(spark, sf):
+    status = 395 + F.col("event_id") % 120
+    return _t(spark, sf, "events").select("event_id", K.http_category(status).alias("category"), K.http_retryable(status).alias("retryable"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) > 240 THEN left(t, 237) || '...' ELSE t END AS snippet, left(regexp_replace(trim(text), '\\s+', ' ', 'g'), 200) AS reason FROM (SELECT doc_id, text, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS t FROM documents)")
+def bounded_text(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", X.bound_snippet(F.col("text")).alias("snippet"), X.bound_reason(F.col("text")).alias("reason"))
+
+
+@query()
+def truncated_utf8(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", X.truncate_utf8(F.col("text"), 100).alias("text"))
+
+
+@query()
+def result_documents(spark, sf):
+    return result_document(_evidence(spark, sf))
+
+
+@query()
+def function_spans(spark, sf):
+    """Each file's lines wrapped into functions of thirty lines, then found again."""
+    lines = synthetic_lines(spark, sf)
+    block = F.floor((F.col("line") - 1) / 30).cast("int")
+    body = lines.groupBy("path", block.alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    wrapped = F.concat(F.lit("static int fn"), F.col("b").cast("string"), F.lit("(time_t a, int b)\n{\n"), F.col("body"), F.lit("\n}\n"))
+    files = body.select("path", F.struct("b", wrapped.alias("t")).alias("s")).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "").alias("content"))
+    return P.scan_functions(files)
+
+
+@query()
+def typedef_scan(spark, sf):
+    files = synthetic_lines(spark, sf).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return P.scan_typedefs(files)
