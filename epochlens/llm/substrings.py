@@ -33,7 +33,7 @@ LENGTH, GRAM, STEP = 200, 50, 19
 BUCKET_BYTES = 24 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 PACKED = "bucket int, keys binary, places binary, docs binary"
-FLAGS = "k binary, places binary"
+FLAGS = "part int, settled int, places binary, docs binary"
 
 _rng = np.random.default_rng(77003)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -171,7 +171,7 @@ def _gather(batch):
     lists = batch.column(2).to_pylist()
     found = []
     for i, parts in enumerate(lists):
-        p = np.frombuffer(b"".join(parts), dtype=PLACE).copy()
+        p = np.frombuffer(parts, dtype=PLACE).copy()
         p["doc"] = i
         found.append(p)
     return text, np.concatenate([*found, np.zeros(0, dtype=PLACE)])
@@ -211,17 +211,38 @@ def _round_three(buckets: int):
     return run
 
 
-def _emit(keep: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """Rows (k, places) of chosen places with their tables of documents."""
-    ks, packed = [], []
-    for places, docs in keep:
-        order = np.argsort(places["doc"], kind="stable")
-        places = places[order]
-        begins = np.flatnonzero(np.r_[True, places["doc"][1:] != places["doc"][:-1]]) if len(places) else []
-        for a, b in zip(begins, [*begins[1:], len(places)], strict=True):
-            ks.append(docs[places["doc"][a]].tobytes())
-            packed.append(places[a:b].tobytes())
-    return pa.table({"k": pa.array(ks, pa.binary()), "places": pa.array(packed, pa.binary())})
+def _emit(parts: int, *keep: tuple[np.ndarray, np.ndarray, int]) -> pa.Table:
+    """Rows of ``FLAGS``: chosen places with their documents, dealt to ``parts`` by the documents' digests."""
+    rows = []
+    for places, docs, settled in keep:
+        part = (docs.view(np.uint8).reshape(-1, 16)[:, :4].copy().view(np.uint32).ravel() % np.uint32(parts)).astype(np.int64)
+        of = part[places["doc"]]
+        order = np.argsort(of, kind="stable")
+        begins = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(order) else []
+        for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+            mine = places[order[a:b]]
+            used, local = np.unique(mine["doc"], return_inverse=True)
+            mine["doc"] = local
+            rows.append((int(of[order[a]]), settled, mine.tobytes(), docs[used].tobytes()))
+    types = [("part", pa.int32()), ("settled", pa.int32()), ("places", pa.binary()), ("docs", pa.binary())]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(types)})
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """One row per document, with all its places."""
+    places, docs = _unpack(table)
+    halves = docs.view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    fresh = np.r_[True, (halves[order][1:] != halves[order][:-1]).any(axis=1)]
+    number = np.empty(len(docs), dtype=np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    unique = docs[order[fresh]]
+    of = number[places["doc"]]
+    by = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=len(unique)))
+    chosen = places[by]
+    found = [chosen[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+    return pa.table({"k": pa.array([u.tobytes() for u in unique], pa.binary()), "places": pa.array(found, pa.binary())})
 
 
 def _unpack(table: pa.Table):
@@ -235,11 +256,11 @@ def _unpack(table: pa.Table):
     return np.concatenate(places), np.concatenate(docs)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _repeated(table: pa.Table, parts: int) -> pa.Table:
     """Places whose key another place has too; those sent as known count as two."""
     places, docs = _unpack(table)
     if table.column("bucket")[0].as_py() < 0:
-        return _emit([(places, docs)])
+        return _emit(parts, (places, docs, 0))
     keys = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()])
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
@@ -247,15 +268,14 @@ def _repeated(table: pa.Table) -> pa.Table:
     hit = places["known"][order].astype(bool)
     hit[1:] |= same
     hit[:-1] |= same
-    return _emit([(places[order[hit]], docs)])
+    return _emit(parts, (places[order[hit]], docs, 0))
 
 
-def _repeated_steps(table: pa.Table) -> pa.Table:
-    """Settled steps with known = 1, and with known = 0 or 2 those to be looked at window by window (2: repeats, and stands for others)."""
+def _repeated_steps(table: pa.Table, parts: int) -> pa.Table:
+    """Settled steps, and those to be looked at window by window; of these, known ones repeat and stand for others."""
     places, docs = _unpack(table)
     if table.column("bucket")[0].as_py() < 0:
-        places["known"] = 1
-        return _emit([(places, docs)])
+        return _emit(parts, (places, docs, 1))
     keys = np.concatenate([np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in table.column("keys").to_pylist()])
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     core, span, places = keys[order, 0], keys[order, 1], places[order]
@@ -267,11 +287,10 @@ def _repeated_steps(table: pa.Table) -> pa.Table:
     group = np.cumsum(new_core) - 1
     # Alone with its core: nothing to compare. All settled: nothing left to ask.
     mixed = (np.bincount(group, weights=~whole) > 0)[group] & (np.bincount(group) > 1)[group]
-    settled = places[whole].copy()
-    settled["known"] = 1
-    single = places[mixed & (~whole | new_span)].copy()
-    single["known"] = np.where(whole[mixed & (~whole | new_span)], 2, 0)
-    return _emit([(settled, docs), (single, docs)])
+    single = mixed & (~whole | new_span)
+    open_places = places[single].copy()
+    open_places["known"] = whole[single]
+    return _emit(parts, (places[whole].copy(), docs, 1), (open_places, docs, 0))
 
 
 def _finish(batches):
@@ -286,7 +305,7 @@ def _finish(batches):
             if copies:
                 rows.append((doc, n, n, 1, hashlib.sha256(b"").hexdigest()))
                 continue
-            p = np.frombuffer(b"".join(parts), dtype=PLACE)
+            p = np.frombuffer(parts, dtype=PLACE)
             edges = np.zeros(n + 1, dtype=np.int32)
             # A place covers windows from pos - hi to pos - lo, and each window LENGTH bytes.
             np.add.at(edges, p["pos"].astype(np.int64) - p["hi"], 1)
@@ -313,29 +332,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def buckets(n: int, size: int) -> int:
         return max(1, n * size // BUCKET_BYTES + 1)
 
+    parts = max(1, entries * PLACE.itemsize // BUCKET_BYTES + 1)
+
+    def by_document(found: DataFrame) -> DataFrame:
+        return found.select("part", "places", "docs").groupBy("part").applyInArrow(_by_document, "k binary, places binary")
+
     def placed(found: DataFrame) -> DataFrame:
-        """Texts with their flagged places; texts without any drop out."""
-        lists = saved(found.groupBy("k").agg(F.collect_list("places").alias("parts")), "lists")
-        size = lists.agg(F.sum(F.size("parts") * 24 + 48), F.sum(F.expr("aggregate(parts, 0L, (a, p) -> a + octet_length(p))"))).first()
-        return join_sized(one, lists, ["k"], "inner", 1, (size[0] or 0) + (size[1] or 0)).select("k", "text", "parts")
+        """Texts with their flagged places; texts without any drop out. Always a shuffle: the places grow with the texts."""
+        return one.join(by_document(found).hint("shuffle_merge"), "k").select("k", "text", "places")
 
     def ranked(packed: DataFrame, reduce) -> DataFrame:
         # Settled rows need no company; their buckets are spread by a second key.
-        spread = packed.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("docs"), F.lit(1 << 20)).cast("int")).otherwise(0))
-        return spread.groupBy("bucket", "part").applyInArrow(reduce, FLAGS)
+        spread = packed.withColumn("spread", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("docs"), F.lit(1 << 20)).cast("int")).otherwise(0))
+        return spread.groupBy("bucket", "spread").applyInArrow(lambda t: reduce(t, parts), FLAGS)
 
     def count(found: DataFrame) -> int:
         return (found.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // PLACE.itemsize
 
     first = saved(ranked(one.mapInArrow(_round_one(buckets(entries, 20)), PACKED), _repeated), "round1")
-    n1 = count(first)
-    second = saved(ranked(placed(first).mapInArrow(_round_two(buckets(5 * n1, 28)), PACKED), _repeated_steps), "round2")
-    # All places of a row are settled, or none is; the byte of the first one tells.
-    is_settled = F.hex(F.substring("places", 11, 1)) == "01"
-    settled, single = second.filter(is_settled), second.filter(~is_settled)
-    n2 = count(single)
-    third = saved(ranked(placed(single).mapInArrow(_round_three(buckets(STEP * n2, 20)), PACKED), _repeated), "round3")
-    flags = saved(settled.unionByName(third).groupBy("k").agg(F.collect_list("places").alias("parts")), "flags")
-    size = flags.agg(F.sum(F.size("parts") * 24 + 48), F.sum(F.expr("aggregate(parts, 0L, (a, p) -> a + octet_length(p))"))).first()
-    out = join_sized(marked.select("doc_id", "k", "text", "copies"), flags, ["k"], "left", 1, (size[0] or 0) + (size[1] or 0))
-    return out.select("doc_id", "text", F.coalesce("copies", F.lit(False)).alias("copies"), F.coalesce("parts", F.array().cast("array<binary>")).alias("parts")).mapInArrow(_finish, SCHEMA)
+    second = saved(ranked(placed(first).mapInArrow(_round_two(buckets(5 * count(first), 28)), PACKED), _repeated_steps), "round2")
+    settled, single = second.filter("settled = 1"), second.filter("settled = 0")
+    third = saved(ranked(placed(single).mapInArrow(_round_three(buckets(STEP * count(single), 20)), PACKED), _repeated), "round3")
+    flags = by_document(settled.unionByName(third))
+    out = marked.join(flags.hint("shuffle_merge"), "k", "left")
+    return out.select("doc_id", "text", F.coalesce("copies", F.lit(False)).alias("copies"), "places").mapInArrow(_finish, SCHEMA)
