@@ -12,7 +12,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(64, dtype=np.uint64)
+_powers = np.ones(1, dtype=np.uint64)
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -63,7 +63,20 @@ def combine(hashes: np.ndarray, n: int, places: np.ndarray = _PLACE) -> np.ndarr
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The set of each text: its 5-word shingles, or all its words as one if it has fewer; empty without words."""
+    """The set of each text: its 5-word shingles, or all its words as one if it has fewer; empty without words.
+
+    Texts are taken about a megabyte at a time, as the arrays need some forty bytes for each byte of text.
+    """
+    out, begin, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > 1 << 20:
+            out += _sets(texts[begin:i])
+            begin, size = i, 0
+        size += len(t)
+    return out + _sets(texts[begin:])
+
+
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
     hashes, offsets = word_hashes(texts)
     runs = combine(hashes, WORDS)
     out = []
