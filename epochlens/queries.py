@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 
 from .functions import config as K
 from .functions import text as X
+from .operators import artifacts as Z
 from .operators import assessments as A
 from .operators import candidates as C
 from .operators import closure as G
 from .operators import cparse as P
 from .operators import detectors as D
 from .operators import environments as E
+from .operators import findings as N
 from .operators import matching as M
 from .operators import reports as R
 from .operators import repositories as S
+from .operators import wire as W
 from .plans.scan import result_document, scan
 from .sources.lines import SYNTHETIC_SQL, split_lines, synthetic_lines, with_clean_text
 
@@ -521,3 +524,102 @@ def function_spans(spark, sf):
 def typedef_scan(spark, sf):
     files = synthetic_lines(spark, sf).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
     return P.scan_typedefs(files)
+
+
+# ---- responses, findings, artifacts
+
+_WIRE = """w AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '{"function_id": 5, "y2038_summary": "yes", "confidence": 0.5, "issues": [], "needs_more_context": false, "needs": []}'
+ WHEN 1 THEN '{"function_id": "f", "y2038_summary": "maybe", "confidence": 0.5, "issues": [], "needs_more_context": false, "needs": []}' WHEN 2 THEN '{"function_id": "f", "y2038_summary": "no", "confidence": "0.5", "issues": [], "needs_more_context": false, "needs": []}'
+ WHEN 3 THEN '{"function_id": "f", "y2038_summary": "no", "confidence": 0.5, "issues": [], "needs_more_context": false}' WHEN 4 THEN '{"function_id": "f", "y2038_summary": "no", "confidence": 0.5, "issues": [], "needs_more_context": false, "needs": ["x"]}'
+ WHEN 5 THEN '{"function_id": "f", "y2038_summary": "no", "confidence": 1.5, "issues": [], "needs_more_context": false, "needs": ["macros"]}' WHEN 6 THEN '3' WHEN 7 THEN '{"function_id": "f", "y2038_summary": "no", "confidence": 0.5, "issues": [], "needs_more_context": 0, "needs": [], "more": 1}'
+ ELSE '{"function_id": "f", "y2038_summary": "no", "confidence": 1, "issues": [{"type": "t", "line": 3}], "needs_more_context": true, "needs": ["macros"]}' END AS body FROM documents)"""
+
+
+@query("SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'function_id' WHEN 1 THEN 'summary' WHEN 2 THEN 'confidence' WHEN 3 THEN 'missing field' WHEN 4 THEN 'needs' WHEN 5 THEN 'confidence' WHEN 6 THEN 'not an object' WHEN 7 THEN 'extra field' END AS problem, CASE WHEN doc_id % 9 = 8 THEN 1.0::DOUBLE END AS confidence FROM documents")
+def wire_check(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id")
+    docs.createOrReplaceTempView("_wire_documents")
+    body = spark.sql(f"WITH {_WIRE.replace('FROM documents', 'FROM _wire_documents')} SELECT doc_id, concat('[', body, ']') AS body FROM w")
+    return W.judge_items(W.parse_items(body)).select("doc_id", "problem", "confidence")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN (l_partkey % 4 = 0) <> (l_suppkey % 5 = 0) THEN 'one missing' WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 7 - 1 < 0 THEN 'negative' WHEN l_partkey % 7 - 1 > l_suppkey % 9 THEN 'out of order' END AS problem FROM lineitem")
+def column_check(spark, sf):
+    rows = _t(spark, sf, "lineitem")
+    start, end = F.when(F.col("l_partkey") % 4 != 0, F.col("l_partkey") % 7 - 1), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey") % 9)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", W.column_problem(start, end).alias("problem"))
+
+
+@query(f"WITH {_MATCH}, g AS (SELECT path, line, count(*) AS n, max({_RANK}) AS top FROM m GROUP BY path, line) SELECT path, line, CASE WHEN line % 3 = 0 THEN 'count' WHEN top <> 2 THEN 'risk' END AS problem FROM g")
+def line_record_check(spark, sf):
+    match = F.struct("line", "symbol", "risk")
+    records = _matches(spark, sf).groupBy("path", "line").agg(F.collect_set(match).alias("matches"))
+    count = F.size("matches") + F.when(F.col("line") % 3 == 0, 1).otherwise(0)
+    return records.select("path", "line", W.summary_problem(F.col("matches"), count, F.lit("high")).alias("problem"))
+
+
+@query("SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 3 = 0 THEN 'missing c_library' END, CASE WHEN c_custkey % 5 = 0 THEN 'hardware_model' END, CASE WHEN c_custkey % 7 = 0 THEN 'time_t_size_bits' END, CASE WHEN c_custkey % 3 = 1 THEN 'c_library_other_text' END, CASE WHEN c_custkey % 11 = 0 THEN 'toolchain_flags' END) AS errors FROM customer")
+def environment_check(spark, sf):
+    k = F.col("c_custkey")
+    rows = _t(spark, sf, "customer").select(
+        k, F.when(k % 5 == 0, "X86").otherwise("lp64").alias("hardware_model"), F.lit("signed").alias("time_t_signed"), F.when(k % 7 == 0, 16).otherwise(64).alias("time_t_size_bits"), F.when(k % 3 == 1, "other").when(k % 3 == 2, "musl").alias("c_library"),
+        F.lit(" ").alias("c_library_other_text"), F.lit(None).cast("boolean").alias("d_time_bits_supported"), F.lit("64").alias("d_time_bits_setting"), F.array(F.when(k % 11 == 0, "m32").otherwise("-m32")).alias("toolchain_flags"),
+    )
+    return W.environment_errors(rows).select("c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 IN (10, 20, 31) THEN o_orderkey % 50 WHEN o_orderkey % 50 BETWEEN 8 AND 40 THEN o_orderkey % 50 WHEN o_orderkey % 50 <= 33 THEN 8 + greatest(o_orderkey % 50, 1) - 1 ELSE -1 END::INT AS focus, CASE WHEN o_orderkey % 50 <= 15 THEN 10 WHEN o_orderkey % 50 <= 25 THEN 20 ELSE 31 END::INT AS nearest FROM orders")
+def focus_lines(spark, sf):
+    lines = F.array(*map(F.lit, (10, 20, 31)))
+    at = F.col("o_orderkey") % 50
+    return _t(spark, sf, "orders").select("o_orderkey", F.coalesce(N.focus_line(at, lines, F.lit(8), F.lit(40)), F.lit(-1)).alias("focus"), N.nearest_line(lines, at.cast("int")).alias("nearest"))
+
+
+@query("SELECT 'fn' || c_custkey || '#' || i AS finding_id, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE 't' || i END AS issue_type, CASE WHEN c_custkey % 4 = 0 THEN 12 WHEN i = 0 THEN 12 ELSE 20 END::INT AS line, 12::INT AS start_line, 20::INT AS end_line FROM customer, (VALUES (0), (1)) v(i) WHERE c_custkey % 4 > 0 OR i = 0")
+def issue_findings(spark, sf):
+    k = F.col("c_custkey")
+    none = F.lit("b")
+    issues = F.array(*[F.struct(F.lit(f"t{i}").alias("type"), F.lit(n).alias("line"), none.alias("description")) for i, n in ((0, 3), (1, 19))])
+    rows = _t(spark, sf, "customer").select(F.concat(F.lit("fn"), k.cast("string")).alias("function_id"), F.lit("f.c").alias("path"), F.lit(10).alias("start_line"), F.lit(30).alias("end_line"), F.array(F.lit(12), F.lit(20)).alias("candidate_lines"), F.lit("yes").alias("verdict"), F.lit(0.5).alias("confidence"), F.when(k % 4 != 0, issues).alias("issues"))
+    return N.to_findings(rows).select("finding_id", "issue_type", "line", "start_line", "end_line")
+
+
+@query()
+def adaptive_batches(spark, sf):
+    return N.adaptive_batches(_t(spark, sf, "documents"), "source", "doc_id", "text")
+
+
+@query("SELECT 'k' || user_id AS key, arg_max(event_type, ts) AS value FROM events WHERE ts > TIMESTAMP '2024-01-15' - INTERVAL 10 DAY AND user_id % 3 = 0 GROUP BY user_id")
+def cache_read(spark, sf):
+    rows = _t(spark, sf, "events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("value"), "ts", "user_id")
+    return Z.cache_read(rows.drop("user_id"), rows.filter("user_id % 3 = 0").select("key").distinct(), F.lit("2024-01-15").cast("timestamp_ntz"), 10)
+
+
+@query("SELECT event_id AS run_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def newest_runs(spark, sf):
+    rows = _t(spark, sf, "events").select(F.col("event_id").alias("run_id"), "ts")
+    return Z.newest_runs(rows.filter("run_id % 2 = 0"), rows.filter("run_id % 2 = 1"))
+
+
+@query(f"WITH {_RULES}, d AS (SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'time_t' ELSE 'a' || n_nationkey END AS symbol FROM nation) SELECT symbol, false AS type_use_only FROM rules UNION ALL SELECT symbol, symbol = 'time_t' FROM d")
+def merged_rules(spark, sf):
+    found = _t(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 5 == 0, "time_t").otherwise(F.concat(F.lit("a"), F.col("n_nationkey").cast("string"))).alias("symbol"), F.lit(False).alias("type_use_only"))
+    return Z.merge_catalog(M.default_rules(spark), found).select("symbol", "type_use_only")
+
+
+@query("SELECT conv_id AS batch, count(*) AS n, count_if(role = 'user')::BIGINT AS n_yes, sum(strlen(text))::BIGINT AS bytes, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256 FROM conversations GROUP BY conv_id")
+def batch_digest(spark, sf):
+    rows = _t(spark, sf, "conversations").select(F.col("conv_id").alias("batch"), F.col("turn").alias("pos"), F.col("text").alias("body"), F.when(F.col("role") == "user", "yes").otherwise("no").alias("verdict"))
+    return Z.batch_digest(rows)
+
+
+@query("SELECT event_type AS stage, sum(user_id)::BIGINT AS prompt_tokens, sum(event_id % 7)::BIGINT AS completion_tokens, sum(user_id + event_id % 7)::BIGINT AS total_tokens FROM events GROUP BY ROLLUP (event_type)")
+def token_usage(spark, sf):
+    return Z.usage(_t(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("user_id").cast("string").alias("prompt_tokens"), (F.col("event_id") % 7).cast("string").alias("completion_tokens")))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'lp64_signed_64bit' WHEN s_suppkey % 2 = 0 THEN 'ilp32_signed_32bit' ELSE 'lp64_signed_32bit' END AS config_id, CASE WHEN s_suppkey % 3 = 0 THEN 'explicit' WHEN s_suppkey % 2 = 0 THEN 'detected' ELSE 'fallback' END AS source FROM supplier")
+def effective_config(spark, sf):
+    k = F.col("s_suppkey")
+    chosen = E.effective_config(F.when(k % 3 == 0, "lp64_signed_64bit"), F.lit("ilp32_signed_32bit"), F.when(k % 2 == 0, 0.8).otherwise(0.6), F.lit("lp64_signed_32bit"))
+    return _t(spark, sf, "supplier").select("s_suppkey", chosen.alias("c")).select("s_suppkey", "c.config_id", "c.source")
