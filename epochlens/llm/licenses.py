@@ -166,3 +166,27 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *names])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(scan, SCHEMA)
+
+
+def _template_regex(markup: str) -> str:
+    """The template as a regular expression over words joined by blanks, for the SQL side."""
+    out = ""
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup):
+        out += "(?:" if token == "[[" else ")?" if token == "]]" else f"(?: [^ ]+){{0,{token[2:-2]}}}" if token.startswith("{{") else f" {token}"
+    return out + " "
+
+
+def oracle_sql(docs: str = "documents") -> str:
+    """DuckDB SQL for ``scan_licenses`` over a table."""
+    at = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()}) AS p{k}" for k, p in enumerate(BASE_PHRASES))
+    n = range(len(BASE_PHRASES))
+    every = " || ".join(f"p{k}" for k in n)
+    base = "[" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{v}' END" for k, v in enumerate(BASE_PHRASES.values())) + "]"
+    more = "[" + ", ".join(f"CASE WHEN regexp_matches(t, '{_template_regex(m)}') THEN '{k}' END" for k, m in TEMPLATES.items()) + "]"
+    return rf"""
+WITH a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {docs}),
+b AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t, {at} FROM a),
+c AS (SELECT doc_id, len(w) AS n_words, {every} AS places, list_filter({base}, lambda x: x IS NOT NULL) AS base, list_filter({more}, lambda x: x IS NOT NULL) AS more FROM b)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || more)), ',') AS labels, CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM c
+"""

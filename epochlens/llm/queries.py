@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_chats
 from .decontamination import find_leaks
 from .extraction import extract_main_text
+from .jaccard import SQL as JACCARD_SQL
 from .jaccard import jaccard_classes
+from .licenses import oracle_sql as license_sql
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .media import media_columns
@@ -60,7 +62,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(_table(spark, sf_dir, "documents"))
+    return jaccard_classes(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -75,4 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {"op8_source_mixing": MIX_SQL.format(docs="documents")}
+ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": license_sql(),
+    "op8_source_mixing": MIX_SQL.format(docs="documents"),
+    "op10_ngram_jaccard": JACCARD_SQL.format(docs="documents"),
+}
