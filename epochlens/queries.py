@@ -21,6 +21,7 @@ from .operators import detectors as D
 from .operators import environments as E
 from .operators import findings as N
 from .operators import matching as M
+from .operators import prompts as Q
 from .operators import reports as R
 from .operators import repositories as S
 from .operators import wire as W
@@ -623,3 +624,29 @@ def effective_config(spark, sf):
     k = F.col("s_suppkey")
     chosen = E.effective_config(F.when(k % 3 == 0, "lp64_signed_64bit"), F.lit("ilp32_signed_32bit"), F.when(k % 2 == 0, 0.8).otherwise(0.6), F.lit("lp64_signed_32bit"))
     return _t(spark, sf, "supplier").select("s_suppkey", chosen.alias("c")).select("s_suppkey", "c.config_id", "c.source")
+
+
+@query("SELECT conv_id AS batch, turn AS pos, CASE WHEN turn % 4 = 3 THEN 'abstain' WHEN turn % 4 = 2 THEN 'no' WHEN conv_id % 2 = 0 THEN 'yes' ELSE 'abstain' END AS verdict, CASE WHEN turn % 4 = 3 THEN 0.0 WHEN turn % 4 = 2 THEN 1.0 WHEN conv_id % 2 = 0 THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence, CASE WHEN turn % 4 = 3 THEN 'no valid answer' ELSE 'r' END AS reason FROM conversations")
+def positional_answers(spark, sf):
+    asked = _t(spark, sf, "conversations").select(F.col("conv_id").alias("batch"), F.col("turn").alias("pos"))
+    turn = F.col("pos") % 4
+    answers = asked.select("batch", "pos", F.when(turn == 3, "what").when(turn == 2, "No").otherwise("yes").alias("summary"), F.when(turn == 2, 7.0).when(F.col("batch") % 2 == 0, 0.8).otherwise(0.3).alias("confidence"), F.lit(" r ").alias("reason"))
+    return Q.positional_answers(asked, answers, 0.5)
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS text FROM documents")
+def response_texts(spark, sf):
+    bodies = ['{"choices":[{"message":{"content":"a"},"finish_reason":"stop"}]}', '{"response":"b"}', '{"content":[{"text":"c"}]}', '{"choices":[{"message":{"content":"a"},"finish_reason":"length"}]}', "{}"]
+    return _t(spark, sf, "documents").select("doc_id", Q.response_text(F.get(F.array(*map(F.lit, bodies)), (F.col("doc_id") % 5).cast("int"))).alias("text"))
+
+
+@query(f"WITH {_LINES} SELECT path, regexp_matches(left(string_agg(text, chr(10) ORDER BY line), 8192), '(?i)\\b({'|'.join(D.RAW_CALLS)})\\s*\\(') AS mentions FROM lines GROUP BY path")
+def io_prefilter(spark, sf):
+    files = synthetic_lines(spark, sf).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return files.select("path", Q.mentions_io(F.col("content"), D.RAW_CALLS).alias("mentions"))
+
+
+@query()
+def function_payloads(spark, sf):
+    spans = C.batches(C.function_candidates(_evidence(spark, sf)), 15).select("function_id", "path", F.lit(1).alias("start_line"), F.lit(20).alias("end_line"), "candidate_lines", F.lit("body </script>").alias("body"), F.concat_ws("#", "path", F.col("batch").cast("string")).alias("batch"))
+    return Q.function_payload(spans)

@@ -179,3 +179,41 @@ def test_scan_is_written(spark, tmp_path):
 
     write_scan(scan(synthetic_lines(spark, SF), default_rules(spark)), f"file://{tmp_path}/s")
     assert spark.read.parquet(f"file://{tmp_path}/s/candidates").count() > 100
+
+
+def test_redaction(spark):
+    from pyspark.sql import functions as F
+
+    from epochlens.operators.prompts import redact
+
+    text = "see src/a/b.c now\n" + "x" * 300
+    got = spark.createDataFrame([(text,)], "t string").select(redact(F.col("t")).alias("r")).first()["r"].split("\n")
+    assert got[0].startswith("see file-") and "b.c" not in got[0] and got[1] == "x" * 200 + " [cut]"
+
+
+def test_retries(spark):
+    import pandas as pd
+
+    from epochlens.operators.prompts import classify, with_retries
+
+    calls = []
+
+    def flaky(batch):
+        calls.append(len(batch))
+        if len(calls) < 3:
+            raise TimeoutError
+        return batch.assign(summary="yes", confidence=0.5, reason="r")
+
+    frame = pd.DataFrame({"function_id": ["a", "b"]})
+    assert list(with_retries(flaky, 3, 0.0)(frame).summary) == ["yes", "yes"] and len(calls) == 3
+    assert list(with_retries(lambda b: 1 / 0, 3, 0.0)(frame).reason) == ["error: ZeroDivisionError"] * 2
+    rows = spark.range(40).selectExpr("cast(id as string) function_id")
+    assert classify(rows, lambda b: b.assign(summary="no", confidence=1.0, reason=str(len(b)))).filter("reason > '15'").count() == 0
+
+
+def test_build_files_are_picked(spark):
+    from epochlens.operators.prompts import pick_build_files
+
+    names = ["a/b/Makefile", "Makefile", "x/CMakeLists.txt", "y.mk", "z/z.mk", "q.c", "e.cmake"]
+    files = spark.createDataFrame([(n, "" if n == "e.cmake" else "x") for n in names], "path string, content string")
+    assert [(r["kind"], r["path"]) for r in pick_build_files(files).orderBy("kind", "rank").collect()] == [("cmake", "x/CMakeLists.txt"), ("make", "Makefile"), ("make", "y.mk"), ("make", "z/z.mk")]
