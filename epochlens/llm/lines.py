@@ -6,8 +6,7 @@ other, form classes; the first line of a class, by document id and line number,
 A line is cut into ``EDITS + 1`` segments, so a line within the threshold holds one of them unchanged. Each line gives, for its own
 length and the shorter ones in reach, the substrings that can match a segment of that length's partition (the multi-match-aware
 positions), hashed with length and segment number. Lines that share one are a candidate group. Groups go through
-``components.link_classes`` with a parity sketch of their words (an edit changes at most three words, counted on both sides),
-and pairs that pass are verified by banded bit-parallel edit distance, many pairs at a time.
+``components.link_classes`` with a parity sketch of their trigrams (an edit changes at most three on either side), and pairs that pass are verified by banded bit-parallel edit distance, many pairs at a time.
 
 Defined cases: null text has one blank line; lines of any length are compared whole; rows with equal ids count as one document,
 a null id comes last; an empty table gives no rows; other columns are kept by ``drop_repeated_lines`` and ignored otherwise.
@@ -26,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import join_sized, mix64, saved, slices
 from .components import grouped_runs, link_classes
-from .shingles import word_hashes
 
-EDITS, LEAST, SKETCH_BITS = 2, 40, 128
+EDITS, LEAST, SKETCH_BITS, GRAM = 2, 40, 256, 3
 BUCKET = 1 << 19
 NO_ID = (1 << 63) - 1
 _P = 0x9E6C63D0876A9A9D | 1
@@ -50,7 +48,7 @@ class Lines:
     def __init__(self, lines: list[str]) -> None:
         self.lengths = np.array([len(x) for x in lines], dtype=np.int64)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
-        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.codes = codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         powers, self.inverse = _powers(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
@@ -65,6 +63,25 @@ class Lines:
         return (mix64(self.prints(self.starts, self.starts + self.lengths) + self.lengths.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
+    def sketches(self) -> list[bytes | None]:
+        """For lines that may be near others, the parity of the counts of their hashed trigrams."""
+        near = self.lengths >= LEAST
+        m = max(0, len(self.codes) - GRAM + 1)
+        with np.errstate(over="ignore"):
+            gram = np.zeros(m, dtype=np.uint32)
+            for k, factor in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                gram += self.codes[k : k + m] * np.uint32(factor)
+            gram ^= gram >> np.uint32(15)
+            gram *= np.uint32(0x27D4EB2F)
+        sizes = np.where(near, self.lengths - GRAM + 1, 0)
+        begins = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(of)) + (self.starts - begins)[of]
+        counts = np.bincount(of * SKETCH_BITS + (gram[at] >> np.uint32(24)), minlength=len(sizes) * SKETCH_BITS)
+        packed, size = np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes(), SKETCH_BITS // 8
+        return [packed[i * size : i * size + size] if n else None for i, n in enumerate(near.tolist())]
+
+
 def split_lines(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Trimmed lines of all texts and how many each text has."""
     lines, counts = [], []
@@ -158,18 +175,14 @@ def _edit(a: list, b: list) -> int:
 def _describe(batches):
     """A row for each line that is not blank: document, number, fingerprint, and length and sketch for those that may be near others."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
-    for batch in slices(batches, rows=2048, max_bytes=2 << 20):
+    for batch in slices(batches, rows=2048, max_bytes=1 << 20):
         lines, counts = split_lines(batch.column(1).to_pylist())
         text = Lines(lines)
-        words, offsets = word_hashes([x.encode("utf-8", "surrogatepass") for x in lines], lower=False)
-        of = np.repeat(np.arange(len(lines)), np.diff(offsets))
-        flat = np.bincount(of * SKETCH_BITS + (words % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(lines) * SKETCH_BITS) & 1
-        packed = np.packbits(flat.astype(np.uint8), bitorder="little").tobytes()
-        size = SKETCH_BITS // 8
         docs = np.repeat(np.asarray(batch.column(0).fill_null(NO_ID).to_numpy(), dtype=np.int64), counts)
         number = np.arange(len(lines)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
         used = np.flatnonzero(text.lengths > 0)
-        sketches = [packed[i * size : i * size + size] if text.lengths[i] >= LEAST else None for i in used.tolist()]
+        sketches = text.sketches()
+        sketches = [sketches[i] for i in used.tolist()]
         yield pa.record_batch([pa.array(docs[used]), pa.array(number[used].astype(np.int32)), pa.array(text.ids()[used]), pa.array(text.lengths[used].astype(np.int32)), pa.array(sketches, pa.binary())], schema=schema)
 
 
@@ -177,7 +190,7 @@ def _pack(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):
-        for batch in slices(batches, rows=4096, max_bytes=4 << 20):
+        for batch in slices(batches, rows=4096, max_bytes=2 << 20):
             lines, _ = split_lines(batch.column(1).to_pylist())
             lines = list({x: None for x in lines if len(x) >= LEAST})
             if not lines:
@@ -206,8 +219,8 @@ def _bucket_groups(table: pa.Table) -> pa.Table:
 
 
 def most_different(a, b):
-    """Largest difference of the word sketches of lines of lengths a and b; negative if the lengths rule a link out."""
-    return np.where(np.abs(np.asarray(a, dtype=np.int64) - np.asarray(b, dtype=np.int64)) <= EDITS, 3 * EDITS, -1)
+    """Largest difference of the sketches of lines of lengths a and b; negative if the lengths rule a link out."""
+    return np.where(np.abs(np.asarray(a, dtype=np.int64) - np.asarray(b, dtype=np.int64)) <= EDITS, 2 * GRAM * EDITS, -1)
 
 
 def _check_sketches(batches):
