@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, join_sized, mix64, saved, slices
+from .common import byte_values, join_sized, mix64, saved, slices, small_batches
 
 LENGTH, GRAM, STEP = 200, 50, 19
 BUCKET_BYTES = 24 << 20
@@ -45,7 +45,7 @@ PLACE = np.dtype([("doc", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _tables or len(_tables[0]) < n:
-        size = 1 << int(n).bit_length()
+        size = n + n // 8 + 1
         with np.errstate(over="ignore"):
             _tables[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(p), dtype=np.uint64)], dtype=np.uint64) for p in (_P, _PINV)]
     return _tables[0], _tables[1]
@@ -70,6 +70,14 @@ class Text:
             return mix64((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys; none for no keys."""
+    if not len(keys):
+        return []
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+    return list(zip(begins, [*begins[1:], len(keys)], strict=True))
+
+
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` over all runs of ``width``."""
     have = 1
@@ -128,10 +136,9 @@ def _pack(keys: np.ndarray, places: np.ndarray, ids: list[bytes], buckets: int,
     bucket = ((mix64(keys ^ np.uint64(0x5BD1E995)) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
     bucket[settled] = -1
     order = np.argsort(bucket, kind="stable")
-    begins = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else []
     rows = []
     table = np.frombuffer(b"".join(ids), dtype="V16")
-    for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+    for a, b in _runs(bucket[order]):
         part = order[a:b]
         used, local = np.unique(places["doc"][part], return_inverse=True)
         mine = places[part].copy()
@@ -218,8 +225,7 @@ def _emit(parts: int, *keep: tuple[np.ndarray, np.ndarray, int]) -> pa.Table:
         part = (docs.view(np.uint8).reshape(-1, 16)[:, :4].copy().view(np.uint32).ravel() % np.uint32(parts)).astype(np.int64)
         of = part[places["doc"]]
         order = np.argsort(of, kind="stable")
-        begins = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(order) else []
-        for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+        for a, b in _runs(of[order]):
             mine = places[order[a:b]]
             used, local = np.unique(mine["doc"], return_inverse=True)
             mine["doc"] = local
@@ -318,6 +324,7 @@ def _finish(batches):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs and digest of the rest."""
+    small_batches(docs)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("k"), text.alias("text"))
     sizes = saved(texts.select("doc_id", "k", F.octet_length("text").cast("long").alias("n")).filter(F.col("n") >= LENGTH), "sizes")
