@@ -144,7 +144,7 @@ def plain_removal(texts):
         for p in range(len(d) - 199):
             if counts[d[p : p + 200]] > 1:
                 gone[p : p + 200] = b"\1" * 200
-        spans = len(re.findall(rb"\1+", bytes(gone)))
+        spans = len(re.findall(b"\x01+", bytes(gone)))
         out.append((len(d), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(d, gone, strict=True) if not g)).hexdigest()))
     return out
 
@@ -285,7 +285,7 @@ def test_leaks(spark):
     texts = [
         f"Before. {ITEM} After.",
         ITEM.replace("Anna", "Peter").replace("12", "310").replace(" 7 ", " 44 "),
-        ITEM.replace("Anna buys", "Peter buys").replace("Anna have", "Maria have"),
+        ITEM.replace("Anna buys 12", "Peter buys 99").replace("Anna have", "Maria have").replace(" 30 ", " 31 "),
         "If Anna buys 12 apples and nothing else at all on that day.",
         " ".join(ITEM.split()[:13]), None, "", "apples and pears",
     ]

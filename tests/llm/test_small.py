@@ -212,8 +212,8 @@ def test_mix_targets_fill_up(spark):
 
 
 def test_mix_odd(spark):
-    frame = pd.DataFrame({"doc_id": [1, 1, None, 2], "text": ["a b", "a b", "c", None], "source": [None, None, "x", "x"]}).astype({"doc_id": object})
-    assert len(mixed(spark, frame)) == 4
+    rows = [(1, "a b", None), (1, "a b", None), (None, "c", "x"), (2, None, "x")]
+    assert mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 4
     assert spark.createDataFrame([], "doc_id long, text string, source string").transform(mixing.mix_sources).count() == 0
 
 
