@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -13,9 +14,25 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes, counted before; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # not on this platform
+    _libc = None
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows in a batch that travels between Spark and Python; whole texts and sets are large, so far fewer than the default.
+ARROW_ROWS = "512"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let Python tasks of this session take small batches, unless the session has its own setting."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, ARROW_ROWS)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
@@ -63,6 +80,13 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def trim() -> None:
+    """Give memory that a Python task no longer uses back to the system; idle workers stay small beside the executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches, rows: int = 256, column: int = 1, max_bytes: int = 4 << 20):
     """Arrow batches in pieces of bounded bytes, so that temporary arrays stay small."""
     for batch in batches:
@@ -77,6 +101,7 @@ def slices(batches, rows: int = 256, column: int = 1, max_bytes: int = 4 << 20):
                 start, total = i, 0
             total += sizes[i]
         yield batch.slice(start)
+    trim()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

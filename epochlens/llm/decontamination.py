@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, join_sized, mix64, saved, slices
+from .common import byte_values, join_sized, mix64, saved, slices, small_batches
 from .shingles import _BASE, _BYTE, _pow
 
 WINDOW, MOST, SHARE, LEAST = 8, 13, 0.6, 5
@@ -181,6 +181,7 @@ def _judge(least_share: float, most: int):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per document and benchmark item that it leaks."""
+    small_batches(docs)
     rows = "h long, id long, at int, n_words int, slots binary"
     items = benchmark.select(benchmark[item_col].cast("long").alias("id"), benchmark[item_text_col].cast("string").alias("text")).filter("id is not null")
     asked = saved(items.mapInArrow(_window_rows(True, None, []), rows).dropDuplicates(), "item-windows")

@@ -17,7 +17,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CUT_TAGS = frozenset(
@@ -242,6 +242,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page with its main text and the number of code points in it."""
+    small_batches(pages)
 
     def run(batches):
         for batch in slices(batches, rows=1024, column=2, max_bytes=8 << 20):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, join_sized, mix64, saved, slices
+from .common import byte_values, join_sized, mix64, saved, slices, small_batches, trim
 from .components import fold, grouped_runs, link_classes
 from .shingles import shingle_sets
 
@@ -194,10 +194,12 @@ def _check_pairs(batches):
                     keep_a.append(a[i])
                     keep_b.append(b[i])
         yield pa.record_batch([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
+    trim()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (verified links found for its set)."""
+    small_batches(docs)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     described = saved(texts.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, shingle long, sketch binary"), "described")
     members = described.filter("digest is not null").drop("shingle", "sketch")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_values, slices
+from .common import byte_values, slices, small_batches
 
 # Phrases and their labels.
 BASE_PHRASES = {
@@ -154,6 +154,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     score is 1 where a template is accepted, 0.5 where only a base phrase stands, else 0.
     """
+    small_batches(docs)
     automata = [compile_template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
     phrases = [(f" {k} ".encode(), v) for k, v in BASE_PHRASES.items()]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, mix64, saved, slices
+from .common import join_sized, mix64, saved, slices, small_batches, trim
 from .components import grouped_runs, link_classes
 
 EDITS, LEAST, SKETCH_BITS, GRAM = 2, 40, 256, 3
@@ -36,7 +36,7 @@ _tables: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _tables or len(_tables[0]) < n:
-        size = 1 << int(n).bit_length()
+        size = n + n // 8 + 1
         with np.errstate(over="ignore"):
             _tables[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(p), dtype=np.uint64)], dtype=np.uint64) for p in (_P, _PINV)]
     return _tables[0], _tables[1]
@@ -235,6 +235,7 @@ def _check_pairs(batches):
         for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
             a, b = ([np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in piece.column(c).to_pylist()] for c in ("line_a", "line_b"))
             yield piece.select(["a", "b"]).filter(pa.array(edit_within(a, b, EDITS)))
+    trim()
 
 
 def _line_texts(batches):
@@ -250,6 +251,7 @@ def _line_texts(batches):
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (``NO_ID`` for null), and the numbers of its lines that go, with those that only resemble the line that stays."""
+    small_batches(docs)
     texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs[text_col].cast("string").alias("text"))
     lines = saved(texts.mapInArrow(_describe, "doc_id long, line_no int, h long, n int, sketch binary"), "lines")
     first = F.struct("doc_id", "line_no", "n", "sketch")

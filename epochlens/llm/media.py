@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import byte_values, scratch_path, slices
+from .common import byte_values, scratch_path, slices, small_batches
 
 WIDTH = 192
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -223,6 +223,7 @@ def feature(samples: np.ndarray) -> str:
 
 def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write every whole text of ``docs`` as a member of the archives at ``path``."""
+    small_batches(docs)
 
     def encode(batches):
         for batch in slices(batches, rows=512):

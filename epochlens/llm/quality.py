@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, byte_values, saved, slices
+from .common import BROADCAST_BYTES, byte_values, saved, slices, small_batches
 
 SAMPLE, SITE_WEIGHT, THRESHOLD, STEPS, RIDGE = 6000, 0.25, 0.0, 60, 1e-2
 
@@ -144,6 +144,7 @@ def site_shifts(scored: DataFrame, host_col: str, path_col: str) -> DataFrame:
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = SAMPLE, host_col: str = "source", path_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Columns ``keep`` with __logit, host_mean, path_mean, __final and __accepted."""
+    small_batches(docs)
     model = train(docs, labels, sample, id_col, text_col)
     scored = saved(classify(docs, model, list(dict.fromkeys([*keep, host_col, path_col])), text_col), "scored")
     shifts = site_shifts(scored, host_col, path_col)
