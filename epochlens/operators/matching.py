@@ -25,7 +25,7 @@ BROADCAST_RULES = 200_000
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    rows = [(s, r, c, d, f"TACS-RULE-{i:04d}") for i, (s, r, c, d) in enumerate(CATALOG, 1)]
+    rows = [(s, r, c, d, f"RULE-{i:04d}") for i, (s, r, c, d) in enumerate(CATALOG, 1)]
     rules = spark.createDataFrame(rows, "symbol string, risk string, category string, description string, rule_id string")
     return normalize_rules(rules.selectExpr("*", "cast(null as boolean) needs_paren", "cast(null as array<string>) scope_files", "false type_use_only", "false discovered", "cast(null as string) name"))
 

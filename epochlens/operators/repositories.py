@@ -35,21 +35,21 @@ def repo_rollup(candidates: DataFrame, repo: Column) -> DataFrame:
     return candidates.withColumn("repo", repo).rollup("repo", "risk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("n_files"), F.grouping_id().alias("level"))
 
 
-def duplicate_rules(rules: DataFrame, retired: DataFrame) -> DataFrame:
+def duplicate_rules(rules: DataFrame, retired: DataFrame, prefix: str = "RULE") -> DataFrame:
     """Problems of a catalog: ids or symbols used twice, malformed, missing and retired ids."""
     two = lambda c, p: rules.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(p).alias("problem"), "value", "n")
     one = lambda df, p: df.groupBy(F.coalesce("rule_id", F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("problem"), "value", "n")
-    bad = rules.filter(F.col("rule_id").isNotNull() & ~F.regexp_like("rule_id", F.lit(r"^TACS-RULE-\d{4}$")))
+    bad = rules.filter(F.col("rule_id").isNotNull() & ~F.regexp_like("rule_id", F.lit(rf"^{prefix}-\d{{4}}$")))
     gone = rules.join(retired.select("rule_id"), "rule_id", "left_semi")
     return two("rule_id", "duplicate id").unionByName(two("symbol", "duplicate symbol")).unionByName(one(bad, "malformed id")).unionByName(one(rules.filter("rule_id is null"), "missing id")).unionByName(one(gone, "retired id"))
 
 
-def assign_rule_ids(rules: DataFrame, retired: DataFrame, order: str = "pos") -> DataFrame:
+def assign_rule_ids(rules: DataFrame, retired: DataFrame, order: str = "pos", prefix: str = "RULE") -> DataFrame:
     """Free numbers, the smallest first, for rules without an id, in order; used and retired numbers are skipped. Catalogs are small."""
     number = F.regexp_extract("rule_id", r"(\d{4})$", 1).try_cast("int")
     used = rules.select(number.alias("n")).unionByName(retired.select(number.alias("n"))).filter("n is not null").distinct()
     need = rules.filter("rule_id is null").withColumn("k", F.row_number().over(Window.orderBy(order)))
     total = rules.count() + retired.count()
     free = rules.sparkSession.range(1, total + 2).select(F.col("id").cast("int").alias("n")).join(used, "n", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("n")))
-    given = need.join(free, "k").withColumn("rule_id", F.format_string("TACS-RULE-%04d", "n")).drop("k", "n")
+    given = need.join(free, "k").withColumn("rule_id", F.format_string(f"{prefix}-%04d", "n")).drop("k", "n")
     return rules.filter("rule_id is not null").unionByName(given)

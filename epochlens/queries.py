@@ -35,7 +35,7 @@ ORACLE_SQL: dict[str, str] = {}
 _LINES = f"lines AS ({SYNTHETIC_SQL})"
 _CLEAN = _LINES + r""", cl AS (SELECT *, regexp_replace(text, '"(?:\\.|[^"\\])*"?|''(?:\\.|[^''\\])*''?|//.*$', ' ', 'g') AS clean FROM lines)"""
 _RULES = "rules(symbol, risk, category, description, rule_id, call_required) AS (VALUES " + ", ".join(
-    f"('{s}', '{r}', '{c}', '{d}', 'TACS-RULE-{i:04d}', {c not in K.NON_CALLABLE})" for i, (s, r, c, d) in enumerate(M.CATALOG, 1)
+    f"('{s}', '{r}', '{c}', '{d}', 'RULE-{i:04d}', {c not in K.NON_CALLABLE})" for i, (s, r, c, d) in enumerate(M.CATALOG, 1)
 ) + ")"
 _TERMS = _CLEAN + r""", tok AS (SELECT *, regexp_extract_all(clean, '\b([_A-Za-z]\w*)\b', 1) AS w FROM cl),
 terms AS (SELECT DISTINCT path, line, text, clean, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok)"""
@@ -432,21 +432,21 @@ def repo_keys(spark, sf):
     return rows.select("s_suppkey", S.repo_key(F.col("url"), F.col("ref")).alias("repo_key"), X.redact_credentials(F.col("url")).alias("safe_url"), S.matches_terms(["3.GIT"], "url").alias("wanted"))
 
 
-_CAT = "cat AS (SELECT p_partkey AS pos, 'sym' || (p_partkey % 150) AS symbol, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'BAD-' || p_partkey ELSE 'TACS-RULE-' || lpad((p_partkey % 190)::VARCHAR, 4, '0') END AS rule_id FROM part), ret AS (SELECT 'TACS-RULE-' || lpad(i::VARCHAR, 4, '0') AS rule_id FROM range(5, 50, 9) t(i))"
+_CAT = "cat AS (SELECT p_partkey AS pos, 'sym' || (p_partkey % 150) AS symbol, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'BAD-' || p_partkey ELSE 'RULE-' || lpad((p_partkey % 190)::VARCHAR, 4, '0') END AS rule_id FROM part), ret AS (SELECT 'RULE-' || lpad(i::VARCHAR, 4, '0') AS rule_id FROM range(5, 50, 9) t(i))"
 
 
 def _catalog(spark, sf) -> tuple[DataFrame, DataFrame]:
     k = F.col("p_partkey")
-    rules = _t(spark, sf, "part").select(k.alias("pos"), F.concat(F.lit("sym"), (k % 150).cast("string")).alias("symbol"), F.when(k % 10 == 0, None).when(k % 17 == 0, F.concat(F.lit("BAD-"), k.cast("string"))).otherwise(F.format_string("TACS-RULE-%04d", (k % 190).cast("long"))).alias("rule_id"))
-    return rules, spark.range(5, 50, 9).select(F.format_string("TACS-RULE-%04d", "id").alias("rule_id"))
+    rules = _t(spark, sf, "part").select(k.alias("pos"), F.concat(F.lit("sym"), (k % 150).cast("string")).alias("symbol"), F.when(k % 10 == 0, None).when(k % 17 == 0, F.concat(F.lit("BAD-"), k.cast("string"))).otherwise(F.format_string("RULE-%04d", (k % 190).cast("long"))).alias("rule_id"))
+    return rules, spark.range(5, 50, 9).select(F.format_string("RULE-%04d", "id").alias("rule_id"))
 
 
-@query(f"WITH {_CAT} SELECT 'duplicate id' AS problem, rule_id AS value, count(*) AS n FROM cat WHERE rule_id IS NOT NULL GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate symbol', symbol, count(*) FROM cat GROUP BY symbol HAVING count(*) > 1 UNION ALL SELECT 'malformed id', rule_id, count(*) FROM cat WHERE NOT regexp_matches(rule_id, '^TACS-RULE-\\d{{4}}$') GROUP BY rule_id UNION ALL SELECT 'missing id', '', count(*) FROM cat WHERE rule_id IS NULL HAVING count(*) > 0 UNION ALL SELECT 'retired id', rule_id, count(*) FROM cat WHERE rule_id IN (SELECT rule_id FROM ret) GROUP BY rule_id")
+@query(f"WITH {_CAT} SELECT 'duplicate id' AS problem, rule_id AS value, count(*) AS n FROM cat WHERE rule_id IS NOT NULL GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate symbol', symbol, count(*) FROM cat GROUP BY symbol HAVING count(*) > 1 UNION ALL SELECT 'malformed id', rule_id, count(*) FROM cat WHERE NOT regexp_matches(rule_id, '^RULE-\\d{{4}}$') GROUP BY rule_id UNION ALL SELECT 'missing id', '', count(*) FROM cat WHERE rule_id IS NULL HAVING count(*) > 0 UNION ALL SELECT 'retired id', rule_id, count(*) FROM cat WHERE rule_id IN (SELECT rule_id FROM ret) GROUP BY rule_id")
 def catalog_duplicates(spark, sf):
     return S.duplicate_rules(*_catalog(spark, sf))
 
 
-@query(f"WITH {_CAT}, used AS (SELECT DISTINCT try_cast(regexp_extract(rule_id, '(\\d{{4}})$', 1) AS INT) AS n FROM (SELECT rule_id FROM cat UNION ALL SELECT rule_id FROM ret)), need AS (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM cat WHERE rule_id IS NULL), free AS (SELECT i AS n, row_number() OVER (ORDER BY i) AS k FROM range(1, (SELECT count(*) FROM cat)::INT + 10) t(i) WHERE i NOT IN (SELECT n FROM used WHERE n IS NOT NULL)) SELECT pos, symbol, 'TACS-RULE-' || lpad(free.n::VARCHAR, 4, '0') AS rule_id FROM need JOIN free USING (k)")
+@query(f"WITH {_CAT}, used AS (SELECT DISTINCT try_cast(regexp_extract(rule_id, '(\\d{{4}})$', 1) AS INT) AS n FROM (SELECT rule_id FROM cat UNION ALL SELECT rule_id FROM ret)), need AS (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM cat WHERE rule_id IS NULL), free AS (SELECT i AS n, row_number() OVER (ORDER BY i) AS k FROM range(1, (SELECT count(*) FROM cat)::INT + 10) t(i) WHERE i NOT IN (SELECT n FROM used WHERE n IS NOT NULL)) SELECT pos, symbol, 'RULE-' || lpad(free.n::VARCHAR, 4, '0') AS rule_id FROM need JOIN free USING (k)")
 def next_rule_id(spark, sf):
     rules, retired = _catalog(spark, sf)
     return S.assign_rule_ids(rules, retired).join(rules.filter("rule_id is null").select("pos"), "pos", "left_semi")
