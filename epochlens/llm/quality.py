@@ -143,12 +143,13 @@ def site_shifts(scored: DataFrame, host_col: str, path_col: str) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = SAMPLE, host_col: str = "source", path_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Columns ``keep`` with __logit, host_mean, path_mean, __final and __accepted."""
+    """Columns ``keep`` with __logit, __host_mean, __path_mean, __final and __accepted."""
     small_batches(docs)
     model = train(docs, labels, sample, id_col, text_col)
     scored = saved(classify(docs, model, list(dict.fromkeys([*keep, host_col, path_col])), text_col), "scored")
     shifts = site_shifts(scored, host_col, path_col)
-    shifts = saved(shifts, "sites")
+    # Names that no input column has.
+    shifts = saved(shifts.toDF(*[c if c.startswith("__") else f"__{c}" for c in shifts.columns]), "sites")
     on = scored[host_col].eqNullSafe(shifts["__host"]) & scored[path_col].eqNullSafe(shifts["__path"])
     small = shifts.count() * 256 <= BROADCAST_BYTES
     joined = scored.join(F.broadcast(shifts) if small else shifts, on).drop("__host", "__path")
@@ -158,7 +159,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], sample: i
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, evidence, posteriors, score and decision."""
     out = score_quality(docs, labels, ["doc_id", "source", "lang"], sample)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("__logit").alias("classifier_logit"), "host_mean", "path_mean", (1 / (1 + F.exp(-F.col("__final")))).alias("score"), F.col("__accepted").alias("accepted"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("__logit").alias("classifier_logit"), F.col("__host_mean").alias("host_mean"), F.col("__path_mean").alias("path_mean"), (1 / (1 + F.exp(-F.col("__final")))).alias("score"), F.col("__accepted").alias("accepted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

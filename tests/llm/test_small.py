@@ -239,7 +239,7 @@ def test_quality_held_out(spark):
 
 
 def test_quality_odd(spark):
-    docs = spark.createDataFrame([(1, None, None, None, 1.0), (2, "", "s", "en", 2.0), (None, "a b c", "s", None, 3.0), (2, "", "s", "en", 2.0)], "doc_id long, text string, source string, lang string, score double")
+    docs = spark.createDataFrame([(1, None, None, None, 1.0), (2, "", "s", "en", 2.0), (None, "a b c", "s", None, 3.0), (2, "", "s", "en", 2.0)], "doc_id long, text string, source string, lang string, score double").withColumn("host_mean", quality.F.lit(1)).withColumn("accepted", quality.F.lit("x"))
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert sorted(map(str, quality.keep_good(docs, none).collect())) == sorted(map(str, docs.collect()))
     assert quality.keep_good(docs.limit(0), none).count() == 0
