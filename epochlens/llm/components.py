@@ -33,10 +33,11 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
         edges = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
+        n, sources, now = edges.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # Done where each node hangs on one centre that hangs on none.
+        if n == sources and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or (n, now) == state:
             break
-        state = now
+        state = (n, now)
     centers = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(centers)
 
