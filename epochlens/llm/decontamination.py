@@ -6,9 +6,10 @@ replaced must map one to one from the item to the document, else only windows wi
 caught, and a text that only shares the template's shape is not. A document leaks an item where the windows that count cover at least
 ``min(MOST, SHARE of the item's words)`` words of it, and at least ``WINDOW``.
 
-An item shorter than a window is one window by itself if it has ``LEAST`` words or more. Windows with fewer literal words than
-half are left out. Document windows are first tested against a bitmap of the benchmark's hashes while these are few; beyond that
-all windows go to the join, with the same result.
+Templates need half their words to be literal, and ``LEAST`` words. Besides, every window is joined by its lower-cased words themselves,
+numbers, units and names included, so an exact copy is found whatever its words are and whatever its capitals and punctuation. An item
+shorter than a window is one window by itself. Document windows are first tested against a bitmap of the benchmark's hashes while these are
+few; beyond that all windows go to the join, with the same result.
 
 Defined cases: null or empty texts leak nothing; texts of any length are taken whole; repeated rows and equal ids count as one document;
 null ids are left out of the pairs and kept by the filter; an empty benchmark leaks nothing; other columns are ignored.
@@ -64,17 +65,31 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(_hash_words(np.frombuffer(data, dtype=np.uint8), starts, lengths))
 
 
-def canonical_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes and slot values (0 for literal words) of all words, and where each text's words begin."""
+def _lowered(data: bytes) -> bytes:
+    """Lower case with every character in its place; letters whose lower case has another length stay."""
+    if data.isascii():
+        return data.translate(_LOWER)
+    text = data.decode("utf-8", "surrogatepass")
+    low = text.lower().encode("utf-8", "surrogatepass")
+    if len(low) == len(data):
+        was, now = np.frombuffer(data, dtype=np.uint8), np.frombuffer(low, dtype=np.uint8)
+        if np.array_equal(was & 0xC0 == 0x80, now & 0xC0 == 0x80):
+            return low
+    size = lambda c: len(c.encode("utf-8", "surrogatepass"))
+    return text.translate({ord(c): c.lower() for c in set(text) if size(c.lower()) == size(c)}).encode("utf-8", "surrogatepass")
+
+
+def canonical_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, template hashes and slot values (0 for literal words) of all words, and where each text's words begin."""
     data = b"\n".join([*texts, b""])
     raw = np.frombuffer(data, dtype=np.uint8)
     text_ends = np.cumsum([len(t) + 1 for t in texts]).astype(np.int64) if texts else np.zeros(0, dtype=np.int64)
     edge = np.diff(np.r_[False, _WORD[raw], False].astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.r_[0, np.searchsorted(starts, text_ends)].astype(np.int64)
-    words = _hash_words(np.frombuffer(data.translate(_LOWER), dtype=np.uint8), starts, ends - starts)
+    words = _hash_words(np.frombuffer(b"\n".join([*map(_lowered, texts), b""]), dtype=np.uint8), starts, ends - starts)
     if not len(words):
-        return words, words.copy(), offsets
+        return words, words.copy(), words.copy(), offsets
     first = raw[starts]
     second = raw[np.minimum(starts + 1, ends - 1)]
     stops = np.r_[0, np.cumsum(_STOP[raw])]
@@ -85,19 +100,21 @@ def canonical_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     unit = np.r_[False, number[:-1]] & (units[np.minimum(np.searchsorted(units, words), len(units) - 1)] == words)
     slot = number | name | unit
     template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words)))
-    return template, np.where(slot, words | np.uint64(1), np.uint64(0)), offsets
+    return words, template, np.where(slot, words | np.uint64(1), np.uint64(0)), offsets
+
 
+def windows_of(words: np.ndarray, template: np.ndarray, slots: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """Starts and hashes of the windows of ``width`` words: of templates, and exact ones of words.
 
-def windows_of(template: np.ndarray, slots: np.ndarray, item: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of one text. With ``item``, a short text is one window."""
-    n = len(template)
-    if n < WINDOW:
-        if not item or n < LEAST or 2 * np.count_nonzero(slots) > n:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        return np.zeros(1, dtype=np.int64), _window_hash(template, n)
+    Without slots the two are equal and the template's stands for both.
+    """
+    if len(words) < width or not width:
+        return []
     literal = np.r_[0, np.cumsum(slots == 0)]
-    at = np.flatnonzero(2 * (literal[WINDOW:] - literal[:-WINDOW]) >= WINDOW)
-    return at, _window_hash(template, WINDOW)[at]
+    literal = literal[width:] - literal[:-width]
+    as_template = (2 * literal >= width) & (width >= LEAST)
+    as_words = (literal < width) | ~as_template
+    return [(at, _window_hash(x, width)[at], exact) for x, ok, exact in ((template, as_template, False), (words, as_words, True)) if len(at := np.flatnonzero(ok))]
 
 
 def _window_hash(template: np.ndarray, width: int) -> np.ndarray:
@@ -110,37 +127,36 @@ def _window_hash(template: np.ndarray, width: int) -> np.ndarray:
 
 
 def _window_rows(is_item: bool, bitmap: bytes | None, short: list[int]):
-    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n_words", pa.int32()), ("slots", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n_words", pa.int32()), ("slots", pa.binary()), ("exact", pa.bool_())])
 
     def run(batches):
         bits = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
         for batch in slices(batches, rows=1024, max_bytes=2 << 20):
-            template, slots, offsets = canonical_words(byte_values(batch.column(1)))
-            cols: list[list] = [[], [], [], [], []]
+            words, template, slots, offsets = canonical_words(byte_values(batch.column(1)))
+            cols: list[list] = [[], [], [], [], [], []]
             every = []
             if not is_item:
                 # Windows over all texts at once; those across a border are dropped below.
                 for width in [WINDOW, *short]:
-                    h = _window_hash(template, width)
-                    literal = np.r_[0, np.cumsum(slots == 0)]
-                    ok = 2 * (literal[width:] - literal[:-width]) >= width if len(h) else np.zeros(0, dtype=bool)
-                    if bits is not None:
-                        ok &= bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] > 0
-                    at = np.flatnonzero(ok)
-                    doc = np.searchsorted(offsets, at, side="right") - 1
-                    inside = at + width <= offsets[doc + 1]
-                    every.append((at[inside], h[at[inside]], doc[inside], width))
+                    for at, h, exact in windows_of(words, template, slots, width):
+                        if bits is not None:
+                            ok = bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] > 0
+                            at, h = at[ok], h[ok]
+                        doc = np.searchsorted(offsets, at, side="right") - 1
+                        inside = at + width <= offsets[doc + 1]
+                        every.append((at[inside], h[inside], doc[inside], width, exact))
             else:
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                    at, h = windows_of(template[a:b], slots[a:b], True)
-                    every.append((at + a, h, np.full(len(at), i), min(WINDOW, int(b - a))))
+                    width = min(WINDOW, int(b - a))
+                    every += [(at + a, h, np.full(len(at), i), width, exact) for at, h, exact in windows_of(words[a:b], template[a:b], slots[a:b], width)]
             ids = batch.column(0).to_pylist()
-            for at, h, doc, width in every:
+            for at, h, doc, width, exact in every:
                 cols[0] += h.view(np.int64).tolist()
                 cols[1] += [ids[d] for d in doc]
                 cols[2] += (at - offsets[doc]).tolist()
                 cols[3] += (offsets[doc + 1] - offsets[doc]).tolist()
                 cols[4] += [slots[x : x + width].tobytes() for x in at]
+                cols[5] += [exact] * len(at)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
@@ -153,23 +169,24 @@ def _judge(least_share: float, most: int):
         every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for (doc, item), run in groupby(every, key=lambda r: r[:2]):
             run = list(dict.fromkeys(run))
-            covered, n_windows, slots_seen, changed = set(), 0, set(), set()
+            covered, places, slots_seen, changed = set(), set(), set(), set()
             n_item = run[0][6]
-            for _, aligned in groupby(sorted(run, key=lambda r: (r[2] - r[3], r[3])), key=lambda r: r[2] - r[3]):
+            for shift, aligned in groupby(sorted(run, key=lambda r: (r[2] - r[3], r[3])), key=lambda r: r[2] - r[3]):
                 there: dict[int, int] = {}
                 back: dict[int, int] = {}
-                aligned = [(r[3], [(int(y), int(x)) for x, y in zip(np.frombuffer(r[4], dtype=np.uint64), np.frombuffer(r[5], dtype=np.uint64), strict=True) if y], len(r[4]) // 8) for r in aligned]
-                fits = all(there.setdefault(y, x) == x and back.setdefault(x, y) == y for _, pairs, _ in aligned for y, x in pairs)
-                for at, pairs, width in aligned:
+                # Windows joined by their words are unchanged, whatever is a slot on either side.
+                aligned = [(r[3], [(int(y), int(y if r[7] else x)) for x, y in zip(np.frombuffer(r[4], dtype=np.uint64), np.frombuffer(r[5], dtype=np.uint64), strict=True) if y], len(r[4]) // 8, r[7]) for r in aligned]
+                fits = all(there.setdefault(y, x) == x and back.setdefault(x, y) == y for _, pairs, _, exact in aligned if not exact for y, x in pairs)
+                for at, pairs, width, _ in aligned:
                     # Where the slots do not fit together, only windows without changes count.
                     if fits or all(x == y for y, x in pairs):
-                        n_windows += 1
+                        places.add((shift, at))
                         covered.update(range(at, at + width))
                         slots_seen.update(y for y, _ in pairs)
                         changed.update(y for y, x in pairs if x != y)
             need = max(min(WINDOW, n_item), min(most, int(np.ceil(least_share * n_item))))
             if len(covered) >= need:
-                yield doc, item, n_windows, len(covered), n_item, len(slots_seen), len(changed)
+                yield doc, item, len(places), len(covered), n_item, len(slots_seen), len(changed)
 
     def run(batches):
         found = list(rows(batches))
@@ -182,7 +199,7 @@ def _judge(least_share: float, most: int):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per document and benchmark item that it leaks."""
     small_batches(docs)
-    rows = "h long, id long, at int, n_words int, slots binary"
+    rows = "h long, id long, at int, n_words int, slots binary, exact boolean"
     items = benchmark.select(benchmark[item_col].cast("long").alias("id"), benchmark[item_text_col].cast("string").alias("text")).filter("id is not null")
     asked = saved(items.mapInArrow(_window_rows(True, None, []), rows).dropDuplicates(), "item-windows")
     n = asked.count()
@@ -195,9 +212,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         bitmap = bits.tobytes()
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null")
     seen = texts.mapInArrow(_window_rows(False, bitmap, sorted(w for w in widths if w < WINDOW)), rows)
-    theirs = asked.select("h", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"))
+    theirs = asked.select("h", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), F.col("exact").alias("item_exact"))
     joined = join_sized(seen, theirs, ["h"], "inner", 160, n).filter(F.octet_length("slots") == F.octet_length("item_slots"))
-    pairs = joined.select(F.col("id").alias("doc_id"), "item_id", "at", "item_at", "slots", "item_slots", "item_words")
+    pairs = joined.select(F.col("id").alias("doc_id"), "item_id", "at", "item_at", "slots", "item_slots", "item_words", (F.col("exact") | F.col("item_exact")).alias("exact"))
     sorted_pairs = pairs.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id")
     return sorted_pairs.mapInArrow(_judge(share, most), "doc_id long, item_id long, n_windows long, n_covered long, n_item_words long, n_slots long, n_changed long")
 

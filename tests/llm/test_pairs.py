@@ -296,6 +296,15 @@ def test_leaks_of_short_items(spark):
     assert leaks(spark, ["so what is the boiling point? yes", "the boiling point is 3"], ["What is the boiling point?", "too short", None, ""]) == [(0, 0, 0)]
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_exact_copies_leak_whatever_their_words(spark, bound, monkeypatch):
+    """Items of numbers, units and names, and of few words; copies without capitals or punctuation."""
+    monkeypatch.setattr(decontamination, "BITMAP_ROWS", bound)
+    items = ["Compute 12 + 7 * 3 - 4 / 2", "the kings were Anna Émile Peter Maria Paul Johann Karl Otto Élise Ludwig Ernst Fritz Hans", "1914 1918 1939 1945", "Who wrote Faust?", "In 5 kg 7 kg 9 kg 11 kg 13 kg of apples"]
+    texts = [f"So: {items[0]}!", f"Now {items[1].lower()} too", "the kings were Anna. Émile. Peter! Maria? Paul: Johann\nKarl. Otto Élise Ludwig Ernst Fritz Hans", "Years 1914, 1918, 1939, 1945.", "1914 1918 1939 1946", "they asked who wrote faust and", "who wrote", f"So {items[4]}"]
+    assert leaks(spark, texts, items) == [(0, 0, 0), (1, 1, 0), (2, 1, 0), (3, 2, 0), (5, 3, 0), (7, 4, 0)]
+
+
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_leaks_against_plain_search(spark, bound, monkeypatch):
     """Without slots a leak is a run of shared words; with and without the bitmap."""
