@@ -2,8 +2,9 @@
 
 The page becomes a light tree. Elements that never hold an article (menus, forms, scripts, notices and so on, by tag, role,
 class or id) are cut. Each paragraph gives points for its length and commas to its ancestors, less with each level up;
-a container's points are discounted by its link density. The best container is kept, with those of its siblings that
-score well or read like prose, and its blocks are joined in page order.
+a container's points are discounted by its link density. From the best container the choice climbs to the highest article or main
+around it, else to its parent, and on to every ancestor that holds more prose, lists, tables or articles. All blocks in there
+are joined in page order, whatever their points; only those that are mostly links are left out.
 
 Defined cases: null or empty html gives empty text; a page without paragraphs gives the text left in its body; broken
 nesting closes at the nearest open ancestor; pages of any length are taken whole; repeated rows each give their row.
@@ -40,6 +41,10 @@ _GOOD_NAMES = re.compile(r"article|body|content|entry|hentry|h-entry|main|page|p
 _STATE_NAMES = re.compile(r"(?:has|with|no|without|is|js)[-_]", re.I)
 MAIN_NAMES = frozenset("main content article post entry story".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+TEXT_BOXES = ("div", "section", "td", "article", "main", "body", "html")
+LISTS = ("ul", "ol", "dl")
+#: Links alone in these do not make them menus.
+ITEMS = HEADINGS | {"li", "td", "th", "dt", "dd", "caption", "figcaption"}
 TAG_POINTS = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 
 
@@ -166,33 +171,85 @@ def _linky(node: Node) -> bool:
     return node.tag in ("ul", "ol", "dl", "div", "section", "table") and _density(node) > 0.6 and sum(x.tag == "a" for x in _order(node)) >= 3
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    """Texts of the blocks below, in page order."""
-    piece: list[str] = []
+def _blocks(node: Node, out: list[str], best: Node | None = None) -> None:
+    """Texts of the blocks below, in page order. Outside ``best``, where given, a block of mostly links goes too."""
+    piece: list[tuple[str, bool]] = []
+    at, inside, in_link = [node], best is None, 0
+    around, up = set(), best
+    while up is not None:
+        around.add(up)
+        up = up.parent
 
     def flush() -> None:
-        if text := " ".join("".join(piece).split()):
-            out.append(text)
+        if text := " ".join("".join(x for x, _ in piece).split()):
+            n, linked = (sum(len("".join(x.split())) for x, link in piece if link or not only) for only in (False, True))
+            if inside or at[-1].tag in ITEMS or 2 * linked <= n:
+                out.append(text)
         piece.clear()
 
     todo: list = [node]
     while todo:
         x = todo.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
-            piece.append(x)
-        elif x is not node and _linky(x):
-            flush()
-        elif x.tag in BLOCKS:
+        if isinstance(x, str):
+            piece.append((x, in_link > 0))
+        elif isinstance(x, tuple):
+            x = x[0]
+            if x.tag in BLOCKS or x is best:
+                flush()
+            if x.tag in BLOCKS:
+                at.pop()
+            inside = inside and x is not best
+            in_link -= x.tag == "a"
+        elif x is not node and x not in around and (_linky(x) or not inside and x.tag in LISTS and _density(x) > 0.6):
             flush()
-            todo.append(None)
-            todo += reversed(x.items)
         else:
+            if x.tag in BLOCKS or x is best:
+                flush()
+            if x.tag in BLOCKS:
+                at.append(x)
+            inside = inside or x is best
+            in_link += x.tag == "a"
+            todo.append((x,))
             todo += reversed(x.items)
     flush()
 
 
+def _prose(text: str, density: float) -> bool:
+    return density < 0.25 if len(text) > 80 else density == 0 and bool(re.search(r"[.!?…。！？](?:\s|$)", text))
+
+
+def _worth(node: Node) -> bool:
+    """Whether there is an article, prose, a list or a table below that is not mostly links."""
+    for x in _order(node):
+        if x.n and not _linky(x):
+            if x.tag in ("article", "main", *LISTS, "table", "pre", "blockquote", "h1") and _density(x) <= 0.5:
+                return True
+            if x.tag == "p" and _prose(_plain(x), _density(x)):
+                return True
+            if x.tag in TEXT_BOXES and _own_prose(x):
+                return True
+    return False
+
+
+def _own_prose(node: Node) -> bool:
+    """Whether the text directly in the node, with its inline elements, reads like prose."""
+    text = " ".join("".join(x if isinstance(x, str) else " " if x.tag in BLOCKS or x.tag == "a" else _plain(x) for x in node.items).split())
+    return len(text) > 25 and _prose(text, 0.0)
+
+
+def _container(best: Node) -> Node:
+    """The element whose blocks make the text."""
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    marked = [i for i, x in enumerate(path) if x.tag in ("article", "main")]
+    level = marked[-1] if marked else min(1, len(path) - 1)
+    for i in range(level + 1, len(path)):
+        if _own_prose(path[i]) or any(isinstance(x, Node) and x is not path[i - 1] and _worth(x) for x in path[i].items):
+            level = i
+    return path[level]
+
+
 def extract_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -221,19 +278,8 @@ def extract_text(html: str | None) -> str:
     if not scored:
         _blocks(builder.root, out)
         return "\n\n".join(out)
-    best, top = max(scored, key=lambda x: x[1])
-    points = {id(x): p for x, p in scored}
-    if best.parent is None:
-        _blocks(best, out)
-        return "\n\n".join(out)
-    least = max(10.0, 0.2 * top)
-    for x in best.parent.items:
-        if not isinstance(x, Node):
-            continue
-        own = points.get(id(x), 0.0) + (0.2 * top if x.names and x.names == best.names else 0.0)
-        prose = x.tag == "p" and x.n and (_density(x) < 0.25 if x.n > 80 else _density(x) == 0 and bool(re.search(r"[.!?…](?:\s|$)", _plain(x))))
-        if x is best or own >= least or prose or x.tag in HEADINGS and _density(x) == 0:
-            _blocks(x, out)
+    best = max(scored, key=lambda x: x[1])[0]
+    _blocks(_container(best), out, best)
     return "\n\n".join(out)
 
 

@@ -154,6 +154,18 @@ def test_html_without_article_tag():
     assert extraction.extract_text(page) == "One long paragraph, with commas, and with enough words to be found by the scorer.\n\nTwo."
 
 
+def test_html_text_beside_the_best_container():
+    p = "<p>One more paragraph, with commas, and with enough words, really, to be found by the scorer of the pages.</p>"
+    for n in (2, 8, 40):
+        for around in ("<body><article>{}</article></body>", "<body><div>{}</div></body>"):
+            sections = "<section><div>" + p * n + "</div></section><section><div>" + p * n + "</div></section>"
+            assert extraction.extract_text(around.format(sections)).count("One more") == 2 * n
+        page = f"<body><div>Direct text <b>beside</b> it.<div>{p * n}</div><ul><li>one<li>two</ul>tail<table><tr><td>x<td>y</table><blockquote>Short.</blockquote><div><p>End.</p></div><div><a href=1>A</a><a href=2>B</a></div><a href=3>Next page</a></div></body>"
+        got = extraction.extract_text(page).split("\n\n")
+        assert got[0] == "Direct text beside it." and got[n + 1 :] == ["one", "two", "tail", "x", "y", "Short.", "End."]
+    assert extraction.extract_text(f"<body><div><article>{p}</article></div><div><article>{p * 9}</article></div></body>").count("\n\n") == 9
+
+
 def test_license_base_places(spark):
     texts = ["GNU General-Public LICENSE; gnu general public license", "cc by by CC/BY", "mit licenses MIT License", None, "", "apache  license " * 3, "é mit license"]
     got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 labels")).collect()
