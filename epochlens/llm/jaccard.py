@@ -11,7 +11,7 @@ Equal sets are joined first and one stands for all. Signatures travel packed, by
 ``components.link_classes`` verifies by the exact sets.
 
 Defined cases: null or empty text has the empty set and links with nothing; a text of fewer than five words has one element; rows
-with equal ids count as one node; a null id is its own class, null; an empty table gives no rows; other columns are
+equal in id and text count as one node, rows with the same id and other texts as nodes of their own; a null id is its own class, null; an empty table gives no rows; other columns are
 ignored. Texts are taken whole.
 """
 
@@ -100,12 +100,12 @@ def sketch(s: np.ndarray) -> bytes:
 
 def _describe(batches):
     """Per document the size and digest of its set; per slice the shingles that are frequent in it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("sketch", pa.binary()), ("text_hash", pa.int64())])
     for batch in slices(batches, rows=2048, max_bytes=8 << 20):
         sets = shingle_sets(byte_values(batch.column(1)))
         digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         ids = batch.column(0).to_pylist()
-        rows = [(i, len(s), d, None, sketch(s)) for i, s, d in zip(ids, sets, digests, strict=True)]
+        rows = [(i, len(s), d, None, sketch(s), t) for i, s, d, t in zip(ids, sets, digests, batch.column(2).to_pylist(), strict=True)]
         distinct = list({d: s for d, s in zip(digests, sets, strict=True)}.values())
         least = max(4, len(distinct) // 128)
         # Each shingle that a slice holds often is told once per slice, with its count.
@@ -113,7 +113,7 @@ def _describe(batches):
         begins = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.r_[begins, len(every)])
         often = counts >= least
-        rows += [(None, int(c), None, int(v), None) for v, c in zip(every[begins[often]].view(np.int64), counts[often], strict=True)]
+        rows += [(None, int(c), None, int(v), None, None) for v, c in zip(every[begins[often]].view(np.int64), counts[often], strict=True)]
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -163,7 +163,7 @@ def _with_sets(texts: DataFrame, nodes: DataFrame, schema: str, make) -> DataFra
             rows = [make(s) for s in shingle_sets(byte_values(batch.column(1)))]
             yield pa.record_batch([batch.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], names)
 
-    picked = join_sized(texts, nodes.select(F.col("node").alias("doc_id")), ["doc_id"], "left_semi", 32)
+    picked = join_sized(texts, nodes, ["node"], "left_semi", 32)
     return picked.mapInArrow(run, schema)
 
 
@@ -197,27 +197,45 @@ def _check_pairs(batches):
     trim()
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (verified links found for its set)."""
+def _nodes_of_repeated_ids(described: DataFrame) -> DataFrame | None:
+    """doc_id, text_hash, node for texts that share an id with another; the first text of an id has the id as its node."""
+    own = described.filter("digest is not null and doc_id is not null")
+    again = saved(own.groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).filter("low <> high"), "repeated-ids")
+    n = again.count()
+    if not n:
+        return None
+    others = join_sized(own.select("doc_id", "text_hash"), again, ["doc_id"], "inner", 48, n).filter("text_hash <> low").select("doc_id", "text_hash").distinct()
+    return saved(others.withColumn("node", F.xxhash64("doc_id", "text_hash")), "repeated-nodes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """doc_id, text_hash, node, n_shingles, component (a node), n_links per document, and whether ids have several texts."""
     small_batches(docs)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    described = saved(texts.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, shingle long, sketch binary"), "described")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.xxhash64(docs[text_col].cast("string")).alias("text_hash"))
+    described = saved(texts.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, shingle long, sketch binary, text_hash long"), "described")
+    others = _nodes_of_repeated_ids(described)
+    if others is None:
+        described, texts = (df.withColumn("node", F.col("doc_id")) for df in (described, texts))
+    else:
+        n = others.count()
+        described, texts = (join_sized(df, others, ["doc_id", "text_hash"], "left", 48, n).withColumn("node", F.coalesce("node", "doc_id")) for df in (described, texts))
+    texts = texts.select("node", "text")
     members = described.filter("digest is not null").drop("shingle", "sketch")
     # Bounded by HEAVY numbers of eight bytes.
     heavy = np.sort(np.array([r[0] for r in described.filter("shingle is not null").groupBy("shingle").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").collect()], dtype=np.int64).view(np.uint64))
-    # Equal sets: the smallest id stands for all. Only digests seen twice need a join.
-    sets = members.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.first("n_shingles").alias("n"))
+    # Equal sets: the smallest node stands for all. Only digests seen twice need a join.
+    sets = members.filter("node is not null and n_shingles > 0").groupBy("digest").agg(F.min("node").alias("rep"), F.max("node").alias("top"), F.first("n_shingles").alias("n"))
     sets = saved(sets, "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     twice = saved(sets.filter("rep <> top").select("digest", "rep"), "twice")
-    placed = saved(join_sized(members, twice, ["digest"], "left", 96).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "placed")
-    copies = saved(placed.filter("rep <> doc_id").select("doc_id").distinct(), "copies")
-    firsts = join_sized(texts.filter("doc_id is not null"), copies, ["doc_id"], "left_anti", 32)
+    placed = saved(join_sized(members, twice, ["digest"], "left", 96).select("doc_id", "text_hash", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "node")).otherwise(F.col("node")).alias("rep")), "placed")
+    copies = saved(placed.filter("rep <> node").select("node").distinct(), "copies")
+    firsts = join_sized(texts.filter("node is not null"), copies, ["node"], "left_anti", 32)
     buckets = max(1, int(0.5 * total) // BUCKET + 1)
     packed = firsts.mapInArrow(_pack(heavy, buckets), "bucket int, sigs binary, at binary, ids binary")
     groups = saved(packed.groupBy("bucket").applyInArrow(_bucket_groups, "gid long, first long, node long"), "groups")
 
-    sketched = described.filter("digest is not null and doc_id is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "sketch")
+    sketched = described.filter("digest is not null and node is not null").select("node", F.col("n_shingles").alias("size"), "sketch")
 
     def verify(pairs: DataFrame) -> DataFrame:
         # Sketches are a small part of the sets, so only pairs that pass them are held against the sets.
@@ -237,20 +255,39 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_links = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     found = saved(comps.withColumnRenamed("node", "rep").join(n_links, "rep", "left"), "found")
     out = join_sized(placed, found, ["rep"], "left", 64)
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "text_hash", "node", "n_shingles", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), others is not None
+
+
+def _first_of_each(classes: DataFrame) -> DataFrame:
+    """The smallest id of each component and its node."""
+    return classes.filter("node is not null").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links (verified links found for its set)."""
+    classes, several = _classes(docs, id_col, text_col)
+    if several:
+        classes = saved(classes, "classes")
+        classes = classes.join(_first_of_each(classes), "component", "left").withColumn("component", F.col("first.doc_id"))
+    return classes.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their class; of rows with equal ids one stays; null ids stay."""
-    classes = saved(jaccard_classes(docs, id_col, text_col), "classes")
-    gone = saved(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    kept = join_sized(docs, gone, [id_col], "left_anti", 32).select(*docs.columns)
+    """The documents that are the first of their class; of rows equal in id and text one stays; null ids stay."""
+    classes, several = _classes(docs, id_col, text_col)
+    classes = saved(classes, "classes")
+    named = docs.withColumn("__text_hash", F.xxhash64(docs[text_col].cast("string")))
+    if several:
+        gone = classes.join(_first_of_each(classes), "component").filter("node <> first.node")
+        gone, on = gone.select(F.col("doc_id").alias(id_col), F.col("text_hash").alias("__text_hash")), [id_col, "__text_hash"]
+    else:
+        gone, on = classes.filter("component <> doc_id").select(F.col("doc_id").alias(id_col)), [id_col]
+    kept = join_sized(named, saved(gone.distinct(), "gone"), on, "left_anti", 48).select(*docs.columns, "__text_hash")
     ids = classes.filter("doc_id is not null")
-    repeated = saved(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
+    if ids.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+        return kept.select(*docs.columns)
     again = kept[id_col].isNotNull()
-    return kept.filter(~again).unionByName(kept.filter(again).dropDuplicates([id_col]))
+    return kept.filter(~again).unionByName(kept.filter(again).dropDuplicates([id_col, "__text_hash"])).select(*docs.columns)
 
 
 #: DuckDB SQL for the classes over ``{docs}``, by counting common shingles of all pairs.

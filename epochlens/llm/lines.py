@@ -8,8 +8,8 @@ length and the shorter ones in reach, the substrings that can match a segment of
 positions), hashed with length and segment number. Lines that share one are a candidate group. Groups go through
 ``components.link_classes`` with a parity sketch of their trigrams (an edit changes at most three on either side), and pairs that pass are verified by banded bit-parallel edit distance, many pairs at a time.
 
-Defined cases: null text has one blank line; lines of any length are compared whole; rows with equal ids count as one document,
-a null id comes last; an empty table gives no rows; other columns are kept by ``drop_repeated_lines`` and ignored otherwise.
+Defined cases: null text has one blank line; lines of any length are compared whole; a row is known by its id and a digest of its
+text, so rows equal in both count as one document and others with the same id, or without one, are documents of their own; null ids come last; an empty table gives no rows; other columns are kept by ``drop_repeated_lines`` and ignored otherwise.
 A line is known by a 64-bit fingerprint.
 """
 
@@ -20,7 +20,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_sized, mix64, saved, slices, small_batches, trim
@@ -173,17 +173,17 @@ def _edit(a: list, b: list) -> int:
 
 
 def _describe(batches):
-    """A row for each line that is not blank: document, number, fingerprint, and length and sketch for those that may be near others."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
+    """A row for each line that is not blank: document (id and digest), number, fingerprint, and length and sketch for those that may be near others."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
     for batch in slices(batches, rows=2048, max_bytes=1 << 20):
         lines, counts = split_lines(batch.column(1).to_pylist())
         text = Lines(lines)
-        docs = np.repeat(np.asarray(batch.column(0).fill_null(NO_ID).to_numpy(), dtype=np.int64), counts)
+        docs, digests = (np.repeat(np.asarray(c.to_numpy(), dtype=np.int64), counts) for c in (batch.column(0), batch.column(2)))
         number = np.arange(len(lines)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
         used = np.flatnonzero(text.lengths > 0)
         sketches = text.sketches()
         sketches = [sketches[i] for i in used.tolist()]
-        yield pa.record_batch([pa.array(docs[used]), pa.array(number[used].astype(np.int32)), pa.array(text.ids()[used]), pa.array(text.lengths[used].astype(np.int32)), pa.array(sketches, pa.binary())], schema=schema)
+        yield pa.record_batch([pa.array(docs[used]), pa.array(digests[used]), pa.array(number[used].astype(np.int32)), pa.array(text.ids()[used]), pa.array(text.lengths[used].astype(np.int32)), pa.array(sketches, pa.binary())], schema=schema)
 
 
 def _pack(buckets: int):
@@ -242,7 +242,7 @@ def _line_texts(batches):
     schema = pa.schema([("node", pa.int64()), ("line", pa.string())])
     for batch in slices(batches, rows=2048):
         nodes, lines = [], []
-        for t, numbers, hs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for t, numbers, hs in zip(*(batch.column(c).to_pylist() for c in ("text", "numbers", "hs")), strict=True):
             own = (t or "").split("\n")
             lines += [own[i].strip() for i in numbers]
             nodes += hs
@@ -250,11 +250,12 @@ def _line_texts(batches):
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (``NO_ID`` for null), and the numbers of its lines that go, with those that only resemble the line that stays."""
+    """doc_id (``NO_ID`` for null) and digest of each row, and the numbers of its lines that go, with those that only resemble the line that stays."""
     small_batches(docs)
-    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    lines = saved(texts.mapInArrow(_describe, "doc_id long, line_no int, h long, n int, sketch binary"), "lines")
-    first = F.struct("doc_id", "line_no", "n", "sketch")
+    row_id, digest = _row_key(docs, id_col, text_col)
+    texts = docs.select(row_id.alias("doc_id"), docs[text_col].cast("string").alias("text"), digest.alias("digest"))
+    lines = saved(texts.mapInArrow(_describe, "doc_id long, digest long, line_no int, h long, n int, sketch binary"), "lines")
+    first = F.struct("doc_id", "digest", "line_no", "n", "sketch")
     firsts = saved(lines.groupBy("h").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "c", "f.*"), "first-lines")
     total = firsts.filter(F.col("n") >= LEAST).count()
     buckets = max(1, 12 * total // BUCKET + 1)
@@ -267,10 +268,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         with_b = with_a.join(sketched.select(F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
         near = saved(with_b.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_check_sketches, "a long, b long"), "near-lines")
         nodes = saved(near.select(F.col("a").alias("h")).unionByName(near.select(F.col("b").alias("h"))).distinct(), "nodes")
-        places = join_sized(firsts.select("h", "doc_id", "line_no"), nodes, ["h"], "left_semi", 32)
-        by_doc = saved(places.groupBy("doc_id").agg(F.collect_list("line_no").alias("numbers"), F.collect_list("h").alias("hs")), "places")
-        picked = join_sized(texts, by_doc, ["doc_id"], "inner", 24, nodes.count()).select("doc_id", "text", "numbers", "hs")
-        own = picked.dropDuplicates(["doc_id"]) if _repeats(texts) else picked
+        places = join_sized(firsts.select("h", "doc_id", "digest", "line_no"), nodes, ["h"], "left_semi", 32)
+        by_doc = saved(places.groupBy("doc_id", "digest").agg(F.collect_list("line_no").alias("numbers"), F.collect_list("h").alias("hs")), "places")
+        picked = join_sized(texts, by_doc, ["doc_id", "digest"], "inner", 32, nodes.count()).select("doc_id", "text", "digest", "numbers", "hs")
+        own = picked.dropDuplicates(["doc_id", "digest"]) if _repeats(texts) else picked
         lined = own.mapInArrow(_line_texts, "node long, line string")
         with_a = near.join(lined.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
         with_b = with_a.join(lined.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
@@ -280,27 +281,34 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return sketched.join(nodes, "node")
 
     _, comps = link_classes(groups, verify, sketches, most_different)
-    own = firsts.select("h", "c", "doc_id", "line_no").join(comps.withColumnRenamed("node", "h"), "h", "left")
+    place = F.struct("doc_id", "digest", "line_no")
+    own = firsts.select("h", "c", place.alias("at")).join(comps.withColumnRenamed("node", "h"), "h", "left")
     near = own.filter("component is not null")
-    best = near.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("b"))
-    classed = near.join(best, "component").select("h", F.col("b.doc_id").alias("keep_doc"), F.col("b.line_no").alias("keep_line"), ((F.col("b.doc_id") != F.col("doc_id")) | (F.col("b.line_no") != F.col("line_no"))).alias("is_near"))
-    alone = own.filter("component is null and c > 1").select("h", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"), F.lit(False).alias("is_near"))
+    best = near.groupBy("component").agg(F.min("at").alias("keep"))
+    classed = near.join(best, "component").select("h", "keep", (F.col("keep") != F.col("at")).alias("is_near"))
+    alone = own.filter("component is null and c > 1").select("h", F.col("at").alias("keep"), F.lit(False).alias("is_near"))
     keep = saved(classed.unionByName(alone), "keep-lines")
-    hit = join_sized(lines.select("doc_id", "line_no", "h"), keep, ["h"], "inner", 48)
-    gone = hit.filter("doc_id <> keep_doc or line_no <> keep_line")
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("is_near"), F.col("line_no"))).alias("near"))
+    hit = join_sized(lines.select("doc_id", "digest", "line_no", "h"), keep, ["h"], "inner", 56)
+    gone = hit.filter(place != F.col("keep"))
+    return gone.groupBy("doc_id", "digest").agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("is_near"), F.col("line_no"))).alias("near"))
+
+
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What a row is known by: its id, ``NO_ID`` for null, and a digest of its text."""
+    return F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(docs[text_col].cast("string"))
 
 
 def _repeats(texts: DataFrame) -> bool:
-    """Whether ids repeat; then one of the rows stands for the id's lines."""
-    return not texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+    """Whether rows repeat; then one of them stands for all."""
+    return not texts.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
 
 
 def _with_gone(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = saved(removed_lines(docs, id_col, text_col), "gone").select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
-    rows = docs.withColumn("__id", F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)))
+    gone = saved(removed_lines(docs, id_col, text_col), "gone").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
+    row_id, digest = _row_key(docs, id_col, text_col)
+    rows = docs.withColumns({"__id": row_id, "__digest": digest})
     count = gone.agg(F.sum(F.size("__gone") + F.size("__near")), F.count(F.lit(1))).first()
-    return join_sized(rows, gone, ["__id"], "left", 1, (count[0] or 0) * 8 + (count[1] or 0) * 64)
+    return join_sized(rows, gone, ["__id", "__digest"], "left", 1, (count[0] or 0) * 8 + (count[1] or 0) * 72)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -120,6 +120,18 @@ def test_jaccard_odd_ids(spark):
     assert jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    """A row goes for its own text only."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    df = frame(spark, [a, a + " z", b, c, c + " y", c, b + " x"], [7, 9, 9, 5, 5, 5, 4])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(df).collect())
+    assert got == sorted([(7, 46, 7), (9, 47, 7), (9, 46, 4), (5, 46, 5), (5, 47, 5), (5, 46, 5), (4, 47, 4)])
+    kept = sorted((r["doc_id"], r["text"][:2]) for r in jaccard.keep_one_of_each(df).collect())
+    assert kept == [(4, "b0"), (5, "c0"), (7, "a0")]
+    kept = sorted((r["doc_id"], r["text"][:2]) for r in jaccard.keep_one_of_each(df.filter("doc_id <> 4")).collect())
+    assert kept == [(5, "c0"), (7, "a0"), (9, "b0")]
+
+
 def test_long_text_has_all_shingles():
     words = [f"a{i}" for i in range(300_000)]
     assert len(shingle_sets([" ".join(words).encode()])[0]) == 299_996
@@ -271,6 +283,16 @@ def test_lines_odd(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0 and lines.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """A line goes for its own text only, and one of each class stays."""
+    long = "a line that is long enough to be compared with others by edits"
+    texts = ["s\nu1", "u2\nx", "s", "q\nv1", "q\nv2", "r\na", "b\nr", f"k\nl\n{long}", "z", long + "s", "dd\ndd", "dd\ndd"]
+    df = frame(spark, texts, [None, None, 5, None, None, 7, 7, 8, 8, 9, 3, 3])
+    kept = sorted(x for r in lines.drop_repeated_lines(df).collect() for x in r["text"].split("\n") if x)
+    assert kept == sorted(["s", "u1", "u2", "x", "q", "v1", "v2", "r", "a", "b", "k", "l", long, "z", "dd", "dd"])
+    assert sum(r["n_removed"] for r in lines.dedup_lines(df).collect()) == 6
+
+
 # ---- benchmark items
 
 ITEM = "If Anna buys 12 apples and 7 pears for 30 dollars, how many fruits does Anna have in total?"
