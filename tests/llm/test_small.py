@@ -205,13 +205,17 @@ def test_mix_against_sql(spark):
     assert key(got) == key(want) == key(mixed(spark, frame.sample(frac=1, random_state=1)))
     src = got.merge(frame[["doc_id", "source"]], on="doc_id").fillna({"source": "~null"}).groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), n=("size", "sum"), most=("source_size", "first"))
     assert (got.taken <= 2 * got["size"]).all() and (src.n == src.most).all()
-    assert abs(src.target.sum() - 1.5 * src.n.sum()) < 1e-6 and ((src.taken - src.target).abs() <= mixing.BLOCK).all()
+    assert abs(src.target.sum() - 1.5 * src.n.sum()) < 1e-6 and ((src.taken - src.target).abs() <= 2 * mixing.BLOCK).all()
+
+
+def keyed(spark, rows, columns):
+    return spark.createDataFrame(rows, "s_key string, " + columns).selectExpr("false s_null", "*")
 
 
 def test_mix_targets_fill_up(spark):
-    sizes = {"a": 10, "b": 1000, "c": 500, "d": 5}
-    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
-    weight, left, target = dict(zip("abcd", (5, 2, 1, 5), strict=True)), 1.5 * sum(sizes.values()), {}
+    sizes = {"a": 10, "b": 1000, "c": 500, "d": 5, "e": 0}
+    got = {r["s_key"]: r["target"] for r in mixing.source_targets(keyed(spark, list(sizes.items()), "source_size long")).collect()}
+    weight, left, target = dict(zip("abcde", (5, 2, 1, 5, 2), strict=True)), 1.5 * sum(sizes.values()), {}
     while True:  # share, fix those above their cap, share the rest anew
         free = [s for s in sizes if s not in target]
         level = (left - sum(target.values())) / sum(weight[s] for s in free)
@@ -223,21 +227,43 @@ def test_mix_targets_fill_up(spark):
     assert got == pytest.approx(target)
 
 
+@pytest.mark.parametrize("shard_words", [20_000_000, 2_000_000, 200_000])
+def test_mix_small_sources_get_their_targets(spark, monkeypatch, shard_words):
+    """A source's words do not depend on the shards of the corpus."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+    docs = spark.range(2000).selectExpr("id doc_id", "repeat('w ', 10000) text", "'big' source")
+    for k, (n, words) in enumerate([(15, 20), (1, 300), (300, 1), (2000, 20)]):
+        docs = docs.unionByName(spark.range(n).selectExpr(f"id + {10000 * (k + 1)} doc_id", f"repeat('w ', {words}) text", f"'small{k}' source"))
+    got = mixing.mix_sources(docs).groupBy("source_size", "target").agg({"taken": "sum"}).collect()
+    sums = sorted((r["source_size"], r["target"], r["sum(taken)"]) for r in got)
+    assert sum(r[1] for r in sums) <= 1.5 * 20_040_900
+    assert sums[0][:2] == (300, 600.0) and 1750 <= sums[0][2] <= 1800 and sums[1][:2] == (40000, 80000.0)
+    assert all(abs(t - w) <= 0.01 * w for n, w, t in sums if n != 300)
+
+
 def test_mix_odd(spark):
-    rows = [(1, "a b", None), (1, "a b", None), (None, "c", "x"), (2, None, "x")]
-    assert mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 4
+    rows = [(1, "a b", None), (1, "a b", None), (None, "c", "x"), (2, None, "x"), (3, "w " * 50_000, "y")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == 5 and got[got.doc_id.isna()][["size", "source_size"]].values.tolist() == [[1, 1]] and (got.taken <= 2 * got["size"]).all()
     assert spark.createDataFrame([], "doc_id long, text string, source string").transform(mixing.mix_sources).count() == 0
 
 
 def test_quotas_are_highest_quotients(spark):
     r = random.Random(4)
-    cells = [(s, False, f"s{i}", 100000, r.random() * 5000) for s in range(3) for i in range(12)]
-    got = {(x["shard"], x["s_key"]): x["quota"] for x in mixing.shard_quotas(spark.createDataFrame(cells, "shard long, s_null boolean, s_key string, words long, target double")).collect()}
-    for s in range(3):
-        own = [c for c in cells if c[0] == s]
-        blocks = int(sum(c[4] for c in own) / mixing.BLOCK + 0.5)
-        quotients = sorted(((c[4] / (j - 0.5), c[2]) for c in own for j in range(1, 100)), reverse=True)[:blocks]
-        assert {c[2]: got[s, c[2]] for c in own} == {c[2]: sum(k == c[2] for _, k in quotients) for c in own}
+    for low, high in ((5000, 9000), (40, 60), (0, 9000)):
+        targets = [(f"s{i}", r.uniform(low, high)) for i in range(40)]
+        got = {x["s_key"]: (x["unit"], x["quota"]) for x in mixing.source_quotas(keyed(spark, targets, "target double")).collect()}
+        for unit in {u for u, _ in got.values()}:
+            own = [t for t in targets if got[t[0]][0] == unit]
+            quotients = sorted(((t / (j - 0.5), s) for s, t in own for j in range(1, 100)), reverse=True)[: int(sum(t for _, t in own) / unit + 0.5)]
+            assert {s: got[s][1] for s, _ in own} == {s: sum(k == s for _, k in quotients) for s, _ in own}
+            assert all(unit == mixing.BLOCK or mixing.LEAST_BLOCKS * unit * 2 > t for _, t in own)
+
+
+def test_running_sums(spark):
+    rows = spark.range(5000).selectExpr("id", "(id * 7919) % 5000 k").repartition(7)
+    got = mixing.running_sums(rows, [mixing.F.col("k")], {"n": mixing.F.col("k")}).collect()
+    assert len(got) == 5000 and all(r["n"] == r["k"] * (r["k"] + 1) // 2 for r in got)
 
 
 def test_quality_held_out(spark):
