@@ -1,19 +1,23 @@
 """HTML extraction by tree scoring.
 
-The page becomes a light tree. Elements that never hold an article (menus, forms, scripts, notices and so on, by tag, role,
-class or id) are cut. Each paragraph gives points for its length and commas to its ancestors, less with each level up;
-a container's points are discounted by its link density. From the best container the choice climbs to the highest article or main
-around it, else to its parent, and on to every ancestor that holds more prose, lists, tables or articles. All blocks in there
-are joined in page order, whatever their points; only those that are mostly links are left out.
-
-Defined cases: null or empty html gives empty text; a page without paragraphs gives the text left in its body; broken
-nesting closes at the nearest open ancestor; pages of any length are taken whole; repeated rows each give their row.
+One linear pass reads the markup, whatever its faults, into elements and runs: a run is the text between two block boundaries, with how much
+of it is linked. Elements that never hold an article (menus, forms, scripts, notices and so on, by tag, role, or a class or id that says
+nothing else) are cut. Each paragraph passes points for its length and commas to its ancestors, less with each level up; a
+container's points are discounted by its link density. From the best container the choice climbs to the highest article or main around
+it, else to its parent, and on to every ancestor that holds more prose, lists, tables or articles beside. All runs in there are joined in
+page order, whatever their points; only outside articles and the best container are those that are mostly links left out.
+
+Defined cases: null or empty html gives empty text; a page without paragraphs gives the text left in its body; of equal containers the
+first wins; broken nesting closes at the nearest open ancestor; a comment, declaration, tag or script without an end reaches to the end of
+the page, as in browsers; an article inside an unclosed menu or a form counts; pages of any length are taken whole; repeated rows each give
+their row; null ids and urls stay null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,265 +25,334 @@ from pyspark.sql import DataFrame
 from .common import slices, small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Their content is no markup, up to their own end tag.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 CUT_TAGS = frozenset(
-    "script style noscript template head title iframe object svg math canvas audio video map form fieldset input select option textarea button nav header footer aside menu dialog".split()
+    "script style noscript template head title iframe object svg math canvas audio video map form fieldset input select option textarea button nav header footer aside menu dialog noembed noframes".split()
 )
+#: An article inside these is still an article.
+LOOSE_CUTS = frozenset("nav header menu form fieldset".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"body", "html"}
+#: Start tag -> tags that it closes, each up to the nearest of the stops.
+CLOSES = {
+    "li": [("li", ("ul", "ol", "menu"))],
+    "td": [("td", ("table", "tr")), ("th", ("table", "tr"))],
+    "th": [("td", ("table", "tr")), ("th", ("table", "tr"))],
+    "tr": [("td", ("table",)), ("th", ("table",)), ("tr", ("table",))],
+    "dd": [("dd", ("dl",)), ("dt", ("dl",))],
+    "dt": [("dd", ("dl",)), ("dt", ("dl",))],
+    "option": [("option", ("select",))],
+    "body": [("head", ())],
+}
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
-_CUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|breadcrumbs?|combx|comments?|commentlist|disqus|respond|replies|reply|community|cookies?|consent|gdpr|notices?|notification|alert|"
-    r"extra|foot|footer|footnav|header|masthead|topbar|legends|menu|menus|nav|navbar|navigation|modal|popup|overlay|newsletter|subscribe|signup|login|pager|pagination|related|recommend\w*|remark|rss|"
-    r"share|sharing|social|shoutbox|sidebar|side|sidenav|skyscraper|subnav|toolbar|toc|widgets?|yom-remote|outbrain|taboola)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and ids that tell of what is no article, and words that say nothing beside them.
+CUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist reply replies respond cookie cookies consent gdpr notice "
+    "notices notification alert footer foot footnav header masthead topbar menu menus nav navbar navigation subnav sidenav modal popup overlay newsletter subscribe signup login pager pagination related recommended "
+    "recommendations share sharing social sidebar skyscraper toolbar toc widget widgets".split()
 )
+PLAIN_WORDS = frozenset(
+    "site page global main top bottom left right inner outer wrap wrapper container box block section area item items list link links button buttons btn bar row col column content body text module panel group holder slot "
+    "unit primary secondary mobile desktop sticky fixed float floating post posts entry article articles blog story reader readers user users the id class js ui form policy icons media".split()
+)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _GOOD_NAMES = re.compile(r"article|body|content|entry|hentry|h-entry|main|page|post|text|blog|story", re.I)
 #: Classes such as has-sidebar tell of the page's state, not of the element's kind.
 _STATE_NAMES = re.compile(r"(?:has|with|no|without|is|js)[-_]", re.I)
 MAIN_NAMES = frozenset("main content article post entry story".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-TEXT_BOXES = ("div", "section", "td", "article", "main", "body", "html")
-LISTS = ("ul", "ol", "dl")
+TEXT_BOXES = frozenset("div section td article main body html".split())
+LISTS = frozenset("ul ol dl".split())
 #: Links alone in these do not make them menus.
 ITEMS = HEADINGS | {"li", "td", "th", "dt", "dd", "caption", "figcaption"}
 TAG_POINTS = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 
+# No part of these is read twice, so they are linear on any text.
+_MARKUP = re.compile(r"<(?:!--|[!?]|/[A-Za-z]|/|[A-Za-z])")
+_NAME = re.compile(r"[^\s/>]++")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>][^\s/>=]*+)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+)?""")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
-class Node:
-    __slots__ = ("cut", "items", "links", "n", "names", "parent", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, names: str) -> None:
-        self.tag, self.parent, self.cut, self.names = tag, parent, cut, names
-        self.items: list = []
-        self.points: float | None = None
-        self.n = self.links = 0
+class Node:
+    """An element that is not cut; its runs are ``first`` to ``last``."""
 
+    __slots__ = ("after", "cut", "depth", "first", "last", "links", "names", "parent", "points", "tag")
 
-class TreeBuilder(HTMLParser):
-    """Builds the tree; text below a cut element is not stored."""
+    def __init__(self, tag: str, parent: Node | None, cut: bool, names: str, depth: int) -> None:
+        self.tag, self.parent, self.cut, self.names, self.depth = tag, parent, cut, names, depth
+        self.first = self.last = self.links = 0
+        self.points: float | None = None
+        self.after = 0
+
+
+def named_cut(names: str) -> bool:
+    """Whether a class or id tells of a menu, advert, notice or the like, and of nothing else."""
+    tokens = names.split()
+    if any(x.lower() in MAIN_NAMES for x in tokens):
+        return False
+    for token in tokens:
+        if not _STATE_NAMES.match(token):
+            words = [w.lower() for w in _WORDS.findall(token)]
+            if any(w in CUT_WORDS for w in words) and all(w in CUT_WORDS or w in PLAIN_WORDS or w.isdigit() or len(w) == 1 for w in words):
+                return True
+    return False
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("html", None, False, "")
-        self.at = self.root
-        self.cut = 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "br":
-            self.at.items.append(" ")
+class Page:
+    """Elements and runs of a page, from one pass over its markup."""
+
+    def __init__(self, html: str) -> None:
+        self.root = Node("html", None, False, "", 0)
+        self.nodes, self.stack = [self.root], [self.root]
+        #: Depths of the open elements by tag, of open blocks other than p, and of open cuts.
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.cuts: list[int] = []
+        self.cut = self.in_link = 0
+        self.texts: list[str] = []
+        self.owners: list[Node] = []
+        self.chars: list[int] = []
+        self.linked: list[int] = []
+        self.piece: list[str] = []
+        self.sizes = [0, 0]
+        self.read(html)
+        while len(self.stack) > 1:
+            self.pop()
+        self.flush()
+        self.root.last = len(self.texts)
+
+    def read(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            found = _MARKUP.search(html, at)
+            if found is None:
+                self.text(html[at:])
+                return
+            begin, kind = found.start(), found.group()
+            if begin > at:
+                self.text(html[at:begin])
+            if kind == "<!--":
+                end = _COMMENT_END.search(html, begin + 2)
+                at = n if end is None else end.end()
+            elif kind in ("<!", "<?", "</"):
+                end = html.find(">", begin)
+                at = n if end < 0 else end + 1
+            else:
+                closing = kind[1] == "/"
+                name = _NAME.match(html, begin + 1 + closing)
+                tag, at, attributes = name.group().lower(), name.end(), {}
+                while at < n and html[at] != ">":
+                    part = _ATTRIBUTE.match(html, at)
+                    if part.end() == at:
+                        at += 1
+                        continue
+                    at = part.end()
+                    if part[1] and not closing:
+                        attributes.setdefault(part[1].lower(), next((x for x in part.groups()[1:] if x is not None), ""))
+                if at >= n:
+                    return
+                at += 1
+                if closing:
+                    self.end(tag)
+                    continue
+                self.start(tag, attributes)
+                if tag in RAW:
+                    end = _RAW_ENDS[tag].search(html, at)
+                    if end is not None:
+                        at = end.start()
+                    elif tag != "title":
+                        return
+
+    def text(self, data: str) -> None:
+        if not self.cut:
+            data = unescape(data) if "&" in data else data
+            self.piece.append(data)
+            size = len("".join(data.split()))
+            self.sizes[0] += size
+            if self.in_link:
+                self.sizes[1] += size
+
+    def flush(self) -> None:
+        if self.piece:
+            if text := " ".join("".join(self.piece).split()):
+                self.texts.append(text)
+                self.owners.append(self.stack[max(self.blocks[-1:] + self.open.get("p", [])[-1:], default=0)])
+                self.chars.append(self.sizes[0])
+                self.linked.append(self.sizes[1])
+            self.piece, self.sizes = [], [0, 0]
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        if tag == "br" and not self.cut:
+            self.piece.append(" ")
         if tag in VOID:
             if tag == "hr":
-                self.at.items.append(Node("hr", self.at, False, ""))
+                self.flush()
             return
-        if tag in ("html", "body") and not attrs and self.at is self.root:
+        if tag in ("html", "body") and len(self.stack) == 1 and not attributes:
             return
         if tag in CLOSES_P:
-            self.close_open("p", BLOCKS - {"p"})
-        if tag == "li":
-            self.close_open("li", {"ul", "ol", "menu"})
-        elif tag in ("td", "th", "tr"):
-            for open_tag in ("td", "th") if tag != "tr" else ("td", "th", "tr"):
-                self.close_open(open_tag, {"table", "tr"} if open_tag != "tr" else {"table"})
-        elif tag in ("dd", "dt"):
-            for open_tag in ("dd", "dt"):
-                self.close_open(open_tag, {"dl"})
-        elif tag == "option":
-            self.close_open("option", {"select"})
-        elif tag == "body":
-            self.close_open("head", set())
-        a = dict(attrs)
-        names = f"{a.get('class') or ''} {a.get('id') or ''}".strip()
-        cut = tag in CUT_TAGS or (a.get("role") or "").lower() in CUT_ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or bool(a.get("style") and _HIDDEN.search(a["style"]))
-        if not cut and names and tag not in ("html", "body", "article", "main"):
-            tokens = [x for x in names.split() if not _STATE_NAMES.match(x)]
-            cut = any(_CUT_NAMES.search(x) for x in tokens) and not any(x.lower() in MAIN_NAMES for x in tokens)
-        node = Node(tag, self.at, cut, names)
-        if not cut:
-            self.at.items.append(node)
-        self.at = node
+            self.close("p", self.blocks)
+        for other, stops in CLOSES.get(tag, ()):
+            self.close(other, *(self.open.get(s, ()) for s in stops))
+        names = unescape(f"{attributes.get('class', '')} {attributes.get('id', '')}".strip())
+        cut = (
+            tag in CUT_TAGS or attributes.get("role", "").lower() in CUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
+            or bool(names) and tag not in ("html", "body", "article", "main") and named_cut(names)
+        )
+        parent = self.stack[-1]
+        node = Node(tag, parent, cut, names, len(self.stack))
+        node.after = self.cut
+        if tag in BLOCKS and not self.cut:
+            self.flush()
+        if tag in ("article", "main") and not cut and self.cut and all(self.stack[d].tag in LOOSE_CUTS for d in self.cuts):
+            self.cut = 0
         self.cut += cut
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def close_open(self, tag: str, stops) -> None:
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            if node.tag in stops or node.cut:
-                return
-            node = node.parent
-        if node is not self.root:
-            self.close(node)
-
-    def close(self, node: Node) -> None:
-        while self.at is not node:
-            self.cut -= self.at.cut
-            self.at = self.at.parent
-        self.cut -= node.cut
-        self.at = node.parent
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.close(node)
-
-    def handle_data(self, data: str) -> None:
+        if cut:
+            self.cuts.append(node.depth)
+        node.first = len(self.texts)
         if not self.cut:
-            self.at.items.append(data)
-
-
-def _order(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        out.append(node)
-        todo += [x for x in reversed(node.items) if isinstance(x, Node)]
-    return out
-
-
-def _plain(node: Node) -> str:
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            todo += reversed(x.items)
-    return " ".join("".join(out).split())
-
-
-def _measure(nodes: list[Node]) -> None:
-    """Characters of text and of link text below each node, children before parents."""
-    for node in reversed(nodes):
-        own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
-        kids = [x for x in node.items if isinstance(x, Node)]
-        node.n = own + sum(k.n for k in kids)
-        node.links = node.n if node.tag == "a" else sum(k.links for k in kids)
-
-
-def _density(node: Node) -> float:
-    return node.links / node.n if node.n else 0.0
-
-
-def _linky(node: Node) -> bool:
-    """A list or box that is mostly links: a menu."""
-    return node.tag in ("ul", "ol", "dl", "div", "section", "table") and _density(node) > 0.6 and sum(x.tag == "a" for x in _order(node)) >= 3
-
-
-def _blocks(node: Node, out: list[str], best: Node | None = None) -> None:
-    """Texts of the blocks below, in page order. Outside ``best``, where given, a block of mostly links goes too."""
-    piece: list[tuple[str, bool]] = []
-    at, inside, in_link = [node], best is None, 0
-    around, up = set(), best
-    while up is not None:
-        around.add(up)
-        up = up.parent
-
-    def flush() -> None:
-        if text := " ".join("".join(x for x, _ in piece).split()):
-            n, linked = (sum(len("".join(x.split())) for x, link in piece if link or not only) for only in (False, True))
-            if inside or at[-1].tag in ITEMS or 2 * linked <= n:
-                out.append(text)
-        piece.clear()
-
-    todo: list = [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            piece.append((x, in_link > 0))
-        elif isinstance(x, tuple):
-            x = x[0]
-            if x.tag in BLOCKS or x is best:
-                flush()
-            if x.tag in BLOCKS:
-                at.pop()
-            inside = inside and x is not best
-            in_link -= x.tag == "a"
-        elif x is not node and x not in around and (_linky(x) or not inside and x.tag in LISTS and _density(x) > 0.6):
-            flush()
-        else:
-            if x.tag in BLOCKS or x is best:
-                flush()
-            if x.tag in BLOCKS:
-                at.append(x)
-            inside = inside or x is best
-            in_link += x.tag == "a"
-            todo.append((x,))
-            todo += reversed(x.items)
-    flush()
-
-
-def _prose(text: str, density: float) -> bool:
-    return density < 0.25 if len(text) > 80 else density == 0 and bool(re.search(r"[.!?…。！？](?:\s|$)", text))
-
-
-def _worth(node: Node) -> bool:
-    """Whether there is an article, prose, a list or a table below that is not mostly links."""
-    for x in _order(node):
-        if x.n and not _linky(x):
-            if x.tag in ("article", "main", *LISTS, "table", "pre", "blockquote", "h1") and _density(x) <= 0.5:
-                return True
-            if x.tag == "p" and _prose(_plain(x), _density(x)):
-                return True
-            if x.tag in TEXT_BOXES and _own_prose(x):
-                return True
-    return False
-
-
-def _own_prose(node: Node) -> bool:
-    """Whether the text directly in the node, with its inline elements, reads like prose."""
-    text = " ".join("".join(x if isinstance(x, str) else " " if x.tag in BLOCKS or x.tag == "a" else _plain(x) for x in node.items).split())
-    return len(text) > 25 and _prose(text, 0.0)
-
-
-def _container(best: Node) -> Node:
-    """The element whose blocks make the text."""
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    marked = [i for i, x in enumerate(path) if x.tag in ("article", "main")]
-    level = marked[-1] if marked else min(1, len(path) - 1)
-    for i in range(level + 1, len(path)):
-        if _own_prose(path[i]) or any(isinstance(x, Node) and x is not path[i - 1] and _worth(x) for x in path[i].items):
-            level = i
-    return path[level]
+            self.nodes.append(node)
+        self.stack.append(node)
+        self.open.setdefault(tag, []).append(node.depth)
+        if tag in BLOCKS and tag != "p":
+            self.blocks.append(node.depth)
+        if tag == "a" and not self.cut:
+            self.in_link += 1
+            node.links = 1
+
+    def close(self, tag: str, *stops) -> None:
+        """Close the innermost open ``tag`` unless a stop or a cut is nearer."""
+        depths = self.open.get(tag)
+        if depths and all(not s or s[-1] < depths[-1] for s in (*stops, self.cuts if tag != "head" else ())):
+            self.pop_to(depths[-1])
+
+    def end(self, tag: str) -> None:
+        if tag == "p" and not self.open.get("p"):
+            self.flush()
+        elif depths := self.open.get(tag):
+            self.pop_to(depths[-1])
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.pop()
+
+    def pop(self) -> None:
+        node = self.stack[-1]
+        if node.tag in BLOCKS and not self.cut:
+            self.flush()
+        self.stack.pop()
+        self.open[node.tag].pop()
+        if node.tag in BLOCKS and node.tag != "p":
+            self.blocks.pop()
+        if node.cut:
+            self.cuts.pop()
+        if node.tag == "a" and node.links:
+            self.in_link -= 1
+        self.cut = node.after
+        # A run that goes on past an inline element belongs to what is around it.
+        node.last = len(self.texts)
+        if node.parent is not None:
+            node.parent.links += node.links
+
+
+def _prose(text: str, linked: float) -> bool:
+    return linked < 0.25 if len(text) > 80 else linked == 0 and bool(re.search(r"[.!?…。！？](?:\s|$)", text))
+
+
+class Scores:
+    """Sums over the runs of a page, so that any element's figures take one step."""
+
+    def __init__(self, page: Page) -> None:
+        self.page = page
+        self.chars = [0, *accumulate(page.chars)]
+        self.linked = [0, *accumulate(page.linked)]
+        worth = []
+        for text, owner, chars, linked in zip(page.texts, page.owners, page.chars, page.linked, strict=True):
+            share = linked / chars if chars else 0.0
+            prose = owner.tag == "p" and _prose(text, share) or owner.tag in TEXT_BOXES and len(text) > 25 and _prose(text, share)
+            worth.append(int(prose or share <= 0.5 and owner.tag in ("article", "main", "pre", "blockquote", "h1")))
+        for node in page.nodes:
+            # A list or table tells of an article where it is not mostly links.
+            if (node.tag in LISTS or node.tag == "table") and node.last > node.first and self.density(node) <= 0.5:
+                worth[node.first] = 1
+        self.worth = [0, *accumulate(worth)]
+
+    def density(self, node: Node) -> float:
+        n = self.chars[node.last] - self.chars[node.first]
+        return (self.linked[node.last] - self.linked[node.first]) / n if n else 0.0
+
+    def menu(self, node: Node) -> bool:
+        """A list or box that is mostly links."""
+        return node.tag in ("ul", "ol", "dl", "div", "section", "table") and self.density(node) > 0.6 and (node.links >= 3 or node.tag in LISTS)
+
+    def best(self) -> Node | None:
+        """The container with the most points, discounted by link density; the first of equal ones."""
+        for text, owner in zip(self.page.texts, self.page.owners, strict=True):
+            if owner.tag in ("p", "pre", "blockquote"):
+                above = owner.parent
+            elif owner.tag in TEXT_BOXES and owner is not self.page.root and len(text) > 25:
+                above = owner
+            else:
+                continue
+            points, share = 1.0 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0), 1.0
+            for level in range(4):
+                if above is None:
+                    break
+                if above.points is None:
+                    above.points = TAG_POINTS.get(above.tag, 0.0) + (25.0 if above.names and _GOOD_NAMES.search(above.names) else 0.0)
+                above.points += points * share
+                above, share = above.parent, 1.0 / (2 + 1.5 * level)
+        scored = [x for x in self.page.nodes if x.points is not None]
+        return max(scored, key=lambda x: x.points * (1 - self.density(x)), default=None)
+
+    def container(self, best: Node) -> Node:
+        """The element whose runs make the text."""
+        path = [best]
+        while path[-1].parent is not None:
+            path.append(path[-1].parent)
+        marked = [i for i, x in enumerate(path) if x.tag in ("article", "main")]
+        level = marked[-1] if marked else min(1, len(path) - 1)
+        inner = self.worth[path[level].last] - self.worth[path[level].first]
+        for i in range(level + 1, len(path)):
+            around = self.worth[path[i].last] - self.worth[path[i].first]
+            if around > inner:
+                level, inner = i, around
+        return path[level]
 
 
 def extract_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    builder = TreeBuilder()
-    builder.feed(html)
-    HTMLParser.close(builder)
-    nodes = _order(builder.root)
-    _measure(nodes)
-    for node in nodes:
-        is_text_box = node.tag in ("div", "section", "td", "article", "main", "body") and any(isinstance(x, str) and len(x.strip()) > 25 for x in node.items)
-        if not (node.tag in ("p", "pre", "blockquote") or is_text_box) or not node.n:
-            continue
-        text = _plain(node) if not is_text_box else " ".join("".join(x for x in node.items if isinstance(x, str)).split())
-        points = 1.0 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0)
-        above, share = (node if is_text_box else node.parent), 1.0
-        for level in range(4):
-            if above is None:
-                break
-            if above.points is None:
-                above.points = TAG_POINTS.get(above.tag, 0.0) + (25.0 if above.names and _GOOD_NAMES.search(above.names) else 0.0)
-            above.points += points * share
-            above, share = above.parent, 1.0 / (2 + 1.5 * level)
-    scored = [(x, x.points * (1 - _density(x))) for x in nodes if x.points is not None]
-    out: list[str] = []
-    if not scored:
-        _blocks(builder.root, out)
-        return "\n\n".join(out)
-    best = max(scored, key=lambda x: x[1])[0]
-    _blocks(_container(best), out, best)
+    page = Page(html)
+    scores = Scores(page)
+    best = scores.best()
+    if best is None:
+        return "\n\n".join(page.texts)
+    container = scores.container(best)
+    inside, dropped = bytearray(len(page.texts) + 1), bytearray(len(page.texts) + 1)
+    reach = at = 0
+    for node in sorted((x for x in page.nodes if x is best or x.tag in ("article", "main")), key=lambda x: x.first):
+        for i in range(max(node.first, reach), node.last):
+            inside[i] = 1
+        reach = max(reach, node.last)
+    for node in page.nodes:
+        # Nodes come in page order, so what a menu holds is passed over.
+        if node.first >= at and node is not container and scores.menu(node) and not inside[node.first] and not (node.first <= best.first and best.last <= node.last):
+            for i in range(node.first, node.last):
+                dropped[i] = not inside[i]
+            at = node.last
+    out = []
+    for i in range(container.first, container.last):
+        linky = page.owners[i].tag not in ITEMS and 2 * page.linked[i] > page.chars[i]
+        if inside[i] or not dropped[i] and not linky:
+            out.append(page.texts[i])
     return "\n\n".join(out)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import duckdb
@@ -147,6 +148,7 @@ def test_html_odd(spark):
     got = extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 text")).collect()
     assert [(r["page_id"], r["text"]) for r in got if r["page_id"]] == [(1, ""), (2, ""), (3, "plain words"), (4, "a\n\nb"), (5, "Sh."), (5, "Sh.")]
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert extraction.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_html_without_article_tag():
@@ -166,6 +168,74 @@ def test_html_text_beside_the_best_container():
     assert extraction.extract_text(f"<body><div><article>{p}</article></div><div><article>{p * 9}</article></div></body>").count("\n\n") == 9
 
 
+WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
+
+
+def made_page(r: random.Random) -> tuple[str, str]:
+    """A page with boilerplate of every kind around and inside an article, and the blocks that must come out."""
+    sentence = lambda n: " ".join(r.choice(WORDS) for _ in range(n)).capitalize() + r.choice([".", "!", ", too."])
+    junk = lambda: r.choice([
+        f"<nav><ul>{''.join(f'<li><a href=/{i}>{sentence(2)}</a>' for i in range(4))}</ul></nav>", f"<div class='{r.choice(['ad', 'site-footer', 'cookie-notice', 'commentList', 'social share', 'ad-300x250'])}'><p>{sentence(20)}</p></div>",
+        f"<aside><p>{sentence(25)}</p></aside>", f"<script>if (a<b) document.write('<p>{sentence(9)}</p>')</script>", f"<form><p>{sentence(8)}</p><input name=q></form>", f"<!-- <p>{sentence(5)}</p> -->", "<style>p > a {}</style>",
+        f"<section id=comments><div><p>{sentence(30)}</p></div></section>", f"<footer>{sentence(12)}</footer>", f"<div role=navigation><a href=x>{sentence(2)}</a></div>", f"<p hidden>{sentence(20)}</p>", f"<![if x]><?php {sentence(3)} ?>",
+    ])
+    blocks, body = [], ""
+    for _ in range(r.randint(4, 12)):
+        kind = r.randrange(7)
+        text = sentence(r.choice([2, 12, 40]))
+        if kind < 3:
+            tag = r.choice(["p", "h2", "blockquote", "pre"])
+            body += f"<{tag} class='{r.choice(['', 'related-work', 'notice-board', 'lead'])}'>\n {text.replace(' ', r.choice([' ', '  ', chr(10), '&nbsp;']), 1)}</{tag}>"
+            blocks.append(text)
+        elif kind == 3:
+            items = [sentence(3) for _ in range(3)]
+            body += "<ul>" + "".join(f"<li><a href=/r>{x}</a></li>" if r.random() < 0.5 else f"<li>{x}" for x in items) + "</ul>"
+            blocks += items
+        elif kind == 4:
+            body += f"<p>{text} <a href=z>{WORDS[0]}</a> &amp; <b>{WORDS[1]}</b> &lt;x&gt;</p>"
+            blocks.append(f"{text} {WORDS[0]} & {WORDS[1]} <x>")
+        elif kind == 5:
+            body += f"<div><div>{text}</div><table><tr><td>{WORDS[2]}<td>{WORDS[3]}</table></div>"
+            blocks += [text, WORDS[2], WORDS[3]]
+        else:
+            body += junk()
+    whole = sentence(60)
+    body += f"<p>{whole}</p>"
+    blocks.append(whole)
+    around = r.choice(["<article>{}</article>", "<main><div class='post has-sidebar'>{}</div></main>", "<div><article id=sidebar-story>{}</article></div>"])
+    return f"<!DOCTYPE html><html><head><title>T < t</title></head><body>{junk()}{junk()}{around.format(body)}{junk()}{junk()}</body></html>", "\n\n".join(" ".join(b.split()) for b in blocks)
+
+
+def test_html_made_pages():
+    r = random.Random(11)
+    for _ in range(400):
+        page, want = made_page(r)
+        assert extraction.extract_text(page) == want
+
+
+def test_html_of_any_bytes():
+    """No text raises, and no markup comes out of whole tags."""
+    r = random.Random(12)
+    bits = ["<", ">", "<!", "<![", "<!--", "-->", "]]>", "<?", "</", "<p", "<a href=", '"', "'", "&", "&#", "&#x110000;", "&amp", "<script>", "</script", "<title>", "<b", "/>", "=", " ", "x", "\0", "\ud800", "é", "<article>", "</article>", "<nav>", "<li>", "<td>", "</p>", "<br/>"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        page = list(made_page(r)[0]) if r.random() < 0.05 else []
+        for _ in range(r.randint(0, 6) if page else 0):
+            at = r.randrange(len(page))
+            page[at : at + r.randrange(3)] = r.choice(bits)
+        assert isinstance(extraction.extract_text("".join(page) + text), str)
+    for page, want in {"<p>a</p><![foo[x]]>": "a", "<p>x<![ bar": "x", "<!--": "", "<!DOCTYPE [<!x": "", "<p>a</p><!-- b": "a", "<nav><ul><li>m<article><p>Text.</p></article>": "Text.", "1 < 2 && 3 > 2": "1 < 2 && 3 > 2"}.items():
+        assert extraction.extract_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<blockquote>x, y" * 60_000, "<i>" * 40_000 + "</u>" * 40_000, "<b>" * 30_000 + "x<div></div>" * 30_000, "<p><button>" + "<b>" * 30_000 + "<div></div>" * 30_000, "<div><a>x</a>" * 60_000,
+                                  "<div><span>some text that is long enough, yes" * 20_000, "<a b='" * 150_000, "<" * 1_000_000, "<!-" * 300_000])
+def test_html_takes_linear_time(page):
+    began = time.process_time()
+    extraction.extract_text(page)
+    assert time.process_time() - began < 3
+
+
 def test_license_base_places(spark):
     texts = ["GNU General-Public LICENSE; gnu general public license", "cc by by CC/BY", "mit licenses MIT License", None, "", "apache  license " * 3, "é mit license"]
     got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 labels")).collect()
