@@ -104,6 +104,20 @@ def slices(batches, rows: int = 256, column: int = 1, max_bytes: int = 4 << 20):
     trim()
 
 
+def gathered(batches, rows: int, max_bytes: int, column: int = 1):
+    """Arrow batches put together up to about ``rows`` rows or ``max_bytes`` bytes of a column, then cut to that size."""
+    held, n, size = [], 0, 0
+    for batch in slices(batches, rows, column, max_bytes):
+        more = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and (n + batch.num_rows > rows or size + more > max_bytes):
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, n, size = [], 0, 0
+        held.append(batch)
+        n, size = n + batch.num_rows, size + more
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, for uint64 arrays."""
     with np.errstate(over="ignore"):

@@ -1,24 +1,30 @@
 """Classes from candidate groups: star pairs first, then only what they leave apart, then connected components.
 
 A candidate group holds nodes that may be linked to each other. All pairs of a group are never emitted. First each node is
-paired with its group's smallest node and the pairs are verified. Groups whose nodes then lie in more than one
-component are looked at again, in blocks of at most ``TILE`` nodes: pairs across components are compared by a parity
-sketch whose distance never exceeds the true difference, and only pairs that pass are verified. No link is lost.
+paired with its group's smallest node and the pairs are verified. Groups whose nodes then lie in more than one component are looked at
+again. Small ones are compared in one task: pairs across components by a parity sketch whose distance never exceeds the true
+difference, and only pairs that pass are verified. A group of more than ``WIDE`` nodes is first split by its nodes' own tokens: linked nodes
+share one of their rarest few, rarest within the group, so each node joins a subgroup for each of these, and what is merely common to
+the group links nothing. The rows are as many as the nodes' tokens. Only a subgroup that is wide again is compared in blocks of
+``TILE`` nodes. No link is lost.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_sized, mix64, saved
 
-TILE = 2048
+TILE, WIDE = 2048, 256
+#: Nodes of one slice that share a key, beyond which they travel apart from the key's bucket.
+MANY = 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -99,8 +105,30 @@ def _stack(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(sketches), -1)
 
 
-def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], limit) -> tuple[DataFrame, DataFrame]:
-    """``groups``: gid, first, node, saved. ``verify`` keeps the pairs (a, b) that are links; ``sketches(nodes)`` gives node, size, sketch.
+def split_wide(wide: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``wide``: gid, node, component of wide groups -> the same of their subgroups by rare tokens, with new gids.
+
+    ``tokens(nodes)`` gives node, tokens (array of long) and take: linked nodes share one of the first ``take`` in any common order.
+    """
+    held = saved(wide.join(tokens(wide.select("node").distinct()), "node").select("gid", "node", "component", "take", F.explode("tokens").alias("token")), "tokens")
+    counts = saved(held.groupBy("gid", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "token-counts")
+    # Tokens that many nodes hold are few, so they join by broadcast, and the rest has no hot key.
+    common, scarce = counts.filter(F.col("c") > WIDE), counts.filter(F.col("c") <= WIDE)
+    known = join_sized(held, common, ["gid", "token"], "left", 64)
+    rest = known.filter("c is null").drop("c").join(scarce, ["gid", "token"], "left")
+    every = known.filter("c is not null").unionByName(rest)
+    order = Window.partitionBy("gid", "node").orderBy(F.coalesce("c", F.lit(1)), "token")
+    first = every.withColumn("rank", F.row_number().over(order)).filter("rank <= take and c is not null")
+    parts = saved(first.select(F.xxhash64("gid", "token").alias("gid"), "node", "component"), "subgroups")
+    # Subgroups of one component have nothing to add, and equal ones count once.
+    kept = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    kept = kept.filter("lo <> hi").groupBy("n", "least", "sum").agg(F.min("gid").alias("gid")).select("gid")
+    return parts.join(kept, "gid")
+
+
+def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], limit, tokens) -> tuple[DataFrame, DataFrame]:
+    """``groups``: gid, first, node, saved. ``verify`` keeps the pairs (a, b) that are links; ``sketches(nodes)`` gives node, size, sketch;
+    ``tokens`` as in ``split_wide``.
 
     Returns the verified links that connect all classes and (node, component).
     """
@@ -110,11 +138,15 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
     many = groups.filter("gid >= 0").select("gid", "node").distinct()
     many = many.join(comps, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     many = saved(many, "members")
-    split = many.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gid")
-    left = saved(many.join(split, "gid"), "residual")
-    nodes = left.select("node").distinct()
-    if left.isEmpty():
+    split = saved(many.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("gid", (F.col("n") > WIDE).alias("wide")), "split")
+    apart = [r[0] for r in split.select("wide").distinct().collect()]
+    if not apart:
         return links, comps
+    left = many.join(split, "gid")
+    if True in apart:
+        left = left.filter("not wide").drop("wide").unionByName(split_wide(left.filter("wide").drop("wide"), tokens))
+    left = saved(left.select("gid", "node", "component"), "residual")
+    nodes = left.select("node").distinct()
     more = saved(residual_pairs(left.join(saved(sketches(nodes), "sketches"), "node"), limit).join(star, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return links, comps
@@ -122,22 +154,84 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
     return links, saved(components(links), "components")
 
 
-def grouped_runs(keys: np.ndarray, nodes: np.ndarray, ids: np.ndarray | None = None):
-    """Distinct nodes that share a key, as arrays (gid or -1 for pairs, first, node). Equal sets of nodes come once."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+PACKED = "bucket int, keys binary, at binary, hot binary, nodes binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("hot", pa.binary()), ("nodes", pa.binary())])
+GROUPS = "gid long, first long, node long"
+
+
+def pack_keys(keys: np.ndarray, at: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of ``PACKED`` for one slice: distinct pairs of a 64-bit key and a node, ``nodes[at]``, by bucket.
+
+    Of more than ``MANY`` nodes with one key only the smallest goes to the key's bucket, marked as hot; they all go to bucket -1, with
+    their key, so no bucket gathers all the nodes of a hot key.
+    """
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    low = keys & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((nodes[at], low, bucket))
+    bucket, low, at = bucket[order], low[order], at[order]
+    fresh = np.ones(len(at), dtype=bool)
+    fresh[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (at[1:] != at[:-1])
+    bucket, low, at = bucket[fresh], low[fresh], at[fresh]
+    begins = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])]) if len(at) else np.zeros(0, dtype=np.int64)
+    lengths = np.diff(np.r_[begins, len(at)])
+    many = lengths > MANY
+    hot, drop = np.zeros(len(at), dtype=np.uint8), np.zeros(len(at), dtype=bool)
+    hot[begins[many]] = 1
+    rows = []
+    for b, n in zip(begins[many].tolist(), lengths[many].tolist(), strict=True):
+        drop[b + 1 : b + n] = True
+        key = np.array([(bucket[b] << 32) | int(low[b])], dtype=np.uint64)
+        rows.append((-1, key.tobytes(), b"", b"", nodes[at[b : b + n]].tobytes()))
+    bucket, low, at, hot = bucket[~drop], low[~drop].astype(np.uint32), at[~drop], hot[~drop]
+    ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(at) else []
+    for a, b in itertools.pairwise([*ends, len(at)]):
+        used, local = np.unique(at[a:b], return_inverse=True)
+        rows.append((int(bucket[a]), low[a:b].tobytes(), local.astype(np.uint32).tobytes(), hot[a:b].tobytes(), nodes[used].tobytes()))
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)] if rows else [pa.array([], f.type) for f in _PACKED], schema=_PACKED)
+
+
+def key_groups(packed: DataFrame) -> DataFrame:
+    """Rows of ``PACKED`` -> distinct nodes that share a key: gid (-1 for pairs), first, node."""
+    spread = packed.withColumn("spread", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("nodes"), F.lit(1 << 20))).otherwise(0))
+    return spread.groupBy("bucket", "spread").applyInArrow(_bucket_groups, GROUPS)
+
+
+def _gid(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys) >> np.uint64(1)).astype(np.int64)
+
+
+def _bucket_groups(table: pa.Table) -> pa.Table:
+    nodes = [np.frombuffer(x, dtype=np.int64) for x in table.column("nodes").to_pylist()]
+    bucket = table.column("bucket")[0].as_py()
+    if bucket < 0:
+        gids = _gid(np.array([int.from_bytes(x, "little") for x in table.column("keys").to_pylist()], dtype=np.uint64))
+        lengths = [len(x) for x in nodes]
+        return pa.table({"gid": np.repeat(gids, lengths), "first": np.repeat(np.array([x[0] for x in nodes], dtype=np.int64), lengths), "node": np.concatenate(nodes)})
+    keys = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("keys").to_pylist()])
+    hot = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in table.column("hot").to_pylist()])
+    node = np.concatenate([x[np.frombuffer(a, dtype=np.uint32)] for x, a in zip(nodes, table.column("at").to_pylist(), strict=True)])
+    gid, first, node = grouped_runs(keys, node, hot, bucket)
+    return pa.table({"gid": gid, "first": first, "node": node})
+
+
+def grouped_runs(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, bucket: int):
+    """Distinct nodes that share a key, as arrays (gid or -1 for pairs, first, node). Equal sets of nodes come once; a hot key's set always."""
+    order = np.lexsort((1 - hot, nodes, keys))
+    keys, nodes, hot = keys[order], nodes[order], hot[order]
     fresh = np.ones(len(keys), dtype=bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[fresh], nodes[fresh]
+    keys, nodes, hot = keys[fresh], nodes[fresh], hot[fresh]
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
     lengths = np.diff(np.r_[begins, len(keys)])
-    two = begins[lengths == 2]
+    marked = np.maximum.reduceat(hot, begins) > 0 if len(keys) else np.zeros(0, dtype=bool)
+    two = begins[(lengths == 2) & ~marked]
     pairs = np.unique(np.column_stack([nodes[two], nodes[two + 1]]), axis=0) if len(two) else np.zeros((0, 2), dtype=np.int64)
-    big = lengths > 2
+    big = (lengths > 2) | marked
     gids, firsts, members, seen = [np.full(len(pairs), -1, dtype=np.int64)], [pairs[:, 0]], [pairs[:, 1]], set()
-    for at, n in zip(begins[big].tolist(), lengths[big].tolist(), strict=True):
+    own = _gid((np.int64(bucket).astype(np.uint64) << np.uint64(32)) | keys[begins].astype(np.uint64)).tolist()
+    for at, n, is_hot, key in zip(begins[big].tolist(), lengths[big].tolist(), marked[big].tolist(), [own[i] for i in np.flatnonzero(big)], strict=True):
         run = nodes[at : at + n]
-        gid = int.from_bytes(blake2b(run.tobytes(), digest_size=8).digest(), "little") >> 1
+        gid = key if is_hot else int.from_bytes(blake2b(run.tobytes(), digest_size=8).digest(), "little") >> 1
         if gid not in seen:
             seen.add(gid)
             gids.append(np.full(n, gid, dtype=np.int64))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, join_sized, mix64, saved, slices, small_batches
-from .shingles import _BASE, _BYTE, _pow
+from .shingles import hash_runs
 
 WINDOW, MOST, SHARE, LEAST = 8, 13, 0.6, 5
 BITMAP_BITS, BITMAP_ROWS = 1 << 23, 1 << 20
@@ -47,22 +47,11 @@ _PLACES = _rng.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 NUMBER, UNIT, NAME = (np.uint64(x) for x in _rng.integers(1, 1 << 63, 3, dtype=np.uint64))
 
 
-def _hash_words(lowered: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        ends = np.cumsum(lengths)
-        begins = ends - lengths
-        at = np.repeat(starts - begins, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        within = at - np.repeat(starts, lengths)
-        if not len(at):
-            return np.zeros(0, dtype=np.uint64)
-        return mix64(np.add.reduceat(_BYTE[lowered[at]] * _pow(int(lengths.max()))[within], begins) ^ (lengths.astype(np.uint64) * _BASE))
-
-
 def _unit_hashes() -> np.ndarray:
     data = " ".join(UNITS).encode()
     lengths = np.array([len(u) for u in UNITS], dtype=np.int64)
     starts = np.r_[0, np.cumsum(lengths + 1)[:-1]].astype(np.int64)
-    return np.sort(_hash_words(np.frombuffer(data, dtype=np.uint8), starts, lengths))
+    return np.sort(hash_runs(np.frombuffer(data, dtype=np.uint8), starts, lengths))
 
 
 def _lowered(data: bytes) -> bytes:
@@ -87,7 +76,7 @@ def canonical_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     edge = np.diff(np.r_[False, _WORD[raw], False].astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.r_[0, np.searchsorted(starts, text_ends)].astype(np.int64)
-    words = _hash_words(np.frombuffer(b"\n".join([*map(_lowered, texts), b""]), dtype=np.uint8), starts, ends - starts)
+    words = hash_runs(np.frombuffer(b"\n".join([*map(_lowered, texts), b""]), dtype=np.uint8), starts, ends - starts)
     if not len(words):
         return words, words.copy(), words.copy(), offsets
     first = raw[starts]

@@ -17,7 +17,6 @@ ignored. Texts are taken whole.
 
 from __future__ import annotations
 
-import itertools
 from hashlib import blake2b
 
 import numpy as np
@@ -25,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, join_sized, mix64, saved, slices, small_batches, trim
-from .components import fold, grouped_runs, link_classes
+from .common import byte_values, gathered, join_sized, mix64, saved, slices, small_batches, trim
+from .components import PACKED, fold, key_groups, link_classes, pack_keys
 from .shingles import shingle_sets
 
 NUM, DEN = 3, 4  # similarity 0.75
@@ -118,11 +117,10 @@ def _describe(batches):
 
 
 def _pack(heavy: np.ndarray, buckets: int):
-    """Documents -> rows of (bucket, packed signatures, packed positions, ids)."""
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
+    """Documents -> packed signatures."""
 
     def run(batches):
-        for batch in slices(batches, rows=4096, max_bytes=16 << 20):
+        for batch in gathered(batches, rows=4096, max_bytes=16 << 20):
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             texts = byte_values(batch.column(1))
             sigs, at = [], []
@@ -130,30 +128,13 @@ def _pack(heavy: np.ndarray, buckets: int):
                 for i, s in enumerate(shingle_sets(texts[begin : begin + 256]), begin):
                     if len(s):
                         sigs.append(signatures(s, heavy))
-                        at.append(np.full(len(sigs[-1]), i, dtype=np.uint16))
-            if not sigs:
-                continue
-            sig, where = np.concatenate(sigs), np.concatenate(at)
-            bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            sig, where, bucket = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), where[order], bucket[order]
-            begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows = []
-            for a, b in itertools.pairwise([*begins.tolist(), len(bucket)]):
-                used, local = np.unique(where[a:b], return_inverse=True)
-                rows.append((int(bucket[a]), sig[a:b].tobytes(), local.astype(np.uint16).tobytes(), ids[used].tobytes()))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        at.append(np.full(len(sigs[-1]), i, dtype=np.int64))
+            if sigs:
+                yield pack_keys(np.concatenate(sigs), np.concatenate(at), ids, buckets)
 
     return run
 
 
-def _bucket_groups(table: pa.Table) -> pa.Table:
-    sigs = [np.frombuffer(x, dtype=np.uint32) for x in table.column("sigs").to_pylist()]
-    nodes = [np.frombuffer(i, dtype=np.int64)[np.frombuffer(a, dtype=np.uint16)] for a, i in zip(table.column("at").to_pylist(), table.column("ids").to_pylist(), strict=True)]
-    gid, first, node = grouped_runs(np.concatenate(sigs), np.concatenate(nodes))
-    return pa.table({"gid": gid, "first": first, "node": node})
-
-
 def _with_sets(texts: DataFrame, nodes: DataFrame, schema: str, make) -> DataFrame:
     """``make(set)`` for each node, from its text."""
 
@@ -161,8 +142,9 @@ def _with_sets(texts: DataFrame, nodes: DataFrame, schema: str, make) -> DataFra
         names = ["node", *(x.split()[0] for x in schema.split(", ")[1:])]
         for batch in slices(batches):
             rows = [make(s) for s in shingle_sets(byte_values(batch.column(1)))]
-            yield pa.record_batch([batch.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], names)
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
+    types = [{"binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "int": pa.int32()}[x.split()[1]] for x in schema.split(", ")[1:]]
     picked = join_sized(texts, nodes, ["node"], "left_semi", 32)
     return picked.mapInArrow(run, schema)
 
@@ -232,8 +214,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
     copies = saved(placed.filter("rep <> node").select("node").distinct(), "copies")
     firsts = join_sized(texts.filter("node is not null"), copies, ["node"], "left_anti", 32)
     buckets = max(1, int(0.5 * total) // BUCKET + 1)
-    packed = firsts.mapInArrow(_pack(heavy, buckets), "bucket int, sigs binary, at binary, ids binary")
-    groups = saved(packed.groupBy("bucket").applyInArrow(_bucket_groups, "gid long, first long, node long"), "groups")
+    groups = saved(key_groups(firsts.mapInArrow(_pack(heavy, buckets), PACKED)), "groups")
 
     sketched = described.filter("digest is not null and node is not null").select("node", F.col("n_shingles").alias("size"), "sketch")
 
@@ -251,7 +232,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
     def sketches(nodes: DataFrame) -> DataFrame:
         return sketched.join(nodes, "node").dropDuplicates(["node"])
 
-    links, comps = link_classes(groups, verify, sketches, most_different)
+    def tokens(nodes: DataFrame) -> DataFrame:
+        # Linked sets share at least NUM / DEN of each.
+        return _with_sets(texts, nodes, "node long, tokens array<long>, take int", lambda s: (s.view(np.int64).tolist(), len(s) - -(-NUM * len(s) // DEN) + 1)).dropDuplicates(["node"])
+
+    links, comps = link_classes(groups, verify, sketches, most_different, tokens)
     n_links = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     found = saved(comps.withColumnRenamed("node", "rep").join(n_links, "rep", "left"), "found")
     out = join_sized(placed, found, ["rep"], "left", 64)

@@ -1,32 +1,33 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are compared without the blanks around them. Equal lines, and lines of ``LEAST`` code points or more within ``EDITS`` edits of each
-other, form classes; the first line of a class, by document id and line number, stays and the others go. Blank lines stay.
+Lines are compared without the blanks around them. Equal lines form classes, and so do lines within a number of edits of each
+other: one for each ``STEP`` code points of the shorter line, ``EDITS`` at most (none for the shortest lines, which are only joined when
+equal). The first line of a class, by document id and line number, stays and the others go. Blank lines stay.
 
-A line is cut into ``EDITS + 1`` segments, so a line within the threshold holds one of them unchanged. Each line gives, for its own
+A line that allows k edits is cut into k + 1 segments, so a line within the threshold holds one of them unchanged. Each line gives, for its own
 length and the shorter ones in reach, the substrings that can match a segment of that length's partition (the multi-match-aware
 positions), hashed with length and segment number. Lines that share one are a candidate group. Groups go through
 ``components.link_classes`` with a parity sketch of their trigrams (an edit changes at most three on either side), and pairs that pass are verified by banded bit-parallel edit distance, many pairs at a time.
 
 Defined cases: null text has one blank line; lines of any length are compared whole; a row is known by its id and a digest of its
 text, so rows equal in both count as one document and others with the same id, or without one, are documents of their own; null ids come last; an empty table gives no rows; other columns are kept by ``drop_repeated_lines`` and ignored otherwise.
-A line is known by a 64-bit fingerprint.
+Lines are equal where 127 bits of their BLAKE2 digest are; 63 of these name a line in the near join, which compares the texts themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, mix64, saved, slices, small_batches, trim
-from .components import grouped_runs, link_classes
+from .common import gathered, join_sized, mix64, saved, slices, small_batches, trim
+from .components import PACKED, key_groups, link_classes, pack_keys
 
-EDITS, LEAST, SKETCH_BITS, GRAM = 2, 40, 256, 3
+EDITS, STEP, SKETCH_BITS, GRAM = 2, 20, 256, 3
 BUCKET = 1 << 19
 NO_ID = (1 << 63) - 1
 _P = 0x9E6C63D0876A9A9D | 1
@@ -42,37 +43,64 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
+@dataclass(frozen=True)
+class Reach:
+    """How many edits may part two lines: one for each ``step`` code points of the shorter, ``most`` (3 at most) in all."""
+
+    most: int = EDITS
+    step: int = STEP
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.most <= 3 or self.step < 4:
+            raise ValueError("up to three edits, one in four code points at most")
+
+    def edits(self, length):
+        return np.minimum(self.most, np.asarray(length, dtype=np.int64) // self.step)
+
+    def most_different(self, a, b):
+        """Largest difference of the sketches of lines of lengths a and b; negative if the lengths rule a link out."""
+        a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+        k = self.edits(np.minimum(a, b))
+        return np.where((np.abs(a - b) <= k) & (k > 0), 2 * GRAM * k, -1)
+
+
+def line_ids(lines: list[str]) -> np.ndarray:
+    """Two non-negative longs for each line, from its digest."""
+    digests = b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines)
+    return (np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2) >> np.uint64(1)).astype(np.int64)
+
+
 class Lines:
     """Lines of some documents, trimmed, with fingerprints of their substrings by code point."""
 
     def __init__(self, lines: list[str]) -> None:
         self.lengths = np.array([len(x) for x in lines], dtype=np.int64)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
-        self.codes = codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        powers, self.inverse = _powers(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(0x51ED27)) * powers[: len(codes)], out=self.sums[1:])
+        self.codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.sums = self.inverse = None
 
     def prints(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprints of substrings; they only make candidates."""
         with np.errstate(over="ignore"):
+            if self.sums is None:
+                powers, self.inverse = _powers(len(self.codes) + 1)
+                self.sums = np.zeros(len(self.codes) + 1, dtype=np.uint64)
+                np.cumsum(mix64(self.codes.astype(np.uint64) + np.uint64(0x51ED27)) * powers[: len(self.codes)], out=self.sums[1:])
             return mix64((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
-    def ids(self) -> np.ndarray:
-        """Fingerprints of whole lines as non-negative longs."""
-        return (mix64(self.prints(self.starts, self.starts + self.lengths) + self.lengths.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-
-
-    def sketches(self) -> list[bytes | None]:
-        """For lines that may be near others, the parity of the counts of their hashed trigrams."""
-        near = self.lengths >= LEAST
+    def grams(self) -> np.ndarray:
         m = max(0, len(self.codes) - GRAM + 1)
+        gram = np.zeros(m, dtype=np.uint32)
         with np.errstate(over="ignore"):
-            gram = np.zeros(m, dtype=np.uint32)
             for k, factor in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
                 gram += self.codes[k : k + m] * np.uint32(factor)
             gram ^= gram >> np.uint32(15)
-            gram *= np.uint32(0x27D4EB2F)
+            return gram * np.uint32(0x27D4EB2F)
+
+    def sketches(self, reach: Reach) -> list[bytes | None]:
+        """For lines that may be near others, the parity of the counts of their hashed trigrams."""
+        near = (reach.edits(self.lengths) > 0) & (self.lengths >= GRAM)
+        gram = self.grams()
         sizes = np.where(near, self.lengths - GRAM + 1, 0)
         begins = np.cumsum(sizes) - sizes
         of = np.repeat(np.arange(len(sizes)), sizes)
@@ -82,6 +110,19 @@ class Lines:
         return [packed[i * size : i * size + size] if n else None for i, n in enumerate(near.tolist())]
 
 
+def gram_tokens(line: str) -> list[int]:
+    """The line's trigrams, repeated ones told apart by their count."""
+    seen: dict[int, int] = {}
+    gram = Lines([line]).grams().tolist()
+    for i, g in enumerate(gram):
+        seen[g] = n = seen.get(g, 0) + 1
+        gram[i] = g << 24 | min(n, (1 << 24) - 1)
+    return gram
+
+
+REACH = Reach()
+
+
 def split_lines(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Trimmed lines of all texts and how many each text has."""
     lines, counts = [], []
@@ -92,30 +133,34 @@ def split_lines(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     return lines, np.array(counts, dtype=np.int64)
 
 
-def segments(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of segment ``i`` of lines of ``length``; later segments are the longer ones."""
-    base, more = length // (EDITS + 1), length % (EDITS + 1)
-    short = EDITS + 1 - more
+def segments(length: np.ndarray, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment ``i`` of the k + 1 of lines of ``length``; later segments are the longer ones."""
+    base, more = length // (k + 1), length % (k + 1)
+    short = k + 1 - more
     return i * base + np.maximum(0, i - short), base + (i >= short)
 
 
-def signatures(text: Lines, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(text: Lines, picked: np.ndarray, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the picked lines, and the index of the line of each."""
-    start, n = text.starts[picked], text.lengths[picked]
-    sigs, of = [], []
+    sigs, of = [np.zeros(0, dtype=np.uint64)], [picked[:0]]
     with np.errstate(over="ignore"):
-        for delta in range(EDITS + 1):
-            length = n - delta
-            for i in range(EDITS + 1):
-                at, size = segments(length, i)
-                # Edits before the segment number at most i, and those after it at most EDITS - i.
-                for shift in range(max(-i, delta - (EDITS - i)), min(i, delta + EDITS - i) + 1):
-                    begin = at + shift
-                    ok = (begin >= 0) & (begin + size <= n)
-                    b = (start + begin)[ok]
-                    tag = mix64(length[ok].astype(np.uint64) * np.uint64(EDITS + 1) + np.uint64(i))
-                    sigs.append(mix64(text.prints(b, b + size[ok]) + tag))
-                    of.append(picked[ok])
+        for delta in range(reach.most + 1):
+            # Lines that are longer by ``delta`` than one that allows ``k`` edits.
+            allowed = reach.edits(text.lengths[picked] - delta)
+            for k in range(max(1, delta), reach.most + 1):
+                mine = picked[(allowed == k) & (text.lengths[picked] > delta)]
+                start, n = text.starts[mine], text.lengths[mine]
+                length = n - delta
+                for i in range(k + 1):
+                    at, size = segments(length, i, k)
+                    # Edits before the segment number at most i, and those after it at most k - i.
+                    for shift in range(max(-i, delta - (k - i)), min(i, delta + k - i) + 1):
+                        begin = at + shift
+                        ok = (begin >= 0) & (begin + size <= n)
+                        b = (start + begin)[ok]
+                        tag = mix64(length[ok].astype(np.uint64) * np.uint64(8) + np.uint64(i))
+                        sigs.append(mix64(text.prints(b, b + size[ok]) + tag))
+                        of.append(mine[ok])
     return np.concatenate(sigs), np.concatenate(of)
 
 
@@ -172,70 +217,64 @@ def _edit(a: list, b: list) -> int:
     return row[-1]
 
 
-def _describe(batches):
-    """A row for each line that is not blank: document (id and digest), number, fingerprint, and length and sketch for those that may be near others."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
-    for batch in slices(batches, rows=2048, max_bytes=1 << 20):
-        lines, counts = split_lines(batch.column(1).to_pylist())
-        text = Lines(lines)
-        docs, digests = (np.repeat(np.asarray(c.to_numpy(), dtype=np.int64), counts) for c in (batch.column(0), batch.column(2)))
-        number = np.arange(len(lines)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-        used = np.flatnonzero(text.lengths > 0)
-        sketches = text.sketches()
-        sketches = [sketches[i] for i in used.tolist()]
-        yield pa.record_batch([pa.array(docs[used]), pa.array(digests[used]), pa.array(number[used].astype(np.int32)), pa.array(text.ids()[used]), pa.array(text.lengths[used].astype(np.int32)), pa.array(sketches, pa.binary())], schema=schema)
+def _describe(reach: Reach):
+    """A row for each line that is not blank: document (id and digest), number, its two ids, and length and sketch for those that may be near others."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
+
+    def run(batches):
+        for batch in slices(batches, rows=2048, max_bytes=1 << 20):
+            lines, counts = split_lines(batch.column(1).to_pylist())
+            docs, digests = (np.repeat(np.asarray(c.to_numpy(), dtype=np.int64), counts) for c in (batch.column(0), batch.column(2)))
+            number = np.arange(len(lines)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+            used = np.flatnonzero([len(x) > 0 for x in lines])
+            lines = [lines[i] for i in used.tolist()]
+            text, ids = Lines(lines), line_ids(lines)
+            columns = docs[used], digests[used], number[used].astype(np.int32), ids[:, 0], ids[:, 1], text.lengths.astype(np.int32)
+            yield pa.record_batch([*map(pa.array, columns), pa.array(text.sketches(reach), pa.binary())], schema=schema)
+
+    return run
 
 
-def _pack(buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
+def _pack(buckets: int, reach: Reach):
+    """Documents -> packed signatures of their distinct lines."""
 
     def run(batches):
-        for batch in slices(batches, rows=4096, max_bytes=2 << 20):
+        for batch in gathered(batches, rows=4096, max_bytes=4 << 20):
             lines, _ = split_lines(batch.column(1).to_pylist())
-            lines = list({x: None for x in lines if len(x) >= LEAST})
-            if not lines:
-                continue
-            text = Lines(lines)
-            ids = text.ids()
-            sig, of = signatures(text, np.arange(len(lines)))
-            bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            sig, of, bucket = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), of[order], bucket[order]
-            begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows = []
-            for a, b in itertools.pairwise([*begins.tolist(), len(bucket)]):
-                used, local = np.unique(of[a:b], return_inverse=True)
-                rows.append((int(bucket[a]), sig[a:b].tobytes(), local.astype(np.uint32).tobytes(), ids[used].tobytes()))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            lines = list(dict.fromkeys(x for x in lines if len(x) >= reach.step))
+            if lines:
+                text = Lines(lines)
+                sig, of = signatures(text, np.arange(len(lines)), reach)
+                yield pack_keys(sig, of, line_ids(lines)[:, 0], buckets)
 
     return run
 
 
-def _bucket_groups(table: pa.Table) -> pa.Table:
-    sigs = [np.frombuffer(x, dtype=np.uint32) for x in table.column("sigs").to_pylist()]
-    nodes = [np.frombuffer(i, dtype=np.int64)[np.frombuffer(a, dtype=np.uint32)] for a, i in zip(table.column("at").to_pylist(), table.column("ids").to_pylist(), strict=True)]
-    gid, first, node = grouped_runs(np.concatenate(sigs), np.concatenate(nodes))
-    return pa.table({"gid": gid, "first": first, "node": node})
-
-
-def most_different(a, b):
-    """Largest difference of the sketches of lines of lengths a and b; negative if the lengths rule a link out."""
-    return np.where(np.abs(np.asarray(a, dtype=np.int64) - np.asarray(b, dtype=np.int64)) <= EDITS, 2 * GRAM * EDITS, -1)
+def _check_sketches(reach: Reach):
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            ok = np.bitwise_count(a ^ b).sum(axis=1) <= reach.most_different(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    return run
 
-def _check_sketches(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-        ok = np.bitwise_count(a ^ b).sum(axis=1) <= most_different(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-        yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+def _check_pairs(reach: Reach):
+    def run(batches):
+        for batch in batches:
+            for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                a, b = ([np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in piece.column(c).to_pylist()] for c in ("line_a", "line_b"))
+                allowed = reach.edits([min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+                ok = np.zeros(len(a), dtype=bool)
+                for k in range(1, reach.most + 1):
+                    own = np.flatnonzero(allowed == k)
+                    if len(own):
+                        ok[own] = edit_within([a[i] for i in own], [b[i] for i in own], k)
+                yield piece.select(["a", "b"]).filter(pa.array(ok))
+        trim()
 
-def _check_pairs(batches):
-    for batch in batches:
-        for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-            a, b = ([np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in piece.column(c).to_pylist()] for c in ("line_a", "line_b"))
-            yield piece.select(["a", "b"]).filter(pa.array(edit_within(a, b, EDITS)))
-    trim()
+    return run
 
 
 def _line_texts(batches):
@@ -249,46 +288,58 @@ def _line_texts(batches):
         yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], schema=schema)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: Reach = REACH) -> DataFrame:
     """doc_id (``NO_ID`` for null) and digest of each row, and the numbers of its lines that go, with those that only resemble the line that stays."""
     small_batches(docs)
     row_id, digest = _row_key(docs, id_col, text_col)
     texts = docs.select(row_id.alias("doc_id"), docs[text_col].cast("string").alias("text"), digest.alias("digest"))
-    lines = saved(texts.mapInArrow(_describe, "doc_id long, digest long, line_no int, h long, n int, sketch binary"), "lines")
+    lines = saved(texts.mapInArrow(_describe(reach), "doc_id long, digest long, line_no int, h long, g long, n int, sketch binary"), "lines")
     first = F.struct("doc_id", "digest", "line_no", "n", "sketch")
-    firsts = saved(lines.groupBy("h").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "c", "f.*"), "first-lines")
-    total = firsts.filter(F.col("n") >= LEAST).count()
+    firsts = saved(lines.groupBy("h", "g").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "g", "c", "f.*"), "first-lines")
+    total = firsts.filter(F.col("n") >= reach.step).count()
     buckets = max(1, 12 * total // BUCKET + 1)
-    packed = texts.mapInArrow(_pack(buckets), "bucket int, sigs binary, at binary, ids binary")
-    groups = saved(packed.groupBy("bucket").applyInArrow(_bucket_groups, "gid long, first long, node long"), "line-groups")
+    groups = saved(key_groups(texts.mapInArrow(_pack(buckets, reach), PACKED)), "line-groups")
     sketched = firsts.filter("sketch is not null").select(F.col("h").alias("node"), F.col("n").cast("long").alias("size"), "sketch")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sketched.select(F.col("node").alias("a"), F.col("size").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-        with_b = with_a.join(sketched.select(F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-        near = saved(with_b.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_check_sketches, "a long, b long"), "near-lines")
-        nodes = saved(near.select(F.col("a").alias("h")).unionByName(near.select(F.col("b").alias("h"))).distinct(), "nodes")
-        places = join_sized(firsts.select("h", "doc_id", "digest", "line_no"), nodes, ["h"], "left_semi", 32)
+    def lined(nodes: DataFrame) -> DataFrame:
+        """node, line: the text of each, from the first document that holds it."""
+        places = join_sized(firsts.select("h", "doc_id", "digest", "line_no"), nodes.withColumnRenamed("node", "h"), ["h"], "left_semi", 32)
         by_doc = saved(places.groupBy("doc_id", "digest").agg(F.collect_list("line_no").alias("numbers"), F.collect_list("h").alias("hs")), "places")
         picked = join_sized(texts, by_doc, ["doc_id", "digest"], "inner", 32, nodes.count()).select("doc_id", "text", "digest", "numbers", "hs")
         own = picked.dropDuplicates(["doc_id", "digest"]) if _repeats(texts) else picked
-        lined = own.mapInArrow(_line_texts, "node long, line string")
-        with_a = near.join(lined.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
-        with_b = with_a.join(lined.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-        return with_b.select("a", "b", "line_a", "line_b").mapInArrow(_check_pairs, "a long, b long")
+        return own.mapInArrow(_line_texts, "node long, line string")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(sketched.select(F.col("node").alias("a"), F.col("size").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+        with_b = with_a.join(sketched.select(F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+        near = saved(with_b.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_check_sketches(reach), "a long, b long"), "near-lines")
+        known = lined(saved(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "nodes"))
+        with_a = near.join(known.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
+        with_b = with_a.join(known.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
+        return with_b.select("a", "b", "line_a", "line_b").mapInArrow(_check_pairs(reach), "a long, b long").distinct()
 
     def sketches(nodes: DataFrame) -> DataFrame:
         return sketched.join(nodes, "node")
 
-    _, comps = link_classes(groups, verify, sketches, most_different)
+    def tokens(nodes: DataFrame) -> DataFrame:
+        schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("take", pa.int32())])
+
+        def run(batches):
+            for batch in slices(batches):
+                found = batch.column(1).to_pylist()
+                yield pa.record_batch([batch.column(0), pa.array([gram_tokens(x) for x in found], pa.list_(pa.int64())), pa.array([GRAM * int(reach.edits(len(x))) + 1 for x in found], pa.int32())], schema=schema)
+
+        return lined(saved(nodes, "nodes")).mapInArrow(run, "node long, tokens array<long>, take int").dropDuplicates(["node"])
+
+    _, comps = link_classes(groups, verify, sketches, reach.most_different, tokens)
     place = F.struct("doc_id", "digest", "line_no")
-    own = firsts.select("h", "c", place.alias("at")).join(comps.withColumnRenamed("node", "h"), "h", "left")
+    own = firsts.select("h", "g", "c", place.alias("at")).join(comps.withColumnRenamed("node", "h"), "h", "left")
     near = own.filter("component is not null")
     best = near.groupBy("component").agg(F.min("at").alias("keep"))
-    classed = near.join(best, "component").select("h", "keep", (F.col("keep") != F.col("at")).alias("is_near"))
-    alone = own.filter("component is null and c > 1").select("h", F.col("at").alias("keep"), F.lit(False).alias("is_near"))
+    classed = near.join(best, "component").select("h", "g", "keep", (F.col("keep") != F.col("at")).alias("is_near"))
+    alone = own.filter("component is null and c > 1").select("h", "g", F.col("at").alias("keep"), F.lit(False).alias("is_near"))
     keep = saved(classed.unionByName(alone), "keep-lines")
-    hit = join_sized(lines.select("doc_id", "digest", "line_no", "h"), keep, ["h"], "inner", 56)
+    hit = join_sized(lines.select("doc_id", "digest", "line_no", "h", "g"), keep, ["h", "g"], "inner", 64)
     gone = hit.filter(place != F.col("keep"))
     return gone.groupBy("doc_id", "digest").agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("is_near"), F.col("line_no"))).alias("near"))
 
@@ -303,15 +354,15 @@ def _repeats(texts: DataFrame) -> bool:
     return not texts.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
 
 
-def _with_gone(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = saved(removed_lines(docs, id_col, text_col), "gone").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
+def _with_gone(docs: DataFrame, id_col: str, text_col: str, reach: Reach) -> DataFrame:
+    gone = saved(removed_lines(docs, id_col, text_col, reach), "gone").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
     row_id, digest = _row_key(docs, id_col, text_col)
     rows = docs.withColumns({"__id": row_id, "__digest": digest})
     count = gone.agg(F.sum(F.size("__gone") + F.size("__near")), F.count(F.lit(1))).first()
     return join_sized(rows, gone, ["__id", "__digest"], "left", 1, (count[0] or 0) * 8 + (count[1] or 0) * 72)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: Reach = REACH) -> DataFrame:
     """One row per document: its lines, those that go, how many of them only resemble the one that stays, and the rest."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_near", pa.int64()), ("kept_chars", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -325,18 +376,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return _with_gone(rows, "doc_id", "text").select("doc_id", "text", "__gone", "__near").mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_near long, kept_chars long, kept_sha256 string")
+    return _with_gone(rows, "doc_id", "text", reach).select("doc_id", "text", "__gone", "__near").mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_near long, kept_chars long, kept_sha256 string")
+
+
+def _without(batches, column: int):
+    """Texts without the lines that go."""
+    for batch in slices(batches, rows=2048, column=column):
+        texts = []
+        for t, gone in zip(batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            if t is not None and gone:
+                out = set(gone)
+                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
+            texts.append(t)
+        kept = pa.array(texts, batch.schema.field(column).type)
+        yield pa.record_batch([kept if i == column else c for i, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", reach: Reach = REACH) -> DataFrame:
     """The documents without the lines that go; a null text stays null. ``chars_col``, where there, follows the text."""
     columns = docs.columns
-    marked = _with_gone(docs, id_col, text_col)
-    kept = F.when(
-        F.col("__gone").isNotNull() & F.col(text_col).isNotNull(),
-        F.array_join(F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n"),
-    ).otherwise(F.col(text_col))
-    out = marked.withColumn(text_col, kept)
+    marked = _with_gone(docs, id_col, text_col, reach)
+    at = columns.index(text_col)
+    touched = marked.filter("__gone is not null").select(*columns, "__gone")
+    changed = touched.mapInArrow(lambda batches: _without(batches, at), docs.schema)
     if chars_col in columns:
-        out = out.withColumn(chars_col, F.when(F.col("__gone").isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(*columns)
+        changed = changed.withColumn(chars_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return marked.filter("__gone is null").select(*columns).unionByName(changed)

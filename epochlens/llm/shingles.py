@@ -8,24 +8,33 @@ from .common import mix64
 
 WORDS = 5
 _rng = np.random.default_rng(20240531)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, dtype=np.uint64)
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _pow(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        size = 1 << int(n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE, dtype=np.uint64)], dtype=np.uint64)
-    return _powers
+def hash_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes, none of them empty.
+
+    Each eight bytes are mixed with their place before they are added up, so that no pattern of bytes cancels out as it can in a
+    polynomial modulo 2^64.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        at = np.arange(ends[-1], dtype=np.int64)
+        within = at - np.repeat(begins, lengths)
+        at += np.repeat(starts - begins, lengths)
+        values = raw[at].astype(np.uint64) << ((within & 7) << 3).astype(np.uint64)
+        firsts = np.flatnonzero(within & 7 == 0)
+        chunks = mix64(np.add.reduceat(values, firsts) + (within[firsts] + 8).astype(np.uint64) * _BASE)
+        return mix64(np.add.reduceat(chunks, np.searchsorted(firsts, begins)) ^ (lengths.astype(np.uint64) * _BASE))
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -43,13 +52,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     offsets = np.r_[0, np.searchsorted(starts, ends_of_texts)].astype(np.int64)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), offsets
-    lengths = ends - starts
-    with np.errstate(over="ignore"):
-        at = np.flatnonzero(inside)
-        within = at - np.repeat(starts, lengths)
-        values = _BYTE[raw[at]] * _pow(int(lengths.max()))[within]
-        hashes = np.add.reduceat(values, np.r_[0, np.cumsum(lengths)[:-1]])
-        return mix64(hashes ^ (lengths.astype(np.uint64) * _BASE)), offsets
+    return hash_runs(raw, starts, ends - starts), offsets
 
 
 def combine(hashes: np.ndarray, n: int, places: np.ndarray = _PLACE) -> np.ndarray:

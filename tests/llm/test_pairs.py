@@ -88,12 +88,54 @@ def test_jaccard_blocks(spark, monkeypatch):
     """Small blocks and tiles give the same classes."""
     texts = near_texts(9)
     monkeypatch.setattr(components, "TILE", 3)
+    monkeypatch.setattr(components, "WIDE", 2)
     monkeypatch.setattr(jaccard, "BUCKET", 50)
     _, comp = plain_classes(texts)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(frame(spark, texts)).collect()}
     assert got == dict(comp)
 
 
+def passage_texts(n, shared=80, own=24, links=40):
+    r = random.Random(n)
+    passage = [f"p{i}" for i in range(shared)]
+    texts = [" ".join(passage + [f"u{r.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+    return texts + [t + " more" for t in texts[::links]]
+
+
+def test_jaccard_of_texts_with_a_common_passage(spark, monkeypatch):
+    """Three quarters of each text are the same passage; only a few are copies of each other."""
+    monkeypatch.setattr(components, "WIDE", 16)
+    texts = passage_texts(400)
+    _, comp = plain_classes(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(frame(spark, texts).coalesce(1)).collect()}
+    assert got == dict(comp) and len(set(comp.values())) == 400
+
+
+def test_groups_of_hot_keys():
+    """Keys that many nodes of a slice share give the same groups as all pairs of key and node in one bucket."""
+    r = np.random.default_rng(5)
+    batches, every = [], {}
+    for part in range(4):
+        nodes = r.permutation(1000)[:200].astype(np.int64) + 1000 * part
+        keys, at = r.integers(0, 40, 1500).astype(np.uint64) ** np.uint64(9), r.integers(0, 200, 1500)
+        for k, a in zip(keys.tolist(), nodes[at].tolist(), strict=True):
+            every.setdefault(k, set()).add(a)
+        batches.append(components.pack_keys(keys, at, nodes, 3))
+    rows = [x for b in batches for x in b.to_pylist()]
+    groups: dict[int, set] = {}
+    linked = []
+    for bucket in {x["bucket"] for x in rows}:
+        for part in ([[x] for x in rows if x["bucket"] < 0] if bucket < 0 else [[x for x in rows if x["bucket"] == bucket]]):
+            table = components._bucket_groups(components.pa.Table.from_pylist(part, schema=components._PACKED))
+            for gid, first, node in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                groups.setdefault(gid, set()).add(node)
+                linked.append((first, node))
+    assert {frozenset(v) for g, v in groups.items() if g >= 0} == {frozenset(v) for v in every.values() if len(v) > 2}
+    for v in every.values():
+        own = roots([x for x in linked if x[0] in v and x[1] in v], v)
+        assert len(set(own.values())) == 1
+
+
 def test_signatures_of_linked_sets_meet():
     r = np.random.default_rng(3)
     for heavy_share in (0, 0.5):
@@ -213,7 +255,8 @@ def plain_lines(texts):
     for i, a in enumerate(keys):
         for j in range(i):
             b = keys[j]
-            if min(len(a), len(b)) >= lines.LEAST and abs(len(a) - len(b)) <= lines.EDITS and lines._edit(list(a), list(b)) <= lines.EDITS:
+            most = min(2, min(len(a), len(b)) // 20)
+            if most and abs(len(a) - len(b)) <= most and lines._edit(list(a), list(b)) <= most:
                 links.append((first[a], first[b]))
     comp = roots(links, first.values())
     gone = {(i, k) for i, k, x in seen if comp[first[x]] != (i, k)}
@@ -257,22 +300,51 @@ def test_edit_distance_in_a_band():
         assert lines.edit_within(*codes, k).tolist() == [lines._edit(list(x), list(y)) <= k for x, y in zip(a, b, strict=True)]
 
 
-def test_near_lines_share_a_signature_and_pass_the_sketch():
+@pytest.mark.parametrize("reach", [lines.Reach(), lines.Reach(3, 10), lines.Reach(1, 30)])
+def test_near_lines_share_a_signature_and_pass_the_sketch(reach):
     r = random.Random(4)
-    for _ in range(1500):
-        a = "".join(r.choice("abcdefgh ") for _ in range(r.randint(lines.LEAST, 90))).strip()
+    met = 0
+    for _ in range(2500):
+        a = "".join(r.choice("abcdefgh ") for _ in range(r.randint(reach.step, 90))).strip()
         b = list(a)
-        for _ in range(r.randint(1, 2)):
+        for _ in range(r.randint(1, 3)):
             i = r.randrange(len(b))
             b[i : i + r.randrange(2)] = r.choice(["", "x", " "])
         b = "".join(b).strip()
-        if min(len(a), len(b)) < lines.LEAST or lines._edit(list(a), list(b)) > lines.EDITS or a == b:
+        if a == b or lines._edit(list(a), list(b)) > reach.edits(min(len(a), len(b))):
             continue
+        met += 1
         text = lines.Lines([a, b])
-        sig, of = lines.signatures(text, np.arange(2))
+        sig, of = lines.signatures(text, np.arange(2), reach)
         assert len(np.intersect1d(sig[of == 0], sig[of == 1]))
-        x, y = (np.frombuffer(s, dtype=np.uint64) for s in text.sketches())
-        assert np.bitwise_count(x ^ y).sum() <= lines.most_different(len(a), len(b))
+        x, y = (np.frombuffer(s, dtype=np.uint64) for s in text.sketches(reach))
+        assert np.bitwise_count(x ^ y).sum() <= reach.most_different(len(a), len(b))
+        most = 3 * int(reach.edits(min(len(a), len(b))))
+        one, two = (collections.Counter(lines.gram_tokens(t)) for t in (a, b))
+        assert sum((one - two).values()) <= most and sum((two - one).values()) <= most
+    assert met > 200
+
+
+def test_lines_that_differ_everywhere_stay(spark):
+    """A Thue-Morse string and its complement, which many polynomials take for one."""
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    df = frame(spark, [morse, other, morse + "\nx"])
+    assert sorted(r["text"] for r in lines.drop_repeated_lines(df).collect()) == sorted([morse, other, "x"])
+    classes = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(frame(spark, [morse, other, morse])).collect()}
+    assert classes == {0: 0, 1: 1, 2: 0}
+
+
+def test_lines_with_a_common_part(spark, monkeypatch):
+    """Hundreds of lines share a segment and are no copies, but for a few pairs; small groups are wide here."""
+    monkeypatch.setattr(components, "WIDE", 8)
+    r = random.Random(3)
+    head = "copyright notice of the one and only owner of: "
+    texts = [head + "".join(r.choice("abcdefghij") for _ in range(20)) for _ in range(300)]
+    texts += [texts[i] + "z" for i in range(0, 300, 60)] + ["short line of twenty", "short line of twentx", "short line of tw", "nineteen code point", "nineteen code poinz"]
+    want = plain_lines(texts)
+    got = {x["doc_id"]: x["text"] for x in lines.drop_repeated_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(not w for w in want) == 6
 
 
 def test_lines_odd(spark):
