@@ -425,9 +425,54 @@ def test_leaks_against_plain_search(spark, bound, monkeypatch):
     assert leaks(spark, texts, items) == want and len(want) > 10
 
 
+NAMES = "Anna Peter Maria Mary Ann Smith Paul Johnson Lee Chloe Omar Ravi Kumar Ingrid Bergman Wei".split()
+NOUNS = "apples pears books tickets marbles cookies stamps bottles pencils flowers".split()
+VERBS = "buys sells collects finds counts carries borrows packs".split()
+
+
+def question(r, slots):
+    """A question from a frame of its own, with the slots' values filled in."""
+    frame = random.Random(slots["frame"])
+    noun, verb, other = frame.choice(NOUNS), frame.choice(VERBS), frame.choice(NOUNS)
+    opening = frame.choice(["{a} {verb} {n1} {noun} at the market on the first day and {n2} more in the evening.", "If {a} {verb} {n1} {noun} and then gives {n2} of them away to {b}, something is left.", "Every morning {a} walks {n1} {unit} to the shop where {b} sells {noun} for {n2} dollars."])
+    middle = frame.choice(["Later {b} {verb} {n3} {other} and keeps half of them in a wooden box near the door.", "On the way home {a} loses {n3} {other}, but a friend of {b} brings some of them back.", "The bag weighs {n3} {unit} before the rain and becomes heavier after that."])
+    end = frame.choice(["How many {noun} does {a} have now?", "What is the total number of {noun} and {other} that {a} and {b} hold together?", "How much does {a} still need to pay in the end?"])
+    return " ".join([opening, middle, end]).format(noun=noun, verb=verb, other=other, **slots)
+
+
+def fill(r, frame):
+    number = lambda: r.choice([str(r.randint(2, 999)), f"{r.randint(1, 9)}.{r.randint(1, 99)}", f"{r.randint(1, 99)},{r.randint(100, 999)}", r.choice(["twelve", "twenty-five", "three hundred", "seven", "two dozen"])])
+    name = lambda: " ".join(r.sample(NAMES, r.choice([1, 1, 2])))
+    return {"frame": frame, "a": name(), "b": name(), "n1": number(), "n2": number(), "n3": number(), "unit": r.choice(["km", "miles", "kg", "pounds", "meters"])}
+
+
+def test_recall_of_questions_with_other_values(spark):
+    """At least nine in ten re-parameterised questions are found, and questions of other frames are not."""
+    r = random.Random(17)
+    items = [question(r, fill(r, i)) for i in range(60)]
+    items = list(dict.fromkeys(items))
+    texts = [f"Some words before it. {question(r, fill(r, i % 60))} And some after." for i in range(240)]
+    clean = [f"On that day {r.choice(NAMES)} {r.choice(VERBS)} {r.randint(2, 99)} {r.choice(NOUNS)} and goes home without a word to {r.choice(NAMES)} about it." for _ in range(200)]
+    found = {(d, i) for d, i, _ in leaks(spark, texts + clean, items)}
+    hit = {d for d, i in found}
+    assert len(hit & set(range(240))) >= 0.9 * 240 and not hit & set(range(240, 440))
+    same = sum((d, d % 60) in found for d in range(240))
+    assert same >= 0.9 * 240
+
+
+def test_leaks_of_changed_copies(spark):
+    """The item with decimals, equal values, number words, longer names, at the start of a sentence, and what is no copy."""
+    item = "Anna walks 12 km to the shop and buys 7 apples for 3.5 dollars. How many apples does Anna have left after a day?"
+    texts = [
+        item.replace("12", "1,250.75").replace("3.5", "4"), item.replace("12", "9").replace("7", "9"), item.replace("12", "twenty-five").replace("7", "seven"), item.replace("Anna", "Mary Ann Smith"),
+        item.replace("Anna walks", "Omar walks").replace("Anna have", "Omar have"), item.replace("km", "miles"), item.replace("Anna walks", "Omar walks"), "Anna walks home. " * 12, "x " * 200_000 + item,
+    ]
+    assert [(d, i) for d, i, _ in leaks(spark, texts + texts[:1], [item])] == [(d, 0) for d in (0, 1, 2, 3, 4, 5, 6, 8, 9)]
+
+
 def test_clean_documents_stay(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    df = frame(spark, [ITEM, "clean", None], [1, 2, None])
+    df = frame(spark, [ITEM, "clean", None, ITEM, "clean too", "clean too"], [1, 2, None, None, 1, 1])
     kept = decontamination.keep_clean(df, bench)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
-    assert decontamination.keep_clean(df, bench.limit(0)).count() == 3 and decontamination.find_leaks(df.limit(0), bench).count() == 0
+    assert kept.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "clean too")] * 2 + [("2", "clean"), ("None", "None")]
+    assert decontamination.keep_clean(df, bench.limit(0)).count() == 6 and decontamination.find_leaks(df.limit(0), bench).count() == 0
