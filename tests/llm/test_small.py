@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import time
 import zlib
 
@@ -250,13 +251,47 @@ def test_license_templates():
     bad = ["one maybe three four five", "one three a b c four five", "one three four end end five", "two three four five", "one three four"]
     match = lambda t: "x" in licenses.scan_text(t.encode(), [a], [])[5]
     assert [match(t) for t in ok] == [True] * 3 and [match("so " + t + " on") for t in ok] == [True] * 3 and [match(t) for t in bad] == [False] * 5
-    autos = [make(k, v) for k, v in licenses.TEMPLATES.items()]
+    for markup in ("[[may]] be", "{{2}} words"):
+        with pytest.raises(ValueError):
+            make("x", markup)
+
+
+def license_texts(r):
+    """Each template with its markup settled one way or another, whole and with one mandatory word changed, and its label."""
     for label, markup in licenses.TEMPLATES.items():
-        plain = markup.replace("[[", " ").replace("]]", " ")
-        plain = " ".join("word" if w.startswith("{{") else w for w in plain.split())
-        assert label in licenses.scan_text(plain.upper().encode(), autos, [])[5].split(","), label
-        broken = " ".join(plain.split()[:-1] + ["other"])
-        assert label not in licenses.scan_text(broken.encode(), autos, [])[5].split(","), label
+        for _ in range(4):
+            plain = re.sub(r"\[\[(.*?)\]\]", lambda m: m[1] if r.random() < 0.5 else "", markup)
+            plain = re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(f"name{k}" for k in range(r.randint(0, int(m[1])))), plain).split()
+            yield label, plain, True
+            at = next(i for i in r.sample(range(len(plain)), len(plain)) if not plain[i].startswith("name") and len(plain[i]) > 3)
+            yield label, [*plain[:at], "otherwise", *plain[at + 1 :]], False
+            yield label, plain[:-1], False
+
+
+def test_license_texts_whole_and_changed(spark):
+    """Against the SQL, which has the templates as regular expressions, and against what each text was made from."""
+    r = random.Random(8)
+    made = list(license_texts(r))
+    texts = [f"x {', '.join(words).upper()}. y" for _, words, _ in made] + ["", None, "mit license " * 30, " ".join(made[0][1]) + " gnu general public license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan_licenses(df).toPandas().sort_values("doc_id")
+    pages = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    want = duckdb.sql(licenses.oracle_sql("pages")).df().sort_values("doc_id")
+    key = lambda d: [tuple(None if pd.isna(x) else x for x in row) for row in d[["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]].itertuples(index=False, name=None)]
+    assert key(got) == key(want)
+    for (label, _, whole), labels in zip(made, got.labels, strict=False):
+        assert (label in labels.split(",")) == whole
+    parts = [s for (label, _, whole), s in zip(made, got.score, strict=False) if label == "mit-text" and not whole]
+    assert 0.75 in parts and 1.0 not in parts
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_license_scan_takes_linear_time():
+    autos = [licenses.compile_template(k, v) for k, v in licenses.TEMPLATES.items()]
+    phrases = [(f" {k} ".encode(), v) for k, v in licenses.BASE_PHRASES.items()]
+    began = time.process_time()
+    row = licenses.scan_text(b"mit license released under the apache license permission is hereby granted " * 20_000 + licenses._MIT.encode(), autos, phrases)
+    assert row[1] == 40_000 and time.process_time() - began < 5
 
 
 def mixed(spark, frame: pd.DataFrame) -> pd.DataFrame:
