@@ -5,11 +5,12 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes, counted before; beyond it the join shuffles.
@@ -34,9 +35,12 @@ def small_batches(df: DataFrame) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, and any other an error:
+    a folder of the driver's machine is none of the executors'."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark, "_epochlens_scratch", "")
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="epochlens-")
@@ -62,6 +66,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds each named sum over all rows up to this one. Rows of one part are summed by one task, and then one row per part."""
+    columns = df.columns
+    parts = saved(df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "running")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as the exchange has partitions.
+    ahead = parts.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in sums])
+    ahead = ahead.select("__part", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums])
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = parts.withColumns({k: F.sum(f"__{k}").over(own) for k in sums}).join(F.broadcast(ahead), "__part")
+    return joined.select(*columns, *[(F.col(k) + F.col(f"__before_{k}")).alias(k) for k in sums])
+
+
 def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Join with a broadcast of ``small`` when its counted size is within the bound, else by a shuffle."""
     rows = small.count() if rows is None else rows

@@ -1,8 +1,9 @@
 """Media columns: payloads stored as images in archives, and a Spark data source that reads them back.
 
 A payload becomes an 8-bit greyscale PNG of 192 samples a row. Members are appended to archive files; every file ends
-with an index of blocks (offset, length, members) of some MB, and a manifest written at commit lists the files, so files left
-by failed tasks are never read. Reading plans one partition per block from the indexes alone; tasks
+with an index of blocks (offset, length, members) of some MB, and a manifest written at commit lists the files with their indexes, so files left
+by failed tasks are never read. Reading plans one partition per block from the manifest alone, or, in a folder that has none, from the
+indexes of its archives, many at a time; tasks
 stream their byte range in Arrow batches and read a member again by its offset when its checksum or a read fails.
 
 Defined cases: null or empty text is stored as one row of blanks; any length is stored whole; equal texts give equal
@@ -16,6 +17,7 @@ import json
 import struct
 import uuid
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +81,8 @@ def decode_png(media: bytes) -> np.ndarray:
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, name: str | None, members: int) -> None:
-        self.name, self.members = name, members
+    def __init__(self, name: str | None, blocks: list[list[int]]) -> None:
+        self.name, self.blocks = name, blocks
 
 
 class _Range(InputPartition):
@@ -96,7 +98,7 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def write(self, iterator) -> WriterCommitMessage:
         store, base = pafs.FileSystem.from_uri(self.path)
-        name, out, blocks, at, block, members = None, None, [], 0, [0, 0, 0], 0
+        name, out, blocks, at, block = None, None, [], 0, [0, 0, 0]
         for batch in iterator:
             for doc, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                 if out is None:
@@ -107,7 +109,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 out.write(media)
                 size = MEMBER.size + len(media)
                 block = [block[0], block[1] + size, block[2] + 1]
-                at, members = at + size, members + 1
+                at += size
                 if block[1] >= BLOCK_BYTES:
                     blocks.append(block)
                     block = [at, 0, 0]
@@ -117,13 +119,13 @@ class ArchiveWriter(DataSourceArrowWriter):
                 out.write(BLOCK.pack(*x))
             out.write(FOOTER.pack(at, len(blocks), END))
             out.close()
-        return _Commit(name, members)
+        return _Commit(name, blocks)
 
     def commit(self, messages) -> None:
         store, base = pafs.FileSystem.from_uri(self.path)
         store.create_dir(base, recursive=True)
         with store.open_output_stream(f"{base}/_manifest.json") as out:
-            out.write(json.dumps([m.name for m in messages if m is not None and m.name]).encode())
+            out.write(json.dumps({m.name: m.blocks for m in messages if m is not None and m.name}).encode())
 
     def abort(self, messages) -> None:
         store, base = pafs.FileSystem.from_uri(self.path)
@@ -132,6 +134,16 @@ class ArchiveWriter(DataSourceArrowWriter):
                 store.delete_file(f"{base}/{m.name}")
 
 
+def _index(store, path: str) -> list[tuple[int, int, int]]:
+    """Blocks of an archive, from its end."""
+    with store.open_input_file(path) as f:
+        index, n, end = FOOTER.unpack(f.read_at(FOOTER.size, f.size() - FOOTER.size))
+        if end != END:
+            raise ValueError(f"{path} is not an archive")
+        raw = f.read_at(n * BLOCK.size, index)
+    return [BLOCK.unpack_from(raw, i * BLOCK.size) for i in range(n)]
+
+
 class ArchiveReader(DataSourceReader):
     """Byte-range partitions over the archives of a folder."""
 
@@ -140,17 +152,15 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, base = pafs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{base}/_manifest.json") as f:
-            names = json.loads(f.read())
-        found: list[InputPartition] = []
-        for name in names:
-            with store.open_input_file(f"{base}/{name}") as f:
-                index, n, end = FOOTER.unpack(f.read_at(FOOTER.size, f.size() - FOOTER.size))
-                if end != END:
-                    raise ValueError(f"{name} is not an archive")
-                raw = f.read_at(n * BLOCK.size, index)
-            found += [_Range(name, *BLOCK.unpack_from(raw, i * BLOCK.size)) for i in range(n)]
-        return found or [_Range("", 0, 0, 0)]
+        manifest = f"{base}/_manifest.json"
+        if store.get_file_info(manifest).type == pafs.FileType.File:
+            with store.open_input_stream(manifest) as f:
+                indexes = json.loads(f.read())
+        else:
+            names = sorted(x.base_name for x in store.get_file_info(pafs.FileSelector(base)) if x.is_file and x.base_name.endswith(".arc"))
+            with ThreadPoolExecutor(32) as pool:
+                indexes = dict(zip(names, pool.map(lambda name: _index(store, f"{base}/{name}"), names), strict=True))
+        return [_Range(name, *block) for name, blocks in indexes.items() for block in blocks] or [_Range("", 0, 0, 0)]
 
     def read(self, partition: _Range):
         if not partition.members:

@@ -23,12 +23,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, saved
+from .common import BROADCAST_BYTES, running_sums, saved
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK, LEAST_BLOCKS, SHARD_WORDS, SEED = 128, 32, 250_000, "mix-1"
@@ -43,19 +41,6 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
-    """Adds each named sum over all rows up to this one. Rows of one part are summed by one task, and then one row per part."""
-    columns = df.columns
-    parts = saved(df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "running")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # As many rows as the exchange has partitions.
-    ahead = parts.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in sums])
-    ahead = ahead.select("__part", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums])
-    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = parts.withColumns({k: F.sum(f"__{k}").over(own) for k in sums}).join(F.broadcast(ahead), "__part")
-    return joined.select(*columns, *[(F.col(k) + F.col(f"__before_{k}")).alias(k) for k in sums])
-
-
 def source_targets(sources: DataFrame) -> DataFrame:
     """``sources``: s_null, s_key, source_size. Adds weight and target."""
     one = F.lit(1).cast("long")

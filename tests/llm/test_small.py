@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from epochlens.llm import chat, extraction, licenses, media, mixing, quality
+from epochlens.llm import chat, common, extraction, licenses, media, mixing, quality
 
 
 def turns(spark, rows):
@@ -84,6 +84,23 @@ def test_chat_odd_rows(spark):
     assert chat.format_chats(turns(spark, [])).count() == 0
 
 
+def test_chat_turns_without_numbers(spark, monkeypatch):
+    """Very many rows without a turn, or with the same one, or without a conversation, are split, to the same cost."""
+    monkeypatch.setattr(chat, "MOST_ROWS", 50)
+    r = random.Random(6)
+    names = ["assistant", "system", "user", "what"]
+    rows = [(c, t, x, f"t{i:03d}") for c, t in ((1, None), (2, 7), (None, 3)) for i in range(230) for x in [r.choice(names)]] + [(1, 0, "user", "first"), (3, 0, "user", "q")]
+    got = chat.format_chats(turns(spark, rows + rows[:100])).toPandas().sort_values(["segment", "part"])
+    for c in (1, 2, None):
+        own = got[got.conv_id.isna() if c is None else got.conv_id == c]
+        order = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is None, x[1], x[2], x[3]))
+        assert own.cost.sum() == brute_cost([chat.role_code(x[2]) for x in order]) and own.n_turns.sum() == len(order) and own.part.max() == 4
+        assert legal(tuple(",".join(x for x in own.roles if x).split(",")))
+        whole = "".join(own.text)
+        at = [whole.index(x[3]) for x in order]
+        assert at == sorted(at)
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "a", "b" * 191, "c" * 192, "ü" * 5000, "a", "x\n" * 70000]
     docs = spark.createDataFrame([(i if i else None, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, media string")
@@ -94,6 +111,17 @@ def test_media_round_trip(spark):
         payload = data + b" " * (192 - len(data) if not data else -len(data) % 192)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        stored = media.encode_png(payload)
+        header, body = stored[8:33], zlib.decompress(stored[41:-16])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert header[4:16] == b"IHDR" + (192).to_bytes(4, "big") + (len(payload) // 192).to_bytes(4, "big") and b"".join(body[k + 1 : k + 193] for k in range(0, len(body), 193)) == payload
+        n, counts = len(payload), [payload.count(bytes([v])) for v in range(256)]
+        mean = sum(v * c for v, c in enumerate(counts)) / n
+        spread = (sum((v - mean) ** 2 * c for v, c in enumerate(counts)) / n) ** 0.5
+        steps = [abs(payload[k] - payload[k - 1]) for k in range(1, n) if k % 192]
+        want = {"mean": mean, "std": spread, "entropy": -sum(c / n * np.log2(c / n) for c in counts if c), "step": sum(steps) / len(steps)}
+        size, *told = r["feature"].split(";")
+        assert size == f"{n // 192}x192" and {k: float(v) for k, v in (x.split("=") for x in told)} == pytest.approx(want, abs=1e-3)
     assert got[2][4:] == got[6][4:]
     assert media.media_columns(docs.limit(0)).count() == 0
 
@@ -130,6 +158,10 @@ def test_media_partitions(spark, tmp_path, monkeypatch):
     media.store_media(docs, path)
     parts = media.ArchiveReader(path).partitions()
     assert sum(p.members for p in parts) == 300
+    (tmp_path / "arc" / "_manifest.json").rename(tmp_path / "manifest")
+    key = lambda ps: sorted((p.name, p.offset, p.length, p.members) for p in ps)
+    assert key(media.ArchiveReader(path).partitions()) == key(parts)
+    (tmp_path / "manifest").rename(tmp_path / "arc" / "_manifest.json")
     assert sorted(r["doc_id"] for r in media.read_media(spark, path).collect()) == list(range(300))
 
 
@@ -367,7 +399,7 @@ def test_quotas_are_highest_quotients(spark):
 
 def test_running_sums(spark):
     rows = spark.range(5000).selectExpr("id", "(id * 7919) % 5000 k").repartition(7)
-    got = mixing.running_sums(rows, [mixing.F.col("k")], {"n": mixing.F.col("k")}).collect()
+    got = common.running_sums(rows, [mixing.F.col("k")], {"n": mixing.F.col("k")}).collect()
     assert len(got) == 5000 and all(r["n"] == r["k"] * (r["k"] + 1) // 2 for r in got)
 
 
