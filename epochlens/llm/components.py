@@ -160,29 +160,28 @@ GROUPS = "gid long, first long, node long"
 
 
 def pack_keys(keys: np.ndarray, at: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of ``PACKED`` for one slice: distinct pairs of a 64-bit key and a node, ``nodes[at]``, by bucket.
+    """Rows of ``PACKED`` for one slice: pairs of a 64-bit key and a node, ``nodes[at]``, by bucket.
 
     Of more than ``MANY`` nodes with one key only the smallest goes to the key's bucket, marked as hot; they all go to bucket -1, with
     their key, so no bucket gathers all the nodes of a hot key.
     """
-    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    low = keys & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((nodes[at], low, bucket))
-    bucket, low, at = bucket[order], low[order], at[order]
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (at[1:] != at[:-1])
-    bucket, low, at = bucket[fresh], low[fresh], at[fresh]
-    begins = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])]) if len(at) else np.zeros(0, dtype=np.int64)
+    bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+    whole = (bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+    order = np.argsort(whole, kind="stable")
+    whole, at = whole[order], at[order]
+    begins = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(at) else np.zeros(0, dtype=np.int64)
     lengths = np.diff(np.r_[begins, len(at)])
     many = lengths > MANY
     hot, drop = np.zeros(len(at), dtype=np.uint8), np.zeros(len(at), dtype=bool)
-    hot[begins[many]] = 1
     rows = []
     for b, n in zip(begins[many].tolist(), lengths[many].tolist(), strict=True):
+        mine = at[b : b + n]
+        own, firsts = np.unique(nodes[mine], return_index=True)
+        at[b], hot[b] = mine[firsts[0]], 1
         drop[b + 1 : b + n] = True
-        key = np.array([(bucket[b] << 32) | int(low[b])], dtype=np.uint64)
-        rows.append((-1, key.tobytes(), b"", b"", nodes[at[b : b + n]].tobytes()))
-    bucket, low, at, hot = bucket[~drop], low[~drop].astype(np.uint32), at[~drop], hot[~drop]
+        rows.append((-1, whole[b : b + 1].tobytes(), b"", b"", own.tobytes()))
+    whole, at, hot = whole[~drop], at[~drop], hot[~drop]
+    bucket, low = (whole >> np.uint64(32)).astype(np.int64), (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(at) else []
     for a, b in itertools.pairwise([*ends, len(at)]):
         used, local = np.unique(at[a:b], return_inverse=True)
@@ -216,6 +215,11 @@ def _bucket_groups(table: pa.Table) -> pa.Table:
 
 def grouped_runs(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, bucket: int):
     """Distinct nodes that share a key, as arrays (gid or -1 for pairs, first, node). Equal sets of nodes come once; a hot key's set always."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    # Most keys stand alone; the rest is put in order of nodes, marked ones first.
+    order = order[(np.r_[False, same] | np.r_[same, False] if len(order) else np.zeros(0, dtype=bool)) | (hot[order] > 0)]
+    keys, nodes, hot = keys[order], nodes[order], hot[order]
     order = np.lexsort((1 - hot, nodes, keys))
     keys, nodes, hot = keys[order], nodes[order], hot[order]
     fresh = np.ones(len(keys), dtype=bool)

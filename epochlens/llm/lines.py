@@ -85,7 +85,7 @@ class Lines:
             if self.sums is None:
                 powers, self.inverse = _powers(len(self.codes) + 1)
                 self.sums = np.zeros(len(self.codes) + 1, dtype=np.uint64)
-                np.cumsum(mix64(self.codes.astype(np.uint64) + np.uint64(0x51ED27)) * powers[: len(self.codes)], out=self.sums[1:])
+                np.cumsum((self.codes.astype(np.uint64) + np.uint64(0x51ED27)) * powers[: len(self.codes)], out=self.sums[1:])
             return mix64((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
     def grams(self) -> np.ndarray:
@@ -97,17 +97,16 @@ class Lines:
             gram ^= gram >> np.uint32(15)
             return gram * np.uint32(0x27D4EB2F)
 
-    def sketches(self, reach: Reach) -> list[bytes | None]:
-        """For lines that may be near others, the parity of the counts of their hashed trigrams."""
-        near = (reach.edits(self.lengths) > 0) & (self.lengths >= GRAM)
+    def sketches(self) -> list[bytes]:
+        """The parity of the counts of each line's hashed trigrams."""
         gram = self.grams()
-        sizes = np.where(near, self.lengths - GRAM + 1, 0)
+        sizes = np.maximum(self.lengths - GRAM + 1, 0)
         begins = np.cumsum(sizes) - sizes
         of = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(len(of)) + (self.starts - begins)[of]
         counts = np.bincount(of * SKETCH_BITS + (gram[at] >> np.uint32(24)), minlength=len(sizes) * SKETCH_BITS)
         packed, size = np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes(), SKETCH_BITS // 8
-        return [packed[i * size : i * size + size] if n else None for i, n in enumerate(near.tolist())]
+        return [packed[i * size : i * size + size] for i in range(len(sizes))]
 
 
 def gram_tokens(line: str) -> list[int]:
@@ -217,22 +216,21 @@ def _edit(a: list, b: list) -> int:
     return row[-1]
 
 
-def _describe(reach: Reach):
-    """A row for each line that is not blank: document (id and digest), number, its two ids, and length and sketch for those that may be near others."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
-
-    def run(batches):
-        for batch in slices(batches, rows=2048, max_bytes=1 << 20):
-            lines, counts = split_lines(batch.column(1).to_pylist())
-            docs, digests = (np.repeat(np.asarray(c.to_numpy(), dtype=np.int64), counts) for c in (batch.column(0), batch.column(2)))
-            number = np.arange(len(lines)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-            used = np.flatnonzero([len(x) > 0 for x in lines])
-            lines = [lines[i] for i in used.tolist()]
-            text, ids = Lines(lines), line_ids(lines)
-            columns = docs[used], digests[used], number[used].astype(np.int32), ids[:, 0], ids[:, 1], text.lengths.astype(np.int32)
-            yield pa.record_batch([*map(pa.array, columns), pa.array(text.sketches(reach), pa.binary())], schema=schema)
-
-    return run
+def _describe(batches):
+    """A row for each line that is not blank: document (id and digest), number, its two ids and its length."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("n", pa.int32())])
+    for batch in slices(batches, rows=2048, max_bytes=4 << 20):
+        docs, digests, numbers, lines, counts = *(np.asarray(c.to_numpy(), dtype=np.int64) for c in (batch.column(0), batch.column(2))), [], [], []
+        for text in batch.column(1).to_pylist():
+            before = len(lines)
+            for i, line in enumerate((text or "").split("\n")):
+                if line := line.strip():
+                    numbers.append(i)
+                    lines.append(line)
+            counts.append(len(lines) - before)
+        ids = line_ids(lines)
+        columns = np.repeat(docs, counts), np.repeat(digests, counts), np.array(numbers, dtype=np.int32), ids[:, 0], ids[:, 1], np.fromiter(map(len, lines), dtype=np.int32, count=len(lines))
+        yield pa.record_batch([*map(pa.array, columns)], schema=schema)
 
 
 def _pack(buckets: int, reach: Reach):
@@ -278,14 +276,16 @@ def _check_pairs(reach: Reach):
 
 
 def _line_texts(batches):
-    schema = pa.schema([("node", pa.int64()), ("line", pa.string())])
+    """Lines by their numbers, with length and sketch."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("line", pa.string())])
     for batch in slices(batches, rows=2048):
         nodes, lines = [], []
         for t, numbers, hs in zip(*(batch.column(c).to_pylist() for c in ("text", "numbers", "hs")), strict=True):
             own = (t or "").split("\n")
             lines += [own[i].strip() for i in numbers]
             nodes += hs
-        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], schema=schema)
+        text = Lines(lines)
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(text.lengths), pa.array(text.sketches(), pa.binary()), pa.array(lines, pa.string())], schema=schema)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: Reach = REACH) -> DataFrame:
@@ -293,33 +293,31 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(docs)
     row_id, digest = _row_key(docs, id_col, text_col)
     texts = docs.select(row_id.alias("doc_id"), docs[text_col].cast("string").alias("text"), digest.alias("digest"))
-    lines = saved(texts.mapInArrow(_describe(reach), "doc_id long, digest long, line_no int, h long, g long, n int, sketch binary"), "lines")
-    first = F.struct("doc_id", "digest", "line_no", "n", "sketch")
+    lines = saved(texts.mapInArrow(_describe, "doc_id long, digest long, line_no int, h long, g long, n int"), "lines")
+    first = F.struct("doc_id", "digest", "line_no", "n")
     firsts = saved(lines.groupBy("h", "g").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "g", "c", "f.*"), "first-lines")
     total = firsts.filter(F.col("n") >= reach.step).count()
     buckets = max(1, 12 * total // BUCKET + 1)
     groups = saved(key_groups(texts.mapInArrow(_pack(buckets, reach), PACKED)), "line-groups")
-    sketched = firsts.filter("sketch is not null").select(F.col("h").alias("node"), F.col("n").cast("long").alias("size"), "sketch")
-
-    def lined(nodes: DataFrame) -> DataFrame:
-        """node, line: the text of each, from the first document that holds it."""
-        places = join_sized(firsts.select("h", "doc_id", "digest", "line_no"), nodes.withColumnRenamed("node", "h"), ["h"], "left_semi", 32)
-        by_doc = saved(places.groupBy("doc_id", "digest").agg(F.collect_list("line_no").alias("numbers"), F.collect_list("h").alias("hs")), "places")
-        picked = join_sized(texts, by_doc, ["doc_id", "digest"], "inner", 32, nodes.count()).select("doc_id", "text", "digest", "numbers", "hs")
-        own = picked.dropDuplicates(["doc_id", "digest"]) if _repeats(texts) else picked
-        return own.mapInArrow(_line_texts, "node long, line string")
+    # Of the lines that share a signature: length, sketch and text, from the first document that holds each.
+    nodes = saved(groups.select(F.col("node").alias("h")).unionByName(groups.select(F.col("first").alias("h"))).distinct(), "nodes")
+    n_nodes = nodes.count()
+    places = join_sized(firsts.select("h", "doc_id", "digest", "line_no"), nodes, ["h"], "left_semi", 32, n_nodes)
+    by_doc = saved(places.groupBy("doc_id", "digest").agg(F.collect_list("line_no").alias("numbers"), F.collect_list("h").alias("hs")), "places")
+    picked = join_sized(texts, by_doc, ["doc_id", "digest"], "inner", 32, n_nodes).select("doc_id", "text", "digest", "numbers", "hs")
+    own = picked.dropDuplicates(["doc_id", "digest"]) if _repeats(texts) else picked
+    known = saved(own.mapInArrow(_line_texts, "node long, size long, sketch binary, line string"), "candidate-lines")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sketched.select(F.col("node").alias("a"), F.col("size").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-        with_b = with_a.join(sketched.select(F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+        with_a = pairs.join(known.select(F.col("node").alias("a"), F.col("size").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+        with_b = with_a.join(known.select(F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
         near = saved(with_b.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_check_sketches(reach), "a long, b long"), "near-lines")
-        known = lined(saved(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "nodes"))
         with_a = near.join(known.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
         with_b = with_a.join(known.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
         return with_b.select("a", "b", "line_a", "line_b").mapInArrow(_check_pairs(reach), "a long, b long").distinct()
 
     def sketches(nodes: DataFrame) -> DataFrame:
-        return sketched.join(nodes, "node")
+        return known.join(nodes, "node").select("node", "size", "sketch")
 
     def tokens(nodes: DataFrame) -> DataFrame:
         schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("take", pa.int32())])
@@ -329,7 +327,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = batch.column(1).to_pylist()
                 yield pa.record_batch([batch.column(0), pa.array([gram_tokens(x) for x in found], pa.list_(pa.int64())), pa.array([GRAM * int(reach.edits(len(x))) + 1 for x in found], pa.int32())], schema=schema)
 
-        return lined(saved(nodes, "nodes")).mapInArrow(run, "node long, tokens array<long>, take int").dropDuplicates(["node"])
+        return known.join(nodes, "node").select("node", "line").mapInArrow(run, "node long, tokens array<long>, take int").dropDuplicates(["node"])
 
     _, comps = link_classes(groups, verify, sketches, reach.most_different, tokens)
     place = F.struct("doc_id", "digest", "line_no")
