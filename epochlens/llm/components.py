@@ -3,10 +3,10 @@
 A candidate group holds nodes that may be linked to each other. All pairs of a group are never emitted. First each node is
 paired with its group's smallest node and the pairs are verified. Groups whose nodes then lie in more than one component are looked at
 again. Small ones are compared in one task: pairs across components by a parity sketch whose distance never exceeds the true
-difference, and only pairs that pass are verified. A group of more than ``WIDE`` nodes is first split by its nodes' own tokens: linked nodes
-share one of their rarest few, rarest within the group, so each node joins a subgroup for each of these, and what is merely common to
-the group links nothing. The rows are as many as the nodes' tokens. Only a subgroup that is wide again is compared in blocks of
-``TILE`` nodes. No link is lost.
+difference, and only pairs that pass are verified. The nodes of groups of more than ``WIDE`` nodes are first grouped anew, by their own tokens:
+linked nodes share one of their rarest few, rarest among these nodes, so each node joins a group for each of these, and what is merely
+common links nothing. The rows are as many as the nodes' tokens. Only a group that is wide again is compared in blocks of ``TILE`` nodes. No
+link is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import join_sized, mix64, saved
 
-TILE, WIDE = 2048, 256
+TILE = WIDE = 2048
 #: Nodes of one slice that share a key, beyond which they travel apart from the key's bucket.
 MANY = 16
 
@@ -106,20 +106,21 @@ def _stack(sketches: list[bytes]) -> np.ndarray:
 
 
 def split_wide(wide: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``wide``: gid, node, component of wide groups -> the same of their subgroups by rare tokens, with new gids.
+    """``wide``: distinct node and component of the members of all wide groups -> gid, node, component of groups by rare tokens.
 
-    ``tokens(nodes)`` gives node, tokens (array of long) and take: linked nodes share one of the first ``take`` in any common order.
+    ``tokens(nodes)`` gives node, tokens (array of long) and take: linked nodes share one of the first ``take`` in any common order. The order here is by
+    how many of these nodes hold a token. Each node is taken once, in however many wide groups it is.
     """
-    held = saved(wide.join(tokens(wide.select("node").distinct()), "node").select("gid", "node", "component", "take", F.explode("tokens").alias("token")), "tokens")
-    counts = saved(held.groupBy("gid", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "token-counts")
+    held = saved(wide.join(tokens(wide.select("node")), "node").select("node", "component", "take", F.explode("tokens").alias("token")), "tokens")
+    counts = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "token-counts")
     # Tokens that many nodes hold are few, so they join by broadcast, and the rest has no hot key.
     common, scarce = counts.filter(F.col("c") > WIDE), counts.filter(F.col("c") <= WIDE)
-    known = join_sized(held, common, ["gid", "token"], "left", 64)
-    rest = known.filter("c is null").drop("c").join(scarce, ["gid", "token"], "left")
+    known = join_sized(held, common, ["token"], "left", 64)
+    rest = known.filter("c is null").drop("c").join(scarce, ["token"], "left")
     every = known.filter("c is not null").unionByName(rest)
-    order = Window.partitionBy("gid", "node").orderBy(F.coalesce("c", F.lit(1)), "token")
+    order = Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(1)), "token")
     first = every.withColumn("rank", F.row_number().over(order)).filter("rank <= take and c is not null")
-    parts = saved(first.select(F.xxhash64("gid", "token").alias("gid"), "node", "component"), "subgroups")
+    parts = saved(first.select(F.xxhash64("token").alias("gid"), "node", "component"), "subgroups")
     # Subgroups of one component have nothing to add, and equal ones count once.
     kept = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     kept = kept.filter("lo <> hi").groupBy("n", "least", "sum").agg(F.min("gid").alias("gid")).select("gid")
@@ -144,7 +145,8 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
         return links, comps
     left = many.join(split, "gid")
     if True in apart:
-        left = left.filter("not wide").drop("wide").unionByName(split_wide(left.filter("wide").drop("wide"), tokens))
+        wide = saved(left.filter("wide").select("node", "component").distinct(), "wide")
+        left = left.filter("not wide").drop("wide").unionByName(split_wide(wide, tokens))
     left = saved(left.select("gid", "node", "component"), "residual")
     nodes = left.select("node").distinct()
     more = saved(residual_pairs(left.join(saved(sketches(nodes), "sketches"), "node"), limit).join(star, ["a", "b"], "left_anti"), "pairs")
