@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_sized, mix64, saved
+from .common import discard, join_sized, mix64, saved
 
 TILE = WIDE = 2048
 #: Nodes of one slice that share a key, beyond which they travel apart from the key's bucket.
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         large = saved(large.filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before, large)
         n, sources, now = edges.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         # Done where each node hangs on one centre that hangs on none.
         if n == sources and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or (n, now) == state:
@@ -121,6 +122,7 @@ def split_wide(wide: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> Dat
     order = Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(1)), "token")
     first = every.withColumn("rank", F.row_number().over(order)).filter("rank <= take and c is not null")
     parts = saved(first.select(F.xxhash64("token").alias("gid"), "node", "component"), "subgroups")
+    discard(held, counts)
     # Subgroups of one component have nothing to add, and equal ones count once.
     kept = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     kept = kept.filter("lo <> hi").groupBy("n", "least", "sum").agg(F.min("gid").alias("gid")).select("gid")
