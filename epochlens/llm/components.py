@@ -106,6 +106,12 @@ def _stack(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(sketches), -1)
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """gid and n of the groups (gid, node, component) whose nodes lie in several components; of groups of the same nodes one."""
+    groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return groups.filter("lo <> hi").groupBy("n", "least", "sum").agg(F.min("gid").alias("gid")).select("gid", "n")
+
+
 def split_wide(wide: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``wide``: distinct node and component of the members of all wide groups -> gid, node, component of groups by rare tokens.
 
@@ -123,10 +129,7 @@ def split_wide(wide: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> Dat
     first = every.withColumn("rank", F.row_number().over(order)).filter("rank <= take and c is not null")
     parts = saved(first.select(F.xxhash64("token").alias("gid"), "node", "component"), "subgroups")
     discard(held, counts)
-    # Subgroups of one component have nothing to add, and equal ones count once.
-    kept = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    kept = kept.filter("lo <> hi").groupBy("n", "least", "sum").agg(F.min("gid").alias("gid")).select("gid")
-    return parts.join(kept, "gid")
+    return parts.join(_apart(parts).select("gid"), "gid")
 
 
 def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], limit, tokens) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +144,7 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
     many = groups.filter("gid >= 0").select("gid", "node").distinct()
     many = many.join(comps, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     many = saved(many, "members")
-    split = saved(many.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("gid", (F.col("n") > WIDE).alias("wide")), "split")
+    split = saved(_apart(many).withColumn("wide", F.col("n") > WIDE).select("gid", "wide"), "split")
     apart = [r[0] for r in split.select("wide").distinct().collect()]
     if not apart:
         return links, comps

@@ -11,6 +11,8 @@ _rng = np.random.default_rng(20240531)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first bytes of eight.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -25,16 +27,19 @@ def hash_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    # Eight bytes from any place on, whatever its alignment.
+    eight = np.ndarray((len(raw),), dtype="<u8", buffer=np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), strides=(1,))
     with np.errstate(over="ignore"):
-        ends = np.cumsum(lengths)
-        begins = ends - lengths
-        at = np.arange(ends[-1], dtype=np.int64)
-        within = at - np.repeat(begins, lengths)
-        at += np.repeat(starts - begins, lengths)
-        values = raw[at].astype(np.uint64) << ((within & 7) << 3).astype(np.uint64)
-        firsts = np.flatnonzero(within & 7 == 0)
-        chunks = mix64(np.add.reduceat(values, firsts) + (within[firsts] + 8).astype(np.uint64) * _BASE)
-        return mix64(np.add.reduceat(chunks, np.searchsorted(firsts, begins)) ^ (lengths.astype(np.uint64) * _BASE))
+        chunks = (lengths + 7) >> 3
+        firsts = np.cumsum(chunks) - chunks
+        if len(starts) == int(chunks.sum()):
+            at, left, within = starts, lengths, 0
+        else:
+            within = (np.arange(int(chunks.sum())) - np.repeat(firsts, chunks)) << 3
+            at, left = np.repeat(starts, chunks) + within, np.repeat(lengths, chunks) - within
+        values = eight[at] & _KEEP[np.minimum(left, 8)]
+        mixed = mix64(values + np.asarray(within + 8, dtype=np.uint64) * _BASE)
+        return mix64(np.add.reduceat(mixed, firsts) ^ (lengths.astype(np.uint64) * _BASE))
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
