@@ -10,18 +10,18 @@ SYNTHETIC_TEXT = """
 CASE CAST((l_partkey + l_linenumber) % 18 AS INT)
  WHEN 0 THEN concat('time_t t', CAST(l_linenumber AS STRING), ' = time(NULL);')
  WHEN 1 THEN concat('int32_t x', CAST(l_suppkey % 7 AS STRING), ' = (int32_t) time(NULL);')
- WHEN 2 THEN concat('t', CAST(l_linenumber AS STRING), ' = t', CAST(l_linenumber AS STRING), ' + ', CAST(l_partkey * 100000 AS STRING), ';')
+ WHEN 2 THEN concat('t', CAST(l_linenumber AS STRING), ' = t', CAST(l_linenumber AS STRING), ' ', CASE CAST(l_suppkey % 4 AS INT) WHEN 0 THEN '+' WHEN 1 THEN '/' WHEN 2 THEN '-' ELSE '*' END, ' ', CAST(l_partkey * 1000 AS STRING), ';')
  WHEN 3 THEN concat('deadline += ', CAST(l_suppkey AS STRING), '; // time_t note')
  WHEN 4 THEN concat('printf("%d %s", t', CAST(l_linenumber AS STRING), ');')
  WHEN 5 THEN concat('#define TIMEOUT_', CAST(l_suppkey % 5 AS STRING), ' 3600')
  WHEN 6 THEN concat('#define REG_BASE_', CAST(l_suppkey % 5 AS STRING), ' 0x4000')
  WHEN 7 THEN 'struct timeval tv; gettimeofday(&tv, NULL);'
- WHEN 8 THEN concat('fwrite(&stamp, sizeof(time_t), ', CAST(l_linenumber AS STRING), ', fp);')
+ WHEN 8 THEN concat('memcpy((void *)buf, &t', CAST(l_linenumber AS STRING), ', sizeof(time_t));')
  WHEN 9 THEN 'if (stamp < 0) return -1;'
  WHEN 10 THEN concat('#include "h', CAST(l_partkey % 9 AS STRING), '.h"')
- WHEN 11 THEN concat('typedef time_t alias', CAST(l_partkey % 6 AS STRING), '_t;')
- WHEN 12 THEN concat('long d', CAST(l_linenumber AS STRING), ' = (long) stamp;')
- WHEN 13 THEN concat('counter = counter + ', CAST(l_suppkey AS STRING), ';')
+ WHEN 11 THEN concat('typedef ', CASE WHEN l_suppkey % 7 = 0 THEN 'time_t' ELSE concat('alias', CAST(l_suppkey % 7 - 1 AS STRING), '_t') END, ' alias', CAST(l_suppkey % 7 AS STRING), '_t;')
+ WHEN 12 THEN concat('long d', CAST(l_linenumber AS STRING), ' = (long) start_time;')
+ WHEN 13 THEN concat('int y', CAST(l_linenumber AS STRING), ' = last_tick;')
  WHEN 14 THEN concat('puts("time(NULL) in text ', CAST(l_linenumber AS STRING), '");')
  WHEN 15 THEN concat('mktime(&tm', CAST(l_linenumber AS STRING), ');')
  WHEN 16 THEN ''
