@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, bound_snippet, candidate_id, function_id
+from ..functions.text import blank_to_null, bound_snippet, candidate_id, function_id, normalize_newlines
 
 IDENTITY = ["path", "line", "col_start", "col_end", "symbol", "risk"]
 
 
-def as_candidates(rows: DataFrame, symbol, risk, description, method: str, rule_id=None) -> DataFrame:
-    """Project detector rows to the candidate columns."""
+# How a candidate may have been found.
+METHODS = ("catalog_symbol_match", "time_t_cast", "define_scanner", "arithmetic_scanner", "io_boundary", "migration", "unknown")
+
+
+def discovery_method(value: Column) -> Column:
+    """A method of the vocabulary; blank is unknown, and anything else an error."""
+    v = blank_to_null(value)
+    return F.when(v.isNull(), "unknown").when(v.isin(*METHODS), v).otherwise(F.raise_error(F.concat(F.lit("unknown discovery method "), v)))
+
+
+def as_candidates(rows: DataFrame) -> DataFrame:
+    """Project rows with path, line, text, symbol, risk, description and discovery_method (and rule_id, where there) to the candidate columns."""
     none = F.lit(None)
     return rows.select(
-        "path", "line", none.cast("int").alias("col_start"), none.cast("int").alias("col_end"), symbol.alias("symbol"), risk.alias("risk"),
-        bound_snippet(F.col("text")).alias("snippet"), description.alias("description"), F.lit(method).alias("discovery_method"), (none.cast("string") if rule_id is None else rule_id).alias("rule_id"),
+        "path", "line", none.cast("int").alias("col_start"), none.cast("int").alias("col_end"), "symbol", "risk", bound_snippet(F.col("text")).alias("snippet"), normalize_newlines(F.col("description")).alias("description"),
+        "discovery_method", (F.col("rule_id") if "rule_id" in rows.columns else none.cast("string")).alias("rule_id"),
     )
 
 
-def unite(matches: DataFrame, defines: DataFrame, arithmetic: DataFrame, casts: DataFrame) -> DataFrame:
-    """All candidate rows, repeats included."""
-    c = F.col
-    return (
-        as_candidates(matches, c("symbol"), c("risk"), c("description"), "catalog", c("rule_id"))
-        .unionByName(as_candidates(defines, c("macro"), F.lit("medium"), F.concat_ws(" ", F.lit("define"), "kind"), "define"))
-        .unionByName(as_candidates(arithmetic, c("var"), c("risk"), F.concat_ws(" ", F.lit("arithmetic"), "operator", "operand"), "arithmetic"))
-        .unionByName(as_candidates(casts, c("source"), F.lit("high"), F.concat_ws(" ", F.lit("cast to"), "to_type"), "cast"))
-    )
+def unite(*rows: DataFrame) -> DataFrame:
+    """All candidate rows of all detectors, repeats included."""
+    return reduce(DataFrame.unionByName, map(as_candidates, rows))
 
 
 def dedupe(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,19 +63,26 @@ def in_order(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy("path", "line", F.coalesce("col_start", F.lit(0)), F.coalesce("col_end", F.lit(0)), "symbol", "risk")
 
 
+def part_id(path: Column, name: Column, start: Column, end: Column, part: Column) -> Column:
+    """A function's id, with its part where it was split."""
+    whole = function_id(path, name, start, end)
+    return F.when(part > 0, F.concat(whole, F.lit(":part"), part.cast("string"))).otherwise(whole)
+
+
 def join_functions(candidates: DataFrame, functions: DataFrame, block: int = 256) -> DataFrame:
     """Candidates with the function whose lines hold them, null where none does; the innermost, then the first, where several do.
 
     The file is the equality key; lines are cut into blocks so that a file with very many functions is no quadratic join.
     """
-    spans = functions.withColumn("function_id", function_id(F.col("path"), F.col("name"), F.col("start_line"), F.col("end_line"))).select(
+    part = F.col("part") if "part" in functions.columns else F.lit(0)
+    spans = functions.withColumn("function_id", part_id(F.col("path"), F.col("name"), F.col("start_line"), F.col("end_line"), part)).select(
         "path", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))).alias("blk"), "function_id", "start_line", "end_line"
     )
-    placed = candidates.withColumn("blk", F.floor(F.col("line") / block))
-    hit = placed.join(spans, (placed["path"] == spans["path"]) & (placed["blk"] == spans["blk"]) & placed["line"].between(F.col("start_line"), F.col("end_line")), "left").select(placed["*"], "function_id", "start_line", "end_line")
+    placed = candidates.select("candidate_id", "path", "line", F.floor(F.col("line") / block).alias("blk"))
+    hit = placed.join(spans, ["path", "blk"]).filter("line between start_line and end_line")
     best = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "function_id")
-    keys = [c for c in candidates.columns]
-    return hit.groupBy(*keys).agg(F.min(F.when(F.col("function_id").isNotNull(), best))["function_id"].alias("function_id")).withColumn("analysis_coverage", F.when(F.col("function_id").isNotNull(), "grouped").otherwise("ungrouped"))
+    own = hit.filter("function_id is not null").groupBy("candidate_id").agg(F.min(best)["function_id"].alias("function_id"))
+    return candidates.join(own, "candidate_id", "left").withColumn("analysis_coverage", F.when(F.col("function_id").isNotNull(), "grouped").otherwise("ungrouped"))
 
 
 def summarize(evidence: DataFrame) -> DataFrame:
@@ -90,11 +103,59 @@ def batches(functions: DataFrame, size: int = 15) -> DataFrame:
 
 
 def line_frames(lines: DataFrame, targets: DataFrame, reach: int = 5) -> DataFrame:
-    """The lines around each target line, joined, with a mark on the target."""
-    around = targets.select("path", F.col("line").alias("target")).distinct().withColumn("line", F.explode(F.sequence(F.col("target") - reach, F.col("target") + reach)))
-    rows = around.join(lines.select("path", "line", "text"), ["path", "line"])
-    shown = F.concat(F.when(F.col("line") == F.col("target"), ">>> ").otherwise("    "), F.col("line").cast("string"), F.lit(": "), F.col("text"))
-    return rows.groupBy("path", "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))), lambda x: x["t"]), "\n").alias("frame"))
+    """The lines around each target line, joined, with a mark on the target. One window over the lines, whatever the targets."""
+    near = Window.partitionBy("path").orderBy("line").rangeBetween(-reach, reach)
+    framed = lines.select("path", F.col("line").alias("target"), F.collect_list(F.struct("line", "text")).over(near).alias("l"))
+    wanted = framed.join(targets.select("path", F.col("line").alias("target")).distinct(), ["path", "target"], "left_semi")
+    shown = F.transform(F.array_sort("l"), lambda x: F.concat(F.when(x["line"] == F.col("target"), ">>> ").otherwise("    "), x["line"].cast("string"), F.lit(": "), x["text"]))
+    return wanted.select("path", "target", F.array_join(shown, "\n").alias("frame"))
+
+
+def block_contexts(lines: DataFrame, targets: DataFrame, most: int = 100) -> DataFrame:
+    """The block around each target line: from the last line before it that opens a definition to the line where its braces are even again.
+
+    At most ``most`` lines, numbered, with a mark on the target; targets without such a block have no row. path, target, context.
+    """
+    t = F.trim("text")
+    kinds = "|".join(("int ", "void ", "char ", "struct ", "enum ", "float ", "double ", "long ", "short ", "unsigned ", "signed "))
+    opens = t.endswith("{") & ~t.rlike(r"^(?://|/\*|\*)") & (t.rlike("static|extern") | t.rlike(kinds) & F.contains(t, F.lit("(")) & F.contains(t, F.lit(")")))
+    count = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))
+    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = lines.withColumn("start", F.last(F.when(opens, F.col("line")), ignorenulls=True).over(upto)).withColumn("depth", F.sum(count("{") - count("}")).over(upto))
+    # Depth before the opening line's own last brace: the block ends where it is reached again.
+    starts = marked.filter("start = line").select("path", F.col("line").alias("start"), (F.col("depth") - 1).alias("base"))
+    nextone = Window.partitionBy("path").orderBy("start")
+    bounded = starts.withColumn("next", F.lead("start").over(nextone))
+    inner = marked.join(bounded, ["path", "start"]).withColumn("end", F.min(F.when((F.col("line") > F.col("start")) & (F.col("depth") == F.col("base")), F.col("line"))).over(Window.partitionBy("path", "start")))
+    block = inner.filter("end is not null and line <= end")
+    wanted = targets.select("path", F.col("line").alias("target")).distinct()
+    place = block.select("path", F.col("line").alias("target"), "start", "end").join(wanted, ["path", "target"], "left_semi")
+    rows = place.join(block.filter(F.col("line") < F.col("start") + most).select("path", "start", "line", "text"), ["path", "start"])
+    shown = F.concat(F.when(F.col("line") == F.col("target"), ">>>").otherwise("   "), F.lit(" "), F.lpad(F.col("line").cast("string"), F.greatest(F.lit(4), F.length(F.col("line").cast("string"))), F.lit(" ")), F.lit(": "), F.rtrim("text"))
+    joined = rows.groupBy("path", "target").agg(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))).alias("l"), F.max(F.col("end") - F.col("start") + 1).alias("n"))
+    cut = F.when(F.col("n") > most, F.lit(f"\n... [function truncated at {most} lines]")).otherwise("")
+    return joined.select("path", "target", F.concat(F.array_join(F.transform("l", lambda x: x["t"]), "\n"), cut).alias("context"))
+
+
+def widened_contexts(lines: DataFrame, targets: DataFrame, reach: int = 5) -> DataFrame:
+    """The block around each target line, else the lines next to it."""
+    frames = line_frames(lines, targets, reach)
+    return frames.join(block_contexts(lines, targets), ["path", "target"], "left").select("path", "target", F.coalesce("context", "frame").alias("context"))
+
+
+def find_by_place(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates for ids that are a file and a line: by path, else by path with forward slashes, else by base name alone where one candidate fits.
+
+    ``asked``: response_id. Returns response_id and candidate_id, null where none is found.
+    """
+    file = F.regexp_extract("response_id", r"^(.*):(\d+)$", 1)
+    at = asked.select("response_id", F.replace(file, F.lit("\\"), F.lit("/")).alias("file"), F.regexp_extract("response_id", r":(\d+)$", 1).try_cast("int").alias("line")).distinct()
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    exact = candidates.select("candidate_id").join(asked.select("response_id").distinct(), F.col("candidate_id") == F.col("response_id")).select("response_id", F.col("candidate_id").alias("c0"))
+    by_path = candidates.groupBy(F.col("path").alias("file"), "line").agg(F.min("candidate_id").alias("c1"))
+    by_base = candidates.groupBy(base(F.col("path")).alias("base"), "line").agg(F.min("candidate_id").alias("c2"), F.count_distinct("path").alias("n")).filter("n = 1").drop("n")
+    joined = at.withColumn("base", base(F.col("file"))).join(exact, "response_id", "left").join(by_path, ["file", "line"], "left").join(by_base, ["base", "line"], "left")
+    return joined.select("response_id", F.coalesce("c0", "c1", "c2").alias("candidate_id"))
 
 
 def split_parts(lines: DataFrame, max_lines: int = 10_000, max_chars: int = 20_000) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import ensure_checkpoints
+from .cparse import scan_typedefs
 
 
 def include_specs(lines: DataFrame) -> DataFrame:
@@ -14,6 +18,14 @@ def include_specs(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line", spec.alias("spec"), F.regexp_like("text", F.lit(r'^\s*#\s*include\s*"')).alias("is_quoted")).filter("spec <> ''")
 
 
+def plain_path(path):
+    """A relative path without ``.`` and ``..`` steps; those that lead out of the root stay. Up to sixteen steps back."""
+    out = F.regexp_replace(F.regexp_replace(path, r"/(?:\./)+", "/"), r"^(?:\./)+", "")
+    for _ in range(16):
+        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    return out
+
+
 def unique_basenames(files: DataFrame) -> DataFrame:
     """Basenames that one file alone has."""
     base = F.element_at(F.split("path", "/"), -1)
@@ -25,7 +37,7 @@ def include_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
     specs = include_specs(lines).select("path", "spec", "is_quoted").distinct()
     folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
     known = files.select(F.col("path").alias("known")).distinct()
-    keyed = specs.withColumn("beside", F.concat(folder, "spec")).withColumn("base", F.element_at(F.split("spec", "/"), -1))
+    keyed = specs.withColumn("beside", plain_path(F.concat(folder, "spec"))).withColumn("spec", plain_path(F.col("spec"))).withColumn("base", F.element_at(F.split("spec", "/"), -1))
     a = keyed.join(known.withColumnRenamed("known", "k1"), keyed["beside"] == F.col("k1"), "left")
     b = a.join(known.withColumnRenamed("known", "k2"), F.col("spec") == F.col("k2"), "left")
     u = unique_basenames(files).select(F.col("base").alias("ubase"), F.col("path").alias("k3"))
@@ -35,15 +47,15 @@ def include_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def include_closure(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tu, visible): every file that a file reaches, itself included. Rounds until nothing new is found, each one checkpointed."""
-    seen = files.select(F.col("path").alias("tu"), F.col("path").alias("visible")).distinct().checkpoint()
-    frontier = seen
+    """(tu, visible): every file that a file reaches, itself included. Rounds until nothing new is found; each writes only what it found."""
+    ensure_checkpoints(files.sparkSession)
+    found = [files.select(F.col("path").alias("tu"), F.col("path").alias("visible")).distinct().checkpoint()]
     while True:
-        step = frontier.join(edges, frontier["visible"] == edges["src"]).select("tu", F.col("dst").alias("visible")).distinct()
-        frontier = step.join(seen, ["tu", "visible"], "left_anti").checkpoint()
+        step = found[-1].join(edges, found[-1]["visible"] == edges["src"]).select("tu", F.col("dst").alias("visible")).distinct()
+        frontier = step.join(reduce(DataFrame.unionByName, found), ["tu", "visible"], "left_anti").checkpoint()
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier).checkpoint()
+            return reduce(DataFrame.unionByName, found)
+        found.append(frontier)
 
 
 def typedef_lines(lines: DataFrame) -> DataFrame:
@@ -58,17 +70,18 @@ def time_aliases(typedefs: DataFrame, closure: DataFrame, seeds: tuple[str, ...]
 
     A file's search ends after the hop in which it has ``most`` aliases or more.
     """
+    ensure_checkpoints(typedefs.sparkSession)
     visible = closure.join(typedefs, closure["visible"] == typedefs["path"]).select("tu", "alias", F.explode("words").alias("word")).distinct().checkpoint()
-    found = visible.filter(F.col("word").isin(*seeds)).select("tu", "alias").distinct().withColumn("hop", F.lit(1)).checkpoint()
-    frontier = found
+    rounds = [visible.filter(F.col("word").isin(*seeds)).select("tu", "alias").distinct().withColumn("hop", F.lit(1)).checkpoint()]
     for hop in range(2, hops + 1):
+        found = reduce(DataFrame.unionByName, rounds)
         open_tu = found.groupBy("tu").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < most).select("tu")
-        step = visible.join(frontier.select("tu", F.col("alias").alias("word")), ["tu", "word"]).select("tu", "alias").distinct().join(open_tu, "tu")
+        step = visible.join(rounds[-1].select("tu", F.col("alias").alias("word")), ["tu", "word"]).select("tu", "alias").distinct().join(open_tu, "tu")
         frontier = step.join(found, ["tu", "alias"], "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier).checkpoint()
-    return found
+        rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def flatten_aliases(scoped: DataFrame) -> DataFrame:
@@ -76,8 +89,32 @@ def flatten_aliases(scoped: DataFrame) -> DataFrame:
     return scoped.groupBy("alias").agg(F.countDistinct("tu").alias("n_files"), F.min("hop").alias("hop"))
 
 
-def alias_rules(scoped: DataFrame) -> DataFrame:
-    """A type-only rule for each alias, scoped to the files that see it."""
-    return scoped.groupBy(F.col("alias").alias("symbol")).agg(F.array_sort(F.collect_set("tu")).alias("scope_files")).selectExpr(
-        "symbol", "'medium' risk", "'simple type' category", "concat('alias of the time type: ', symbol) description", "cast(null as string) rule_id", "false call_required", "scope_files", "true type_use_only", "true discovered"
+def typedefs_of_files(files: DataFrame) -> DataFrame:
+    """Type definitions of whole files, with the words besides the alias, as ``typedef_lines`` has them for lines."""
+    found = scan_typedefs(files)
+    return found.select("path", "line", "alias", "text", F.array_except(words(F.col("text")), F.array("alias", F.lit("typedef"))).alias("words"))
+
+
+def alias_definitions(aliases: DataFrame, closure: DataFrame, typedefs: DataFrame) -> DataFrame:
+    """The definitions of each alias that its file sees, as ``path:line: text`` in order: tu, alias, definitions."""
+    seen = closure.join(typedefs, closure["visible"] == typedefs["path"]).select("tu", "alias", F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(": "), "text").alias("d"))
+    return seen.join(aliases.select("tu", "alias"), ["tu", "alias"]).groupBy("tu", "alias").agg(F.array_sort(F.collect_set("d")).alias("definitions"))
+
+
+def alias_payload(scoped: DataFrame) -> DataFrame:
+    """Per file the aliases that it sees, sorted."""
+    return scoped.groupBy(F.col("tu").alias("path")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def aliases_of(files: DataFrame, scoped: DataFrame) -> DataFrame:
+    """The aliases that any of these files sees, for a prompt."""
+    return scoped.join(files.select(F.col("path").alias("tu")).distinct(), "tu", "left_semi").select("alias").distinct()
+
+
+def alias_rules(definitions: DataFrame) -> DataFrame:
+    """A rule for each alias (tu, alias, definitions), scoped to the files that see it."""
+    rows = definitions.groupBy(F.col("alias").alias("symbol")).agg(F.array_sort(F.collect_set("tu")).alias("scope_files"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("definitions")))).alias("definitions"))
+    return rows.select(
+        "symbol", F.lit("high").alias("risk"), F.lit("simple type").alias("category"), F.concat(F.lit("Typedef alias for time_t (discovered: "), F.size("definitions").cast("string"), F.lit(" definitions)")).alias("description"),
+        F.lit(None).cast("string").alias("rule_id"), F.lit(False).alias("call_required"), "scope_files", F.lit(False).alias("type_use_only"), F.lit(True).alias("discovered"), F.lit("typedef").alias("discovery_type"), "definitions",
     )

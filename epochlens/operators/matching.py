@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import risk_rank
@@ -20,8 +20,6 @@ CATALOG = (
     ("fwrite", "low", "function", "writes raw bytes"),
     ("#define", "low", "macro", "switches the define scan on"),
 )
-#: Catalogs up to this many rules are broadcast; larger ones are joined by a shuffle.
-BROADCAST_RULES = 200_000
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -46,14 +44,13 @@ def match_rules(lines: DataFrame, rules: DataFrame, min_risk: str = "low") -> Da
     A rule that needs a call matches only before a parenthesis; a type-only rule only elsewhere; a scoped rule only in its files.
     """
     kept = with_min_risk(rules, min_risk).select("symbol", "risk", "category", "description", "rule_id", "call_required", "scope_files", "type_use_only", "discovered")
-    side = F.broadcast(kept) if kept.count() <= BROADCAST_RULES else kept
-    hit = line_terms(lines).join(side, F.col("term") == F.col("symbol"))
+    # Spark broadcasts the rules while its own estimate of their size is small.
+    hit = line_terms(lines).join(kept, F.col("term") == F.col("symbol"))
     called = is_called(F.col("clean"), F.col("symbol"))
     base = F.element_at(F.split("path", "/"), -1)
     in_scope = F.col("scope_files").isNull() | F.arrays_overlap("scope_files", F.array("path", base))
     guarded = (~F.col("call_required") | called) & ~(F.coalesce("type_use_only", F.lit(False)) & called) & in_scope
-    method = F.when(F.coalesce("discovered", F.lit(False)), "discovered_rule").otherwise("catalog")
-    return hit.filter(guarded).select("path", "line", "text", "symbol", "risk", "category", "description", "rule_id", method.alias("discovery_method"))
+    return hit.filter(guarded).select("path", "line", "text", "symbol", "risk", "category", "description", "rule_id", F.lit("catalog_symbol_match").alias("discovery_method"))
 
 
 def group_by_line(matches: DataFrame) -> DataFrame:
@@ -81,13 +78,23 @@ def code_metrics(lines: DataFrame) -> DataFrame:
     )
 
 
-def structural_skip():
-    """Lines that the optional structural filter drops: comments, pragmas, object-like defines, typedefs."""
-    t = F.trim("text")
-    return t.startswith("//") | t.startswith("/*") | t.startswith("*") | t.rlike(r"^#\s*(warning|error|pragma)\b") | t.rlike(r"^#\s*define\s+\w+\s") | t.startswith("typedef ")
+def structural_skip(text: Column) -> Column:
+    """Lines that the structural filter drops: comments, warnings, errors, pragmas, macros without parameters, type definitions."""
+    t = F.trim(text)
+    return t.rlike(r"^(?://|/\*|#warning|#error|#pragma|typedef)") | (t.startswith("#define") & ~F.contains(t, F.lit("(")))
 
 
-def symbol_role():
-    """A role for the line's text by its first words."""
-    t = F.trim("text")
-    return F.when(t.startswith("typedef"), "typedef").when(t.startswith("#define"), "macro").when(t.startswith("struct"), "struct").when(t.startswith("return"), "return").when(t.startswith("if") | t.startswith("while"), "condition").otherwise("statement")
+def symbol_role(text: Column) -> Column:
+    """What a line is, by its first characters; the first test that holds decides."""
+    t = F.trim(text)
+    return (
+        F.when(t.rlike(r"^(?://|/\*)"), "comment").when(t.rlike(r"^#(?:warning|error|pragma)"), "preprocessor_directive").when(t.rlike(r"^#(?:define|if)"), "macro").when(t.rlike(r"^(?:typedef|struct)"), "type")
+        .when(F.contains(t, F.lit("(")) & F.contains(t, F.lit(")")), "call").when(F.contains(t, F.lit("=")) & ~t.rlike(r"^(?:if|while)"), "assignment").otherwise("unknown")
+    )
+
+
+def structural_filter(candidates: DataFrame, enabled: bool = False) -> DataFrame:
+    """Candidates with the role of their line, without those that the filter drops; all of them, without a role, where it is off."""
+    if not enabled:
+        return candidates.withColumn("symbol_role", F.lit(None).cast("string"))
+    return candidates.withColumn("symbol_role", symbol_role(F.col("snippet"))).filter(~structural_skip(F.col("snippet")))
