@@ -44,7 +44,9 @@ def bound_snippet(text: Column, most: int = SNIPPET_CHARS) -> Column:
 
 
 def bound_reason(text: Column, most: int = REASON_CHARS) -> Column:
-    return F.left(F.regexp_replace(F.trim(text), r"\s+", " "), F.lit(most))
+    """Words with single blanks, of at most ``most`` characters."""
+    flat = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), " +", " ")
+    return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 3)), F.lit("..."))).otherwise(flat)
 
 
 def candidate_id(path: Column, line: Column, col_start: Column, col_end: Column, risk: Column, symbol: Column) -> Column:
@@ -63,12 +65,13 @@ def function_id_start(fid: Column) -> Column:
 
 def redact_paths(text: Column) -> Column:
     """Absolute and home paths become a mark."""
-    return F.regexp_replace(text, r"(?<![\w/])(?:~|[A-Za-z]:)?(?:[/\\][\w.+-]+){2,}", "<path>")
+    return F.regexp_replace(text, r"""(?<![A-Za-z0-9_])(?:/[^\s"']+|[A-Za-z]:\\[^\s"']+)|(?:^|[\s"'(])~/[^\s"']+""", "<path>")
 
 
 def redact_credentials(url: Column) -> Column:
-    """User information in URLs becomes a mark."""
-    return F.regexp_replace(url, r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+@", "$1***@")
+    """User information in web addresses becomes a mark; with other schemes the name stays and the password goes."""
+    web = F.regexp_replace(url, r"(?i)\b(https?://)[^/@\s]+@", "$1***@")
+    return F.regexp_replace(web, r"\b((?!(?i)https?:)[A-Za-z][A-Za-z0-9+.-]*://[^/@\s:]*):[^/@\s]+@", "$1:***@")
 
 
 def carries_credentials(url: Column) -> Column:
