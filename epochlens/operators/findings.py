@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound_reason
+from .assessments import controlled_reason
+
 BATCH, LONG_LINE, HUGE_LINE, BATCH_CHARS = 100, 500, 1000, 50_000
 
 
@@ -39,23 +42,84 @@ def to_findings(analyses: DataFrame) -> DataFrame:
     )
 
 
+def disabled_findings(functions: DataFrame) -> DataFrame:
+    """One finding for each function with candidates while no model is asked."""
+    r = region(F.col("candidate_lines"), F.col("start_line"), F.col("end_line"))
+    return functions.select(
+        F.concat(F.col("function_id"), F.lit("#0")).alias("finding_id"), "function_id", "path", F.lit("abstain").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("medium").alias("severity"), F.lit("abstain").alias("issue_type"),
+        F.lit("LLM analysis disabled").alias("description"), F.coalesce(F.get("candidate_lines", F.lit(0)), F.col("start_line")).alias("line"), r["start_line"].alias("start_line"), r["end_line"].alias("end_line"), F.left("body", F.lit(200)).alias("source_snippet"),
+    )
+
+
+def severity_of(verdict: Column, confidence: Column) -> Column:
+    """How grave a finding is: positive ones by confidence, abstentions medium, negative ones low."""
+    return F.when(verdict == "yes", F.when(confidence >= 0.9, "high").otherwise("medium")).when(verdict == "no", "low").otherwise("medium")
+
+
+def assessed_findings(rows: DataFrame) -> DataFrame:
+    """One finding for each assessed function (status, verdict, confidence, reason); what failed abstains, with its fixed reason."""
+    issue = F.when(F.col("status") == "duplicate", "duplicate_function_id").when(F.col("status") == "invalid", "invalid_result_schema").when(F.col("status") != "completed", "missing_expected_result")
+    verdict = F.coalesce(F.when(F.col("status") == "completed", F.col("verdict")), F.lit("abstain"))
+    confidence = F.coalesce("confidence", F.lit(0.0))
+    r = region(F.col("candidate_lines"), F.col("start_line"), F.col("end_line"))
+    return rows.select(
+        F.concat(F.col("function_id"), F.lit("#0")).alias("finding_id"), "function_id", "path", verdict.alias("verdict"), confidence.alias("confidence"), severity_of(verdict, confidence).alias("severity"),
+        F.coalesce(issue, verdict).alias("issue_type"), F.when(issue.isNotNull(), controlled_reason(issue)).otherwise(F.col("reason")).alias("description"), F.coalesce(F.get("candidate_lines", F.lit(0)), F.col("start_line")).alias("line"),
+        r["start_line"].alias("start_line"), r["end_line"].alias("end_line"), F.left("body", F.lit(200)).alias("source_snippet"),
+    )
+
+
+def line_findings(responses: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Findings from answers to single candidates."""
+    rows = responses.join(candidates.select("candidate_id", "path", F.col("line").alias("at"), "symbol", "snippet", "risk"), "candidate_id")
+    return rows.select(
+        F.concat(F.col("candidate_id"), F.lit("#line")).alias("finding_id"), F.lit(None).cast("string").alias("function_id"), "path", "verdict", "confidence", F.when(F.col("risk").isin("low", "medium", "high"), F.col("risk")).otherwise("medium").alias("severity"),
+        F.col("symbol").alias("issue_type"), bound_reason(F.col("reason")).alias("description"), F.col("at").alias("line"), F.col("at").alias("start_line"), F.col("at").alias("end_line"), F.col("snippet").alias("source_snippet"),
+    )
+
+
+def widened_requests(survivors: DataFrame, candidates: DataFrame, contexts: DataFrame, size: int = 40) -> DataFrame:
+    """Abstaining answers with the context of their line, in batches of ``size`` inside a file: path, batch, candidate_id, line, symbol, context."""
+    rows = survivors.filter("verdict = 'abstain'").select("candidate_id").join(candidates.select("candidate_id", "path", "line", "symbol", "snippet"), "candidate_id")
+    joined = rows.join(contexts.withColumnRenamed("target", "line"), ["path", "line"], "left").withColumn("context", F.coalesce("context", "snippet"))
+    order = Window.partitionBy("path").orderBy("line", "candidate_id")
+    return joined.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("int")).select("path", "batch", "candidate_id", "line", "symbol", "context")
+
+
+def file_requests(unresolved: DataFrame, candidates: DataFrame, files: DataFrame, size: int = 20, most: int = 200_000) -> DataFrame:
+    """What still abstains, by file and batch, with the file's text up to ``most`` characters: that bound is part of the rule."""
+    rows = unresolved.filter("verdict = 'abstain'").select("candidate_id").join(candidates.select("candidate_id", "path", "line", "symbol", "snippet"), "candidate_id")
+    order = Window.partitionBy("path").orderBy("line", "candidate_id")
+    batches = rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("int")).groupBy("path", "batch").agg(F.array_sort(F.collect_list(F.struct("line", "symbol", "candidate_id", "snippet"))).alias("items"))
+    return batches.join(files.select("path", F.left("content", F.lit(most)).alias("file_text")), "path", "left")
+
+
 def adaptive_batches(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Batch numbers inside each ``key``: at most ``BATCH`` rows, a huge text alone, half the rows where a long text is in, a cut before too many characters."""
-    item = F.struct(F.col(order).alias("o"), F.length(text).alias("n"))
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("l"))
-    zero = F.expr(f"named_struct('batch', 0, 'rows', 0, 'chars', 0, 'long', false, 'out', cast(array() as array<struct<o:{rows.schema[order].dataType.simpleString()},batch:int>>))")
-
-    def step(s, x):
-        is_long = s["long"] | (x["n"] > LONG_LINE)
-        fits = (s["rows"] > 0) & (x["n"] <= HUGE_LINE) & (s["rows"] < F.when(is_long, BATCH // 2).otherwise(BATCH)) & (s["chars"] + x["n"] <= BATCH_CHARS)
-        batch = F.when(fits | (s["batch"] + s["rows"] == 0), s["batch"]).otherwise(s["batch"] + 1)
-        alone = x["n"] > HUGE_LINE
-        return F.struct(
-            batch.alias("batch"), F.when(alone, BATCH).when(fits, s["rows"] + 1).otherwise(1).alias("rows"), F.when(fits, s["chars"] + x["n"]).otherwise(x["n"]).alias("chars"),
-            F.when(fits, is_long).otherwise(x["n"] > LONG_LINE).alias("long"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("batch")))).alias("out"),
-        )
-
-    return lists.select(key, F.inline(F.aggregate("l", zero, step, lambda s: s["out"]))).withColumnRenamed("o", order)
+    """Batch numbers inside each ``key``: at most ``BATCH`` rows, a huge text alone, half the rows where a long text is in, a cut before too many characters.
+
+    A key's rows are read in order by one task, which holds one number of each batch and none of the rows.
+    """
+    kind = rows.schema[order].dataType
+    asked = rows.select(F.col(key), F.col(order), F.length(text).alias("n")).repartition(key).sortWithinPartitions(key, order)
+
+    def number(frames):
+        state = {"key": None, "batch": 0, "rows": 0, "chars": 0, "long": False}
+        for frame in frames:
+            found = []
+            for k, n in zip(frame.iloc[:, 0], frame["n"].fillna(0).astype(int), strict=True):
+                if k != state["key"]:
+                    state.update(key=k, batch=0, rows=0, chars=0, long=False)
+                is_long = state["long"] or n > LONG_LINE
+                fits = 0 < state["rows"] < (BATCH // 2 if is_long else BATCH) and n <= HUGE_LINE and state["chars"] + n <= BATCH_CHARS
+                if not fits:
+                    state["batch"] += state["rows"] > 0
+                    state.update(rows=0, chars=0, long=False)
+                state.update(rows=BATCH if n > HUGE_LINE else state["rows"] + 1, chars=state["chars"] + n, long=state["long"] or n > LONG_LINE)
+                found.append(state["batch"])
+            yield frame.iloc[:, :2].assign(batch=found)
+
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{order}` {kind.simpleString()}, batch int"
+    return asked.mapInPandas(number, schema)
 
 
 def abstain_rows(functions: DataFrame) -> DataFrame:

@@ -24,12 +24,28 @@ def function_payload(functions: DataFrame, with_context: bool = False) -> DataFr
 
 
 def redact(text: Column) -> Column:
-    """Source paths become digests and long lines are cut, line by line."""
-    token = lambda w: F.when(w.rlike(r"^[\w./\\-]*[/\\][\w.-]+\.(?:c|h|cc|cpp|cxx|hh|hpp|hxx)\b"), F.concat(F.lit("file-"), F.left(F.sha2(w, 256), F.lit(12)))).otherwise(w)
-    line = lambda t: F.array_join(F.transform(F.split(F.when(F.length(t) > MAX_LINE, F.concat(F.left(t, F.lit(MAX_LINE)), F.lit(" [cut]"))).otherwise(t), " ", -1), token), " ")
+    """Paths of source files become digests and long lines are cut, line by line."""
+    path = r"/\S+\.(?:cpp|hpp|c|h)"
+    found = lambda w: F.regexp_extract(w, path, 0)
+    token = lambda w: F.when(found(w) != "", F.replace(w, found(w), F.concat(F.lit("<HASH:"), F.left(F.md5(found(w)), F.lit(8)), F.lit(">")))).otherwise(w)
+    words = lambda t: F.array_join(F.transform(F.split(t, " ", -1), token), " ")
+    line = lambda t: F.when(F.length(words(t)) > MAX_LINE, F.concat(F.left(words(t), F.lit(MAX_LINE // 2)), F.lit("... [TRUNCATED]"))).otherwise(words(t))
     return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
 
 
+def redact_functions(prompt: Column, functions: Column, least: int = 4) -> Column:
+    """A prompt without source text: the bodies of its functions (array of function_id and body), as they are and as JSON, become marks, and so does
+    every remaining line, or piece between escaped line ends, that equals a line of them."""
+    as_json = lambda b: F.regexp_replace(F.to_json(F.array(b)), r'^\["|"\]$', "")
+    mark = lambda f: F.concat(F.lit("<REDACTED FUNCTION BODY function_id="), f["function_id"], F.lit(" chars="), F.length(f["body"]).cast("string"), F.lit(">"))
+    without = F.aggregate(functions, prompt, lambda text, f: F.replace(F.replace(text, f["body"], mark(f)), as_json(f["body"]), mark(f)))
+    own = F.array_distinct(F.filter(F.flatten(F.transform(functions, lambda f: F.transform(F.split(f["body"], "\n", -1), lambda x: F.trim(x)))), lambda x: F.length(x) >= least))
+    known = F.array_union(own, F.transform(own, as_json))
+    piece = lambda x: F.when(F.array_contains(known, F.trim(F.regexp_replace(x, r"^\s*(?:>>>)?\s*\d+\s*[:|]\s?", ""))) | F.array_contains(known, F.trim(x)), "<REDACTED SOURCE LINE>").otherwise(x)
+    pieces = lambda line: F.array_join(F.transform(F.split(line, r"\\n", -1), piece), "\\n")
+    return redact(F.array_join(F.transform(F.split(without, "\n", -1), pieces), "\n"))
+
+
 def with_retries(scorer: Callable[[pd.DataFrame], pd.DataFrame], tries: int = 3, wait: float = 2.0, retryable: tuple = (TimeoutError, ConnectionError)) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Ask again after errors that may pass, waiting twice as long each time; then abstain for the whole batch."""
 

@@ -1,16 +1,45 @@
-"""The whole scan as one plan, and its sinks."""
+"""The whole scan as one plan: from files to candidates, functions, evidence, assessments and findings, and to result documents."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import artifacts as Z
+from ..operators import assessments as A
+from ..operators import boundaries as B
 from ..operators import candidates as C
+from ..operators import closure as G
+from ..operators import cparse as P
 from ..operators import detectors as D
+from ..operators import findings as N
 from ..operators import matching as M
-from ..sources.lines import with_clean_text
+from ..session import ensure_checkpoints
+from ..sources.lines import split_lines, with_clean_text
+
+SCHEMA_VERSION = "1.2"
+
+
+@dataclass(frozen=True)
+class Options:
+    """How a scan is run. Without a scorer no model is asked."""
+
+    min_risk: str = "low"
+    discovery: bool = True
+    structural: bool = False
+    io: bool = True
+    io_threshold: float = B.THRESHOLD
+    abi: B.Abi = field(default_factory=B.Abi)
+    migrate_to: B.Abi | None = None
+    include_no: bool = False
+    detect_y2106: bool = False
+    scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None
+    model: str = "none"
+    provider: str = "none"
 
 
 @dataclass(frozen=True)
@@ -20,15 +49,105 @@ class Scan:
     metrics: DataFrame
 
 
-def scan(lines: DataFrame, rules: DataFrame, min_risk: str = "low") -> Scan:
-    """All detectors over lines (path, line, text), united and deduplicated."""
-    clean = with_clean_text(lines)
-    matches = M.match_rules(clean, rules, min_risk)
-    united = C.unite(matches, D.scan_defines(lines), D.scan_arithmetic(lines), D.scan_casts(lines))
-    kept, conflicts = C.dedupe(united)
+@dataclass(frozen=True)
+class Run:
+    """Tables of a scan of files."""
+
+    metrics: DataFrame
+    typedefs: DataFrame
+    aliases: DataFrame
+    rules: DataFrame
+    candidates: DataFrame
+    conflicts: DataFrame
+    io: DataFrame
+    migration: DataFrame
+    functions: DataFrame
+    evidence: DataFrame
+    assessments: DataFrame
+    findings: DataFrame
+
+
+def _define_rule(rules: DataFrame) -> bool:
+    """Whether the catalog has the rule that switches the define scan on."""
+    return not rules.filter(F.col("symbol") == "#define").isEmpty()
+
+
+def scan(lines: DataFrame, rules: DataFrame, min_risk: str = "low", aliases: DataFrame | None = None) -> Scan:
+    """Catalog matches and line detectors over lines (path, line, text), united and deduplicated."""
+    known = D.with_context(with_clean_text(lines), D.file_context(lines, aliases))
+    kept, conflicts = C.dedupe(C.unite(M.match_rules(known, rules, min_risk), D.line_candidates(known, _define_rule(rules))))
     return Scan(kept, conflicts, M.code_metrics(lines))
 
 
+def discover(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Type definitions of all files, the aliases of the time type that each file sees, and their definitions."""
+    typedefs = G.typedefs_of_files(files).checkpoint()
+    closure = G.include_closure(files, G.include_edges(lines, files))
+    aliases = G.time_aliases(typedefs, closure, D.TIME_TYPES)
+    return typedefs, aliases, G.alias_definitions(aliases, closure, typedefs)
+
+
+def scan_files(files: DataFrame, rules: DataFrame, options: Options = Options()) -> Run:
+    """All stages over files (path, content).
+
+    Aliases are found first and widen the catalog; candidates come from the catalog, the line detectors, I/O boundaries and, where a
+    target platform is given, migration risks; each is then joined with the function that holds it, and functions with candidates are assessed.
+    """
+    # What several stages read is written once to the checkpoint folder, as long as those stages are.
+    ensure_checkpoints(files.sparkSession)
+    lines = split_lines(files)
+    if options.discovery:
+        typedefs, aliases, definitions = discover(files, lines)
+        rules = Z.merge_catalog(rules, G.alias_rules(definitions)).checkpoint()
+    else:
+        typedefs, aliases = G.typedefs_of_files(files).filter(F.lit(False)), None
+    known = D.with_context(with_clean_text(lines), D.file_context(lines, aliases)).checkpoint()
+    rows = [M.match_rules(known, rules, options.min_risk), D.line_candidates(known, _define_rule(rules))]
+    io = B.scan_io(known.join(B.io_files(known.select("path", "line", "text")), "path", "left_semi") if options.io else known.filter(F.lit(False)), options.abi, options.io_threshold).checkpoint()
+    found, _ = C.dedupe(C.unite(*rows))
+    kept = M.structural_filter(found, options.structural)
+    rows = [kept.withColumnRenamed("snippet", "text"), B.io_candidates(io)]
+    if options.migrate_to is None:
+        candidates, conflicts = C.dedupe(C.unite(*rows))
+        migration = found.select("path", "line", "symbol", *[F.lit("").alias(c) for c in ("risk_type", "severity", "description", "remediation")]).filter(F.lit(False))
+    else:
+        before, found_conflicts = C.dedupe(C.unite(*rows))
+        before = before.checkpoint()
+        metadata = B.io_metadata(io)
+        migration = B.migration_risks(before, options.abi, options.migrate_to, aliases).unionByName(B.io_migration_risks(metadata, options.abi, options.migrate_to)).checkpoint()
+        # Places with a risk and no candidate yet; they cannot meet one of those.
+        more, conflicts = C.dedupe(C.unite(B.migration_candidates(migration, before)))
+        candidates, conflicts = before.unionByName(more), found_conflicts.unionByName(conflicts)
+    functions = P.scan_bodies(files).checkpoint()
+    evidence = C.join_functions(candidates, functions).checkpoint()
+    candidates = evidence.drop("function_id", "analysis_coverage")
+    units = analysis_units(functions, evidence)
+    assessments, findings = assess(units, options)
+    findings = B.with_io_metadata(findings, B.io_metadata(io), migration).checkpoint()
+    return Run(M.code_metrics(known), typedefs, aliases if aliases is not None else typedefs.select(F.col("path").alias("tu"), "alias", F.lit(0).alias("hop")), rules, candidates, conflicts, io, migration, functions, evidence, assessments, findings)
+
+
+def analysis_units(functions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Functions that hold candidates, with their text and the candidates' lines and ids."""
+    named = functions.withColumn("function_id", C.part_id(F.col("path"), F.col("name"), F.col("start_line"), F.col("end_line"), F.col("part")))
+    return named.join(C.function_candidates(evidence).drop("path"), "function_id")
+
+
+def assess(units: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Assessments and findings of functions. Without a scorer every function is not asked about, and its finding abstains."""
+    names = ["function_id", "path", "name", "start_line", "end_line", "candidate_lines", "candidate_ids", "body"]
+    if options.scorer is None:
+        none = units.select("function_id", F.lit("not_requested").alias("status"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"), "candidate_ids").filter(F.lit(False))
+        return A.with_ids(none), N.disabled_findings(units.select(*names))
+    answers = A.align(units, A.score_functions(units.select("function_id", "body"), options.scorer))
+    done = answers.filter("status <> 'unknown_id'").join(units.select("function_id", "candidate_ids"), "function_id")
+    rows = units.select(*names).join(answers.select("function_id", "status", "verdict", "confidence", "reason"), "function_id")
+    return A.with_ids(done), A.output_filter(N.assessed_findings(rows).withColumn("y2106", F.lit(None).cast("string")), options.include_no, options.detect_y2106).drop("y2106")
+
+
+# ---- sinks
+
+
 def write_scan(result: Scan, path: str) -> None:
     """Tables as Parquet; readers see them only when the job commits."""
     result.candidates.repartition("path").sortWithinPartitions("path", "line").write.mode("overwrite").parquet(f"{path}/candidates")
@@ -36,7 +155,60 @@ def write_scan(result: Scan, path: str) -> None:
     result.metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
+def write_run(run: Run, path: str) -> None:
+    """All tables of a run as Parquet, the rules and metrics as JSON lines."""
+    for name in ("typedefs", "aliases", "candidates", "conflicts", "io", "migration", "functions", "evidence", "assessments", "findings"):
+        getattr(run, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    run.rules.write.mode("overwrite").json(f"{path}/rules")
+    run.metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+
+
+def candidate_rows(evidence: DataFrame) -> Column:
+    """A candidate as it stands in documents."""
+    c = F.col
+    return F.struct(
+        "candidate_id", c("path").alias("file"), "line", F.coalesce("col_start", F.lit(0)).alias("col_start"), F.coalesce("col_end", F.lit(0)).alias("col_end"), "symbol", "risk", c("snippet").alias("one_line_snippet"),
+        "description", "discovery_method", "rule_id", "function_id", "analysis_coverage",
+    )
+
+
 def result_document(evidence: DataFrame) -> DataFrame:
-    """One JSON document per file with its candidates in order; a whole corpus in one document would need one task."""
+    """One JSON document per file with its candidates in order."""
     row = F.struct("candidate_id", F.col("path").alias("file"), "line", "symbol", "risk", F.col("snippet").alias("one_line_snippet"), F.coalesce("function_id", F.lit("unknown")).alias("function_id"), "analysis_coverage")
-    return evidence.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("candidates")).select("path", F.to_json(F.struct(F.lit("1.2").alias("schema_version"), "candidates")).alias("document"))
+    return evidence.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("candidates")).select("path", F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "candidates")).alias("document"))
+
+
+def result_documents(run: Run, repo: Callable[[Column], Column] | None = None, options: Options = Options(), root: str = ".", rules_path: str = "", timestamp: str | None = None) -> DataFrame:
+    """One JSON document per repository: schema version, meta, candidates, assessments and findings, each in order.
+
+    ``repo`` gives the repository of a path; without it there is one. All counts are made from the rows that the document holds, and candidate ids
+    that no candidate has are left out of assessments. A repository's rows meet in one task, as its document is one text.
+    """
+    of = repo or (lambda path: F.lit("."))
+    files = run.evidence.select(of(F.col("path")).alias("repo"), candidate_rows(run.evidence).alias("r"))
+    lists = files.groupBy("repo").agg(F.array_sort(F.collect_list("r")).alias("candidates"))
+    path_of = F.regexp_extract("function_id", r"^(.*)@[^@]*$", 1)
+    known = A.known_ids(run.assessments, run.evidence)
+    public = A.public_rows(run.assessments.drop("candidate_ids").join(known, "function_id"))
+    assessed = public.withColumn("repo", of(path_of)).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(*A.PUBLIC))).alias("assessments"))
+    finding = F.struct("finding_id", F.col("path").alias("file"), F.coalesce("function_id", F.lit("unknown")).alias("function_id"), F.col("verdict").alias("y2038_issue"), "confidence", "severity", "issue_type", F.col("description").alias("reason"), F.array("line").alias("lines"), F.struct("start_line", "end_line").alias("region"), "io_category", "io_function", "remediation_class", "migration_risk_type", "migration_severity", "migration_impact", "migration_remediation")
+    found = run.findings.select(of(F.col("path")).alias("repo"), finding.alias("r")).groupBy("repo").agg(F.array_sort(F.collect_list("r")).alias("findings"))
+    joined = lists.join(assessed, "repo", "full_outer").join(found, "repo", "full_outer")
+    empty = lambda c: F.coalesce(c, F.array().cast(joined.schema[c].dataType))
+    rows = joined.select("repo", *[empty(c).alias(c) for c in ("candidates", "assessments", "findings")])
+    count = lambda c, test: F.size(F.filter(c, test))
+    done = lambda v: lambda a: (a["execution_status"] == "completed") & (a["verdict"] == v)
+    n_functions = F.size(F.array_distinct(F.array_compact(F.transform("candidates", lambda c: c["function_id"]))))
+    summary = F.struct(F.size("candidates").alias("total"), count("candidates", lambda c: c["function_id"].isNotNull()).alias("grouped"), count("candidates", lambda c: c["function_id"].isNull()).alias("ungrouped"), n_functions.alias("functions_with_candidates"), F.size("findings").alias("findings"))
+    errors, completed = count("assessments", lambda a: a["execution_status"] == "analysis_error"), count("assessments", lambda a: a["execution_status"] == "completed")
+    status = F.lit("not_requested") if options.scorer is None else F.when((errors > 0) & (completed > 0), "partial").when(errors > 0, "failed").otherwise("complete")
+    assessed_summary = F.struct(F.size("assessments").alias("total"), completed.alias("completed"), *[count("assessments", done(v)).alias(v) for v in ("yes", "no", "abstain")], errors.alias("analysis_errors"), count("assessments", lambda a: a["execution_status"] == "not_requested").alias("not_requested"), F.size("findings").alias("findings"))
+    abi = F.struct(F.lit(options.abi.model).alias("hardware_model"), F.lit(options.abi.bits).alias("time_t_size_bits"), F.lit(options.abi.sign).alias("time_t_signed"))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if timestamp is None else F.lit(timestamp)
+    meta = F.struct(F.lit(root).alias("root"), F.lit(rules_path).alias("rules_path"), F.lit(options.model if options.scorer else "none").alias("model"), F.lit(options.provider).alias("llm_provider"), stamp.alias("timestamp"), abi.alias("environment_config"), summary.alias("candidate_summary"), status.alias("analysis_status"), assessed_summary.alias("assessment_summary"))
+    return rows.select("repo", F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), meta.alias("meta"), "candidates", "assessments", "findings"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """A folder of JSON texts by repository."""
+    documents.select("repo", F.col("document").alias("value")).repartition("repo").write.mode("overwrite").partitionBy("repo").text(path)
