@@ -68,39 +68,6 @@ def test_mask_keeps_offsets():
     assert masked.split() == ["a", "b"]
 
 
-def test_typedefs():
-    source = """
-typedef time_t stamp_t;
-typedef struct { time_t a; int b; } rec_t;
-typedef void (*handler_t)(time_t when);
-typedef unsigned int arr_t[4];
-/* typedef int no_t; */
-typedef int broken_t
-"""
-    assert [(a, n) for a, n, _ in cparse.typedefs(source)] == [("stamp_t", 2), ("rec_t", 3), ("handler_t", 4), ("arr_t", 5)]
-
-
-def test_functions():
-    source = """#include <x.h>
-int proto(int a);
-static int add(int a,
-               int b)
-{
-    if (a) { return b; }
-    return a + b;
-}
-namespace n {
-class K {
-  int get() const { return x; }
-};
-void K::put(int v) { x = v; }
-}
-int table[] = { 1, 2 };
-struct S { int z; };
-"""
-    assert cparse.functions(source) == [("add", 3, 8), ("get", 11, 11), ("K::put", 13, 13)]
-
-
 def test_tree_scan(spark, tmp_path):
     from epochlens.sources.files import scan_tree
 
@@ -110,7 +77,7 @@ def test_tree_scan(spark, tmp_path):
         path.write_text(text)
     kept, large = scan_tree(spark, f"file://{tmp_path}/a", max_bytes=20)
     assert [(r["path"], r["content"]) for r in kept.collect()] == [("x.c", "int a;")]
-    assert [(r["path"], r["length"]) for r in large.collect()] == [("b/big.h", 50)]
+    assert [(r["path"], r["size_bytes"]) for r in large.collect()] == [("b/big.h", 50)]
 
 
 def test_rule_catalogs(spark, tmp_path):
@@ -133,22 +100,11 @@ def test_repo_list(spark, tmp_path):
 
 def test_strict_dedupe_raises(spark):
     from epochlens.operators.candidates import as_candidates, dedupe_strict
-    from pyspark.sql import functions as F
 
-    lines = spark.createDataFrame([("f", 1, "x")], "path string, line int, text string")
-    one, two = (as_candidates(lines, F.lit("s"), F.lit("high"), F.lit(d), "catalog") for d in ("a", "b"))
-    assert dedupe_strict(one.unionByName(one)).count() == 1
+    rows = lambda d: as_candidates(spark.createDataFrame([("f", 1, "x", "s", "high", d, "migration")], "path string, line int, text string, symbol string, risk string, description string, discovery_method string"))
+    assert dedupe_strict(rows("a").unionByName(rows("a")).unionByName(rows(""))).first()["description"] == "a"
     with pytest.raises(ValueError):
-        dedupe_strict(one.unionByName(two))
-
-
-def test_build_evidence(spark):
-    from epochlens.operators import environments as E
-
-    files = spark.createDataFrame([("Makefile", "CC=arm-linux-gnueabi-gcc\nCFLAGS += -m32 -D_TIME_BITS=64\n"), ("x.mk", None)], "path string, content string")
-    flags = E.build_flags(files)
-    assert E.architecture_vote(flags).first()["architecture"] == "ILP32"
-    assert E.time_width(flags).first()["time_bits"] == 64
+        dedupe_strict(rows("a").unionByName(rows("b")))
 
 
 def test_reports_render(spark):
@@ -186,9 +142,9 @@ def test_redaction(spark):
 
     from epochlens.operators.prompts import redact
 
-    text = "see src/a/b.c now\n" + "x" * 300
+    text = "see (/src/a/b.c:3) now\n" + "x" * 300
     got = spark.createDataFrame([(text,)], "t string").select(redact(F.col("t")).alias("r")).first()["r"].split("\n")
-    assert got[0].startswith("see file-") and "b.c" not in got[0] and got[1] == "x" * 200 + " [cut]"
+    assert got[0].startswith("see (<HASH:") and got[0].endswith(">:3) now") and "b.c" not in got[0] and got[1] == "x" * 100 + "... [TRUNCATED]"
 
 
 def test_retries(spark):
