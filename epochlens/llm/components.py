@@ -138,27 +138,75 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
 
     Returns the verified links that connect all classes and (node, component).
     """
-    star = saved(groups.select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct(), "star")
+    pieces = groups.filter(F.col("gid") >= HOT_GID)
+    centers = saved(pieces.groupBy("gid").agg(F.min("node").alias("first")), "centers")
+    whole = join_sized(pieces.select("gid", "node").distinct(), centers, ["gid"], "inner", 32).select("gid", "first", "node")
+    star = groups.filter(F.col("gid") < HOT_GID).select("gid", "first", "node").unionByName(whole)
+    star = saved(star.select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct(), "star")
     links = saved(verify(star), "links")
     comps = saved(components(links), "components")
-    many = groups.filter("gid >= 0").select("gid", "node").distinct()
-    many = many.join(comps, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
-    many = saved(many, "members")
+    every = groups.filter("gid >= 0").select("gid", "node").distinct()
+    left = _left_apart(every, comps, tokens)
+    if left is None:
+        return links, comps
+    # Groups that are copies of one text hang together by the node nearest to all, whichever that is.
+    sketched = saved(sketches(left.select("node").distinct()), "sketches")
+    near = saved(middle_pairs(left.join(sketched, "node"), limit).join(star, ["a", "b"], "left_anti"), "middles")
+    if not near.isEmpty():
+        links = saved(links.unionByName(verify(near)), "links")
+        comps = saved(components(links), "components")
+        left = _left_apart(every, comps, tokens)
+        if left is None:
+            return links, comps
+        sketched = saved(sketches(left.select("node").distinct()), "sketches")
+    more = saved(residual_pairs(left.join(sketched, "node"), limit).join(star.unionByName(near), ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return links, comps
+    links = saved(links.unionByName(verify(more)), "links")
+    return links, saved(components(links), "components")
+
+
+def _left_apart(groups: DataFrame, comps: DataFrame, tokens) -> DataFrame | None:
+    """gid, node, component of the groups (gid, node) whose nodes lie in several components, wide ones as their groups by rare tokens; none if there are none."""
+    many = saved(groups.join(comps, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component")), "members")
     split = saved(_apart(many).withColumn("wide", F.col("n") > WIDE).select("gid", "wide"), "split")
     apart = [r[0] for r in split.select("wide").distinct().collect()]
     if not apart:
-        return links, comps
+        return None
     left = many.join(split, "gid")
     if True in apart:
         wide = saved(left.filter("wide").select("node", "component").distinct(), "wide")
         left = left.filter("not wide").drop("wide").unionByName(split_wide(wide, tokens))
-    left = saved(left.select("gid", "node", "component"), "residual")
-    nodes = left.select("node").distinct()
-    more = saved(residual_pairs(left.join(saved(sketches(nodes), "sketches"), "node"), limit).join(star, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return links, comps
-    links = saved(links.unionByName(verify(more)), "links")
-    return links, saved(components(links), "components")
+    return saved(left.select("gid", "node", "component"), "residual")
+
+
+def middle_pairs(members: DataFrame, limit: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``members``: gid, node, component, size, sketch -> pairs of each node with the middle of its group, where they may be linked.
+
+    The middle is the node whose sketch is nearest to what most sketches of its length have in common. Groups are read in pieces of ``TILE`` nodes.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, comps, sizes = (np.asarray(table.column(c).to_numpy(), dtype=np.int64) for c in ("node", "component", "size"))
+        sketches = [s.as_py() for s in table.column("sketch")]
+        lengths = np.array([len(s) for s in sketches])
+        a, b = [], []
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            matrix = _stack([sketches[i] for i in at])
+            bits = np.unpackbits(matrix.view(np.uint8), axis=1, bitorder="little")
+            usual = np.packbits((2 * bits.sum(axis=0) > len(at)).astype(np.uint8), bitorder="little").view(np.uint64)
+            middle = int(np.argmin(np.bitwise_count(matrix ^ usual[None, :]).sum(axis=1)))
+            far = np.bitwise_count(matrix ^ matrix[middle][None, :]).sum(axis=1)
+            m = at[middle]
+            ok = (far <= limit(sizes[m], sizes[at])) & (comps[at] != comps[m]) & (nodes[at] != nodes[m])
+            a += np.minimum(nodes[at[ok]], nodes[m]).tolist()
+            b += np.maximum(nodes[at[ok]], nodes[m]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    counts = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    placed = members.join(counts, "gid").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return placed.select("gid", "piece", "node", "component", "size", "sketch").groupBy("gid", "piece").applyInArrow(run, "a long, b long").distinct()
 
 
 PACKED = "bucket int, keys binary, at binary, hot binary, nodes binary"
@@ -202,8 +250,12 @@ def key_groups(packed: DataFrame) -> DataFrame:
     return spread.groupBy("bucket", "spread").applyInArrow(_bucket_groups, GROUPS)
 
 
+#: Groups of hot keys, which come in pieces, have numbers from here on.
+HOT_GID = 1 << 62
+
+
 def _gid(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys) >> np.uint64(1)).astype(np.int64)
+    return (mix64(keys) >> np.uint64(2)).astype(np.int64) + HOT_GID
 
 
 def _bucket_groups(table: pa.Table) -> pa.Table:
@@ -242,7 +294,7 @@ def grouped_runs(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, bucket: i
     own = _gid((np.int64(bucket).astype(np.uint64) << np.uint64(32)) | keys[begins].astype(np.uint64)).tolist()
     for at, n, is_hot, key in zip(begins[big].tolist(), lengths[big].tolist(), marked[big].tolist(), [own[i] for i in np.flatnonzero(big)], strict=True):
         run = nodes[at : at + n]
-        gid = key if is_hot else int.from_bytes(blake2b(run.tobytes(), digest_size=8).digest(), "little") >> 1
+        gid = key if is_hot else int.from_bytes(blake2b(run.tobytes(), digest_size=8).digest(), "little") >> 2
         if gid not in seen:
             seen.add(gid)
             gids.append(np.full(n, gid, dtype=np.int64))

@@ -64,7 +64,8 @@ def signatures(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
         parts = max(1, int(PARTS_PER_SIZE * top))
         salt = np.uint64(instance + 1) * np.uint64(0xD6E8FEB86659FD93 & 0xFFFFFFFF)
         h = mix64(s ^ salt)
-        part = (h % np.uint64(parts)).astype(np.int64)
+        # Small numbers sort faster.
+        part = (h % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
         # Content of a part: the sum of its elements' hashes, with its number.
         order = np.argsort(part, kind="stable")
         ordered = part[order]
