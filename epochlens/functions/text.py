@@ -63,6 +63,11 @@ def function_id_start(fid: Column) -> Column:
     return F.nullif(F.regexp_extract(fid, r":(\d+)-\d+(?::part\d+)?$", 1), F.lit("")).cast("int")
 
 
+def function_hash(body: Column, hint: Column, rules: Column) -> Column:
+    """Sixteen digits that tell whether a function was judged before under the same scenario and rules."""
+    return F.left(F.sha2(F.concat_ws("|", body, hint, rules), 256), F.lit(16))
+
+
 def redact_paths(text: Column) -> Column:
     """Absolute and home paths become a mark."""
     return F.regexp_replace(text, r"""(?<![A-Za-z0-9_])(?:/[^\s"']+|[A-Za-z]:\\[^\s"']+)|(?:^|[\s"'(])~/[^\s"']+""", "<path>")

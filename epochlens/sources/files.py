@@ -130,11 +130,15 @@ def scan_tree(spark: SparkSession, root: str, include: list[str] | None = None,
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog, as an array or as an object with ``rules``; symbols fall back to names and risks to high."""
-    flat = spark.read.schema(f"{RULE_SCHEMA}, rules array<struct<{RULE_SCHEMA.replace(' ', ':', 0).replace(', ', ',').replace(' ', ':')}>>").json(path, multiLine=True)
-    nested = flat.filter("rules is not null").select(F.inline("rules"))
-    plain = flat.filter("rules is null").drop("rules")
-    return normalize_rules(plain.unionByName(nested))
+    """A catalog, as an array or as an object with ``rules``; keys in any case, symbols fall back to names and risks to high. Other documents are an error."""
+    text = spark.read.text(path, wholetext=True)
+    rows = "array<map<string,string>>"
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", rows)).otherwise(F.from_json(F.get_json_object("value", "$.rules"), rows))
+    fail = F.raise_error(F.lit("a catalog is an array of rules or an object with rules"))
+    whole = text.select(F.explode(F.coalesce(listed, F.when(F.lit(True), fail).cast(rows))).alias("r")).select(F.transform_keys("r", lambda k, _: F.lower(k)).alias("r"))
+    value = lambda n: F.element_at("r", F.lit(n))
+    kinds = dict(x.split(" ", 1) for x in RULE_SCHEMA.split(", "))
+    return normalize_rules(whole.select(*[(F.from_json(value(n), t) if t.startswith("array") else value(n).try_cast(t)).alias(n) for n, t in kinds.items()]))
 
 
 def normalize_rules(rules: DataFrame) -> DataFrame:

@@ -83,8 +83,11 @@ def test_tree_scan(spark, tmp_path):
 def test_rule_catalogs(spark, tmp_path):
     from epochlens.sources.files import read_rules
 
-    (tmp_path / "a.json").write_text('[{"symbol": "time", "category": "function"}, {"name": "time_t", "risk": "LOW", "category": "simple type"}]')
+    (tmp_path / "a.json").write_text('[{"symbol": "time", "category": "function"}, {"Name": "time_t", "RISK": "LOW", "category": "simple type", "scope_files": ["a.c"], "needs_paren": null}]')
     (tmp_path / "b.json").write_text('{"rules": [{"symbol": "mktime", "category": "function", "rule_id": " "}]}')
+    (tmp_path / "c.json").write_text('{"no": 1}')
+    with pytest.raises(Exception, match="a catalog is"):
+        read_rules(spark, f"file://{tmp_path}/c.json").collect()
     got = {r["symbol"]: (r["risk"], r["call_required"], r["rule_id"]) for f in "ab" for r in read_rules(spark, f"file://{tmp_path}/{f}.json").collect()}
     assert got == {"time": ("high", True, None), "time_t": ("low", False, None), "mktime": ("high", True, None)}
 
