@@ -18,6 +18,7 @@ from .media import media_columns
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_sources
 from .quality import quality_scores
+from .runs import periodic_runs, run_digests, with_planted_runs
 from .substrings import remove_repeats
 
 
@@ -65,6 +66,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return run_digests(periodic_runs(docs.withColumn("text", with_planted_runs(docs["text"], docs["doc_id"]))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": license_sql(),
