@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_chats
 from .decontamination import find_leaks
 from .extraction import extract_main_text
+from .fingerprints import simhash_classes
 from .jaccard import SQL as JACCARD_SQL
 from .jaccard import jaccard_classes
 from .licenses import oracle_sql as license_sql
@@ -71,6 +72,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(docs.withColumn("text", with_planted_runs(docs["text"], docs["doc_id"]))))
 
 
+def op13_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(_table(spark, sf_dir, "documents")).drop("n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_simhash_classes": op13_simhash_classes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": license_sql(),
