@@ -21,6 +21,7 @@ from .mixing import mix_sources
 from .quality import quality_scores
 from .runs import periodic_runs, run_digests, with_planted_runs
 from .substrings import remove_repeats
+from .tries import conversation_trie, rebuilt_turns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(*rebuilt_turns(_table(spark, sf_dir, "conversations")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return run_digests(periodic_runs(docs.withColumn("text", with_planted_runs(docs["text"], docs["doc_id"]))))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_simhash_classes": op13_simhash_classes,
 }
