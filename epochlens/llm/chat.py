@@ -150,13 +150,19 @@ def _runs(batches, n_keys: int):
     return groupby(rows, key=lambda r: r[:n_keys])
 
 
-def _to_batches(rows, schema: pa.Schema, size: int = 256):
-    block = []
+#: Rows and characters of text in a batch; one segment alone may be longer.
+BATCH_ROWS, BATCH_CHARS = 256, 8 << 20
+
+
+def _to_batches(rows, schema: pa.Schema):
+    block, chars = [], 0
     for row in rows:
-        block.append(row)
-        if len(block) == size:
+        size = sum(len(x) for x in row if isinstance(x, str))
+        if block and (len(block) == BATCH_ROWS or chars + size > BATCH_CHARS):
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), schema, strict=True)], schema=schema)
-            block = []
+            block, chars = [], 0
+        block.append(row)
+        chars += size
     if block:
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), schema, strict=True)], schema=schema)
 

@@ -1,8 +1,9 @@
 """HTML extraction by tree scoring.
 
 One linear pass reads the markup, whatever its faults, into elements and runs: a run is the text between two block boundaries, with how much
-of it is linked. Elements that never hold an article (menus, forms, scripts, notices and so on, by tag, role, or a class or id that says
-nothing else) are cut. Each paragraph passes points for its length and commas to its ancestors, less with each level up; a
+of it is linked. Elements that never hold an article (scripts, buttons, frames and so on) are cut. Menus, forms, headers, notices and the like, by tag, role, or a class or id that says
+nothing else, are cut as well unless they hold the page's prose: what such an element holds itself is counted while reading, and if that outweighs all that was kept, the page is read again with this
+element open. Reader comments are cut by name, and by structure: sibling blocks of one kind that each have an author or date and a link to reply. Each paragraph passes points for its length and commas to its ancestors, less with each level up; a
 container's points are discounted by its link density. From the best container the choice climbs to the highest article or main around
 it, else to its parent, and on to every ancestor that holds more prose, lists, tables or articles beside. All runs in there are joined in
 page order, whatever their points; only outside articles and the best container are those that are mostly links left out.
@@ -32,6 +33,17 @@ CUT_TAGS = frozenset(
 )
 #: An article inside these is still an article.
 LOOSE_CUTS = frozenset("nav header menu form fieldset".split())
+#: Characters of prose beyond which an element that is cut by its tag or role, or by its name, may hold the article, and those that do inside an article of which nothing else is left.
+HELD, HELD_NAMED, HELD_INSIDE = 140, 500, 25
+#: Their text is none of the prose of what is around them.
+NO_PROSE = frozenset("a button label legend option select title style script noscript template".split())
+#: Words of names that tell of a thread of reader comments, whatever stands before them.
+THREADS = ("comments", "commentlist", "disqus", "replies")
+#: Words of names, and texts of links, that each entry of such a thread has.
+SIGNED = frozenset("author avatar byline user username commenter date time timestamp datetime published posted".split())
+REPLIES = frozenset("reply replies répondre antworten responder rispondi 回复 返信 report flag quote".split())
+#: A box of this name between paragraphs of an article, without anything to click, is part of it.
+ASIDES = frozenset("notice notices alert notification".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -82,13 +94,17 @@ _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 class Node:
     """An element that is not cut; its runs are ``first`` to ``last``."""
 
-    __slots__ = ("after", "cut", "depth", "first", "last", "links", "names", "parent", "points", "tag")
+    __slots__ = ("after", "cut", "depth", "first", "held", "inside", "last", "links", "names", "number", "parent", "points", "signs", "soft", "tag", "threads")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, names: str, depth: int) -> None:
         self.tag, self.parent, self.cut, self.names, self.depth = tag, parent, cut, names, depth
         self.first = self.last = self.links = 0
         self.points: float | None = None
-        self.after = 0
+        self.after = self.held = self.number = self.signs = 0
+        #: Why it is cut, if it may be open: tag, name or thread.
+        self.soft, self.inside = "", False
+        #: Children with both signs of a comment, by kind.
+        self.threads: dict[tuple[str, str], list[Node]] | None = None
 
 
 def named_cut(names: str) -> bool:
@@ -104,10 +120,23 @@ def named_cut(names: str) -> bool:
     return False
 
 
+def named_thread(names: str) -> bool:
+    """Whether a class or id tells of a thread of comments."""
+    return any(words[-1].endswith(THREADS) or "disqus" in words for token in names.split() if not _STATE_NAMES.match(token) and (words := [w.lower() for w in _WORDS.findall(token)]))
+
+
+def _words_of(names: str) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(names)}
+
+
 class Page:
-    """Elements and runs of a page, from one pass over its markup."""
+    """Elements and runs of a page, from one pass over its markup. ``opened`` are the numbers of elements that are not cut though they look so."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, opened: frozenset[int] = frozenset()) -> None:
+        self.opened, self.number = opened, 0
+        #: Elements that were cut and may be opened, and raw tags of which no end follows.
+        self.soft: list[Node] = []
+        self.endless: set[str] = set()
         self.root = Node("html", None, False, "", 0)
         self.nodes, self.stack = [self.root], [self.root]
         #: Depths of the open elements by tag, of open blocks other than p, and of open cuts.
@@ -162,15 +191,23 @@ class Page:
                     self.end(tag)
                     continue
                 self.start(tag, attributes)
-                if tag in RAW:
+                if tag in RAW and tag not in self.endless:
                     end = _RAW_ENDS[tag].search(html, at)
                     if end is not None:
                         at = end.start()
                     elif tag != "title":
                         return
+                    else:
+                        self.endless.add(tag)
 
     def text(self, data: str) -> None:
-        if not self.cut:
+        top = self.stack[-1]
+        if len(data) < 40 and top.tag in ("a", "button", "span") and data.strip().lower() in REPLIES:
+            top.signs |= 2
+        if self.cut:
+            if top.tag not in NO_PROSE and not self.open.get("label") and len(data) > 25:
+                self.stack[self.cuts[-1]].held += len("".join(data.split()))
+        else:
             data = unescape(data) if "&" in data else data
             self.piece.append(data)
             size = len("".join(data.split()))
@@ -201,13 +238,24 @@ class Page:
         for other, stops in CLOSES.get(tag, ()):
             self.close(other, *(self.open.get(s, ()) for s in stops))
         names = unescape(f"{attributes.get('class', '')} {attributes.get('id', '')}".strip())
-        cut = (
-            tag in CUT_TAGS or attributes.get("role", "").lower() in CUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
-            or bool(names) and tag not in ("html", "body", "article", "main") and named_cut(names)
-        )
+        self.number += 1
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
+        hard = tag in CUT_TAGS and tag not in LOOSE_CUTS or hidden
+        soft = ""
+        if not hard:
+            named = bool(names) and tag not in ("html", "body", "article", "main")
+            soft = "thread" if named and named_thread(names) else "tag" if tag in LOOSE_CUTS or attributes.get("role", "").lower() in CUT_ROLES else "name" if named and named_cut(names) else ""
+        cut = hard or bool(soft) and self.number not in self.opened
         parent = self.stack[-1]
         node = Node(tag, parent, cut, names, len(self.stack))
-        node.after = self.cut
+        node.after, node.number, node.soft = self.cut, self.number, soft
+        node.inside = bool(self.open.get("article") or self.open.get("main"))
+        if cut and soft:
+            self.soft.append(node)
+        if tag == "time" or names and not SIGNED.isdisjoint(_words_of(names)):
+            node.signs |= 1
+        if names and not REPLIES.isdisjoint(_words_of(names)):
+            node.signs |= 2
         if tag in BLOCKS and not self.cut:
             self.flush()
         if tag in ("article", "main") and not cut and self.cut and all(self.stack[d].tag in LOOSE_CUTS for d in self.cuts):
@@ -259,6 +307,11 @@ class Page:
         node.last = len(self.texts)
         if node.parent is not None:
             node.parent.links += node.links
+            node.parent.signs |= node.signs
+            if node.signs == 3 and not node.cut and not self.cut and node.tag in BLOCKS and node.last > node.first:
+                if node.parent.threads is None:
+                    node.parent.threads = {}
+                node.parent.threads.setdefault((node.tag, node.names.split(" ")[0]), []).append(node)
 
 
 def _prose(text: str, linked: float) -> bool:
@@ -326,15 +379,64 @@ class Scores:
         return path[level]
 
 
+def read_page(html: str) -> Page:
+    """A page with those of its menus, forms and named boxes open that hold its prose."""
+    opened: frozenset[int] = frozenset()
+    for _ in range(4):
+        page = Page(html, opened)
+        kept = sum(c - k for c, k in zip(page.chars, page.linked, strict=True))
+        more = {x.number for x in page.soft if x.held > kept and _may_open(x, kept)} | {x.number for x in page.soft if _is_aside(page, x)}
+        if not more:
+            return page
+        opened |= more
+    return page
+
+
+def _may_open(node: Node, kept: int) -> bool:
+    if node.soft == "thread":
+        return False
+    if node.held > (HELD if node.soft == "tag" else HELD_NAMED):
+        return True
+    return node.inside and kept == 0 and node.held >= HELD_INSIDE
+
+
+def _is_aside(page: Page, node: Node) -> bool:
+    """A notice that stands between paragraphs of an article and has nothing to click."""
+    if node.soft != "name" or node.links or not node.held or _words_of(node.names) - PLAIN_WORDS - ASIDES or node.parent.tag not in ("article", "main") or node.parent.cut:
+        return False
+    owners = [i for i in range(node.parent.first, node.parent.last) if page.owners[i].parent is node.parent and page.owners[i].tag == "p"]
+    return bool(owners) and owners[0] < node.first <= owners[-1]
+
+
+def threads(page: Page, best: Node | None) -> bytearray:
+    """Runs in sibling blocks of one kind that each look like a reader's comment."""
+    marked = bytearray(len(page.texts) + 1)
+    for node in page.nodes:
+        for kind in (node.threads or {}).values():
+            if len(kind) > 1 and not any(x is best or best is not None and x.first <= best.first and best.last <= x.last and x.tag in ("article", "main") for x in kind):
+                for x in kind:
+                    for i in range(x.first, x.last):
+                        marked[i] = 1
+                # What is around the thread goes with it where it has only headings beside.
+                for _ in range(3):
+                    if node.parent is None or best is not None and node.first <= best.first and best.last <= node.last or not all(marked[i] or page.owners[i].tag in HEADINGS for i in range(node.first, node.last)):
+                        break
+                    for i in range(node.first, node.last):
+                        marked[i] = 1
+                    node = node.parent
+    return marked
+
+
 def extract_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    page = Page(html)
+    page = read_page(html)
     scores = Scores(page)
     best = scores.best()
+    comments = threads(page, best)
     if best is None:
-        return "\n\n".join(page.texts)
+        return "\n\n".join(t for i, t in enumerate(page.texts) if not comments[i])
     container = scores.container(best)
     inside, dropped = bytearray(len(page.texts) + 1), bytearray(len(page.texts) + 1)
     reach = at = 0
@@ -351,7 +453,7 @@ def extract_text(html: str | None) -> str:
     out = []
     for i in range(container.first, container.last):
         linky = page.owners[i].tag not in ITEMS and 2 * page.linked[i] > page.chars[i]
-        if inside[i] or not dropped[i] and not linky:
+        if not comments[i] and (inside[i] or not dropped[i] and not linky):
             out.append(page.texts[i])
     return "\n\n".join(out)
 

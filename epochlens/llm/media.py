@@ -1,10 +1,11 @@
 """Media columns: payloads stored as images in archives, and a Spark data source that reads them back.
 
 A payload becomes an 8-bit greyscale PNG of 192 samples a row. Members are appended to archive files; every file ends
-with an index of blocks (offset, length, members) of some MB, and a manifest written at commit lists the files with their indexes, so files left
-by failed tasks are never read. Reading plans one partition per block from the manifest alone, or, in a folder that has none, from the
+with an index of blocks (offset, length, members) of some MB, and each commit adds a manifest that lists its files with their indexes, so what is appended later adds to what is there, and files left
+by failed tasks are never read; a commit that overwrites deletes the manifests and files of those before. Reading plans one partition per block from the manifest alone, or, in a folder that has none, from the
 indexes of its archives, many at a time; tasks
-stream their byte range in Arrow batches and read a member again by its offset when its checksum or a read fails.
+stream their byte range in Arrow batches and read a member again by its offset, after a short wait, when its checksum or a read fails. A member that is still damaged at the third time
+ends the job with an error that names the archive and the offset: no member is left out or made up.
 
 Defined cases: null or empty text is stored as one row of blanks; any length is stored whole; equal texts give equal
 values; repeated rows each give a member; an empty table gives an archive without members; other columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zlib
 from concurrent.futures import ThreadPoolExecutor
@@ -93,8 +95,8 @@ class _Range(InputPartition):
 class ArchiveWriter(DataSourceArrowWriter):
     """Each task appends members to a file of its own name; the manifest makes the files count."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False) -> None:
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator) -> WriterCommitMessage:
         store, base = pafs.FileSystem.from_uri(self.path)
@@ -124,8 +126,16 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         store, base = pafs.FileSystem.from_uri(self.path)
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/_manifest.json") as out:
-            out.write(json.dumps({m.name: m.blocks for m in messages if m is not None and m.name}).encode())
+        before = [x.path for x in store.get_file_info(pafs.FileSelector(base)) if x.is_file and x.base_name.startswith("_manifest-")]
+        named = {m.name: m.blocks for m in messages if m is not None and m.name}
+        for name, listed in ((f"_manifest-{uuid.uuid4().hex}.json", named), ("_manifest.json", {})):  # the latter only says that this is such a folder
+            with store.open_output_stream(f"{base}/.{name}") as out:
+                out.write(json.dumps(listed).encode())
+            store.move(f"{base}/.{name}", f"{base}/{name}")
+        if self.overwrite:
+            old = {name for x in before for name in _listed(store, x)}
+            for x in [*before, *(f"{base}/{name}" for name in old)]:
+                store.delete_file(x)
 
     def abort(self, messages) -> None:
         store, base = pafs.FileSystem.from_uri(self.path)
@@ -134,6 +144,11 @@ class ArchiveWriter(DataSourceArrowWriter):
                 store.delete_file(f"{base}/{m.name}")
 
 
+def _listed(store, manifest: str) -> dict[str, list]:
+    with store.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 def _index(store, path: str) -> list[tuple[int, int, int]]:
     """Blocks of an archive, from its end."""
     with store.open_input_file(path) as f:
@@ -152,12 +167,11 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, base = pafs.FileSystem.from_uri(self.path)
-        manifest = f"{base}/_manifest.json"
-        if store.get_file_info(manifest).type == pafs.FileType.File:
-            with store.open_input_stream(manifest) as f:
-                indexes = json.loads(f.read())
+        files = [x for x in store.get_file_info(pafs.FileSelector(base)) if x.is_file]
+        if any(x.base_name == "_manifest.json" for x in files):
+            indexes = {k: v for x in sorted(x.path for x in files if x.base_name.startswith("_manifest-")) for k, v in _listed(store, x).items()}
         else:
-            names = sorted(x.base_name for x in store.get_file_info(pafs.FileSelector(base)) if x.is_file and x.base_name.endswith(".arc"))
+            names = sorted(x.base_name for x in files if x.base_name.endswith(".arc"))
             with ThreadPoolExecutor(32) as pool:
                 indexes = dict(zip(names, pool.map(lambda name: _index(store, f"{base}/{name}"), names), strict=True))
         return [_Range(name, *block) for name, blocks in indexes.items() for block in blocks] or [_Range("", 0, 0, 0)]
@@ -200,6 +214,7 @@ def read_member(store, path: str, offset: int, tries: int = TRIES) -> tuple[tupl
             _open.pop(path, None)
             if not left:
                 raise
+            time.sleep(0.1 * (tries - left))
     raise AssertionError
 
 
@@ -217,7 +232,7 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -231,8 +246,8 @@ def feature(samples: np.ndarray) -> str:
     return f"{len(samples)}x{WIDTH};mean={mean:.4f};std={deviation:.4f};entropy={-(q * np.log2(q)).sum() + 0.0:.4f};step={step:.4f}"
 
 
-def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every whole text of ``docs`` as a member of the archives at ``path``."""
+def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append") -> None:
+    """Write every whole text of ``docs`` as a member of the archives at ``path``, beside those that are there (``append``) or in their place (``overwrite``)."""
     small_batches(docs)
 
     def encode(batches):
@@ -242,7 +257,7 @@ def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     docs.sparkSession.dataSource.register(MediaArchive)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows.mapInArrow(encode, ARCHIVE_SCHEMA).write.format("media_archive").mode("append").save(path)
+    rows.mapInArrow(encode, ARCHIVE_SCHEMA).write.format("media_archive").mode(mode).save(path)
 
 
 def read_media(spark, path: str) -> DataFrame:

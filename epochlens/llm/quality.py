@@ -101,7 +101,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``sample`` labelled rows, chosen by the digest of their ids."""
+    """Fit on at most ``sample`` labelled ids, chosen by the digest of their ids, each with one text: of several texts of an id the one with the smallest digest."""
     chosen = (
         labels.select(labels[id_col].cast("long").alias("l_id"), labels[label_col].cast("double").alias("y")).dropna()
         .groupBy("l_id").agg(F.max("y").alias("y"))
@@ -114,8 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             rows = [features(t) for t in byte_values(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
-    # The sample is bounded by ``sample`` rows of two numbers, so it may be broadcast.
-    found = texts.join(F.broadcast(chosen), "l_id").select("y", "text").mapInArrow(run, "y double, x array<double>").toPandas()
+    # The sample is bounded by ``sample`` rows of two numbers, so it may be broadcast, and so are the features that come back.
+    one_each = texts.join(F.broadcast(chosen), "l_id").groupBy("l_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = one_each.select("y", "text").mapInArrow(run, "y double, x array<double>").toPandas()
     found = found.sort_values(["y", "x"], key=lambda c: c.map(str)) if len(found) else found
     return fit(np.array(found["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES), found["y"].to_numpy(dtype=np.float64))
 
