@@ -154,11 +154,11 @@ def _runs(batches, n_keys: int):
 BATCH_ROWS, BATCH_CHARS = 256, 8 << 20
 
 
-def _to_batches(rows, schema: pa.Schema):
+def _to_batches(rows, schema: pa.Schema, most: int = BATCH_ROWS):
     block, chars = [], 0
     for row in rows:
         size = sum(len(x) for x in row if isinstance(x, str))
-        if block and (len(block) == BATCH_ROWS or chars + size > BATCH_CHARS):
+        if block and (len(block) == most or chars + size > BATCH_CHARS):
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), schema, strict=True)], schema=schema)
             block, chars = [], 0
         block.append(row)
