@@ -35,6 +35,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--no-io", action="store_true")
         sub.add_argument("--no-discovery", action="store_true")
         sub.add_argument("--include-no-findings", action="store_true")
+        sub.add_argument("--publish", action="store_true", help="write a new version of the run, which readers see whole or not at all, with documents of any length")
     report = commands.add_parser("report", help="show the findings or candidates of a scan")
     report.add_argument("path")
     report.add_argument("--risk", choices=("low", "medium", "high"))
@@ -84,15 +85,19 @@ def _rules(spark: SparkSession, args: argparse.Namespace):
 
 
 def _scan(spark: SparkSession, args: argparse.Namespace, of=None) -> int:
-    from .plans.scan import result_documents, scan_files, write_documents, write_run
+    from .plans.scan import publish_run, result_documents, scan_files, write_documents, write_run
     from .sources.files import list_tree, read_files, select_files
 
     kept, large, outside = select_files(list_tree(spark, args.root), args.include, args.exclude, args.max_file_size)
     files = read_files(spark, kept)
     options = _options(spark, args)
     run = scan_files(files.select("path", "content"), _rules(spark, args), options)
-    write_run(run, args.out)
-    write_documents(result_documents(run, of, options, root=".", rules_path=args.rules or ""), f"{args.out}/documents")
+    if args.publish:
+        manifest = publish_run(run, args.out, options, of, rules_path=args.rules or "")
+        print(f"published {manifest['number']}: {manifest['id']}")
+    else:
+        write_run(run, args.out)
+        write_documents(result_documents(run, of, options, root=".", rules_path=args.rules or ""), f"{args.out}/documents")
     print(f"files left out for their size: {large.count()}; links out of the root: {outside.count()}")
     return 0
 
@@ -120,7 +125,10 @@ def _repos(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def _report(spark: SparkSession, args: argparse.Namespace) -> int:
-    found = spark.read.parquet(f"{args.path}/candidates")
+    from .plans.publication import current, published
+
+    manifest = current(spark, args.path)
+    found = published(spark, args.path, "candidates", manifest) if manifest else spark.read.parquet(f"{args.path}/candidates")
     found = found.filter(found.risk == args.risk) if args.risk else found
     for r in found.orderBy("path", "line", "symbol").limit(args.top).collect():
         print(f"{r['path']}:{r['line']} {r['risk']} {r['symbol']} {r['snippet']}")

@@ -72,6 +72,11 @@ def time_aliases(typedefs: DataFrame, closure: DataFrame, seeds: tuple[str, ...]
     """
     ensure_checkpoints(typedefs.sparkSession)
     visible = closure.join(typedefs, closure["visible"] == typedefs["path"]).select("tu", "alias", F.explode("words").alias("word")).distinct().checkpoint()
+    return _alias_rounds(visible, seeds, hops, most)
+
+
+def _alias_rounds(visible: DataFrame, seeds: tuple[str, ...], hops: int, most: int) -> DataFrame:
+    """Hops from the seeds over what each file sees (tu, alias, word)."""
     rounds = [visible.filter(F.col("word").isin(*seeds)).select("tu", "alias").distinct().withColumn("hop", F.lit(1)).checkpoint()]
     for hop in range(2, hops + 1):
         found = reduce(DataFrame.unionByName, rounds)
@@ -84,6 +89,51 @@ def time_aliases(typedefs: DataFrame, closure: DataFrame, seeds: tuple[str, ...]
     return reduce(DataFrame.unionByName, rounds)
 
 
+def spread(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``facts``: path and columns -> tu and the columns, for every file that reaches the path, itself included.
+
+    Facts go backwards over the edges, each to a file once, so the work is in proportion to the edges of the files that see a fact and to the result; what no fact depends on is never
+    walked. Cycles end as nothing new comes. Equal facts of several headers travel as one.
+    """
+    ensure_checkpoints(facts.sparkSession)
+    names = [c for c in facts.columns if c != "path"]
+    back = edges.select(F.col("dst").alias("tu"), F.col("src").alias("next")).distinct().checkpoint()
+    found = [facts.select(F.col("path").alias("tu"), *names).distinct().checkpoint()]
+    while True:
+        step = found[-1].join(back, "tu").select(F.col("next").alias("tu"), *names).distinct()
+        frontier = step.join(reduce(DataFrame.unionByName, found), ["tu", *names], "left_anti").checkpoint()
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(frontier)
+
+
+def time_words(typedefs: DataFrame, seeds: tuple[str, ...], hops: int) -> DataFrame:
+    """(path, alias, word): the definitions that can be part of a way of at most ``hops`` definitions from a seed, whichever files see them."""
+    pairs = typedefs.select("path", "alias", F.explode("words").alias("word")).distinct().checkpoint()
+    names = pairs.select("alias", "word").distinct().checkpoint()
+    near = [names.filter(F.col("word").isin(*seeds)).select(F.col("alias").alias("word")).distinct().checkpoint()]
+    for _ in range(2, hops):
+        step = names.join(near[-1], "word").select(F.col("alias").alias("word")).distinct()
+        fresh = step.join(reduce(DataFrame.unionByName, near), "word", "left_anti").checkpoint()
+        if fresh.isEmpty():
+            break
+        near.append(fresh)
+    every = reduce(DataFrame.unionByName, near).unionByName(typedefs.sparkSession.createDataFrame([(s,) for s in seeds], "word string")).distinct()
+    return pairs.join(every, "word", "left_semi").select("path", "alias", "word")
+
+
+def reached_aliases(typedefs: DataFrame, edges: DataFrame, seeds: tuple[str, ...] = ("time_t", "timespec", "timeval"), hops: int = 5, most: int = 64) -> DataFrame:
+    """The rows of ``time_aliases``, without the closure of the include graph: only definitions on a way from a seed are told to the files that reach them."""
+    ensure_checkpoints(typedefs.sparkSession)
+    return _alias_rounds(spread(time_words(typedefs, seeds, hops), edges).checkpoint(), seeds, hops, most)
+
+
+def reached_definitions(aliases: DataFrame, typedefs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``alias_definitions``, without the closure."""
+    wanted = typedefs.join(aliases.select("alias").distinct(), "alias", "left_semi").select("path", "alias", F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(": "), "text").alias("d"))
+    return spread(wanted, edges).join(aliases.select("tu", "alias"), ["tu", "alias"]).groupBy("tu", "alias").agg(F.array_sort(F.collect_set("d")).alias("definitions"))
+
+
 def flatten_aliases(scoped: DataFrame) -> DataFrame:
     """Per alias the files that see it and its shortest way to a seed."""
     return scoped.groupBy("alias").agg(F.countDistinct("tu").alias("n_files"), F.min("hop").alias("hop"))

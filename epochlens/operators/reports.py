@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import coerce_confidence, derived_risk, issue_class, positive_int, risk_rank
 from ..functions.text import blank_to_null, canonical_rule, function_id_start, plural, script_json
+from ..sources.documents import piece
 from ..sources.files import glob_regex
 
 #: Fields of a finding as it may come, besides the two it must have; missing ones are null.
@@ -272,6 +273,13 @@ def _shown(n: int, total: int) -> str:
     return "" if n >= total else f"Shown: the first {n} of {total} findings by risk. The full list is the table itself (report_lines).\n"
 
 
+SHOW = (
+    "const show=()=>{const q=document.getElementById('q').value.toLowerCase();const c=document.getElementById('c').value;const m=parseFloat(document.getElementById('m').value);"
+    "rows.forEach(r=>{const ok=JSON.stringify(r).toLowerCase().includes(q)&&(!c||r.issue_class===c)&&(isNaN(m)||(r.confidence??-1)>=m);document.getElementById('finding-'+r.index).hidden=!ok;});};"
+    "['q','c','m'].forEach(i=>document.getElementById(i).oninput=show);show();</script></body></html>"
+)
+
+
 def render_text(findings: DataFrame, most: int = 1000, list_mode: bool = True, meta: str | None = None) -> str:
     """A plain report of the first ``most`` findings by risk, which says so where there are more; counts cover all."""
     counts = {r["issue_class"]: r["n"] for r in class_counts(findings).collect()}
@@ -297,12 +305,40 @@ def render_html(findings: DataFrame, title: str, most: int = 1000, group_by: str
     return (
         f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><p>{html.escape(NOTE)}</p><p>{html.escape(_shown(len(packed), total))}</p>"
         f"<input id='q' placeholder='text'><select id='c'><option></option><option>yes</option><option>no</option><option>abstain</option></select><input id='m' type='number' step='0.05' min='0' max='1'>{body}"
-        f"<script>const rows=[{data}];const show=()=>{{const q=document.getElementById('q').value.toLowerCase();const c=document.getElementById('c').value;const m=parseFloat(document.getElementById('m').value);"
-        "rows.forEach(r=>{const ok=JSON.stringify(r).toLowerCase().includes(q)&&(!c||r.issue_class===c)&&(isNaN(m)||(r.confidence??-1)>=m);document.getElementById('finding-'+r.index).hidden=!ok;});};"
-        "['q','c','m'].forEach(i=>document.getElementById(i).oninput=show);show();</script></body></html>"
+        f"<script>const rows=[{data}];{SHOW}"
     )
 
 
+def _rank_key() -> Column:
+    return F.lpad(F.col("rank").cast("string"), 18, "0")
+
+
+def text_pieces(findings: DataFrame, name: str, list_mode: bool = True, meta: str | None = None) -> DataFrame:
+    """``render_text`` without its bound, as pieces for ``sources.documents.write_documents``."""
+    counts = {r["issue_class"]: r["n"] for r in class_counts(findings).collect()}  # a row for each class
+    rows, document = numbered(display_class(findings), "risk"), F.lit(name)
+    told = findings.sparkSession.range(1).select(provenance(F.lit(meta))).first()[0] if meta else None
+    head = f"{NOTE}\n\n" + (f"{told}\n\n" if told else "") + f"Findings by class: {', '.join(f'{k}: {v}' for k, v in sorted(counts.items())) or 'none'}\n\n" + ("" if counts else "No findings match the selected filters.")
+    shown = finding_line(F.col("rank")) if list_mode else finding_text(F.col("rank"), F.lit(sum(counts.values())))
+    return findings.sparkSession.range(1).select(*piece(document, 0, F.lit(""), F.lit(head))).unionByName(rows.select(*piece(document, 1, _rank_key(), shown, "\n" if list_mode else "\n\n")))
+
+
+def html_pieces(findings: DataFrame, name: str, title: str, group_by: str = "none") -> DataFrame:
+    """``render_html`` without its bound, as pieces for ``sources.documents.write_documents``."""
+    rows, document, one = numbered(display_class(findings), "risk"), F.lit(name), findings.sparkSession.range(1)
+    group = {"file": F.col("file"), "rule": F.col("rule_id")}.get(group_by, F.lit("All findings"))
+    key = lambda rank: F.concat(group, F.lit("\0"), rank)
+    head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><p>{html.escape(NOTE)}</p><p></p>"
+    tools = "<input id='q' placeholder='text'><select id='c'><option></option><option>yes</option><option>no</option><option>abstain</option></select><input id='m' type='number' step='0.05' min='0' max='1'>"
+    cards = rows.select(*piece(document, 1, key(_rank_key()), finding_card(F.col("rank"))))
+    titles = rows.select(group.alias("g")).distinct().select(*piece(document, 1, F.concat("g", F.lit("\0")), F.concat(F.lit("<h2>"), escape(F.col("g")), F.lit("</h2>"))))
+    parts = [one.select(*piece(document, 0, F.lit(""), F.lit(head + tools))), titles, cards, one.select(*piece(document, 2, F.lit(""), F.lit("<script>const rows=["))), rows.select(*piece(document, 3, _rank_key(), finding_json(F.col("rank")), ",")), one.select(*piece(document, 4, F.lit(""), F.lit("];" + SHOW)))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def write_text(text: str, path: str) -> str:
     """Write a report where the driver can reach it; its folders are made."""
     from pathlib import Path

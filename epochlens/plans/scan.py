@@ -19,7 +19,10 @@ from ..operators import detectors as D
 from ..operators import findings as N
 from ..operators import matching as M
 from ..session import ensure_checkpoints
+from ..sources.documents import piece
+from ..sources.documents import write_documents as write_long_documents
 from ..sources.lines import split_lines, with_clean_text
+from .publication import publish
 
 SCHEMA_VERSION = "1.2"
 
@@ -82,9 +85,9 @@ def scan(lines: DataFrame, rules: DataFrame, min_risk: str = "low", aliases: Dat
 def discover(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Type definitions of all files, the aliases of the time type that each file sees, and their definitions."""
     typedefs = G.typedefs_of_files(files).checkpoint()
-    closure = G.include_closure(files, G.include_edges(lines, files))
-    aliases = G.time_aliases(typedefs, closure, D.TIME_TYPES)
-    return typedefs, aliases, G.alias_definitions(aliases, closure, typedefs)
+    edges = G.include_edges(lines, files).checkpoint()
+    aliases = G.reached_aliases(typedefs, edges, D.TIME_TYPES).checkpoint()
+    return typedefs, aliases, G.reached_definitions(aliases, typedefs, edges)
 
 
 def scan_files(files: DataFrame, rules: DataFrame, options: Options = Options()) -> Run:
@@ -178,35 +181,78 @@ def result_document(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("candidates")).select("path", F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "candidates")).alias("document"))
 
 
-def result_documents(run: Run, repo: Callable[[Column], Column] | None = None, options: Options = Options(), root: str = ".", rules_path: str = "", timestamp: str | None = None) -> DataFrame:
-    """One JSON document per repository: schema version, meta, candidates, assessments and findings, each in order.
+NULLS = {"ignoreNullFields": "false"}
+
 
-    ``repo`` gives the repository of a path; without it there is one. All counts are made from the rows that the document holds, and candidate ids
-    that no candidate has are left out of assessments. A repository's rows meet in one task, as its document is one text.
+def document_items(run: Run, repo: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
+    """Candidates, assessments and findings as they stand in documents: repo, key, and the row as JSON, beside what is counted of it.
+
+    Candidate ids that no candidate has are left out of assessments.
     """
     of = repo or (lambda path: F.lit("."))
-    files = run.evidence.select(of(F.col("path")).alias("repo"), candidate_rows(run.evidence).alias("r"))
-    lists = files.groupBy("repo").agg(F.array_sort(F.collect_list("r")).alias("candidates"))
+    item = lambda row: F.to_json(row, NULLS).alias("text")
     path_of = F.regexp_extract("function_id", r"^(.*)@[^@]*$", 1)
     known = A.known_ids(run.assessments, run.evidence)
     public = A.public_rows(run.assessments.drop("candidate_ids").join(known, "function_id"))
-    assessed = public.withColumn("repo", of(path_of)).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(*A.PUBLIC))).alias("assessments"))
     finding = F.struct("finding_id", F.col("path").alias("file"), F.coalesce("function_id", F.lit("unknown")).alias("function_id"), F.col("verdict").alias("y2038_issue"), "confidence", "severity", "issue_type", F.col("description").alias("reason"), F.array("line").alias("lines"), F.struct("start_line", "end_line").alias("region"), "io_category", "io_function", "remediation_class", "migration_risk_type", "migration_severity", "migration_impact", "migration_remediation")
-    found = run.findings.select(of(F.col("path")).alias("repo"), finding.alias("r")).groupBy("repo").agg(F.array_sort(F.collect_list("r")).alias("findings"))
-    joined = lists.join(assessed, "repo", "full_outer").join(found, "repo", "full_outer")
-    empty = lambda c: F.coalesce(c, F.array().cast(joined.schema[c].dataType))
-    rows = joined.select("repo", *[empty(c).alias(c) for c in ("candidates", "assessments", "findings")])
-    count = lambda c, test: F.size(F.filter(c, test))
-    done = lambda v: lambda a: (a["execution_status"] == "completed") & (a["verdict"] == v)
-    n_functions = F.size(F.array_distinct(F.array_compact(F.transform("candidates", lambda c: c["function_id"]))))
-    summary = F.struct(F.size("candidates").alias("total"), count("candidates", lambda c: c["function_id"].isNotNull()).alias("grouped"), count("candidates", lambda c: c["function_id"].isNull()).alias("ungrouped"), n_functions.alias("functions_with_candidates"), F.size("findings").alias("findings"))
-    errors, completed = count("assessments", lambda a: a["execution_status"] == "analysis_error"), count("assessments", lambda a: a["execution_status"] == "completed")
-    status = F.lit("not_requested") if options.scorer is None else F.when((errors > 0) & (completed > 0), "partial").when(errors > 0, "failed").otherwise("complete")
-    assessed_summary = F.struct(F.size("assessments").alias("total"), completed.alias("completed"), *[count("assessments", done(v)).alias(v) for v in ("yes", "no", "abstain")], errors.alias("analysis_errors"), count("assessments", lambda a: a["execution_status"] == "not_requested").alias("not_requested"), F.size("findings").alias("findings"))
+    return {
+        "candidates": run.evidence.select(of(F.col("path")).alias("repo"), F.col("candidate_id").alias("key"), item(candidate_rows(run.evidence)), "function_id"),
+        "assessments": public.select(of(path_of).alias("repo"), F.col("assessment_id").alias("key"), item(F.struct(*A.PUBLIC)), "execution_status", "verdict"),
+        "findings": run.findings.select(of(F.col("path")).alias("repo"), F.col("finding_id").alias("key"), item(finding)),
+    }
+
+
+def document_heads(items: dict[str, DataFrame], options: Options = Options(), root: str = ".", rules_path: str = "", timestamp: str | None = None) -> DataFrame:
+    """repo and the beginning of its document, schema version and meta, as JSON without the last brace. All counts are aggregated from the rows that the document will hold."""
+    state, done = F.col("execution_status"), F.col("execution_status") == "completed"
+    n = F.count(F.lit(1))
+    c = items["candidates"].groupBy("repo").agg(n.alias("candidates"), F.count("function_id").alias("grouped"), F.count_distinct("function_id").alias("functions"))
+    a = items["assessments"].groupBy("repo").agg(n.alias("assessments"), F.count_if(done).alias("completed"), *[F.count_if(done & (F.col("verdict") == v)).alias(v) for v in ("yes", "no", "abstain")], F.count_if(state == "analysis_error").alias("errors"), F.count_if(state == "not_requested").alias("not_requested"))
+    f = items["findings"].groupBy("repo").agg(n.alias("findings"))
+    counts = c.join(a, "repo", "full_outer").join(f, "repo", "full_outer")
+    counts = counts.select("repo", *[F.coalesce(k, F.lit(0)).alias(k) for k in counts.columns if k != "repo"])
+    k = F.col
+    summary = F.struct(k("candidates").alias("total"), "grouped", (k("candidates") - k("grouped")).alias("ungrouped"), k("functions").alias("functions_with_candidates"), "findings")
+    status = F.lit("not_requested") if options.scorer is None else F.when((k("errors") > 0) & (k("completed") > 0), "partial").when(k("errors") > 0, "failed").otherwise("complete")
+    assessed = F.struct(k("assessments").alias("total"), "completed", "yes", "no", "abstain", k("errors").alias("analysis_errors"), "not_requested", "findings")
     abi = F.struct(F.lit(options.abi.model).alias("hardware_model"), F.lit(options.abi.bits).alias("time_t_size_bits"), F.lit(options.abi.sign).alias("time_t_signed"))
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if timestamp is None else F.lit(timestamp)
-    meta = F.struct(F.lit(root).alias("root"), F.lit(rules_path).alias("rules_path"), F.lit(options.model if options.scorer else "none").alias("model"), F.lit(options.provider).alias("llm_provider"), stamp.alias("timestamp"), abi.alias("environment_config"), summary.alias("candidate_summary"), status.alias("analysis_status"), assessed_summary.alias("assessment_summary"))
-    return rows.select("repo", F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), meta.alias("meta"), "candidates", "assessments", "findings"), {"ignoreNullFields": "false"}).alias("document"))
+    meta = F.struct(F.lit(root).alias("root"), F.lit(rules_path).alias("rules_path"), F.lit(options.model if options.scorer else "none").alias("model"), F.lit(options.provider).alias("llm_provider"), stamp.alias("timestamp"), abi.alias("environment_config"), summary.alias("candidate_summary"), status.alias("analysis_status"), assessed.alias("assessment_summary"))
+    return counts.select("repo", F.regexp_replace(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), meta.alias("meta")), NULLS), r"\}$", "").alias("head"))
+
+
+def result_documents(run: Run, repo: Callable[[Column], Column] | None = None, options: Options = Options(), root: str = ".", rules_path: str = "", timestamp: str | None = None) -> DataFrame:
+    """One JSON document per repository as a row: schema version, meta, candidates, assessments and findings, each in order.
+
+    ``repo`` gives the repository of a path; without it there is one. A repository's rows meet in one task, as its document is one text; ``document_pieces`` makes the same documents
+    for files of any length.
+    """
+    items = document_items(run, repo)
+    rows = document_heads(items, options, root, rules_path, timestamp)
+    for name, table in items.items():
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda x: x["text"])
+        rows = rows.join(table.groupBy("repo").agg(F.array_join(ordered, ",").alias(name)), "repo", "left")
+    parts = [x for name in items for x in (F.lit(f',"{name}":['), F.coalesce(name, F.lit("")), F.lit("]"))]
+    return rows.select("repo", F.concat("head", *parts, F.lit("}")).alias("document"))
+
+
+def document_pieces(run: Run, repo: Callable[[Column], Column] | None = None, options: Options = Options(), root: str = ".", rules_path: str = "", timestamp: str | None = None) -> DataFrame:
+    """The documents of ``result_documents`` as pieces for ``sources.documents.write_documents``: no row is longer than one candidate, assessment or finding."""
+    items = document_items(run, repo)
+    heads = document_heads(items, options, root, rules_path, timestamp)
+    out = heads.select(*piece("repo", 0, F.lit(""), F.col("head")))
+    for k, (name, table) in enumerate(items.items()):
+        out = out.unionByName(heads.select(*piece("repo", 2 * k + 1, F.lit(""), F.lit(("]" if k else "") + f',"{name}":[')))).unionByName(table.select(*piece("repo", 2 * k + 2, "key", F.col("text"), ",")))
+    return out.unionByName(heads.select(*piece("repo", 2 * len(items) + 1, F.lit(""), F.lit("]}"))))
+
+
+TABLES = ("typedefs", "aliases", "rules", "candidates", "conflicts", "io", "migration", "functions", "evidence", "assessments", "findings", "metrics")
+
+
+def publish_run(run: Run, path: str, options: Options = Options(), repo: Callable[[Column], Column] | None = None, root: str = ".", rules_path: str = "", timestamp: str | None = None) -> dict:
+    """All tables of a run and its documents, which readers see together when the last one is there; returns the manifest."""
+    pieces = document_pieces(run, repo, options, root, rules_path, timestamp)
+    return publish(run.candidates.sparkSession, path, {name: getattr(run, name) for name in TABLES}, more=lambda folder: write_long_documents(pieces, f"{folder}/documents"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

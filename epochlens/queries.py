@@ -340,10 +340,10 @@ _ALIASES = f"RECURSIVE {_INCLUDED}, td AS (SELECT DISTINCT path, regexp_extract(
 
 
 def _alias_scope(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Aliases of each file, the closure and the type definitions."""
-    lines, files, edges = _graph(spark, sf)
-    typedefs, closure = G.typedef_lines(lines), G.include_closure(files, edges)
-    return G.time_aliases(typedefs, closure), closure, typedefs
+    """Aliases of each file, the include edges and the type definitions."""
+    lines, _, edges = _graph(spark, sf)
+    typedefs = G.typedef_lines(lines)
+    return G.reached_aliases(typedefs, edges), edges, typedefs
 
 
 @query(f"WITH {_ALIASES} SELECT tu, alias, hop FROM hop")
@@ -364,8 +364,8 @@ def alias_payload(spark, sf):
 @query(f"WITH {_ALIASES}, d AS (SELECT DISTINCT c.tu, alias, path || ':' || line || ': ' || text AS d FROM c JOIN (SELECT path, line, text, regexp_extract(text, '^typedef (\\w+) (\\w+);', 2) AS alias FROM lines WHERE regexp_matches(text, '^typedef ')) ON visible = path JOIN hop USING (tu, alias)) SELECT alias AS symbol, count(DISTINCT tu)::INT AS n_files, count(DISTINCT d)::INT AS n_definitions, 'Typedef alias for time_t (discovered: ' || count(DISTINCT d) || ' definitions)' AS description FROM d GROUP BY alias")
 def alias_rules(spark, sf):
     lines, _, _ = _graph(spark, sf)
-    aliases, closure, typedefs = _alias_scope(spark, sf)
-    rules = G.alias_rules(G.alias_definitions(aliases, closure, typedefs.join(lines.select("path", "line", "text"), ["path", "line"])))
+    aliases, edges, typedefs = _alias_scope(spark, sf)
+    rules = G.alias_rules(G.reached_definitions(aliases, typedefs.join(lines.select("path", "line", "text"), ["path", "line"]), edges))
     return rules.select("symbol", F.size("scope_files").alias("n_files"), F.size("definitions").alias("n_definitions"), "description")
 
 
