@@ -22,6 +22,7 @@ from ..session import ensure_checkpoints
 from ..sources.documents import piece
 from ..sources.documents import write_documents as write_long_documents
 from ..sources.lines import split_lines, with_clean_text
+from .passes import Asking, as_answers, run_passes
 from .publication import publish
 
 SCHEMA_VERSION = "1.2"
@@ -41,6 +42,8 @@ class Options:
     include_no: bool = False
     detect_y2106: bool = False
     scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None
+    #: A model that is asked in passes; takes the place of a scorer.
+    asking: Asking | None = None
     model: str = "none"
     provider: str = "none"
 
@@ -125,7 +128,7 @@ def scan_files(files: DataFrame, rules: DataFrame, options: Options = Options())
     evidence = C.join_functions(candidates, functions).checkpoint()
     candidates = evidence.drop("function_id", "analysis_coverage")
     units = analysis_units(functions, evidence)
-    assessments, findings = assess(units, options)
+    assessments, findings = assess(units, options, files)
     findings = B.with_io_metadata(findings, B.io_metadata(io), migration).checkpoint()
     return Run(M.code_metrics(known), typedefs, aliases if aliases is not None else typedefs.select(F.col("path").alias("tu"), "alias", F.lit(0).alias("hop")), rules, candidates, conflicts, io, migration, functions, evidence, assessments, findings)
 
@@ -136,9 +139,14 @@ def analysis_units(functions: DataFrame, evidence: DataFrame) -> DataFrame:
     return named.join(C.function_candidates(evidence).drop("path"), "function_id")
 
 
-def assess(units: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+def assess(units: DataFrame, options: Options, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Assessments and findings of functions. Without a scorer every function is not asked about, and its finding abstains."""
     names = ["function_id", "path", "name", "start_line", "end_line", "candidate_lines", "candidate_ids", "body"]
+    if options.asking is not None:
+        answers = as_answers(run_passes(units.select(*names), files, options.asking, options.detect_y2106)).checkpoint()
+        done = answers.drop("y2106").join(units.select("function_id", "candidate_ids"), "function_id")
+        rows = N.assessed_findings(units.select(*names).join(answers.drop("y2106"), "function_id")).join(answers.select("function_id", "y2106"), "function_id")
+        return A.with_ids(done), A.output_filter(rows, options.include_no, options.detect_y2106).drop("y2106")
     if options.scorer is None:
         none = units.select("function_id", F.lit("not_requested").alias("status"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"), "candidate_ids").filter(F.lit(False))
         return A.with_ids(none), N.disabled_findings(units.select(*names))
@@ -213,11 +221,11 @@ def document_heads(items: dict[str, DataFrame], options: Options = Options(), ro
     counts = counts.select("repo", *[F.coalesce(k, F.lit(0)).alias(k) for k in counts.columns if k != "repo"])
     k = F.col
     summary = F.struct(k("candidates").alias("total"), "grouped", (k("candidates") - k("grouped")).alias("ungrouped"), k("functions").alias("functions_with_candidates"), "findings")
-    status = F.lit("not_requested") if options.scorer is None else F.when((k("errors") > 0) & (k("completed") > 0), "partial").when(k("errors") > 0, "failed").otherwise("complete")
+    status = F.lit("not_requested") if options.scorer is None and options.asking is None else F.when((k("errors") > 0) & (k("completed") > 0), "partial").when(k("errors") > 0, "failed").otherwise("complete")
     assessed = F.struct(k("assessments").alias("total"), "completed", "yes", "no", "abstain", k("errors").alias("analysis_errors"), "not_requested", "findings")
     abi = F.struct(F.lit(options.abi.model).alias("hardware_model"), F.lit(options.abi.bits).alias("time_t_size_bits"), F.lit(options.abi.sign).alias("time_t_signed"))
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if timestamp is None else F.lit(timestamp)
-    meta = F.struct(F.lit(root).alias("root"), F.lit(rules_path).alias("rules_path"), F.lit(options.model if options.scorer else "none").alias("model"), F.lit(options.provider).alias("llm_provider"), stamp.alias("timestamp"), abi.alias("environment_config"), summary.alias("candidate_summary"), status.alias("analysis_status"), assessed.alias("assessment_summary"))
+    meta = F.struct(F.lit(root).alias("root"), F.lit(rules_path).alias("rules_path"), F.lit(options.model if options.scorer or options.asking else "none").alias("model"), F.lit(options.provider).alias("llm_provider"), stamp.alias("timestamp"), abi.alias("environment_config"), summary.alias("candidate_summary"), status.alias("analysis_status"), assessed.alias("assessment_summary"))
     return counts.select("repo", F.regexp_replace(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), meta.alias("meta")), NULLS), r"\}$", "").alias("head"))
 
 
