@@ -68,38 +68,75 @@ def residual_pairs(members: DataFrame, limit: Callable[[np.ndarray, np.ndarray],
     dealt = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        nodes, comps, sizes, block = (np.asarray(table.column(c).to_numpy(), dtype=np.int64) for c in ("node", "component", "size", "i"))
-        order = np.argsort(sizes, kind="stable")
-        nodes, comps, sizes, block = nodes[order], comps[order], sizes[order], block[order]
-        sketches = [table.column("sketch")[int(k)].as_py() for k in order]
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        a, b = [], []
-        lengths = np.array([len(s) for s in sketches])
-        by_length = {n: (np.flatnonzero(lengths == n), _stack([s for s in sketches if len(s) == n])) for n in np.unique(lengths)}
-        for i in range(len(nodes) - 1):
-            mine = np.frombuffer(sketches[i], dtype=np.uint64)[None, :]
-            for n, (at, matrix) in by_length.items():
-                k = np.searchsorted(at, i + 1)
-                if k == len(at):
-                    continue
-                rest = at[k:]
-                most = limit(sizes[i], sizes[rest])
-                ok = (most >= 0) & (comps[rest] != comps[i]) & (nodes[rest] != nodes[i])
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for (_, lo, hi), (block, nodes, comps, sizes), sketches in _groups(table, ("gid", "lo", "hi"), ("i", "node", "component", "size")):
+            n, rows = len(nodes), _Rows(sketches)
+            step = max(1, PAIRS // n)
+            for begin in range(0, n - 1, step):
+                x, y = np.nonzero(np.arange(begin, min(begin + step, n))[:, None] < np.arange(n)[None, :])
+                x += begin
+                most = limit(sizes[x], sizes[y])
+                ok = (most >= 0) & (comps[x] != comps[y]) & (nodes[x] != nodes[y])
                 if lo != hi:
-                    ok &= block[rest] != block[i]
-                if not ok.any():
-                    continue
-                words = min(matrix.shape[1], mine.shape[1])
-                far = np.bitwise_count(fold(matrix[k:][ok], words) ^ fold(mine, words)).sum(axis=1)
-                hit = rest[ok][far <= most[ok]]
-                a += [int(nodes[i])] * len(hit)
-                b += nodes[hit].tolist()
-        lower = [min(x, y) for x, y in zip(a, b, strict=True)]
-        upper = [max(x, y) for x, y in zip(a, b, strict=True)]
-        return pa.table({"a": pa.array(lower, pa.int64()), "b": pa.array(upper, pa.int64())})
-
-    return dealt.select("gid", "lo", "hi", "i", "node", "component", "size", "sketch").groupBy("gid", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+                    ok &= block[x] != block[y]
+                x, y, most = x[ok], y[ok], most[ok]
+                near = rows.distances(x, y) <= most
+                a.append(np.minimum(nodes[x[near]], nodes[y[near]]))
+                b.append(np.maximum(nodes[x[near]], nodes[y[near]]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    picked = dealt.select("gid", "lo", "hi", "i", "node", "component", "size", "sketch")
+    return _bundled(picked, members, ("gid", "lo", "hi")).applyInArrow(compare, "a long, b long").distinct()
+
+
+#: Rows of the groups that one call of a Python function takes, about, and pairs that are looked at, and words of sketches compared, at once.
+BUNDLE, PAIRS, WORDS_AT_ONCE = 2048, 1 << 16, 1 << 20
+
+
+def _bundled(rows: DataFrame, members: DataFrame, keys: tuple[str, ...]):
+    """Whole groups, many small ones to a call: a call has a price of its own, which most groups are not worth."""
+    bundles = max(1, members.count() // BUNDLE)
+    return rows.groupBy(F.pmod(F.xxhash64(*keys), F.lit(bundles)).alias("bundle"))
+
+
+def _groups(table: pa.Table, keys: tuple[str, ...], columns: tuple[str, ...]):
+    """Per group its keys, its columns as arrays, in order of size, and its sketches."""
+    table = table.combine_chunks()
+    values = {c: np.asarray(table.column(c).to_numpy(), dtype=np.int64) for c in (*keys, *columns)}
+    sketches = table.column("sketch").to_pylist()
+    order = np.lexsort((values["node"], values["size"], *(values[k] for k in reversed(keys))))
+    changed = np.zeros(len(order), dtype=bool)
+    for k in keys:
+        changed[1:] |= values[k][order][1:] != values[k][order][:-1]
+    begins = np.flatnonzero(changed).tolist()
+    for begin, end in itertools.pairwise([0, *begins, len(order)]):
+        mine = order[begin:end]
+        if len(mine) > 1:
+            yield tuple(int(values[k][mine[0]]) for k in keys), tuple(values[c][mine] for c in columns), [sketches[i] for i in mine.tolist()]
+
+
+class _Rows:
+    """Sketches of a group by length, so that many pairs are compared at once."""
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.words = np.array([len(s) // 8 for s in sketches])
+        self.place = np.zeros(len(sketches), dtype=np.int64)
+        self.matrix = {}
+        for n in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == n)
+            self.place[at] = np.arange(len(at))
+            self.matrix[n] = _stack([sketches[i] for i in at.tolist()])
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=np.int64)
+        for n in self.matrix:
+            for m in self.matrix:
+                mine = np.flatnonzero((self.words[x] == n) & (self.words[y] == m)) if len(self.matrix) > 1 else np.arange(len(x))
+                least = min(n, m)
+                for k in range(0, len(mine), max(1, WORDS_AT_ONCE // max(n, m))):
+                    at = mine[k : k + max(1, WORDS_AT_ONCE // max(n, m))]
+                    out[at] = np.bitwise_count(fold(self.matrix[n][self.place[x[at]]], least) ^ fold(self.matrix[m][self.place[y[at]]], least)).sum(axis=1)
+        return out
 
 
 def _stack(sketches: list[bytes]) -> np.ndarray:
@@ -187,26 +224,26 @@ def middle_pairs(members: DataFrame, limit: Callable[[np.ndarray, np.ndarray], n
     """
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, comps, sizes = (np.asarray(table.column(c).to_numpy(), dtype=np.int64) for c in ("node", "component", "size"))
-        sketches = [s.as_py() for s in table.column("sketch")]
-        lengths = np.array([len(s) for s in sketches])
-        a, b = [], []
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            matrix = _stack([sketches[i] for i in at])
-            bits = np.unpackbits(matrix.view(np.uint8), axis=1, bitorder="little")
-            usual = np.packbits((2 * bits.sum(axis=0) > len(at)).astype(np.uint8), bitorder="little").view(np.uint64)
-            middle = int(np.argmin(np.bitwise_count(matrix ^ usual[None, :]).sum(axis=1)))
-            far = np.bitwise_count(matrix ^ matrix[middle][None, :]).sum(axis=1)
-            m = at[middle]
-            ok = (far <= limit(sizes[m], sizes[at])) & (comps[at] != comps[m]) & (nodes[at] != nodes[m])
-            a += np.minimum(nodes[at[ok]], nodes[m]).tolist()
-            b += np.maximum(nodes[at[ok]], nodes[m]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for _, (nodes, comps, sizes), sketches in _groups(table, ("gid", "piece"), ("node", "component", "size")):
+            rows = _Rows(sketches)
+            for n, matrix in rows.matrix.items():
+                at = np.flatnonzero(rows.words == n)
+                if len(at) < 2 or (comps[at] == comps[at[0]]).all():
+                    continue
+                bits = np.unpackbits(matrix.view(np.uint8), axis=1, bitorder="little")
+                usual = np.packbits((2 * bits.sum(axis=0) > len(at)).astype(np.uint8), bitorder="little").view(np.uint64)
+                middle = int(np.argmin(np.bitwise_count(matrix ^ usual[None, :]).sum(axis=1)))
+                far = np.bitwise_count(matrix ^ matrix[middle][None, :]).sum(axis=1)
+                m = at[middle]
+                ok = (far <= limit(sizes[m], sizes[at])) & (comps[at] != comps[m]) & (nodes[at] != nodes[m])
+                a.append(np.minimum(nodes[at[ok]], nodes[m]))
+                b.append(np.maximum(nodes[at[ok]], nodes[m]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     counts = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     placed = members.join(counts, "gid").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return placed.select("gid", "piece", "node", "component", "size", "sketch").groupBy("gid", "piece").applyInArrow(run, "a long, b long").distinct()
+    return _bundled(placed.select("gid", "piece", "node", "component", "size", "sketch"), members, ("gid", "piece")).applyInArrow(run, "a long, b long").distinct()
 
 
 PACKED = "bucket int, keys binary, at binary, hot binary, nodes binary"
