@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, bound_snippet, candidate_id, function_id, normalize_newlines
+from .cuts import capped_cuts, greedy_groups
 
 IDENTITY = ["path", "line", "col_start", "col_end", "symbol", "risk"]
 
@@ -159,15 +160,7 @@ def find_by_place(asked: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def split_parts(lines: DataFrame, max_lines: int = 10_000, max_chars: int = 20_000) -> DataFrame:
-    """Greedy parts of each file: a part ends where the next line would pass a limit. path, part, first and last line, characters."""
-    body = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", (F.length("text") + 1).alias("n")))).alias("l"))
-    empty = F.array().cast("array<struct<first:int,last:int,lines:int,chars:int>>")
-
-    def step(done, x):
-        last = F.get(done, F.size(done) - 1)
-        fits = (F.size(done) > 0) & (last["lines"] < max_lines) & (last["chars"] + x["n"] <= max_chars)
-        grown = F.struct(last["first"].alias("first"), x["line"].alias("last"), (last["lines"] + 1).alias("lines"), (last["chars"] + x["n"]).alias("chars"))
-        fresh = F.struct(x["line"].alias("first"), x["line"].alias("last"), F.lit(1).alias("lines"), x["n"].alias("chars"))
-        return F.when(F.size(done) == 0, F.array(fresh)).when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
-
-    return body.select("path", F.posexplode(F.aggregate("l", empty, step)).alias("p", "s")).select("path", (F.col("p") + 1).alias("part"), "s.first", "s.last", "s.chars")
+    """Greedy parts of each file: a part ends where the next line would pass a limit. path, part, first and last line, characters with line ends."""
+    found = greedy_groups(lines, "path", "line", F.length("text") + 1, capped_cuts(max_lines, max_chars), max_lines)
+    parts = found.groupBy("path", "group").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("n").alias("chars"))
+    return parts.select("path", (F.col("group") + 1).cast("int").alias("part"), "first", "last", "chars")

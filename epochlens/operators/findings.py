@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bound_reason
 from .assessments import controlled_reason
+from .cuts import adaptive_cuts, greedy_groups
 
 BATCH, LONG_LINE, HUGE_LINE, BATCH_CHARS = 100, 500, 1000, 50_000
 
@@ -97,29 +98,10 @@ def file_requests(unresolved: DataFrame, candidates: DataFrame, files: DataFrame
 def adaptive_batches(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """Batch numbers inside each ``key``: at most ``BATCH`` rows, a huge text alone, half the rows where a long text is in, a cut before too many characters.
 
-    A key's rows are read in order by one task, which holds one number of each batch and none of the rows.
+    Blocks of a key are numbered apart, see ``cuts``; ``order`` must be unique within a key.
     """
-    kind = rows.schema[order].dataType
-    asked = rows.select(F.col(key), F.col(order), F.length(text).alias("n")).repartition(key).sortWithinPartitions(key, order)
-
-    def number(frames):
-        state = {"key": None, "batch": 0, "rows": 0, "chars": 0, "long": False}
-        for frame in frames:
-            found = []
-            for k, n in zip(frame.iloc[:, 0], frame["n"].fillna(0).astype(int), strict=True):
-                if k != state["key"]:
-                    state.update(key=k, batch=0, rows=0, chars=0, long=False)
-                is_long = state["long"] or n > LONG_LINE
-                fits = 0 < state["rows"] < (BATCH // 2 if is_long else BATCH) and n <= HUGE_LINE and state["chars"] + n <= BATCH_CHARS
-                if not fits:
-                    state["batch"] += state["rows"] > 0
-                    state.update(rows=0, chars=0, long=False)
-                state.update(rows=BATCH if n > HUGE_LINE else state["rows"] + 1, chars=state["chars"] + n, long=state["long"] or n > LONG_LINE)
-                found.append(state["batch"])
-            yield frame.iloc[:, :2].assign(batch=found)
-
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{order}` {kind.simpleString()}, batch int"
-    return asked.mapInPandas(number, schema)
+    found = greedy_groups(rows, key, order, F.length(text), adaptive_cuts(BATCH, LONG_LINE, HUGE_LINE, BATCH_CHARS), BATCH)
+    return found.select(key, order, F.col("group").cast("int").alias("batch"))
 
 
 def abstain_rows(functions: DataFrame) -> DataFrame:

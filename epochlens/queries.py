@@ -311,7 +311,11 @@ def line_frame(spark, sf):
     return C.line_frames(synthetic_lines(spark, sf), _scan(spark, sf).candidates)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, l AS (SELECT path, line, length(text) + 1 AS n, sum(length(text) + 1) OVER (PARTITION BY path ORDER BY line) AS upto FROM lines),
+nx AS (SELECT a.path, a.line, least(max(b.line) + 1, a.line + 100) AS nxt FROM l a JOIN l b ON a.path = b.path AND b.line >= a.line AND (b.line = a.line OR b.upto - a.upto + a.n <= 2000) GROUP BY a.path, a.line),
+s AS (SELECT DISTINCT path, 1 AS line, 1 AS part FROM l UNION ALL SELECT s.path, nxt, part + 1 FROM s JOIN nx ON nx.path = s.path AND nx.line = s.line JOIN l ON l.path = s.path AND l.line = nxt),
+p AS (SELECT l.path, l.line, l.n, count(s.line) OVER (PARTITION BY l.path ORDER BY l.line) AS part FROM l LEFT JOIN s ON l.path = s.path AND l.line = s.line)
+SELECT path, part::INT AS part, min(line) AS first, max(line) AS last, sum(n)::BIGINT AS chars FROM p GROUP BY path, part""")
 def split_parts(spark, sf):
     return C.split_parts(synthetic_lines(spark, sf), 100, 2000)
 
@@ -670,7 +674,12 @@ def issue_findings(spark, sf):
     return N.to_findings(rows).select("finding_id", "issue_type", "line", "start_line", "end_line")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+v AS (SELECT a.source, a.i, b.i AS j, b.n > 1000 OR a.n > 1000 OR b.i - a.i >= CASE WHEN a.n > 500 OR max(b.n) OVER w > 500 THEN 50 ELSE 100 END OR a.n + sum(b.n) OVER w > 50000 AS bad
+ FROM d a JOIN d b ON a.source IS NOT DISTINCT FROM b.source AND b.i BETWEEN a.i + 1 AND a.i + 100 WINDOW w AS (PARTITION BY a.source, a.i ORDER BY b.i)),
+nx AS (SELECT source, i, min(j) AS nxt FROM v WHERE bad GROUP BY ALL),
+s AS (SELECT source, i, i AS begun FROM d WHERE i = 1 UNION ALL SELECT s.source, nxt, nxt FROM s JOIN nx ON s.source IS NOT DISTINCT FROM nx.source AND s.i = nx.i)
+SELECT d.source, d.doc_id, (count(s.begun) OVER (PARTITION BY d.source ORDER BY d.i) - 1)::INT AS batch FROM d LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source AND d.i = s.i""")
 def adaptive_batches(spark, sf):
     return N.adaptive_batches(_t(spark, sf, "documents"), "source", "doc_id", "text")
 
