@@ -6,6 +6,7 @@ import re
 import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,6 +148,10 @@ def discard_staged(folder: str) -> int:
     return len(left)
 
 
+#: Seconds in which work that is over its deadline is cancelled again and again.
+GRACE = 10
+
+
 def with_deadline(spark: SparkSession, work: Callable[[], object], seconds: float, name: str = "scan") -> tuple[str, object]:
     """Run Spark work under a deadline: its jobs carry a tag and are cancelled when time is over. ('ok', result), ('timeout', None) or ('failed', error)."""
     tag, out = f"{name}-{time.time_ns()}", {}
@@ -164,7 +169,31 @@ def with_deadline(spark: SparkSession, work: Callable[[], object], seconds: floa
     thread.start()
     thread.join(seconds)
     if thread.is_alive():
-        spark.interruptTag(tag)
-        thread.join(10)
+        # Jobs that the work starts after the first cancellation are cancelled as well.
+        for _ in range(GRACE):
+            spark.interruptTag(tag)
+            thread.join(1)
+            if not thread.is_alive():
+                break
         return "timeout", None
     return ("failed", out["error"]) if "error" in out else ("ok", out.get("value"))
+
+
+def run_apart(spark: SparkSession, work: dict[str, Callable[[Callable[[], bool]], object]], seconds: float, at_once: int = 4, attempts: int = 2) -> DataFrame:
+    """Run each repository's work under a deadline of its own; one that is slow or fails stops no other.
+
+    The work is given a function that tells whether its time is over, to be asked before it publishes anything. What fails is tried again, what
+    is over its time is not. repo_key, status (ok, timeout, failed), attempts, seconds, error; a row for each repository.
+    """
+
+    def one(key: str) -> tuple[str, str, int, float, str | None]:
+        began, state, value, tries = time.time(), "failed", None, 0
+        while state == "failed" and tries < attempts:
+            tries, over = tries + 1, threading.Event()
+            state, value = with_deadline(spark, lambda: work[key](over.is_set), seconds, "repo")  # noqa: B023
+            over.set()
+        return key, state, tries, round(time.time() - began, 3), f"{type(value).__name__}: {value}"[:500] if state == "failed" else None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(one, work))
+    return spark.createDataFrame(found, "repo_key string, status string, attempts int, seconds double, error string")

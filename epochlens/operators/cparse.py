@@ -191,16 +191,17 @@ def scan_functions(files: DataFrame) -> DataFrame:
     return _per_file(files, functions, ["name", "start_line", "end_line"], [pa.string(), pa.int32(), pa.int32()], "name string, start_line int, end_line int")
 
 
-def scan_bodies(files: DataFrame, max_lines: int = 10_000, max_chars: int = 20_000) -> DataFrame:
-    """Functions with their text, large ones in parts: path, name, start_line, end_line, part (0 where it is whole), body."""
+def split_bodies(source: str, max_lines: int = 10_000, max_chars: int = 20_000):
+    """(name, first line, last line, part, text) of each function, large ones in parts."""
+    lines = source.splitlines(keepends=True)
+    for name, first, last in functions(source):
+        found = parts("".join(lines[first - 1 : last]), first, max_lines, max_chars)
+        yield from ((name, a, b, n if len(found) > 1 else 0, body) for n, a, b, body in found)
 
-    def split(source: str):
-        lines = source.splitlines(keepends=True)
-        for name, first, last in functions(source):
-            found = parts("".join(lines[first - 1 : last]), first, max_lines, max_chars)
-            yield from ((name, a, b, n if len(found) > 1 else 0, body) for n, a, b, body in found)
 
-    return _per_file(files, split, ["name", "start_line", "end_line", "part", "body"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()], "name string, start_line int, end_line int, part int, body string")
+def scan_bodies(files: DataFrame, max_lines: int = 10_000, max_chars: int = 20_000) -> DataFrame:
+    """Functions with their text, large ones in parts: path, name, start_line, end_line, part (0 where it is whole), body."""
+    return _per_file(files, lambda source: split_bodies(source, max_lines, max_chars), ["name", "start_line", "end_line", "part", "body"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()], "name string, start_line int, end_line int, part int, body string")
 
 
 def masked_files(files: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import cparse as P
 from ..operators import detectors as D
 from ..operators import findings as N
 from ..operators import matching as M
+from ..operators.statements import statements
 from ..session import ensure_checkpoints
 from ..sources.documents import piece
 from ..sources.documents import write_documents as write_long_documents
@@ -41,6 +42,8 @@ class Options:
     migrate_to: B.Abi | None = None
     include_no: bool = False
     detect_y2106: bool = False
+    #: Detectors and I/O boundaries see whole statements, told at their first line; the catalog is matched line by line in any case.
+    statements: bool = False
     scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None
     #: A model that is asked in passes; takes the place of a scorer.
     asking: Asking | None = None
@@ -108,8 +111,12 @@ def scan_files(files: DataFrame, rules: DataFrame, options: Options = Options())
     else:
         typedefs, aliases = G.typedefs_of_files(files).filter(F.lit(False)), None
     known = D.with_context(with_clean_text(lines), D.file_context(lines, aliases)).checkpoint()
-    rows = [M.match_rules(known, rules, options.min_risk), D.line_candidates(known, _define_rule(rules))]
-    io = B.scan_io(known.join(B.io_files(known.select("path", "line", "text")), "path", "left_semi") if options.io else known.filter(F.lit(False)), options.abi, options.io_threshold).checkpoint()
+    seen = known
+    if options.statements:
+        whole = statements(lines).select("path", "line", "text")
+        seen = D.with_context(with_clean_text(whole), D.file_context(whole, aliases)).checkpoint()
+    rows = [M.match_rules(known, rules, options.min_risk), D.line_candidates(seen, _define_rule(rules))]
+    io = B.scan_io(seen.join(B.io_files(known.select("path", "line", "text")), "path", "left_semi") if options.io else seen.filter(F.lit(False)), options.abi, options.io_threshold).checkpoint()
     found, _ = C.dedupe(C.unite(*rows))
     kept = M.structural_filter(found, options.structural)
     rows = [kept.withColumnRenamed("snippet", "text"), B.io_candidates(io)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import config as K
 from .functions import paths as H
 from .functions import text as X
+from .functions.tables import register_table_functions
 from .operators import artifacts as Z
 from .operators import assessments as A
 from .operators import batches as T
@@ -31,6 +32,7 @@ from .operators import prompts as Q
 from .operators import records as I
 from .operators import reports as R
 from .operators import repositories as S
+from .operators import statements as Y
 from .operators import wire as W
 from .plans.passes import Asking, run_passes
 from .plans.publication import publish, published
@@ -593,12 +595,50 @@ def result_documents(spark, sf):
     return result_document(_evidence(spark, sf))
 
 
-@query()
+# Thirty lines and the two around them are a function of a wrapped file.
+_WRAPPED = f"WITH {_LINES}, w AS (SELECT path, floor((line - 1) / 30)::INT AS b, count(*) AS n FROM lines GROUP BY ALL)"
+
+
+@query(f"{_WRAPPED} SELECT path, 'fn' || b AS name, b * 32 + 1 AS start_line, (b * 32 + n + 2)::INT AS end_line FROM w")
 def function_spans(spark, sf):
     """Each file's lines wrapped into functions of thirty lines, then found again."""
     return P.scan_functions(_wrapped_files(spark, sf))
 
 
+@query(f"{_WRAPPED} SELECT path, 'fn' || b AS name, b * 32 + 1 AS start_line, (b * 32 + n + 2)::INT AS end_line FROM w")
+def spans_in_sql(spark, sf):
+    """Function spans by a table function in SQL, over a text column."""
+    register_table_functions(spark)
+    return spark.sql("SELECT path, s.* FROM {files} AS f, LATERAL spans(f.content) AS s", files=_wrapped_files(spark, sf))
+
+
+@query(f"{_WRAPPED} SELECT path, 'fn' || b AS name, b * 32 + 1 AS start_line, (b * 32 + n + 2)::INT AS end_line FROM w")
+def line_spans_in_sql(spark, sf):
+    """The same by a table function that takes lines, partitioned by file."""
+    register_table_functions(spark)
+    return spark.sql("SELECT * FROM line_spans(TABLE(SELECT path, line, text FROM {lines}))", lines=split_lines(_wrapped_files(spark, sf)))
+
+
+def _broken_lines(spark, sf) -> DataFrame:
+    """The synthetic lines, each broken in two after its first parenthesis."""
+    at = F.instr("text", "(")
+    pieces = F.when(at > 0, F.array(F.left("text", at), F.substring("text", at + 1, F.length("text")))).otherwise(F.array("text"))
+    return synthetic_lines(spark, sf).select("path", "line", F.posexplode(pieces).alias("i", "text")).select("path", (F.col("line") * 2 - 1 + F.col("i")).alias("line"), "text")
+
+
+@query(f"WITH {_LINES} SELECT path, line * 2 - 1 AS line, line * 2 - CASE WHEN contains(text, '(') THEN 0 ELSE 1 END AS last_line, trim(regexp_replace(regexp_replace(text, '\\(', '( '), '//.*$', '')) AS text FROM lines WHERE text <> ''")
+def statements(spark, sf):
+    return Y.statements(_broken_lines(spark, sf)).drop("parts")
+
+
+@query(f"WITH {_CLEAN}, {_CASTS_OF_CLEAN} SELECT path, line * 2 - 1 AS line, line * 2 - CASE WHEN contains(text, '(') AND instr(text, source) > instr(text, '(') THEN 0 ELSE 1 END AS place, symbol, risk, kind, to_type, source FROM casts")
+def statement_casts(spark, sf):
+    """Casts in statements over several lines, with the line in which the value stands."""
+    whole = Y.statements(_broken_lines(spark, sf))
+    found = D.scan_casts(with_clean_text(whole.select("path", "line", "text")))
+    return found.join(whole.select("path", "line", "parts"), ["path", "line"]).select("path", "line", Y.place_of(F.col("parts"), F.instr(F.col("text"), F.col("source")) - 1).alias("place"), "symbol", "risk", "kind", "to_type", "source")
+
+
 @query()
 def typedef_scan(spark, sf):
     files = synthetic_lines(spark, sf).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))

@@ -58,8 +58,14 @@ def _stays_open(text: Column) -> Column:
     return F.regexp_like(F.regexp_replace(text, _TOKENS, " "), F.lit(r"/\*"))
 
 
-def with_clean_text(lines: DataFrame) -> DataFrame:
-    """Adds ``clean``: literals and comments are blanked; an open block comment carries over the lines of a file.
+def _uncommented(text: Column) -> Column:
+    """Text that starts outside a comment: comments become one blank, literals stay."""
+    marked = F.regexp_replace(text, r"""("(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?)|//.*$|/\*.*?\*/|/\*.*$""", "$1\x01")
+    return F.replace(F.regexp_replace(marked, "([\"'])\x01", "$1"), F.lit("\x01"), F.lit(" "))
+
+
+def with_clean_text(lines: DataFrame, with_code: bool = False) -> DataFrame:
+    """Adds ``clean``: literals and comments are blanked; an open block comment carries over the lines of a file. ``with_code`` adds ``code``, where literals stay.
 
     A line either sets the state (the same whether it starts inside or not) or keeps it, so the state before a line is what the last
     setting line left.
@@ -72,4 +78,7 @@ def with_clean_text(lines: DataFrame) -> DataFrame:
     state = F.coalesce(F.last(F.when(F.col("__out") == F.col("__in"), F.col("__out")), ignorenulls=True).over(before), F.lit(False))
     marked = marked.withColumn("__state", state)
     clean = F.when(~F.col("__state"), _clean_code(text)).when(F.col("__tail").isNull(), "").otherwise(_clean_code(F.col("__tail")))
+    if with_code:
+        code = F.when(~F.col("__state"), _uncommented(text)).when(F.col("__tail").isNull(), "").otherwise(_uncommented(F.col("__tail")))
+        marked = marked.withColumn("code", code)
     return marked.withColumn("clean", clean).drop("__tail", "__out", "__in", "__state")
