@@ -14,7 +14,8 @@ def statements(lines: DataFrame) -> DataFrame:
     A statement ends with a line that ends in a brace, or in a semicolon or label outside parentheses; a directive ends with its line. A line
     that ends in a backslash goes on in any case. Comments become a blank, pieces are trimmed and joined by one blank, and empty ones
     (lines of blanks or comments alone) belong to none. Depth is counted anew after each brace and directive, so a parenthesis that is never closed joins no more than the lines up to
-    the next of those. Files never share a statement; an unfinished last one is kept.
+    the next of those. Files never share a statement; an unfinished last one is kept. A literal that a backslash
+    breaks is not carried to its second line, whose quote then opens another: such a statement may take the next line with it.
     """
     known = with_clean_text(lines.select("path", "line", F.coalesce("text", F.lit("")).alias("text")), with_code=True)
     goes_on = F.rtrim("text").endswith("\\")
