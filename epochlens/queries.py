@@ -29,6 +29,7 @@ from .operators import findings as N
 from .operators import matching as M
 from .operators import models as O
 from .operators import prompts as Q
+from .operators import provenance as V
 from .operators import records as I
 from .operators import reports as R
 from .operators import repositories as S
@@ -292,6 +293,20 @@ def dedupe_conflicts(spark, sf):
     return _scan(spark, sf).conflicts
 
 
+# Detectors that name what they found by the line's first word meet at one identity with different methods and descriptions.
+@query(f"""WITH {_UNITED}, u AS (SELECT path, line, regexp_extract(trim(text), '^\\w+') AS symbol, 'medium' AS risk, nullif(trim(description), '') AS description, discovery_method, rule_id FROM united),
+e AS (SELECT path, line, symbol, risk, discovery_method, rule_id, description, count(*) AS n FROM u GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY path, line, symbol ORDER BY (rule_id IS NULL)::INT + (description IS NULL)::INT, list_position({list(C.METHODS)}, discovery_method), discovery_method, coalesce(rule_id, ''), coalesce(description, '')) AS r FROM e),
+g AS (SELECT path, line, symbol, risk, sum(n)::BIGINT AS n_rows, count(DISTINCT discovery_method) > 1 AS m, count(DISTINCT rule_id) > 1 AS i, count(DISTINCT description) > 1 AS d, min(discovery_method) AS m0, min(rule_id) AS i0, min(description) AS d0 FROM e GROUP BY ALL)
+SELECT concat_ws(':', path, line::VARCHAR, '0', '0', risk, symbol) AS candidate_id, CASE WHEN m OR i OR d THEN discovery_method ELSE m0 END AS discovery_method, CASE WHEN m OR i OR d THEN rule_id ELSE i0 END AS rule_id, CASE WHEN m OR i OR d THEN description ELSE d0 END AS description,
+n_rows, n AS n_won, m OR i OR d AS conflict, concat_ws(',', CASE WHEN m THEN 'discovery_method' END, CASE WHEN i THEN 'rule_id' END, CASE WHEN d THEN 'description' END) AS contradicted FROM g JOIN o USING (path, line, symbol, risk) WHERE r = 1""")
+def provenance_merge(spark, sf):
+    known = D.with_context(_clean(spark, sf), D.file_context(synthetic_lines(spark, sf)))
+    rows = C.unite(M.match_rules(known, M.default_rules(spark), "low"), D.line_candidates(known, True))
+    merged = V.merge_provenance(rows.withColumn("symbol", F.regexp_extract("snippet", r"^\w+", 0)).withColumn("risk", F.lit("medium")))
+    return merged.select("candidate_id", *V.FIELDS, "n_rows", "n_won", "conflict", F.array_join("contradicted", ",").alias("contradicted"))
+
+
 @query(f"WITH {_EVIDENCE} SELECT candidate_id, function_id, CASE WHEN function_id IS NULL THEN 'ungrouped' ELSE 'grouped' END AS analysis_coverage FROM ev")
 def fn_interval_join(spark, sf):
     return _evidence(spark, sf).select("candidate_id", "function_id", "analysis_coverage")
