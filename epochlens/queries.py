@@ -42,7 +42,9 @@ from .plans.scan import result_documents as repo_documents
 from .session import ensure_checkpoints
 from .sources.documents import piece
 from .sources.documents import write_documents as write_long_documents
-from .sources.lines import SYNTHETIC_SQL, split_lines, synthetic_lines, with_clean_text
+from .sources.files import list_tree
+from .sources.lines import SYNTHETIC_SQL, split_lines, synthetic_lines, with_clean_ranges, with_clean_text
+from .sources.trees import read_ranges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1102,6 +1104,17 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query(f"WITH {_CLEAN} SELECT path, line, text, clean FROM cl")
+def range_lines(spark, sf):
+    """The synthetic files, written as a tree by Spark, listed by tasks, and read by ranges of a kilobyte, so that most files are cut many times."""
+    path = _scratch(spark, "tree")
+    rows = synthetic_lines(spark, sf).withColumn("folder", F.regexp_extract("path", r"(\d+)", 1))
+    rows.repartition("folder").sortWithinPartitions("folder", "line").select("folder", "text").write.partitionBy("folder").text(path)
+    listed = list_tree(spark, path).filter(F.col("path").endswith(".txt"))
+    named = listed.select(F.concat(F.lit("src/f"), F.regexp_extract("path", r"folder=(\d+)/", 1), F.lit(".c")).alias("path"), "uri", "length")
+    return with_clean_ranges(read_ranges(named, size=1024)).select("path", "line", "text", "clean")
+
+
 @query("""WITH p AS (SELECT coalesce(source, '_') AS d, printf('%012d', doc_id) AS k, '{"id":' || doc_id || ',"chars":' || length(coalesce(text, '')) || ',"lang":"' || coalesce(lang, '') || '"}' AS t FROM documents)
 SELECT d AS document, count(*) AS n_items, strlen('[' || string_agg(t, ',' ORDER BY k) || ']') AS n_bytes, sha256('[' || string_agg(t, ',' ORDER BY k) || ']') AS sha256 FROM p GROUP BY d""")
 def long_documents(spark, sf):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-from pathlib import Path
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, carries_credentials
+from .trees import list_folders, number_ranges, read_ranges
 
 # Extensions, and the globs left out, where none are given.
 EXTENSIONS = (".c", ".h", ".cc", ".cpp", ".cxx", ".hh", ".hpp", ".hxx")
@@ -66,21 +65,12 @@ def validate_size_limit(limit) -> int | None:
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """All files below a root, without their content: path (below the root), uri, length, and for links of a local tree where they lead.
 
-    Of a local tree the driver lists names only, so that links can be followed; any other store is listed by Spark, and has no links.
+    A local or mounted tree is walked by tasks, so that links can be followed; any other store is listed by Spark, and has no links.
     canonical is the place below the root that a name leads to, null where it leads out of the root.
     """
     base = root.rstrip("/")
     if base.startswith("/") or base.startswith("file:"):
-        top = Path(urlsplit(base).path if base.startswith("file:") else base)
-        real, rows = os.path.realpath(top), []
-        for folder, _, names in os.walk(top):
-            for name in names:
-                path = Path(folder) / name
-                if path.is_file():
-                    target = os.path.realpath(path)
-                    inside = target.startswith(real + os.sep)
-                    rows.append((path.relative_to(top).as_posix(), Path(target).as_uri(), os.path.getsize(target), os.path.relpath(target, real).replace(os.sep, "/") if inside else None))
-        return spark.createDataFrame(rows, "path string, uri string, length long, canonical string")
+        return list_folders(spark, urlsplit(base).path if base.startswith("file:") else base)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.col("path").alias("uri"), "length")
     prefix = base.split("://", 1)[-1] + "/"
     below = F.substring("uri", F.instr("uri", prefix) + F.lit(len(prefix)), F.lit(1 << 20))
@@ -129,6 +119,12 @@ def scan_tree(spark: SparkSession, root: str, include: list[str] | None = None,
     return read_files(spark, kept), large
 
 
+def scan_tree_lines(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines of the files of a tree (path, line, text), read by byte ranges, and the files left out for their size."""
+    kept, large, _ = select_files(list_tree(spark, root), include, exclude, max_bytes)
+    return number_ranges(read_ranges(kept)), large
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """A catalog, as an array or as an object with ``rules``; keys in any case, symbols fall back to names and risks to high. Other documents are an error."""
     text = spark.read.text(path, wholetext=True)

@@ -64,21 +64,47 @@ def _uncommented(text: Column) -> Column:
     return F.replace(F.regexp_replace(marked, "([\"'])\x01", "$1"), F.lit("\x01"), F.lit(" "))
 
 
-def with_clean_text(lines: DataFrame, with_code: bool = False) -> DataFrame:
-    """Adds ``clean``: literals and comments are blanked; an open block comment carries over the lines of a file. ``with_code`` adds ``code``, where literals stay.
-
-    A line either sets the state (the same whether it starts inside or not) or keeps it, so the state before a line is what the last
-    setting line left.
-    """
+def _marked(lines: DataFrame) -> DataFrame:
+    """Adds what a line leaves behind if a block comment is open before it and if none is; ``__set`` is what it leaves where that is the same."""
     text = F.col("text")
     closing = F.instr(text, "*/")
     tail = F.when(closing > 0, F.substring(text, closing + 2, F.length(text)))
     marked = lines.withColumn("__tail", tail).withColumn("__out", _stays_open(text)).withColumn("__in", F.when(tail.isNull(), True).otherwise(_stays_open(tail)))
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    state = F.coalesce(F.last(F.when(F.col("__out") == F.col("__in"), F.col("__out")), ignorenulls=True).over(before), F.lit(False))
-    marked = marked.withColumn("__state", state)
-    clean = F.when(~F.col("__state"), _clean_code(text)).when(F.col("__tail").isNull(), "").otherwise(_clean_code(F.col("__tail")))
+    return marked.withColumn("__set", F.when(F.col("__out") == F.col("__in"), F.col("__out"))).drop("__out", "__in")
+
+
+def _cleaned(marked: DataFrame, with_code: bool) -> DataFrame:
+    """Adds the clean texts, given whether a comment is open before each line (``__state``)."""
+    text = F.col("text")
     if with_code:
         code = F.when(~F.col("__state"), _uncommented(text)).when(F.col("__tail").isNull(), "").otherwise(_uncommented(F.col("__tail")))
         marked = marked.withColumn("code", code)
-    return marked.withColumn("clean", clean).drop("__tail", "__out", "__in", "__state")
+    clean = F.when(~F.col("__state"), _clean_code(text)).when(F.col("__tail").isNull(), "").otherwise(_clean_code(F.col("__tail")))
+    return marked.withColumn("clean", clean).drop("__tail", "__set", "__state")
+
+
+def with_clean_text(lines: DataFrame, with_code: bool = False) -> DataFrame:
+    """Adds ``clean``: literals and comments are blanked; an open block comment carries over the lines of a file. ``with_code`` adds ``code``, where literals stay.
+
+    A line either sets the state (the same whether it starts inside or not) or keeps it, so the state before a line is what the last
+    setting line left.
+    """
+    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.coalesce(F.last("__set", ignorenulls=True).over(before), F.lit(False))
+    return _cleaned(_marked(lines).withColumn("__state", state), with_code)
+
+
+def with_clean_ranges(lines: DataFrame, with_code: bool = False) -> DataFrame:
+    """Lines of byte ranges (path, part, at, text; see ``trees.read_ranges``) as path, line, text, clean, as ``with_clean_text`` makes them.
+
+    A range either sets the state of comments or keeps it, as its lines do. So each range is first told as its number of lines and the state that its last setting line left; over these few rows
+    of a file the number and state before each range are found, and every range then cleans its own lines: no task holds all lines of a long file.
+    """
+    marked = _marked(lines)
+    facts = marked.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"), F.max_by("__set", F.when(F.col("__set").isNotNull(), F.col("at"))).alias("left"))
+    earlier = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = facts.select("path", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__first"), F.coalesce(F.last("left", ignorenulls=True).over(earlier), F.lit(False)).alias("__open"))
+    before = Window.partitionBy("path", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.coalesce(F.last("__set", ignorenulls=True).over(before), F.col("__open"))
+    numbered = marked.join(begins, ["path", "part"]).withColumn("__state", state).withColumn("line", (F.col("__first") + F.col("at") + 1).cast("int"))
+    return _cleaned(numbered, with_code).drop("part", "at", "__first", "__open")
