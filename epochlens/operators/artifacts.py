@@ -130,8 +130,17 @@ def batch_outputs(responses: DataFrame, raw: bool = False, most: int = 65_536) -
 
 
 def model_log(items: DataFrame, scan_id: str, model: str) -> DataFrame:
-    """Inputs or outputs of model batches (pass, batch, item) as they are logged, by pass and batch."""
-    return items.select(F.lit(scan_id).alias("scan_id"), F.lpad(F.col("batch").cast("string"), 4, "0").alias("batch"), "pass", F.lit(model).alias("model"), "item", F.current_timestamp().alias("timestamp"))
+    """Inputs or outputs of model batches (pass, batch, and what is told of them) as they are logged, by pass and batch."""
+    batch = F.col("batch").cast("string")
+    told = [c for c in items.columns if c not in ("pass", "batch")]
+    return items.select(F.lit(scan_id).alias("scan_id"), F.when(F.length(batch) < 4, F.lpad(batch, 4, "0")).otherwise(batch).alias("batch"), "pass", F.lit(model).alias("model"), *told, F.current_timestamp().alias("timestamp"))
+
+
+def id_mappings(rows: DataFrame, pass_from: str, pass_to: str) -> DataFrame:
+    """Ids of one pass and what they are called in another (id_from, id_to), as they are logged. Nulls and repeats go; an id with two names is an error."""
+    pairs = rows.filter("id_from IS NOT NULL AND id_to IS NOT NULL").groupBy("id_from").agg(F.min("id_to").alias("id_to"), F.max("id_to").alias("last"))
+    fail = F.raise_error(F.concat(F.lit("an id is mapped to two others: "), "id_from")).cast("string")
+    return pairs.select(F.lit(pass_from).alias("pass_from"), F.lit(pass_to).alias("pass_to"), "id_from", F.when(F.col("id_to") == F.col("last"), F.col("id_to")).otherwise(fail).alias("id_to"))
 
 
 def append_json(rows: DataFrame, path: str, by: list[str] | None = None) -> None:

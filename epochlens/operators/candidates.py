@@ -97,6 +97,23 @@ def function_candidates(evidence: DataFrame) -> DataFrame:
     return rows.groupBy("function_id", "path").agg(ordered.alias("c")).select("function_id", "path", F.array_distinct(F.transform("c", lambda x: x["line"])).alias("candidate_lines"), F.transform("c", lambda x: x["candidate_id"]).alias("candidate_ids"))
 
 
+def dedupe_functions(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each function_id, the first by path and lines, with the candidate lines of all its rows in order; and the id that each row's own place now has
+    (path, start_line, end_line, function_id, kept_path), where that is another place.
+
+    Rows of one id are never gathered: the first is kept by partial aggregation, and lines are made distinct before they meet.
+    """
+    place = F.struct("path", "start_line", "end_line", F.xxhash64(*[c for c in functions.columns if c != "candidate_lines"]).alias("tie"))
+    firsts = functions.groupBy("function_id").agg(F.min_by(F.struct(*[c for c in functions.columns if c not in ("function_id", "candidate_lines")]), place).alias("r"))
+    lines = functions.select("function_id", F.explode("candidate_lines").alias("n")).distinct().groupBy("function_id").agg(F.array_sort(F.collect_list("n")).alias("candidate_lines"))
+    empty = F.array().cast("array<int>")
+    kept = firsts.join(lines, "function_id", "left").select("function_id", "r.*", F.coalesce("candidate_lines", empty).alias("candidate_lines")).select(*functions.columns)
+    placed = functions.select("path", "start_line", "end_line", "function_id").distinct()
+    to = kept.select("function_id", F.col("path").alias("kept_path"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    moved = placed.join(to, "function_id").filter("path <> kept_path OR start_line <> s OR end_line <> e").select("path", "start_line", "end_line", "function_id", "kept_path")
+    return kept, moved
+
+
 def batches(functions: DataFrame, size: int = 15) -> DataFrame:
     """Fixed batches inside each file, in order of the function id; a global number would need one task."""
     order = Window.partitionBy("path").orderBy("function_id")

@@ -82,7 +82,7 @@ def summary_problem(matches: Column, count: Column, risk: Column) -> Column:
     return F.when(F.size(matches) == 0, "no matches").when(count != F.size(matches), "count").when(rank(risk) != top, "risk").when(F.size(F.array_distinct(F.transform(matches, lambda m: m["line"]))) > 1, "lines")
 
 
-def _support_errors(supported: Column, setting: Column) -> list[Column]:
+def support_errors(supported: Column, setting: Column) -> list[Column]:
     """What contradicts in the support of a setting and its value."""
     away = setting == "not_available"
     return [
@@ -99,7 +99,7 @@ def environment_errors(config: DataFrame) -> DataFrame:
     checks = [F.when(c(f).isNull(), F.concat(F.lit("missing "), F.lit(f))) for f in ENV_REQUIRED] + [
         F.when(~F.upper(c("hardware_model")).isin(*MODELS), "hardware_model"), F.when(~F.lower(c("time_t_signed")).isin(*SIGNS), "time_t_signed"), F.when(~c("time_t_size_bits", "int").isin(32, 64), "time_t_size_bits"),
         F.when((F.lower(c("c_library")) == "other") & F.coalesce(F.trim(c("c_library_other_text")) == "", F.lit(True)), "c_library_other_text"),
-        *_support_errors(c("d_time_bits_supported", "boolean"), c("d_time_bits_setting")),
+        *support_errors(c("d_time_bits_supported", "boolean"), c("d_time_bits_setting")),
         F.when(needs_mitigation(c("scenario_hint")) & c("mitigation_path").isNull(), "mitigation_path"),
         F.when(F.exists(F.coalesce(c("toolchain_flags", "array<string>"), F.array().cast("array<string>")), lambda f: ~F.coalesce(f.rlike(FLAG), F.lit(False))), "toolchain_flags"),
     ]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_fence
+from ..operators import artifacts as Z
 from ..operators import assessments as A
 from ..operators import candidates as C
 from ..operators import cparse as P
@@ -41,7 +42,11 @@ STEPS = (Step("2a", O.FUNCTION_RULES, "functions"), Step("2b", O.CONTEXT_RULES,
 
 @dataclass(frozen=True)
 class Asking:
-    """How a model is asked. ``folder`` keeps the answers; ``wave`` batches are asked and kept at a time, so that is what a failure can lose."""
+    """How a model is asked. ``folder`` keeps the answers; ``wave`` batches are asked and kept at a time, so that is what a failure can lose.
+
+    With ``logs``, what is asked and answered is logged as JSON lines below that folder, by pass, under ``scan_id`` and ``model``: one line for each function of a request before it is
+    asked, and one for each request after it.
+    """
 
     ask: Callable[[O.Prompt], dict]
     folder: str
@@ -53,6 +58,9 @@ class Asking:
     environment: str = "{}"
     migration: str | None = None
     steps: tuple[Step, ...] = field(default=STEPS)
+    logs: str | None = None
+    scan_id: str = ""
+    model: str = ""
 
 
 def kept_answers(spark, folder: str) -> DataFrame:
@@ -63,12 +71,12 @@ def kept_answers(spark, folder: str) -> DataFrame:
 
 
 def step_prompts(units: DataFrame, step: Step, asking: Asking, detect_y2106: bool = False) -> DataFrame:
-    """Prompts of a pass over units (function_id, path, name, start_line, end_line, body, candidate_lines and the step's context): key, batch, n_functions, system, user."""
+    """Prompts of a pass over units (function_id, path, name, start_line, end_line, body, candidate_lines and the step's context): key, batch, n_functions, function_ids, system, user."""
     numbered = C.batches(units, asking.size).withColumn("batch", F.concat_ws("#", "path", F.col("batch").cast("string")))
-    sizes = numbered.groupBy("batch").agg(F.count(F.lit(1)).cast("int").alias("n_functions"))
+    sizes = numbered.groupBy("batch").agg(F.count(F.lit(1)).cast("int").alias("n_functions"), F.array_sort(F.collect_list("function_id")).alias("function_ids"))
     made = O.prompts(O.function_facts(numbered, step.context), step.rules, step.task, asking.environment, asking.migration, detect_y2106)
     key = F.sha2(F.concat_ws("\n", F.lit(step.name), "system", "user"), 256)
-    return made.join(sizes, "batch").select(key.alias("key"), "batch", "n_functions", "system", "user")
+    return made.join(sizes, "batch").select(key.alias("key"), "batch", "n_functions", "function_ids", "system", "user")
 
 
 def ask_open(prompts: DataFrame, step: Step, asking: Asking) -> DataFrame:
@@ -79,15 +87,25 @@ def ask_open(prompts: DataFrame, step: Step, asking: Asking) -> DataFrame:
     waves = -(-todo.count() // asking.wave)
     for w in range(waves):
         mine = todo.filter(F.pmod(F.xxhash64("key"), F.lit(waves)) == w)
+        if asking.logs is not None:
+            _log(mine.select("batch", F.sha2("system", 256).alias("preamble_hash"), F.explode("function_ids").alias("item")), step, asking, "input")
         # The digest travels as the name of the batch, so answers need no other join.
         got = O.ask_all(mine.select(F.col("key").alias("batch"), "system", "user"), asking.ask, asking.tries, asking.wait, asking.most_failures)
         named = got.withColumnRenamed("batch", "key").join(mine.select("key", "batch", "n_functions", (F.octet_length("system") + F.octet_length("user")).cast("long").alias("prompt_bytes")), "key")
         named.select("key", F.lit(step.name).alias("pass"), "batch", "n_functions", "prompt_bytes", "text", "error", "prompt_tokens", "completion_tokens").write.mode("append").parquet(asking.folder)
+        if asking.logs is not None:
+            # What was kept is told, so nothing is asked for the log.
+            kept = kept_answers(spark, asking.folder).join(mine.select("key"), "key", "left_semi")
+            _log(kept.select("batch", "key", "n_functions", F.col("prompt_tokens").alias("request_tokens"), F.col("completion_tokens").alias("response_tokens"), "error", F.col("text").alias("response")), step, asking, "output")
     rows = kept_answers(spark, asking.folder).join(prompts.select("key"), "key", "left_semi")
     best = rows.groupBy("key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "key"]), F.struct(F.col("error").isNotNull(), F.coalesce("text", F.lit("")))).alias("r"))
     return best.select("key", "r.*")
 
 
+def _log(rows: DataFrame, step: Step, asking: Asking, name: str) -> None:
+    Z.append_json(Z.model_log(rows.withColumn("pass", F.lit(step.name)), asking.scan_id, asking.model), f"{asking.logs.rstrip('/')}/{name}", ["pass"])
+
+
 def judged(units: DataFrame, answers: DataFrame, detect_y2106: bool = False) -> DataFrame:
     """One analysis for each unit from the answers of a pass; ``y2106`` is null unless asked for."""
     items = W.judge_items(W.parse_items(answers.filter("text is not null").select("key", strip_fence(F.col("text")).alias("body"))), detect_y2106).checkpoint()

@@ -23,6 +23,7 @@ from .operators import boundaries as B
 from .operators import candidates as C
 from .operators import closure as G
 from .operators import cparse as P
+from .operators import detected as DE
 from .operators import detectors as D
 from .operators import environments as E
 from .operators import findings as N
@@ -1161,3 +1162,24 @@ def judged_passes(spark, sf):
     files = docs.select("path").distinct().withColumn("content", F.lit("#define A 1\n"))
     found = run_passes(units, files, Asking(_answer, _scratch(spark, "answers")))
     return found.select("function_id", "pass", "status", "summary")
+
+
+@query("""SELECT 'p' || l_partkey AS function_id, arg_min('o' || l_orderkey, (('o' || l_orderkey), l_linenumber::INT)) AS path, list_sort(list_distinct(list(l_linenumber::INT))) AS candidate_lines FROM lineitem GROUP BY l_partkey""")
+def function_dedupe(spark, sf):
+    """Parts as functions that are found at every order line of theirs; one row each, with all lines."""
+    line = F.col("l_linenumber").cast("int")
+    rows = _t(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("function_id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"), line.alias("start_line"), line.alias("end_line"), F.array(line).alias("candidate_lines"))
+    return C.dedupe_functions(rows)[0].select("function_id", "path", "candidate_lines")
+
+
+@query("""WITH p AS (SELECT *, CASE WHEN p_size <= 25 THEN 'ILP32' WHEN p_size < 50 THEN 'LP64' ELSE 'LLP64' END AS m, p_retailprice > 1200 AS s, p_type LIKE '%STEEL' AS na FROM part)
+SELECT p_partkey, p_size::INT AS bits, s AS supported, CASE WHEN p_name LIKE 'a%' THEN 'unknown' WHEN na THEN 'not_available' ELSE 'not_set' END AS setting,
+(1 + (m = 'LLP64')::INT + (p_size NOT IN (32, 64))::INT + (NOT s AND (p_name LIKE 'a%' OR NOT na))::INT + (s AND na AND NOT p_name LIKE 'a%')::INT + (p_name LIKE 'a%')::INT)::INT AS n_errors FROM p""")
+def detected_answers(spark, sf):
+    """Parts as environments that a model described, none of which names a C library that is known."""
+    p = _t(spark, sf, "part")
+    value = F.when(F.col("p_name").startswith("a"), " ").when(F.col("p_type").endswith("STEEL"), "not_available").otherwise("not_set")
+    model = F.when(F.col("p_size") <= 25, "ILP32").when(F.col("p_size") < 50, "LP64").otherwise("LLP64")
+    row = F.struct(model.alias("hardware_model"), F.col("p_size").alias("time_t_size_bits"), F.lit("signed").alias("time_t_signed"), F.lit(True).alias("time64_functions_available"), (F.col("p_retailprice") > 1200).alias("d_time_bits_supported"), value.alias("d_time_bits_setting"), F.col("p_brand").alias("c_library"))
+    found = DE.detected_environments(p.select("p_partkey", F.to_json(row).alias("text")))
+    return found.select("p_partkey", F.col("time_t_size_bits").alias("bits"), F.col("d_time_bits_supported").alias("supported"), F.col("d_time_bits_setting").alias("setting"), F.size("errors").alias("n_errors"))

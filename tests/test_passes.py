@@ -130,3 +130,13 @@ def test_second_check_keeps_findings(spark, tmp_path):
         asking = Q.Asking(ask, f"file://{tmp_path}/a{detect}", wait=0.0)
         run = S.scan_files(sources(spark, 1), M.default_rules(spark), S.Options(asking=asking, discovery=False, io=False, detect_y2106=detect))
         assert {r["function_id"].split("@")[1].split(":")[0] for r in run.findings.collect()} == left
+
+
+def test_passes_are_logged(spark, tmp_path):
+    asking = Q.Asking(asker(str(tmp_path / "log")), f"file://{tmp_path}/answers", wait=0.0, logs=f"file://{tmp_path}/logs", scan_id="s1", model="m")
+    S.scan_files(sources(spark, 1), M.default_rules(spark), S.Options(asking=asking, discovery=False, io=False))
+    given = spark.read.json(str(tmp_path / "logs" / "input"))
+    told = spark.read.json(str(tmp_path / "logs" / "output"))
+    assert {r["pass"] for r in given.select("pass").collect()} == {"2a", "2b", "9"} == {r["pass"] for r in told.select("pass").collect()}
+    assert given.filter("pass = '2a'").count() == len(NAMES) and given.filter("scan_id = 's1' AND model = 'm' AND preamble_hash IS NOT NULL AND timestamp IS NOT NULL").count() == given.count()
+    assert told.select("batch").distinct().count() == given.select("batch").distinct().count() and told.agg(F.sum("n_functions")).first()[0] == given.count()
