@@ -169,12 +169,13 @@ def split_wide(wide: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> Dat
     return parts.join(_apart(parts).select("gid"), "gid")
 
 
-def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], limit, tokens) -> tuple[DataFrame, DataFrame]:
+def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], limit, tokens, inline: bool = False) -> tuple[DataFrame, DataFrame]:
     """``groups``: gid, first, node, saved. ``verify`` keeps the pairs (a, b) that are links; ``sketches(nodes)`` gives node, size, sketch;
-    ``tokens`` as in ``split_wide``.
+    ``tokens`` as in ``split_wide``. ``inline``: a sketch follows from the node alone, so ``sketches`` adds size and sketch to any rows, and nothing is joined.
 
     Returns the verified links that connect all classes and (node, component).
     """
+    with_sketches = sketches if inline else lambda rows: rows.join(saved(sketches(rows.select("node").distinct()), "sketches"), "node")
     pieces = groups.filter(F.col("gid") >= HOT_GID)
     centers = saved(pieces.groupBy("gid").agg(F.min("node").alias("first")), "centers")
     whole = join_sized(pieces.select("gid", "node").distinct(), centers, ["gid"], "inner", 32).select("gid", "first", "node")
@@ -187,16 +188,16 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
     if left is None:
         return links, comps
     # Groups that are copies of one text hang together by the node nearest to all, whichever that is.
-    sketched = saved(sketches(left.select("node").distinct()), "sketches")
-    near = saved(middle_pairs(left.join(sketched, "node"), limit).join(star, ["a", "b"], "left_anti"), "middles")
+    sketched = with_sketches(left)
+    near = saved(middle_pairs(sketched, limit).join(star, ["a", "b"], "left_anti"), "middles")
     if not near.isEmpty():
         links = saved(links.unionByName(verify(near)), "links")
         comps = saved(components(links), "components")
         left = _left_apart(every, comps, tokens)
         if left is None:
             return links, comps
-        sketched = saved(sketches(left.select("node").distinct()), "sketches")
-    more = saved(residual_pairs(left.join(sketched, "node"), limit).join(star.unionByName(near), ["a", "b"], "left_anti"), "pairs")
+        sketched = with_sketches(left)
+    more = saved(residual_pairs(sketched, limit).join(star.unionByName(near), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return links, comps
     links = saved(links.unionByName(verify(more)), "links")

@@ -138,12 +138,12 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
         return pairs.select("a", "b").distinct().filter(on_a_chain(differ)).filter(F.bit_count(differ) <= DISTANCE)
 
     def sketches(of: DataFrame) -> DataFrame:
-        return of.select("node", F.lit(BITS).cast("long").alias("size"), F.unhex(F.lpad(F.hex("node"), 16, "0")).alias("sketch"))
+        return of.withColumns({"size": F.lit(BITS).cast("long"), "sketch": F.unhex(F.lpad(F.hex("node"), 16, "0"))})
 
     def tokens(of: DataFrame) -> DataFrame:
         return of.select("node").mapInArrow(_tokens, "node long, tokens array<long>, take int")
 
-    links, comps = link_classes(groups, verify, sketches, lambda size, sizes: np.full(np.shape(sizes), DISTANCE), tokens)
+    links, comps = link_classes(groups, verify, sketches, lambda size, sizes: np.full(np.shape(sizes), DISTANCE), tokens, inline=True)
     n_links = links.select(F.col("a").alias("fingerprint")).unionByName(links.select(F.col("b").alias("fingerprint"))).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_links"))
     # Fingerprints without links are classes of their own.
     placed = saved(comps.withColumnRenamed("node", "fingerprint").join(nodes, "fingerprint"), "placed")
