@@ -444,3 +444,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["repos", f"file://{tmp_path}/l.jsonl", str(root), f"file://{tmp_path}/o2", "--dry-run"]) == 0
     told = capsys.readouterr()
     assert "github__o__r__default" in told.out and "line 2: credentials" in told.err
+
+
+def test_lines_split_their_file_once(spark):
+    """Nothing above the generator splits the content again, which would be once for every line."""
+    from epochlens.sources.lines import split_lines
+
+    plan = split_lines(spark.createDataFrame([("a", "x\ny")], "path string, content string"))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "split(" not in above
