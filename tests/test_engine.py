@@ -453,3 +453,19 @@ def test_lines_split_their_file_once(spark):
     plan = split_lines(spark.createDataFrame([("a", "x\ny")], "path string, content string"))._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate")]
     assert "split(" not in above
+
+
+def test_rules_scoped_to_many_files_are_not_told_apart_by_their_lists(spark):
+    """Scopes by path and by base name; no test of a line walks the list of a rule's files."""
+    from epochlens.operators import matching as M
+    from epochlens.sources.lines import with_clean_text
+
+    lines = with_clean_text(spark.createDataFrame([(p, 1, "a_t x; time(0); b_t y;") for p in ("src/a.c", "src/b.c", "lib/b.c", "c.c")], "path string, line int, text string"))
+    rules = spark.createDataFrame(
+        [("a_t", "high", "t", "1", None, False, ["src/a.c", "c.c"], True, True), ("b_t", "high", "t", "2", None, False, ["b.c"], True, True), ("time", "high", "f", "3", "R", True, None, False, False), ("a_t", "low", "t", "4", None, False, ["src/b.c"], True, True)],
+        "symbol string, risk string, category string, description string, rule_id string, call_required boolean, scope_files array<string>, type_use_only boolean, discovered boolean",
+    )
+    found = M.match_rules(lines, rules)
+    got = sorted((r["path"], r["symbol"], r["description"]) for r in found.collect())
+    assert got == sorted([(p, "time", "3") for p in ("src/a.c", "src/b.c", "lib/b.c", "c.c")] + [("src/a.c", "a_t", "1"), ("c.c", "a_t", "1"), ("src/b.c", "a_t", "4"), ("src/b.c", "b_t", "2"), ("lib/b.c", "b_t", "2")])
+    assert "arrays_overlap" not in found._jdf.queryExecution().optimizedPlan().toString()
