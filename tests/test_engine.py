@@ -469,3 +469,20 @@ def test_rules_scoped_to_many_files_are_not_told_apart_by_their_lists(spark):
     got = sorted((r["path"], r["symbol"], r["description"]) for r in found.collect())
     assert got == sorted([(p, "time", "3") for p in ("src/a.c", "src/b.c", "lib/b.c", "c.c")] + [("src/a.c", "a_t", "1"), ("c.c", "a_t", "1"), ("src/b.c", "a_t", "4"), ("src/b.c", "b_t", "2"), ("lib/b.c", "b_t", "2")])
     assert "arrays_overlap" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_findings_without_a_function_do_not_meet_in_one_task(spark):
+    from epochlens.operators import reports as R
+
+    findings = spark.range(4000).selectExpr("concat('x', id) finding_id", "if(id % 100 = 0, concat('f', id), null) function_id", "'no' issue_class", "cast(null as string) y2106_issue")
+    statuses = spark.range(0, 4000, 200).selectExpr("concat('f', id) function_id", "'analysis_error' execution_status")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = R.display_class(findings, statuses)
+        sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert got.filter("shown_class = 'analysis_error'").count() == 20 and got.columns == [*findings.columns, "shown_class"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2000
