@@ -486,3 +486,16 @@ def test_findings_without_a_function_do_not_meet_in_one_task(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_candidates_are_read_once_for_their_functions(spark):
+    from epochlens.operators import candidates as C
+
+    rows = C.unite(spark.createDataFrame([("p", n, "t", "s", "high", "d", "unknown") for n in (1, 5, 255, 256, 300, 900)], "path string, line int, text string, symbol string, risk string, description string, discovery_method string"))
+    kept, conflicts = C.dedupe(rows)
+    spans = spark.createDataFrame([("p", "outer", 1, 400), ("p", "inner", 200, 299), ("p", "same", 1, 400), ("q", "x", 1, 9)], "path string, name string, start_line int, end_line int")
+    joined = C.join_functions(kept, spans)
+    got = {r["line"]: r["function_id"] for r in joined.collect()}
+    assert got == {1: "p@outer:1-400", 5: "p@outer:1-400", 255: "p@inner:200-299", 256: "p@inner:200-299", 300: "p@outer:1-400", 900: None}
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("snippet") and plan.count("LogicalRDD") == 2 and "Expand" not in plan and conflicts.count() == 0
