@@ -499,3 +499,13 @@ def test_candidates_are_read_once_for_their_functions(spark):
     assert got == {1: "p@outer:1-400", 5: "p@outer:1-400", 255: "p@inner:200-299", 256: "p@inner:200-299", 300: "p@outer:1-400", 900: None}
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("snippet") and plan.count("LogicalRDD") == 2 and "Expand" not in plan and conflicts.count() == 0
+
+
+def test_rules_of_aliases_gather_each_definition_once(spark):
+    from epochlens.operators import closure as G
+
+    told = spark.range(50).selectExpr("concat('f', id) tu", "'a_t' alias", "array('h:1: typedef', concat('h', id % 2)) definitions")
+    rules = G.alias_rules(told)
+    r = rules.first()
+    assert (len(r["scope_files"]), r["definitions"], r["description"]) == (50, ["h0", "h1", "h:1: typedef"], "Typedef alias for time_t (discovered: 3 definitions)")
+    assert "flatten" not in rules._jdf.queryExecution().optimizedPlan().toString()
