@@ -24,7 +24,9 @@ def detected_environments(answers: DataFrame, text_col: str = "text") -> DataFra
     Numbers may come as texts, capabilities have three values, a setting that says nothing is unknown, flags that are no list are none, a blank system is null. An answer that is no JSON
     object, a null text among them, has null fields and one error.
     """
-    v = F.try_parse_json(F.col(text_col))
+    # Parsed once: as an expression it would be parsed anew for every field and test.
+    answers = answers.withColumn("__v", F.try_parse_json(F.col(text_col)))
+    v = F.col("__v")
     part = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
     kind = lambda name: F.schema_of_variant(part(name, "variant"))
     text = lambda name: part(name, "string")
@@ -60,4 +62,4 @@ def detected_environments(answers: DataFrame, text_col: str = "text") -> DataFra
         "toolchain_flags": F.when(part("toolchain_flags", "variant").isNotNull(), F.when(is_list("toolchain_flags"), flags).otherwise(F.array().cast("array<string>"))),
     }
     errors = F.when(is_object, F.array_compact(F.array(*schema, *rules))).otherwise(F.array(F.lit("not a JSON object")))
-    return answers.withColumns({n: F.when(is_object, c) for n, c in fields.items()} | {"errors": errors})
+    return answers.withColumns({n: F.when(is_object, c) for n, c in fields.items()} | {"errors": errors}).drop("__v")

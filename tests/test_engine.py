@@ -509,3 +509,10 @@ def test_rules_of_aliases_gather_each_definition_once(spark):
     r = rules.first()
     assert (len(r["scope_files"]), r["definitions"], r["description"]) == (50, ["h0", "h1", "h:1: typedef"], "Typedef alias for time_t (discovered: 3 definitions)")
     assert "flatten" not in rules._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_answer_is_parsed_once(spark):
+    from epochlens.operators import detected as DE
+
+    found = DE.detected_environments(spark.createDataFrame([("{}",)], "text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 1 and "__v" not in found.columns
