@@ -175,7 +175,7 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
 
     Returns the verified links that connect all classes and (node, component).
     """
-    with_sketches = sketches if inline else lambda rows: rows.join(saved(sketches(rows.select("node").distinct()), "sketches"), "node")
+    with_sketches = sketches if inline else lambda rows: _with_node_values(rows, saved(sketches(rows.select("node").distinct()), "sketches"))
     pieces = groups.filter(F.col("gid") >= HOT_GID)
     centers = saved(pieces.groupBy("gid").agg(F.min("node").alias("first")), "centers")
     whole = join_sized(pieces.select("gid", "node").distinct(), centers, ["gid"], "inner", 32).select("gid", "first", "node")
@@ -204,6 +204,12 @@ def link_classes(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sk
     return links, saved(components(links), "components")
 
 
+def _with_node_values(members: DataFrame, values: DataFrame) -> DataFrame:
+    """``members`` (gid, node, component) with the values of their nodes. A node meets its values once, with the list of its groups, which is as long as its keys or tokens."""
+    held = members.groupBy("node").agg(F.min("component").alias("component"), F.collect_list("gid").alias("gids"))
+    return held.join(values, "node").withColumn("gid", F.explode("gids")).drop("gids")
+
+
 def _left_apart(groups: DataFrame, comps: DataFrame, tokens) -> DataFrame | None:
     """gid, node, component of the groups (gid, node) whose nodes lie in several components, wide ones as their groups by rare tokens; none if there are none."""
     many = saved(groups.join(comps, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component")), "members")
@@ -215,7 +221,9 @@ def _left_apart(groups: DataFrame, comps: DataFrame, tokens) -> DataFrame | None
     if True in apart:
         wide = saved(left.filter("wide").select("node", "component").distinct(), "wide")
         left = left.filter("not wide").drop("wide").unionByName(split_wide(wide, tokens))
-    return saved(left.select("gid", "node", "component"), "residual")
+    residual = saved(left.select("gid", "node", "component"), "residual")
+    discard(many, split)
+    return residual
 
 
 def middle_pairs(members: DataFrame, limit: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
