@@ -476,3 +476,14 @@ def test_clean_documents_stay(spark):
     kept = decontamination.keep_clean(df, bench)
     assert kept.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "clean too")] * 2 + [("2", "clean"), ("None", "None")]
     assert decontamination.keep_clean(df, bench.limit(0)).count() == 6 and decontamination.find_leaks(df.limit(0), bench).count() == 0
+
+
+def test_a_node_meets_its_values_once(spark):
+    from epochlens.llm.components import _with_node_values
+
+    members = spark.createDataFrame([(g, n, 1) for g in range(20) for n in range(5)], "gid long, node long, component long")
+    values = spark.createDataFrame([(n, n * 10) for n in range(5)], "node long, size long")
+    found = _with_node_values(members, values)
+    assert sorted((r["gid"], r["node"], r["component"], r["size"]) for r in found.collect()) == [(g, n, 1, n * 10) for g in range(20) for n in range(5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
