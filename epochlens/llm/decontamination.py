@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, join_sized, mix64, saved, slices, small_batches
+from .common import byte_values, join_sized, mix64, saved, saved_alone, slices, small_batches
 from .shingles import hash_runs
 
 WINDOW, MOST, SHARE, LEAST = 8, 13, 0.6, 5
@@ -262,5 +262,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """The documents that leak no item. Each row is known by its id and text."""
     row = F.xxhash64(docs[id_col], docs[text_col].cast("string"))
     rows = docs.select(row.alias("__row"), docs[text_col].alias("__text"))
-    leaks = saved(find_leaks(rows, benchmark, "__row", "__text").select(F.col("doc_id").alias("__row")).distinct(), "leaking")
+    leaks = saved_alone(docs.sparkSession, lambda: find_leaks(rows, benchmark, "__row", "__text").select(F.col("doc_id").alias("__row")).distinct(), "leaking")
     return join_sized(docs.withColumn("__row", row), leaks, ["__row"], "left_anti", 32).select(*docs.columns)

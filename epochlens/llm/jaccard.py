@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, gathered, join_sized, mix64, saved, slices, small_batches, trim
+from .common import byte_values, gathered, join_sized, mix64, saved, saved_alone, slices, small_batches, trim
 from .components import PACKED, fold, key_groups, link_classes, pack_keys
 from .shingles import shingle_sets
 
@@ -260,17 +260,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the first of their class; of rows equal in id and text one stays; null ids stay."""
-    classes, several = _classes(docs, id_col, text_col)
-    classes = saved(classes, "classes")
+    on, repeated = [id_col], False
+
+    def gone() -> DataFrame:
+        nonlocal on, repeated
+        classes, several = _classes(docs, id_col, text_col)
+        classes = saved(classes, "classes")
+        ids = classes.filter("doc_id is not null")
+        repeated = not ids.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+        if not several:
+            return classes.filter("component <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+        on = [id_col, "__text_hash"]
+        left = classes.join(_first_of_each(classes), "component").filter("node <> first.node")
+        return left.select(F.col("doc_id").alias(id_col), F.col("text_hash").alias("__text_hash")).distinct()
+
+    # Only what goes is kept on disk, not the tables that it was found with.
+    found = saved_alone(docs.sparkSession, gone, "gone")
     named = docs.withColumn("__text_hash", F.xxhash64(docs[text_col].cast("string")))
-    if several:
-        gone = classes.join(_first_of_each(classes), "component").filter("node <> first.node")
-        gone, on = gone.select(F.col("doc_id").alias(id_col), F.col("text_hash").alias("__text_hash")), [id_col, "__text_hash"]
-    else:
-        gone, on = classes.filter("component <> doc_id").select(F.col("doc_id").alias(id_col)), [id_col]
-    kept = join_sized(named, saved(gone.distinct(), "gone"), on, "left_anti", 48).select(*docs.columns, "__text_hash")
-    ids = classes.filter("doc_id is not null")
-    if ids.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+    kept = join_sized(named, found, on, "left_anti", 48).select(*docs.columns, "__text_hash")
+    if not repeated:
         return kept.select(*docs.columns)
     again = kept[id_col].isNotNull()
     return kept.filter(~again).unionByName(kept.filter(again).dropDuplicates([id_col, "__text_hash"])).select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, join_sized, mix64, saved, slices, small_batches, trim
+from .common import gathered, join_sized, mix64, saved, saved_alone, slices, small_batches, trim
 from .components import PACKED, key_groups, link_classes, pack_keys
 
 EDITS, STEP, SKETCH_BITS, GRAM = 2, 20, 256, 3
@@ -353,7 +353,7 @@ def _repeats(texts: DataFrame) -> bool:
 
 
 def _with_gone(docs: DataFrame, id_col: str, text_col: str, reach: Reach) -> DataFrame:
-    gone = saved(removed_lines(docs, id_col, text_col, reach), "gone").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
+    gone = saved_alone(docs.sparkSession, lambda: removed_lines(docs, id_col, text_col, reach), "gone").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
     row_id, digest = _row_key(docs, id_col, text_col)
     rows = docs.withColumns({"__id": row_id, "__digest": digest})
     count = gone.agg(F.sum(F.size("__gone") + F.size("__near")), F.count(F.lit(1))).first()

@@ -44,3 +44,29 @@ def test_shuffle_files_go_with_their_query(spark):
     out = saved(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counted")
     assert not shuffles() - had and spark.conf.get(CLEANUP, None) == before and out.count() == 7
     discard(out)
+
+
+def test_later_stages_leave_no_copy_of_the_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.line_stage, corpus_pipeline.jaccard_stage, corpus_pipeline.decontamination_stage):
+        before = names(spark)
+        out = stage(spark, docs, SF)
+        left = names(spark) - before
+        assert len(left) == 1 and out.count() > 0
+        kept = spark.read.parquet(f"{scratch_root(spark)}/{next(iter(left))}")
+        assert not {"text", "lang", "source"} & set(kept.columns)
+
+
+def test_a_run_leaves_its_last_input_and_small_tables(spark):
+    before = names(spark)
+    out = corpus_pipeline.run(spark, SF)
+    left = {n.split("-")[1] for n in names(spark) - before}
+    assert "benchmark" in {n.split("_")[0] for n in left} and not left & {"quality_classifier", "line_dedup", "ngram_jaccard", "scored", "gone", "leaking"}
+    assert out.count() > 0
+
+
+def test_a_saved_result_is_not_saved_again(spark):
+    before = names(spark)
+    out = saved_alone(spark, lambda: saved_alone(spark, lambda: saved(spark.range(5).toDF("a"), "one"), "two"), "three")
+    assert {n.split("-")[1] for n in names(spark) - before} == {"one"} and out.count() == 5
+    discard(out)
