@@ -45,3 +45,24 @@ def test_facts_of_empty_graphs(spark):
     facts = spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "path string, x int")
     assert sorted(map(tuple, G.spread(facts, none).collect()), key=str) == [("a", 1), ("b", None)]
     assert G.reached_aliases(spark.createDataFrame([], "path string, line int, alias string, words array<string>"), none).count() == 0
+
+
+@pytest.mark.parametrize("cycles", [True, False])
+def test_closure_reads_its_edges_once(spark, cycles):
+    files, edges, _ = graph(spark, 4, n=25, cycles=cycles)
+    edges = edges.unionByName(spark.createDataFrame([("f30", "f1"), ("f1", "f31"), ("f2", "f1"), ("f2", "f1")], edges.schema))  # files that are not listed, and an edge twice
+    files = files.unionByName(spark.createDataFrame([("alone",)], files.schema))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    pairs = [tuple(r) for r in edges.collect()]
+    got = sorted(map(tuple, G.include_closure(files, edges.mapInPandas(counted, edges.schema)).collect()))
+    assert read.value == len(pairs)
+    want = {(r["path"], r["path"]) for r in files.collect()}
+    while more := {(t, d) for t, v in want for s, d in pairs if s == v} - want:
+        want |= more
+    assert got == sorted(want)
