@@ -2,6 +2,8 @@
 
 import json
 import os
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from epochlens.operators import matching as M
 from epochlens.plans import passes as Q
 from epochlens.plans import scan as S
+from epochlens.session import scratch_folder
 
 #: Functions by how they are answered: at once, with context, in the last pass, never, not at all, and in a form that is no answer.
 NAMES = ("sure", "later", "last", "never", "silent", "broken")
@@ -140,3 +143,24 @@ def test_passes_are_logged(spark, tmp_path):
     assert {r["pass"] for r in given.select("pass").collect()} == {"2a", "2b", "9"} == {r["pass"] for r in told.select("pass").collect()}
     assert given.filter("pass = '2a'").count() == len(NAMES) and given.filter("scan_id = 's1' AND model = 'm' AND preamble_hash IS NOT NULL AND timestamp IS NOT NULL").count() == given.count()
     assert told.select("batch").distinct().count() == given.select("batch").distinct().count() and told.agg(F.sum("n_functions")).first()[0] == given.count()
+
+
+def test_a_wave_reads_its_own_prompts_alone(spark, tmp_path):
+    text = F.concat(F.lit("p"), F.col("id").cast("string"))
+    todo = spark.range(200).select(F.sha2(text, 256).alias("key"), text.alias("batch"), F.lit(1).alias("n_functions"), F.array(text).alias("function_ids"), F.lit("rules").alias("system"), text.alias("user"))
+    path = f"file://{tmp_path}/waves"
+    Q.deal_waves(todo, 5, path)
+    waves = [Q.read_wave(spark, path, w, todo.schema) for w in range(6)]
+    files = [set(w.inputFiles()) for w in waves]
+    assert all(files[:5]) and sum(map(len, files)) == len(set().union(*files)) and waves[5].count() == 0
+    rows = sorted((r for w in waves for r in w.collect()), key=lambda r: int(r["batch"][1:]))
+    assert [tuple(r)[:-1] for r in rows] == [tuple(r) for r in todo.collect()] and {r["prompt_bytes"] - len(r["user"]) for r in rows} == {5}
+
+
+def test_prompts_of_waves_go_when_they_are_asked(spark, tmp_path):
+    shared = Path(urlsplit(scratch_folder(spark, "x")).path).parent
+    prompts = spark.range(9).select(F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("b"), "id").alias("batch"), F.lit(2).alias("n_functions"), F.array(F.lit("f")).alias("function_ids"), F.lit("s").alias("system"), F.col("id").cast("string").alias("user"))
+    asking = Q.Asking(lambda p: {"text": p.user, "prompt_tokens": 1, "completion_tokens": 1}, f"file://{tmp_path}/answers", wave=2)
+    got = Q.ask_open(prompts, Q.STEPS[0], asking)
+    assert {(r["key"], r["text"], r["prompt_bytes"]) for r in got.collect()} == {(f"k{i}", str(i), 2) for i in range(9)}
+    assert not list(shared.glob("waves-*"))
