@@ -9,6 +9,7 @@ from epochlens.operators import matching as M
 from epochlens.plans import scan as S
 from epochlens.sources import documents as D
 from test_documents import by_folder, run  # noqa: F401
+from test_engine import FILES
 
 
 def test_document_of_a_file_is_whole(spark):
@@ -52,3 +53,14 @@ def test_no_part_grows_with_its_document(spark):
     text = "".join(r["text"] for r in sorted(got, key=lambda r: (r["section"], r["key"])) if r["document"] == "r")
     assert json.loads(text) == {"a": [], "b": ["x" * 200 + f"{i:06}" for i in range(n)]} and max(len(r["text"]) for r in got) < D.PART + 300 and len(got) > 5
     assert [r["text"] for r in got if r["document"] is None] == ["{}"]
+
+
+def test_a_scan_leaves_no_shuffle_files(spark):
+    files = spark.createDataFrame(FILES, "path string, content string")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = shuffles()
+    tables = S.scan_files(files, M.default_rules(spark))
+    assert not shuffles() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    # A table of the run may be read again.
+    assert tables.metrics.collect() == tables.metrics.collect() and tables.conflicts.count() == tables.conflicts.count()
